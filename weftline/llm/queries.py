@@ -8,24 +8,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import piece_codec, sharding
-from weftline.llm.tables import read_table
+from weftline.llm import piece_codec, sharding, simhash, toxicity
+from weftline.llm.tables import key_remainder, read_table
 
 TOKENIZER_FOLDER = "/opt/tokenizers"
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = key_remainder(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), train=~held_out)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = piece_codec.load_model(f"{TOKENIZER_FOLDER}/piece_bpe_32k.model")
     return piece_codec.encode_digests(read_table(spark, sf_dir, "documents"), model)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.withColumn("fingerprint", simhash.as_hex(F.col("fingerprint")))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     layout = sharding.shard_layout(read_table(spark, sf_dir, "documents"), [1.0] * 8)
     return layout.withColumn("law", F.lit("key"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_sentencepiece, op10_sharding)}
+    return {f.__name__: f for f in (op5_toxicity, op6_sentencepiece, op9_simhash, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
