@@ -8,12 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import piece_codec, sharding, simhash, toxicity
+from weftline.llm import langid, pii, piece_codec, sharding, simhash, toxicity
 from weftline.llm.tables import key_remainder, read_table
 
 TOKENIZER_FOLDER = "/opt/tokenizers"
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = pii.find_spans(docs, pii.fit(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    number = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select("doc_id", *number, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = key_remainder(F.col("doc_id"), 5) == 0
@@ -27,6 +36,13 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_digests(read_table(spark, sf_dir, "documents"), model)
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = key_remainder(F.col("doc_id"), 3) == 1
+    model = langid.fit(docs, train=~held_out)
+    return langid.predict(docs, model).withColumn("held_out", held_out)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.withColumn("fingerprint", simhash.as_hex(F.col("fingerprint")))
@@ -38,7 +54,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_toxicity, op6_sentencepiece, op9_simhash, op10_sharding)}
+    return {f.__name__: f for f in (op1_pii, op5_toxicity, op6_sentencepiece, op8_langid, op9_simhash, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

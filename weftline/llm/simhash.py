@@ -81,14 +81,14 @@ def _blocks(fp: Column, parts: int) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("block"), value.alias("part")) for k, (value, _) in enumerate(_segments(fp, parts))])
 
 
-def links(nodes: DataFrame, radius: int = 2, segments: int = 2) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 2, segments: int = 2, bucket: int = BUCKET) -> DataFrame:
     """Pairs (a, b), a < b, of the fingerprints in ``nodes`` that differ in 1 to ``radius`` bits."""
     fp = F.col("fingerprint")
     table = nodes.select(fp.alias("b"), F.posexplode(F.array(*[s for s, _ in _segments(fp, segments)])).alias("segment", "value"))
-    balls = [F.transform(F.array(*[F.lit(x).cast("long") for x in _ball(w, radius // segments)]), lambda flip, s=s: s.bitwiseXOR(flip)) for s, w in _segments(fp, segments)]
+    balls = [F.array(*[s.bitwiseXOR(F.lit(flip).cast("long")) for flip in _ball(w, radius // segments)]) for s, w in _segments(fp, segments)]
     probes = nodes.select(fp.alias("a"), F.posexplode(F.array(*balls)).alias("segment", "values")).select("a", "segment", F.explode("values").alias("value"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    hot = cut_lineage(table.groupBy("segment", "value").count().where(F.col("count") > BUCKET).select("segment", "value"))
+    hot = cut_lineage(table.groupBy("segment", "value").count().where(F.col("count") > bucket).select("segment", "value"))
     if hot.isEmpty():
         return probes.join(table, ["segment", "value"]).where(near).select("a", "b").distinct()
     key = ["segment", "value"]
