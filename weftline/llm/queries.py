@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import langid, pii, piece_codec, sharding, simhash, toxicity
+from weftline.llm import langid, perplexity, pii, piece_codec, sharding, simhash, toxicity
 from weftline.llm.tables import key_remainder, read_table
 
 TOKENIZER_FOLDER = "/opt/tokenizers"
@@ -23,6 +23,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *number, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
 
 
+def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    judged = perplexity.judge(perplexity.measure(docs, perplexity.fit(docs)))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity", "lower", "upper")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = key_remainder(F.col("doc_id"), 5) == 0
@@ -54,7 +60,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op5_toxicity, op6_sentencepiece, op8_langid, op9_simhash, op10_sharding)}
+    return {f.__name__: f for f in (op1_pii, op3_perplexity, op5_toxicity, op6_sentencepiece, op8_langid, op9_simhash, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
