@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import langid, perplexity, pii, piece_codec, sharding, simhash, toxicity
+from weftline.llm import html_extract, langid, perplexity, pii, piece_codec, sharding, simhash, toxicity
 from weftline.llm.tables import key_remainder, read_table
 
 TOKENIZER_FOLDER = "/opt/tokenizers"
@@ -42,6 +42,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_digests(read_table(spark, sf_dir, "documents"), model)
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = key_remainder(F.col("doc_id"), 3) == 1
@@ -60,7 +64,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_perplexity, op5_toxicity, op6_sentencepiece, op8_langid, op9_simhash, op10_sharding)}
+    return {f.__name__: f for f in (op1_pii, op3_perplexity, op5_toxicity, op6_sentencepiece, op7_html, op8_langid, op9_simhash, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
