@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import html_extract, langid, perplexity, pii, piece_codec, sharding, simhash, toxicity
+from weftline.llm import decontaminate, html_extract, langid, perplexity, pii, piece_codec, sharding, simhash, toxicity
 from weftline.llm.tables import key_remainder, read_table
 
 TOKENIZER_FOLDER = "/opt/tokenizers"
@@ -23,6 +23,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *number, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     judged = perplexity.judge(perplexity.measure(docs, perplexity.fit(docs)))
@@ -64,7 +68,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_perplexity, op5_toxicity, op6_sentencepiece, op7_html, op8_langid, op9_simhash, op10_sharding)}
+    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_perplexity, op5_toxicity, op6_sentencepiece, op7_html, op8_langid, op9_simhash, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -23,7 +23,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.components import connected_components
@@ -55,14 +55,18 @@ def fingerprint(text: bytes, words_each: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and its fingerprint as a signed long."""
+    """doc_id, the fingerprint of the text as a signed long, and a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x) for x in text_bytes(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), batch.column(2)], ["doc_id", "fingerprint", "text_hash"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint long")
+    return docs.select("doc_id", "text", _text_hash().alias("text_hash")).mapInArrow(run, "doc_id long, fingerprint long, text_hash long")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _segments(fp: Column, segments: int) -> list[tuple[Column, int]]:
@@ -99,16 +103,32 @@ def links(nodes: DataFrame, radius: int = 2, segments: int = 2, bucket: int = BU
     return cool.unionByName(keyed).distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """doc_id, fingerprint (long) and component_id (the least doc_id reachable) of each document."""
+def _grouped(docs: DataFrame, radius: int) -> DataFrame:
+    """What ``fingerprints`` returns, with component (the least fingerprint reachable) and component_id."""
     marked = cut_lineage(fingerprints(docs))
     last = F.lit(2**63 - 1)
     nodes = cut_lineage(marked.groupBy("fingerprint").agg(F.min(F.coalesce("doc_id", last)).alias("least")))
-    parts = connected_components(links(nodes, radius))
-    linked = nodes.join(parts, nodes.fingerprint == parts.node).groupBy("component").agg(F.min("least").alias("component_id"))
-    named = parts.join(linked, "component").select(F.col("node").alias("fingerprint"), "component_id")
-    ids = nodes.join(named, "fingerprint", "left").select("fingerprint", F.nullif(F.coalesce("component_id", "least"), last).alias("component_id"))
-    return marked.join(ids, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    parts = cut_lineage(nodes.join(connected_components(links(nodes, radius)).withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("component")))
+    ids = parts.groupBy("component").agg(F.nullif(F.min("least"), last).alias("component_id"))
+    return marked.join(parts.join(ids, "component").drop("least"), "fingerprint")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
+    """doc_id, fingerprint (long) and component_id (the least doc_id reachable) of each document."""
+    return _grouped(docs, radius).select("doc_id", "fingerprint", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 2) -> DataFrame:
+    """One row of each component of ``docs``, with all its columns: that of the least doc_id.
+
+    Of several such rows the one whose text has the least hash stays, and one of rows that
+    are equal in both.
+    """
+    first = _grouped(docs, radius).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("_first"))
+    keep = first.select(F.col("_first.doc_id").alias("_id"), F.col("_first.text_hash").alias("_hash"))
+    kept = docs.withColumn("_text", _text_hash()).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
+    row = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(0)))
+    return kept.withColumn("_row", row).where("_row = 1").select(*[docs[c] for c in docs.columns])
 
 
 def as_hex(fp: Column) -> Column:
