@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, html_extract, langid, perplexity, pii, piece_codec, sharding, simhash, toxicity
+from weftline.llm import decontaminate, html_extract, langid, perplexity, pii, piece_codec, repeats, sharding, simhash, toxicity
 from weftline.llm.tables import key_remainder, read_table
 
 TOKENIZER_FOLDER = "/opt/tokenizers"
@@ -33,6 +33,11 @@ def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity", "lower", "upper")
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = key_remainder(F.col("doc_id"), 5) == 0
@@ -68,7 +73,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_perplexity, op5_toxicity, op6_sentencepiece, op7_html, op8_langid, op9_simhash, op10_sharding)}
+    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_perplexity, op4_repeats, op5_toxicity, op6_sentencepiece, op7_html, op8_langid, op9_simhash, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
