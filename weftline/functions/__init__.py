@@ -1 +1 @@
-"""Sparse join-aggregate analytics on Spark."""
+"""Column expressions."""

@@ -1 +1 @@
-"""Sparse join-aggregate analytics on Spark."""
+"""Registered queries and their SQL."""

@@ -1 +1 @@
-"""Sparse join-aggregate analytics on Spark."""
+"""Operators on coordinate matrices; each takes and returns DataFrames."""

@@ -1 +1 @@
-"""Sparse join-aggregate analytics on Spark."""
+"""Reading, writing and generating matrices."""

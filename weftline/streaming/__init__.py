@@ -1 +1 @@
-"""Sparse join-aggregate analytics on Spark."""
+"""Products over matrices that grow."""
