@@ -292,9 +292,10 @@ def split_reverse(spark, sf_dir):
 _EDGES = "SELECT cut.blk, l.j AS lmax, r.j AS rmin FROM cut JOIN pos l ON l.i = cut.i AND l.rn = cut.p LEFT JOIN pos r ON r.i = cut.i AND r.rn = cut.p + 1"
 
 
-@_query(f"WITH {_PO_OP}, {_CUT} {_EDGES}")
+@_query(f"WITH {_PO_OP}, {_CUT}, e AS ({_EDGES}) SELECT blk, lmax, COALESCE(rmin, -1) AS rmin FROM e")
 def split_lmax_rmin(spark, sf_dir):
-    return splits.split_edges(*_copurchase(spark, sf_dir))
+    """A cut at a row's end has nothing to its right: -1."""
+    return splits.split_edges(*_copurchase(spark, sf_dir)).select("blk", "lmax", F.coalesce("rmin", F.lit(-1)).cast("long").alias("rmin"))
 
 
 @_query(f"WITH {_PO_OP}, {_CUT}, e AS ({_EDGES}) SELECT blk, CAST(CASE WHEN lmax = rmin THEN 1 ELSE 0 END AS INTEGER) AS carry FROM e")
