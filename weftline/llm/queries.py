@@ -76,5 +76,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_perplexity, op4_repeats, op5_toxicity, op6_sentencepiece, op7_html, op8_langid, op9_simhash, op10_sharding)}
 
 
+def _crc_table() -> str:
+    """The 256 remainders of crc32, as a list in SQL."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    return f"CAST({table} AS BIGINT[])"
+
+
+#: All shards weigh the same, so the largest draw wins; crc32 runs over the bytes of the text.
+SHARDING_SQL = f"""
+WITH t AS (SELECT {_crc_table()} AS crc),
+keyed AS (SELECT doc_id, COALESCE(CAST(doc_id AS VARCHAR), '') AS k, COALESCE(text, '') AS body, ROW_NUMBER() OVER () AS r FROM documents),
+drawn AS (SELECT r, s, CAST('0x' || SUBSTR(MD5(k || ':' || CAST(s AS VARCHAR)), 1, 12) AS BIGINT) AS draw FROM keyed, (SELECT UNNEST(RANGE(0, 9)) AS s)),
+won AS (SELECT r, ARG_MAX(s, draw) AS grown, ARG_MAX(s, draw) FILTER (WHERE s < 8) AS shard FROM drawn GROUP BY r),
+sized AS (
+  SELECT keyed.doc_id, keyed.k, CAST(STRLEN(body) + 1 AS BIGINT) AS size, CAST(won.shard AS INTEGER) AS shard, CAST(won.grown AS INTEGER) AS grown_shard,
+    CASE WHEN STRLEN(body) = 0 THEN 0 ELSE XOR(LIST_REDUCE(LIST_TRANSFORM(REGEXP_EXTRACT_ALL(HEX(ENCODE(body)), '..'), LAMBDA x: CAST('0x' || x AS BIGINT)), LAMBDA a, b: XOR(a >> 8, t.crc[(XOR(a, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) END AS text_crc32
+  FROM keyed JOIN won ON keyed.r = won.r, t)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard,
+  CAST(ROW_NUMBER() OVER (PARTITION BY shard ORDER BY MD5(k), doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot, grown_shard
+FROM sized
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_sharding": SHARDING_SQL}
