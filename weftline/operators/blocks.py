@@ -11,14 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.layout import row_spans
+from weftline.operators.layout import block_cuts, row_spans
 from weftline.operators.matrix import prefix_sum
 from weftline.operators.product import BLOCK, partials, pattern
 
 
 def _placed(counted: DataFrame, spans: DataFrame) -> DataFrame:
-    """``counted`` (i, j, n and more) with row_off and start, the place of the entry's first partial."""
-    inside = prefix_sum(counted, "j", "n", "_in_row", within=("i",))
+    """``counted`` (i, j, n and more) with row_off and start, the place of the entry's first partial.
+
+    The running sum over a row's columns streams through one sorted partition; it sees a row
+    of the output, never its partials.
+    """
+    before = Window.partitionBy("i").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
+    inside = counted.withColumn("_in_row", F.coalesce(F.sum("n").over(before), F.lit(0)))
     return inside.join(spans.select("i", "row_off"), "i").withColumn("start", (F.col("row_off") + F.col("_in_row")).cast("long")).drop("_in_row")
 
 
@@ -27,22 +32,25 @@ def placed_entries(a: DataFrame, b: DataFrame) -> DataFrame:
     return _placed(pattern(a, b), row_spans(a, b))
 
 
-def _cut(placed: DataFrame, block: int) -> DataFrame:
-    return placed.where(F.floor(F.col("start") / block) < F.floor((F.col("start") + F.col("n") - 1) / block))
+def _cut_entries(a: DataFrame, b: DataFrame, spans: DataFrame, block: int) -> DataFrame:
+    """(i, j, n, start) of the entries that a block's end cuts; only rows that it cuts are expanded."""
+    rows = block_cuts(spans, block).select("i").distinct()
+    placed = _placed(pattern(a.join(rows, "i", "left_semi"), b), spans)
+    return placed.where(F.floor(F.col("start") / block) < F.floor((F.col("start") + F.col("n") - 1) / block)).select("i", "j", "n", "start")
 
 
 def block_runs(a: DataFrame, b: DataFrame, block: int = BLOCK) -> DataFrame:
     """(blk, i, j, s, n, pos): the sum and number of each entry's partials in each block, and the place of the first."""
-    all_partials = partials(a, b)
+    all_partials, spans = partials(a, b), row_spans(a, b)
     summed = all_partials.groupBy("i", "j").agg(F.count("*").alias("n"), F.sum("x").alias("s"))
-    placed = _placed(summed, row_spans(a, b))
+    placed = _placed(summed, spans)
     whole = placed.where(F.floor(F.col("start") / block) == F.floor((F.col("start") + F.col("n") - 1) / block))
     columns = ["blk", "i", "j", "s", "n", "pos"]
     blk = F.floor(F.col("start") / block).cast("long").alias("blk")
     whole = whole.select(blk, "i", "j", "s", "n", F.col("start").alias("pos")).select(*columns)
-    cut = _cut(_placed(pattern(a, b), row_spans(a, b)), block).select("i", "j", "start")
+    cut = _cut_entries(a, b, spans, block).select("i", "j", "start")
     order = Window.partitionBy("i", "j").orderBy("k")
-    single = all_partials.join(cut, ["i", "j"]).select("i", "j", "x", (F.col("start") + F.row_number().over(order) - 1).alias("pos"))
+    single = partials(a.join(cut.select("i").distinct(), "i", "left_semi"), b).join(cut, ["i", "j"]).select("i", "j", "x", (F.col("start") + F.row_number().over(order) - 1).alias("pos"))
     parts = single.groupBy(F.floor(F.col("pos") / block).cast("long").alias("blk"), "i", "j").agg(F.sum("x").alias("s"), F.count("*").alias("n"), F.min("pos").cast("long").alias("pos"))
     return whole.unionByName(parts.select(*columns))
 
@@ -56,9 +64,9 @@ def block_assign(spans: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def carries(a: DataFrame, b: DataFrame, block: int = BLOCK) -> DataFrame:
     """(blk, carry): whether the entry that ends a block goes on in the next; the last block has 0."""
-    placed = placed_entries(a, b)
-    cut = _cut(placed, block).select(F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("n") - 1) / block) - 1)).alias("blk"))
-    blocks = row_spans(a, b).agg(F.max("row_end").alias("total")).where("total > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / block).cast("long"))).alias("blk"))
+    spans = row_spans(a, b)
+    cut = _cut_entries(a, b, spans, block).select(F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("n") - 1) / block) - 1)).alias("blk"))
+    blocks = spans.agg(F.max("row_end").alias("total")).where("total > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / block).cast("long"))).alias("blk"))
     return blocks.join(cut.distinct().withColumn("carry", F.lit(1)), "blk", "left").select("blk", F.coalesce("carry", F.lit(0)).cast("int").alias("carry"))
 
 
