@@ -31,7 +31,8 @@ SHORTEST, LONGEST = 3, 5
 WORD = re.compile(r"\w+")
 #: Labelled documents of each class that are fitted on, at most: those with the least hash of the id.
 SAMPLE_EACH = 2500
-REMEMBERED = 600_000
+#: Words whose sum, and words whose buckets, a task remembers.
+REMEMBERED, FEATURES_REMEMBERED = 400_000, 100_000
 
 
 def subwords(word: str) -> list[int]:
@@ -73,20 +74,23 @@ def _features(sample: DataFrame) -> DataFrame:
     """The subword buckets of each sampled text with their shares of the average."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, list[int]] = {}
+        seen: dict[str, np.ndarray] = {}
+        none = np.zeros(0, np.int32)
         for batch in batches:
             ids, shares = [], []
             for text in texts(batch.column(1)):
-                total: Counter = Counter()
-                for word, n in Counter(WORD.findall(text.lower())).items():
+                counted = Counter(WORD.findall(text.lower()))
+                for word in counted:
                     if word not in seen:
-                        seen[word] = subwords(word)
-                    for k in seen[word]:
-                        total[k] += n
-                if len(seen) > REMEMBERED:
+                        seen[word] = np.array(subwords(word), np.int32)
+                found = [seen[w] for w in counted]
+                times = np.repeat(np.fromiter(counted.values(), np.float64, len(counted)), [len(x) for x in found])
+                bucket, place = np.unique(np.concatenate([none, *found]), return_inverse=True)
+                total = np.bincount(place, times, len(bucket))
+                ids.append(bucket.tobytes())
+                shares.append((total / max(1.0, total.sum())).astype(np.float32).tobytes())
+                if len(seen) > FEATURES_REMEMBERED:
                     seen.clear()
-                ids.append(np.fromiter(total.keys(), np.int32, len(total)).tobytes())
-                shares.append((np.fromiter(total.values(), np.float32, len(total)) / max(1, total.total())).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["toxic", "ids", "shares"])
 
     return sample.select("toxic", "text").mapInArrow(run, "toxic int, ids binary, shares binary")
@@ -105,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample_each: int = SA
         return SubwordModel(np.zeros(BUCKETS, np.float32), float(np.clip(np.log(share / (1 - share)) if 0 < share < 1 else 50 * (2 * share - 1), -50, 50)))
     order = F.xxhash64("doc_id")
     chosen = marked.where("toxic = 1").orderBy(order, "doc_id").limit(sample_each).unionByName(marked.where("toxic = 0").orderBy(order, "doc_id").limit(sample_each))
-    rows = _features(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).toPandas()
+    rows = _features(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).toArrow().to_pandas()
     rows = rows.sort_values(["toxic", "ids"], ignore_index=True)  # the order of rows is not to matter
     return _train([np.frombuffer(x, np.int32) for x in rows["ids"]], [np.frombuffer(x, np.float32) for x in rows["shares"]], rows["toxic"].to_numpy(), counted, size, passes, seed)
 
