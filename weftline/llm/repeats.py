@@ -30,6 +30,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +44,9 @@ REACH = LEAST - ANCHOR
 #: Documents with an anchor beyond which its strings are compared by hash.
 HOT = 5000
 #: Bytes of text a bucket stands for, about.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 64 << 20
+#: Bytes of text that a task looks at together.
+PORTION = 8 << 20
 NO_ID = -(2**63)
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -83,7 +87,8 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     least = _sliding(np.minimum, h, REACH + 1)
     pad = np.zeros(REACH, np.uint64)
     at = np.flatnonzero(h == _sliding(np.maximum, np.concatenate([pad, least, pad]), REACH + 1))
-    return at, h[at]
+    # anchors have small hashes; mixed anew, they spread evenly over buckets
+    return at, _spread(h[at] * B)
 
 
 def interval_scan(lcp: list[int]) -> list[tuple[int, int, int]]:
@@ -129,15 +134,16 @@ def repeats_of_anchor(right: np.ndarray, right_sizes: np.ndarray, left: np.ndarr
                     yield to_left, to_right, found
 
 
-def _six_bytes(h: np.ndarray) -> bytes:
-    """The upper 48 bits of hashes, six bytes each."""
-    return (h >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _ascending(h: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes: their differences, by planes of one byte (the upper ones are nearly all 0)."""
+    steps = np.diff(h >> np.uint64(16), prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
 
 
-def _from_six(raw: bytes) -> np.ndarray:
-    x = np.zeros((len(raw) // 6, 8), np.uint8)
-    x[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return x.view("<u8").reshape(-1).astype(np.uint64) << np.uint64(16)
+def _from_ascending(raw: bytes) -> np.ndarray:
+    steps = np.zeros((len(raw) // 6, 8), np.uint8)
+    steps[:, :6] = np.frombuffer(raw, np.uint8).reshape(6, -1).T
+    return steps.view("<u8").reshape(-1).astype(np.uint64).cumsum(dtype=np.uint64) << np.uint64(16)
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -159,15 +165,17 @@ HOT_ANCHORS = 5
 
 
 def _rows(rows: list[tuple[int, int, list[bytes]]]) -> pa.RecordBatch:
-    c = list(zip(*rows, strict=True)) or [()] * 3
+    """Rows with their blobs compressed; those of hot anchors are read on the driver and stay as they are."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    c = list(zip(*[(b, k, blobs if k == HOT_ANCHORS else [pack(x) for x in blobs]) for b, k, blobs in rows], strict=True)) or [()] * 3
     return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.list_(pa.binary()))], ["bucket", "kind", "blobs"])
 
 
 def _read(table: pa.Table) -> dict[int, list[list[bytes]]]:
-    """The blobs by kind."""
-    out = defaultdict(list)
+    """The blobs by kind, as they were before ``_rows``."""
+    out, unpack = defaultdict(list), zstandard.ZstdDecompressor().decompress
     for kind, blobs in zip(table.column("kind").to_pylist(), table.column("blobs").to_pylist(), strict=True):
-        out[kind].append(blobs)
+        out[kind].append([unpack(x) for x in blobs])
     return out
 
 
@@ -216,7 +224,26 @@ def _from_numbers(raw: bytes) -> np.ndarray:
 
 
 def _data(batch: pa.RecordBatch, column: int) -> list[np.ndarray]:
-    return [np.frombuffer(x or b"", np.uint8) for x in batch.column(column).cast(pa.binary()).to_pylist()]
+    """The bytes of each text, as views of the batch."""
+    texts = batch.column(column).cast(pa.large_binary())
+    if not len(texts):
+        return []
+    _, offsets, values = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1].tolist()
+    data = np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)
+    return [data[x:y] for x, y in zip(at, at[1:], strict=False)]
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in portions of about ``PORTION`` bytes (the second column has the texts)."""
+    for batch in batches:
+        sizes = np.cumsum(np.array(pa.compute.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False), np.int64)) // PORTION
+        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                yield batch.slice(a, b - a)
+                pa.default_memory_pool().release_unused()
+        del batch  # before the next one comes
 
 
 def _upper(h: np.ndarray) -> np.ndarray:
@@ -227,7 +254,7 @@ def _anchor_entries(buckets: int) -> Callable:
     """Map (owner, text): each anchor of a batch with the least and largest owner that has it, and who shares which."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _portions(batches):
             owners = dict(zip(batch.column(0).to_pylist(), _data(batch, 1), strict=True))
             found = [np.unique(_upper(anchors(x)[1])) for x in owners.values()]
             h = np.concatenate([np.zeros(0, np.uint64), *found])
@@ -240,7 +267,7 @@ def _anchor_entries(buckets: int) -> Callable:
             rows = list(_to_owners(SHARED, doc[several], [h[several]], buckets))
             anchor, low, high = h[starts], doc[starts], doc[starts + n - 1]
             for k, a, b in _slices(_range_bucket(anchor, buckets), buckets):
-                rows.append((k, ENTRIES, [_six_bytes(anchor[a:b]), *_named(low[a:b]), *_named(high[a:b][n[a:b] > 1]), _numbers(n[a:b])]))
+                rows.append((k, ENTRIES, [_ascending(anchor[a:b]), *_named(low[a:b]), *_named(high[a:b][n[a:b] > 1]), _numbers(n[a:b])]))
             yield _rows(rows)
 
     return run
@@ -253,7 +280,7 @@ def _shared_anchors(buckets: int, hot: int) -> Callable:
         got = _read(table)
         out = [(int(table.column("bucket")[0].as_py()), SHARED, b) for b in got[SHARED]]
         if got[ENTRIES]:
-            h = np.concatenate([_from_six(b[0]) for b in got[ENTRIES]])
+            h = np.concatenate([_from_ascending(b[0]) for b in got[ENTRIES]])
             low = np.concatenate([_from_names(b[1], b[2]) for b in got[ENTRIES]])
             n = np.concatenate([_from_numbers(b[5]) for b in got[ENTRIES]])
             high = low.copy()
@@ -317,7 +344,7 @@ def _context_rows(buckets: int, hot: np.ndarray) -> Callable:
     hot = np.sort(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _portions(batches):
             parts, strings = [], []
             for doc, data, blobs in zip(batch.column(0).to_pylist(), _data(batch, 1), batch.column(2).to_pylist(), strict=True):
                 shared = np.unique(np.frombuffer(blobs[0], "<u8"))
@@ -342,7 +369,7 @@ def _context_rows(buckets: int, hot: np.ndarray) -> Callable:
                 send = doc == least
                 h, doc, at, sides = h[send], doc[send], at[send], [c[send] for c in sides]
                 for k, a, b in _slices(_range_bucket(h, buckets), buckets):
-                    rows.append((k, CONTEXTS, [_six_bytes(h[a:b]), *_named(doc[a:b]), _numbers(at[a:b]), *[np.ascontiguousarray(c[a:b]).tobytes() for c in sides]]))
+                    rows.append((k, CONTEXTS, [_ascending(h[a:b]), *_named(doc[a:b]), _numbers(at[a:b]), *[np.ascontiguousarray(c[a:b]).tobytes() for c in sides]]))
             if strings:
                 one, two, doc, at = [np.concatenate(c) for c in zip(*strings, strict=True)]
                 order = np.lexsort([doc, two, one])
@@ -361,7 +388,7 @@ def _context_rows(buckets: int, hot: np.ndarray) -> Callable:
 
 def _context_columns(got: list[list[bytes]]) -> list[np.ndarray]:
     """The contexts of a bucket in the order of its suffix array: h, doc, at, right, its sizes, left, its sizes."""
-    h = np.concatenate([_from_six(b[0]) for b in got])
+    h = np.concatenate([_from_ascending(b[0]) for b in got])
     doc = np.concatenate([_from_names(b[1], b[2]) for b in got])
     at = np.concatenate([_from_numbers(b[3]) for b in got])
     sides = [_joined(got, 4, "u1").reshape(-1, REACH), _joined(got, 5, "u1"), _joined(got, 6, "u1").reshape(-1, REACH), _joined(got, 7, "u1")]
@@ -415,12 +442,19 @@ def _covered_bytes(buckets: int) -> Callable:
             docs.append(doc[whole])
             starts.append((at - left_sizes)[whole])
             stops.append((at + ANCHOR + right_sizes)[whole])
+            # by row and bytes to the left: the most bytes to the right, and one
+            reach = np.zeros((len(doc), REACH + 1), np.uint8)
             for to_left, to_right, classes, ends in repeat_groups_of(columns):
                 rows = np.concatenate([np.arange(ends[c], ends[c + 1]) for c in classes.tolist()])
                 later = rows[doc[rows] > doc[rows].min()]
-                docs.append(doc[later])
-                starts.append(at[later] - to_left)
-                stops.append(at[later] + ANCHOR + to_right)
+                reach[later, to_left] = np.maximum(reach[later, to_left], to_right + 1)
+            # a stretch that lies in one that begins further left says nothing new
+            further = np.maximum.accumulate(reach[:, ::-1], axis=1)[:, ::-1]
+            further = np.concatenate([further[:, 1:], np.zeros((len(doc), 1), np.uint8)], axis=1)
+            row, to_left = np.nonzero(reach > further)
+            docs.append(doc[row])
+            starts.append(at[row] - to_left)
+            stops.append(at[row] + ANCHOR + reach[row, to_left].astype(np.int64) - 1)
         if got[STRINGS]:
             one, two = _joined(got[STRINGS], 0, "<u8"), _joined(got[STRINGS], 1, "<u8")
             doc = np.concatenate([_from_names(b[2], b[3]) for b in got[STRINGS]])
@@ -470,21 +504,22 @@ class RepeatPlan:
     def __init__(self, docs: DataFrame, hot: int = HOT, buckets: int | None = None):
         spark = docs.sparkSession
         text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-        key = F.md5(text)
-        rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), text.alias("raw"), key.alias("text_key"))
-        classes = rows.groupBy("text_key").agg(F.min("id").alias("first"), F.max(F.length("raw")).alias("size"))
-        owner = F.conv(F.substring("text_key", 1, 16), 16, -10).cast("long")
+        # both joins below take these three columns by the same keys, so the texts are shuffled once
+        self.rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), text.alias("raw"), F.md5(text).alias("text_key"))
+        texts = self.rows.groupBy("id", "text_key").agg(F.max(F.length("raw")).cast("long").alias("size"))
+        firsts = texts.groupBy("text_key").agg(F.min("id").alias("first"))
+        self.texts = cut_lineage(texts.join(firsts, "text_key"))
         if buckets is None:
-            total = docs.agg(F.sum(F.length(text))).first()[0] or 0
-            buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+            total = self.texts.agg(F.sum("size")).first()[0] or 0
+            buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
         self.buckets = buckets
-        entries = rows.select(owner.alias("owner"), "raw").mapInArrow(_anchor_entries(buckets), ROWS)
+        owner = F.conv(F.substring("text_key", 1, 16), 16, -10).cast("long").alias("owner")
+        entries = self.rows.select(owner, "raw").mapInArrow(_anchor_entries(buckets), ROWS)
         shared = cut_lineage(entries.groupBy("bucket").applyInArrow(_shared_anchors(buckets, hot), ROWS))
         self.hot = _hot_anchors(shared)
         lists = shared.where(F.col("kind") == SHARED).groupBy("bucket").applyInArrow(_gather(1), "owner long, blobs array<binary>")
-        firsts = classes.select("text_key", "first", owner.alias("owner")).join(lists, "owner").select(F.col("first").alias("id"), "text_key", "blobs")
-        self.rows, self.classes = rows, classes
-        self.contexts = rows.join(firsts, ["id", "text_key"]).select("id", "raw", "blobs").mapInArrow(_context_rows(buckets, self.hot), ROWS)
+        held = self.texts.where("id = first").select("id", "text_key", owner).join(lists, "owner").select("id", "text_key", "blobs")
+        self.contexts = self.rows.join(held, ["id", "text_key"]).select("id", "raw", "blobs").mapInArrow(_context_rows(buckets, self.hot), ROWS)
 
 
 #: Hot anchors that tasks may hold (8 bytes each).
@@ -512,8 +547,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, buckets: int | None = None)
     plan = RepeatPlan(docs, hot, buckets)
     covered = plan.contexts.groupBy("bucket").applyInArrow(_covered_bytes(plan.buckets), ROWS)
     stretches = covered.groupBy("bucket").applyInArrow(_gather(2), "owner long, blobs array<binary>").withColumnRenamed("owner", "id")
-    marks = plan.rows.select("id", "text_key").distinct().join(plan.classes.select("text_key", "first"), "text_key")
-    marks = marks.join(stretches, "id", "left").select("id", "text_key", (F.col("id") > F.col("first")).alias("copy"), "blobs")
+    marks = plan.texts.join(stretches, "id", "left").select("id", "text_key", (F.col("id") > F.col("first")).alias("copy"), "blobs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -531,7 +565,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, buckets: int | None = None)
                 kept.append(found[2])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return plan.rows.join(marks, ["id", "text_key"]).select("doc_id", "raw", "copy", "blobs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return plan.rows.join(marks, ["id", "text_key"]).select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "raw", "copy", "blobs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def repeat_groups(docs: DataFrame, buckets: int | None = None) -> DataFrame:
