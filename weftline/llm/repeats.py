@@ -527,15 +527,19 @@ HOT_AT_ONCE = 1 << 20
 
 
 def _hot_anchors(shared: DataFrame) -> np.ndarray:
-    """The anchors that more than ``hot`` documents have; there is one in ``hot`` anchors at most.
+    """The anchors that more than ``hot`` documents have, ``HOT_AT_ONCE`` at most.
 
-    Beyond ``HOT_AT_ONCE`` of them those with the least hash are treated as hot; the others
-    are compared like any anchor, which gives the same results with larger groups.
+    Any beyond that number are compared like all other anchors, with the same results from
+    larger groups.
     """
     found = shared.where(F.col("kind") == HOT_ANCHORS).select(F.explode("blobs").alias("b")).where(F.length("b") > 0)
-    if (found.agg(F.sum(F.length("b"))).first()[0] or 0) > 8 * HOT_AT_ONCE:
-        raise ValueError("more hot anchors than tasks may hold; raise `hot`")
-    return np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["b"], "<u8") for r in found.toLocalIterator()]])
+    parts, n = [np.zeros(0, np.uint64)], 0
+    for r in found.toLocalIterator():
+        parts.append(np.frombuffer(r["b"], "<u8")[: HOT_AT_ONCE - n])
+        n += len(parts[-1])
+        if n >= HOT_AT_ONCE:
+            break
+    return np.concatenate(parts)
 
 
 def remove_repeats(docs: DataFrame, hot: int = HOT, buckets: int | None = None) -> DataFrame:
