@@ -7,8 +7,8 @@ As the model is linear after training, each hashed subword has one number (its v
 along the difference of the two classes); tasks average those numbers.
 
 Defined results: a null or empty text has no subwords and scores what the bias alone
-gives; without labels of both classes the score is the share of label 1 (0.5 if there are
-none) for all rows; labels of one document that disagree count each; repeated rows score
+gives; without labelled texts of both classes the score is the share of label 1 among the labels
+(0.5 if there are none) for all rows; labels of one document that disagree count each; repeated rows score
 alike; other columns of the input are never read.
 """
 
@@ -105,15 +105,23 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample_each: int = SA
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & train)
     counted = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     if len(counted) < 2:
-        share = counted.get(1, 0) / sum(counted.values()) if counted else 0.5
-        return SubwordModel(np.zeros(BUCKETS, np.float32), float(np.clip(np.log(share / (1 - share)) if 0 < share < 1 else 50 * (2 * share - 1), -50, 50)))
+        return _prior(counted)
     order = F.xxhash64("doc_id")
     chosen = marked.where("toxic = 1").orderBy(order, "doc_id").limit(sample_each).unionByName(marked.where("toxic = 0").orderBy(order, "doc_id").limit(sample_each))
     rows = _features(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).toArrow().to_pandas()
+    if rows["toxic"].nunique() < 2:  # labels of documents that aren't there
+        return _prior(counted)
     rows = rows.sort_values(["toxic", "ids"], ignore_index=True)  # the order of rows is not to matter
     return _train([np.frombuffer(x, np.int32) for x in rows["ids"]], [np.frombuffer(x, np.float32) for x in rows["shares"]], rows["toxic"].to_numpy(), counted, size, passes, seed)
 
 
+def _prior(counted: dict[int, int]) -> SubwordModel:
+    """A model that gives every text the share of label 1."""
+    share = counted.get(1, 0) / sum(counted.values()) if counted else 0.5
+    bias = np.log(share / (1 - share)) if 0 < share < 1 else 50 * (2 * share - 1)
+    return SubwordModel(np.zeros(BUCKETS, np.float32), float(np.clip(bias, -50, 50)))
+
+
 def _train(ids: list[np.ndarray], shares: list[np.ndarray], toxic: np.ndarray, counted: dict[int, int], size: int, passes: int, seed: int) -> SubwordModel:
     """Minibatches with adaptive moments over vectors (buckets x size) and softmax (size x 2)."""
     rng = np.random.default_rng(seed)
