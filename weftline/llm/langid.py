@@ -29,6 +29,7 @@ SIZE = 2048
 UNKNOWN = "und"
 #: Training rows that the centroids are fitted on, at most; languages share them evenly.
 SAMPLE = 6000
+SALTS = 64
 #: Code points taken together; longer texts are counted piece by piece.
 PIECE = 1 << 20
 
@@ -110,13 +111,16 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def _sample(train: DataFrame, size: int) -> DataFrame:
-    """(doc_id, lang): about evenly many rows of each language, by hash of the id, ``size`` in all at most."""
-    counted = train.groupBy("lang").agg(F.count("*").alias("_n"))
-    each = max(1, size // max(1, counted.count()))
+    """(doc_id, lang): about evenly many rows of each language, by hash of the id, ``size`` in all at most.
+
+    A language's rows fall into ``SALTS`` parts that are ranked apart, so that a language
+    with most of the rows isn't ranked in one task.
+    """
+    each = max(1, size // max(1, train.select("lang").distinct().count()) // SALTS)
     order = F.xxhash64("doc_id")
-    thin = train.select("doc_id", "lang").join(counted, "lang").where(F.pmod(order, F.lit(1_000_000)) * F.col("_n") <= 3e6 * each)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    return thin.withColumn("_r", rank).where(F.col("_r") <= each).select("doc_id", "lang").limit(size)
+    salted = train.select("doc_id", "lang", F.pmod(order, F.lit(SALTS)).alias("_salt"))
+    rank = F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(order, "doc_id"))
+    return salted.withColumn("_r", rank).where(F.col("_r") <= each).select("doc_id", "lang").limit(size)
 
 
 def fit(docs: DataFrame, train: Column, sample: int = SAMPLE, clusters: int = 4, rounds: int = 10, rejected: float = 0.002, seed: int = 5) -> CentroidModel:
@@ -134,7 +138,7 @@ def fit(docs: DataFrame, train: Column, sample: int = SAMPLE, clusters: int = 4,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["lang", "vector"])
 
     chosen = _sample(rows, sample)
-    got = rows.drop("lang").join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInArrow(run, "lang string, vector binary").where("vector is not null").toPandas()
+    got = rows.drop("lang").join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInArrow(run, "lang string, vector binary").where("vector is not null").toArrow().to_pandas()
     got = got.sort_values(["lang", "vector"], ignore_index=True)
     langs, owner, centroids, least = tuple(sorted(got["lang"].unique())), [], [], []
     rng = np.random.default_rng(seed)
