@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, pii, piece_codec, simhash, toxicity
+from weftline.llm import decontaminate, near_copies, pii, piece_codec, toxicity
 from weftline.llm.queries import TOKENIZER_FOLDER
 from weftline.llm.tables import key_remainder, read_table
 
@@ -24,8 +24,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the least id stays."""
-    return simhash.keep_one(docs)
+    """Of each group that pairs of five-word similarity 0.8 or more connect, the document with the least id stays."""
+    return near_copies.keep_one(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
