@@ -293,3 +293,17 @@ def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (1, None, None, "x"), (None, "u", "<p>" * 2000 + "a", "x")], "page_id long, url string, html string, text string")
     rows = html_extract.extract(pages).collect()
     assert sorted(r.text for r in rows) == ["", "", "a"]
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+@pytest.mark.parametrize("insert", ["<aside><ul><li>One</li><li>Two</li><li>Three</li><li>Four</li></ul></aside>", "<div class='share'><p>a</p><p>b</p><p>c</p></div>"])
+def test_a_short_end_after_an_insert_stays(tag, insert):
+    long, end = "many words of text " * 60, "a closing paragraph " * 10
+    html = f"<html><body><nav><p>menu</p></nav><{tag}><h1>Title</h1><p>{long}</p><p>{long}</p><p>{long}</p>{insert}<p>{end}</p></{tag}><footer><p>{end}</p></footer></body></html>"
+    assert html_extract.main_text(html) == "\n".join(["Title", *[long.strip()] * 3, end.strip()])
+
+
+def test_boilerplate_does_not_part_a_container():
+    long, end, insert = "many words of text " * 60, "a closing paragraph " * 5, "<aside><p>a</p><p>b</p><p>c</p></aside>"
+    html = f"<body><div><p>{long}</p><p>{long}</p>{insert}<p>{end}</p></div><nav><p>a</p><p>b</p><p>c</p></nav><div><p>{end}</p></div></body>"
+    assert html_extract.main_text(html) == "\n".join([long.strip(), long.strip(), end.strip()])

@@ -4,9 +4,10 @@ Markup is stripped to lines, one a block of text. A line weighs its text length
 that of links; lines inside elements that are never part of an article (by tag, or by a
 word of their class, id or role) weigh nothing, as do lines outside the article element
 where a page has one. Lengths are summed over sliding windows of a few lines. Text surges
-where a window rises from nothing and dives where one falls back to nothing; of the
-stretches between, those that reach a share of the page's highest window, or hold the
-page's heading, are kept, without the weightless lines of such elements inside them.
+where a window rises from nothing and dives where one falls back to nothing; where
+a page has an article element all stretches between are kept, else those that reach a share
+of the page's highest window or hold the page's heading, without the weightless lines of
+such elements inside them. Lines of such elements don't part what is in one container.
 
 Defined results: null, empty and textless pages have an empty text; unclosed elements end
 with their parents; a page that is only boilerplate has an empty text; repeated rows are
@@ -37,6 +38,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NEVER = frozenset("nav footer aside form head button dialog menu header".split())
 ARTICLE = frozenset("article main".split())
 ENDS_LIKE = frozenset("p li dt dd tr td th option".split())
+TEXT_BLOCKS = ENDS_LIKE | frozenset("h1 h2 h3 h4 h5 h6 ul ol dl table thead tbody tfoot caption blockquote pre figure figcaption address".split())
 BOILERPLATE = frozenset(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside rail footer foot header masthead topbar toolbar "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social follow related recommended recommendations teaser widget widgets "
@@ -59,10 +61,12 @@ class _Lines:
     """The lines of a page as they are met, and the elements that are open."""
 
     def __init__(self):
-        self.lines: list[tuple[str, int, bool, bool, bool]] = []  # text, weight, inside the article, boilerplate, heading
+        self.lines: list[tuple[str, int, bool, bool, bool, int]] = []  # text, weight, inside the article, boilerplate, heading, container
         self.parts: list[str] = []
         self.linked = 0
         self.open: list[tuple[str, bool]] = []  # elements and whether they are boilerplate
+        self.containers = [0]  # the number of each open element's container, after that of the page
+        self.pushed = 0
         self.off = 0
         self.within = 0
         self.heading = False
@@ -80,16 +84,19 @@ class _Lines:
             if text:
                 boiler = self.off > 0
                 weight = 0 if boiler or 2 * self.linked > len(raw) else len(text)
-                self.lines.append((text, weight, self.within > 0, boiler, self.heading))
+                self.lines.append((text, weight, self.within > 0, boiler, self.heading, self.containers[-1]))
             self.parts, self.linked = [], 0
 
     def push(self, name: str, boiler: bool) -> None:
         self.open.append((name, boiler))
+        self.pushed += 1
+        self.containers.append(self.containers[-1] if name in TEXT_BLOCKS or name in INLINE else self.pushed)
         self.off += boiler
         self.within += name in ARTICLE and not boiler
 
     def pop(self) -> None:
         name, boiler = self.open.pop()
+        self.containers.pop()
         self.off -= boiler
         self.within -= name in ARTICLE and not boiler
 
@@ -129,8 +136,8 @@ class _Lines:
             self.pop()
 
 
-def lines(html: str) -> list[tuple[str, int, bool, bool, bool]]:
-    """(text, weight, inside an article, boilerplate, heading) of each block of text."""
+def lines(html: str) -> list[tuple[str, int, bool, bool, bool, int]]:
+    """(text, weight, inside an article, boilerplate, heading, container) of each block of text."""
     page, at = _Lines(), 0
     for m in TOKEN.finditer(html):
         if m.start() > at:
@@ -148,12 +155,13 @@ def lines(html: str) -> list[tuple[str, int, bool, bool, bool]]:
 
 def main_text(html: str, window: int = 3, share: float = 0.15) -> str:
     found = lines(html)
-    if any(inside and weight for _, weight, inside, _, _ in found):
-        found = [(t, w if inside else 0, inside, boiler or not inside, h) for t, w, inside, boiler, h in found]
-    weights = [w for _, w, _, _, _ in found]
+    article = any(inside and weight for _, weight, inside, *_ in found)
+    if article:
+        found = [(t, w if inside else 0, inside, boiler or not inside, h, c) for t, w, inside, boiler, h, c in found]
+    weights = [w for _, w, *_ in found]
     # blocks[i] sums the window of lines that begins at i - window + 1, so that it rises at the first line with weight
     blocks = [sum(weights[max(0, i - window + 1) : i + 1]) for i in range(len(weights) + window)]
-    peak, kept, i = max(blocks, default=0), [], 0
+    peak, stretches, i = max(blocks, default=0), [], 0
     while i < len(blocks):
         if not blocks[i]:
             i += 1
@@ -161,10 +169,17 @@ def main_text(html: str, window: int = 3, share: float = 0.15) -> str:
         dive = i
         while dive < len(blocks) and blocks[dive]:
             dive += 1
-        stretch = found[i : max(i, dive - window + 1)]
-        if max(blocks[i:dive]) >= share * peak or any(h and w for _, w, _, _, h in stretch):
-            kept += [t for t, _, _, boiler, _ in stretch if not boiler]
+        end = max(i, dive - window + 1)
+        last = stretches[-1] if stretches else None
+        if last and found[last[1] - 1][5] == found[i][5] and all(boiler for _, _, _, boiler, *_ in found[last[1] : i]):
+            stretches[-1] = last[0], end, max(last[2], *blocks[i:dive])
+        else:
+            stretches.append((i, end, max(blocks[i:dive])))
         i = dive
+    kept = []
+    for first, end, highest in stretches:
+        if article or highest >= share * peak or any(h and w for _, w, _, _, h, _ in found[first:end]):
+            kept += [t for t, _, _, boiler, *_ in found[first:end] if not boiler]
     return "\n".join(kept)
 
 
