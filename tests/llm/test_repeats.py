@@ -91,3 +91,14 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert got[6].n_removed == 0
     assert hashlib.sha256(got[9].kept).hexdigest() == hashlib.sha256(b"long " * 30_000).hexdigest()
     assert repeats.remove_repeats(no_documents).count() == 0
+
+
+@pytest.mark.parametrize("hot", [5000, 0])
+def test_two_texts_of_one_id_have_their_own_stretches(spark, hot):
+    rng = random.Random(9)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, other = prose(120), prose(300)
+    docs = [(1, passage + prose(40)), (2, prose(600) + passage), (2, other), (3, other[:90] + prose(50))]
+    rows = repeats.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), hot=hot).collect()
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in rows)
+    assert got == [(1, 160, 0, 0), (2, 300, 0, 0), (2, 720, 120, 1), (3, 140, 90, 1)]

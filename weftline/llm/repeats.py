@@ -214,6 +214,17 @@ def _from_names(names: bytes, place: bytes) -> np.ndarray:
     return n[np.frombuffer(place, "<u4" if len(n) > 1 << 16 else "<u2")]
 
 
+def _named_texts(docs: np.ndarray, owners: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Owners as a list of names and places in it, with the document ids of the names; an owner has one id."""
+    _, first = np.unique(owners, return_index=True)
+    names, place = _named(owners)
+    return names, docs[first].astype("<i8").tobytes(), place
+
+
+def _from_texts(names: bytes, docs: bytes, place: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return _from_names(docs, place), _from_names(names, place)
+
+
 def _numbers(x: np.ndarray) -> bytes:
     """Small numbers in four bytes, by planes of one byte (the upper ones are nearly all 0)."""
     return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
@@ -340,13 +351,13 @@ def _settle(h, doc, at, right, right_sizes, left, left_sizes) -> tuple[np.ndarra
 
 
 def _context_rows(buckets: int, hot: np.ndarray) -> Callable:
-    """Map (doc, text, shared anchors): the contexts of its shared anchors, or the strings of hot ones, and what a batch settles itself."""
+    """Map (doc, text, shared anchors, owner): the contexts of its shared anchors, or the strings of hot ones, and what a batch settles itself."""
     hot = np.sort(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _portions(batches):
             parts, strings = [], []
-            for doc, data, blobs in zip(batch.column(0).to_pylist(), _data(batch, 1), batch.column(2).to_pylist(), strict=True):
+            for doc, data, blobs, owner in zip(batch.column(0).to_pylist(), _data(batch, 1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 shared = np.unique(np.frombuffer(blobs[0], "<u8"))
                 at, h = anchors(data)
                 h = _upper(h)
@@ -354,46 +365,46 @@ def _context_rows(buckets: int, hot: np.ndarray) -> Callable:
                 very = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
                 here = at[mine & ~very]
                 if len(here):
-                    parts.append((h[mine & ~very], np.full(len(here), doc), here, *_contexts(data, here)))
+                    parts.append((h[mine & ~very], np.full(len(here), doc), np.full(len(here), owner), here, *_contexts(data, here)))
                 if (mine & very).any():
                     first = np.unique((at[mine & very][:, None] - np.arange(REACH + 1)).reshape(-1))
                     first = first[(first >= 0) & (first <= len(data) - LEAST)]
-                    strings.append((window_hashes(data, LEAST)[first], window_hashes(data, LEAST, B)[first], np.full(len(first), doc), first))
+                    strings.append((window_hashes(data, LEAST)[first], window_hashes(data, LEAST, B)[first], np.full(len(first), doc), np.full(len(first), owner), first))
             rows = []
             if parts:
-                h, doc, at, *sides = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                h, doc, owner, at, *sides = [np.concatenate(c) for c in zip(*parts, strict=True)]
                 order = _sort_contexts(h, *sides, doc)
-                h, doc, at, sides = h[order], doc[order], at[order], [c[order] for c in sides]
+                h, doc, owner, at, sides = h[order], doc[order], owner[order], at[order], [c[order] for c in sides]
                 _, least, whole = _settle(h, doc, at, *sides)
-                rows += _to_owners(COVERED, doc[whole], [(at - sides[3])[whole].astype("<i8"), (at + ANCHOR + sides[1])[whole].astype("<i8")], buckets)
+                rows += _to_owners(COVERED, owner[whole], [(at - sides[3])[whole].astype("<i8"), (at + ANCHOR + sides[1])[whole].astype("<i8")], buckets)
                 send = doc == least
-                h, doc, at, sides = h[send], doc[send], at[send], [c[send] for c in sides]
+                h, doc, owner, at, sides = h[send], doc[send], owner[send], at[send], [c[send] for c in sides]
                 for k, a, b in _slices(_range_bucket(h, buckets), buckets):
-                    rows.append((k, CONTEXTS, [_ascending(h[a:b]), *_named(doc[a:b]), _numbers(at[a:b]), *[np.ascontiguousarray(c[a:b]).tobytes() for c in sides]]))
+                    rows.append((k, CONTEXTS, [_ascending(h[a:b]), *_named_texts(doc[a:b], owner[a:b]), _numbers(at[a:b]), *[np.ascontiguousarray(c[a:b]).tobytes() for c in sides]]))
             if strings:
-                one, two, doc, at = [np.concatenate(c) for c in zip(*strings, strict=True)]
+                one, two, doc, owner, at = [np.concatenate(c) for c in zip(*strings, strict=True)]
                 order = np.lexsort([doc, two, one])
-                one, two, doc, at = one[order], two[order], doc[order], at[order]
+                one, two, doc, owner, at = one[order], two[order], doc[order], owner[order], at[order]
                 starts = np.flatnonzero(_groups(one, two))
                 least = np.repeat(doc[starts], np.diff(np.append(starts, len(one))))
-                rows += _to_owners(COVERED, doc[doc > least], [at[doc > least].astype("<i8"), (at[doc > least] + LEAST).astype("<i8")], buckets)
+                rows += _to_owners(COVERED, owner[doc > least], [at[doc > least].astype("<i8"), (at[doc > least] + LEAST).astype("<i8")], buckets)
                 send = doc == least
-                one, two, doc, at = one[send], two[send], doc[send], at[send]
+                one, two, doc, owner, at = one[send], two[send], doc[send], owner[send], at[send]
                 for k, a, b in _slices(_range_bucket(one, buckets), buckets):
-                    rows.append((k, STRINGS, [one[a:b].tobytes(), two[a:b].tobytes(), *_named(doc[a:b]), _numbers(at[a:b])]))
+                    rows.append((k, STRINGS, [one[a:b].tobytes(), two[a:b].tobytes(), *_named_texts(doc[a:b], owner[a:b]), _numbers(at[a:b])]))
             yield _rows(rows)
 
     return run
 
 
-def _context_columns(got: list[list[bytes]]) -> list[np.ndarray]:
-    """The contexts of a bucket in the order of its suffix array: h, doc, at, right, its sizes, left, its sizes."""
+def _context_columns(got: list[list[bytes]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The contexts of a bucket in the order of its suffix array: h, doc, at, right, its sizes, left, its sizes; and their owners."""
     h = np.concatenate([_from_ascending(b[0]) for b in got])
-    doc = np.concatenate([_from_names(b[1], b[2]) for b in got])
-    at = np.concatenate([_from_numbers(b[3]) for b in got])
-    sides = [_joined(got, 4, "u1").reshape(-1, REACH), _joined(got, 5, "u1"), _joined(got, 6, "u1").reshape(-1, REACH), _joined(got, 7, "u1")]
+    doc, owner = [np.concatenate(c) for c in zip(*[_from_texts(*b[1:4]) for b in got], strict=True)]
+    at = np.concatenate([_from_numbers(b[4]) for b in got])
+    sides = [_joined(got, 5, "u1").reshape(-1, REACH), _joined(got, 6, "u1"), _joined(got, 7, "u1").reshape(-1, REACH), _joined(got, 8, "u1")]
     order = _sort_contexts(h, *sides, doc)
-    return [h[order], doc[order], at[order], *[c[order] for c in sides]]
+    return [h[order], doc[order], at[order], *[c[order] for c in sides]], owner[order]
 
 
 def repeat_groups_of(columns: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -434,12 +445,12 @@ def _covered_bytes(buckets: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         got = _read(table)
         out = [(int(table.column("bucket")[0].as_py()), COVERED, b) for b in got[COVERED]]
-        docs, starts, stops = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        owners, starts, stops = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if got[CONTEXTS]:
-            columns = _context_columns(got[CONTEXTS])
+            columns, owner = _context_columns(got[CONTEXTS])
             h, doc, at, right, right_sizes, left, left_sizes = columns
             _, _, whole = _settle(*columns)
-            docs.append(doc[whole])
+            owners.append(owner[whole])
             starts.append((at - left_sizes)[whole])
             stops.append((at + ANCHOR + right_sizes)[whole])
             # by row and bytes to the left: the most bytes to the right, and one
@@ -452,21 +463,21 @@ def _covered_bytes(buckets: int) -> Callable:
             further = np.maximum.accumulate(reach[:, ::-1], axis=1)[:, ::-1]
             further = np.concatenate([further[:, 1:], np.zeros((len(doc), 1), np.uint8)], axis=1)
             row, to_left = np.nonzero(reach > further)
-            docs.append(doc[row])
+            owners.append(owner[row])
             starts.append(at[row] - to_left)
             stops.append(at[row] + ANCHOR + reach[row, to_left].astype(np.int64) - 1)
         if got[STRINGS]:
             one, two = _joined(got[STRINGS], 0, "<u8"), _joined(got[STRINGS], 1, "<u8")
-            doc = np.concatenate([_from_names(b[2], b[3]) for b in got[STRINGS]])
-            at = np.concatenate([_from_numbers(b[4]) for b in got[STRINGS]])
+            doc, owner = [np.concatenate(c) for c in zip(*[_from_texts(*b[2:5]) for b in got[STRINGS]], strict=True)]
+            at = np.concatenate([_from_numbers(b[5]) for b in got[STRINGS]])
             order = np.lexsort([doc, two, one])
-            one, two, doc, at = one[order], two[order], doc[order], at[order]
+            one, two, doc, owner, at = one[order], two[order], doc[order], owner[order], at[order]
             first = np.flatnonzero(_groups(one, two))
             later = doc > np.repeat(doc[first], np.diff(np.append(first, len(one))))
-            docs.append(doc[later])
+            owners.append(owner[later])
             starts.append(at[later])
             stops.append(at[later] + LEAST)
-        out += _to_owners(COVERED, np.concatenate(docs), [np.concatenate(starts).astype("<i8"), np.concatenate(stops).astype("<i8")], buckets)
+        out += _to_owners(COVERED, np.concatenate(owners), [np.concatenate(starts).astype("<i8"), np.concatenate(stops).astype("<i8")], buckets)
         return pa.Table.from_batches([_rows(out)])
 
     return run
@@ -476,7 +487,7 @@ def _repeat_rows(table: pa.Table) -> pa.Table:
     """Reduce a bucket of anchors: every maximal repeat with its occurrences."""
     got, out = _read(table), []
     if got[CONTEXTS]:
-        columns = _context_columns(got[CONTEXTS])
+        columns, _ = _context_columns(got[CONTEXTS])
         h, doc, at = columns[:3]
         for to_left, to_right, classes, ends in repeat_groups_of(columns):
             rows = np.concatenate([np.arange(ends[c], ends[c + 1]) for c in classes.tolist()])
@@ -508,18 +519,18 @@ class RepeatPlan:
         self.rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), text.alias("raw"), F.md5(text).alias("text_key"))
         texts = self.rows.groupBy("id", "text_key").agg(F.max(F.length("raw")).cast("long").alias("size"))
         firsts = texts.groupBy("text_key").agg(F.min("id").alias("first"))
-        self.texts = cut_lineage(texts.join(firsts, "text_key"))
+        owner = F.conv(F.substring("text_key", 1, 16), 16, -10).cast("long").alias("owner")
+        self.texts = cut_lineage(texts.join(firsts, "text_key").select("*", owner))
         if buckets is None:
             total = self.texts.agg(F.sum("size")).first()[0] or 0
             buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
         self.buckets = buckets
-        owner = F.conv(F.substring("text_key", 1, 16), 16, -10).cast("long").alias("owner")
         entries = self.rows.select(owner, "raw").mapInArrow(_anchor_entries(buckets), ROWS)
         shared = cut_lineage(entries.groupBy("bucket").applyInArrow(_shared_anchors(buckets, hot), ROWS))
         self.hot = _hot_anchors(shared)
         lists = shared.where(F.col("kind") == SHARED).groupBy("bucket").applyInArrow(_gather(1), "owner long, blobs array<binary>")
-        held = self.texts.where("id = first").select("id", "text_key", owner).join(lists, "owner").select("id", "text_key", "blobs")
-        self.contexts = self.rows.join(held, ["id", "text_key"]).select("id", "raw", "blobs").mapInArrow(_context_rows(buckets, self.hot), ROWS)
+        held = self.texts.where("id = first").select("id", "text_key", "owner").join(lists, "owner")
+        self.contexts = self.rows.join(held, ["id", "text_key"]).select("id", "raw", "blobs", "owner").mapInArrow(_context_rows(buckets, self.hot), ROWS)
 
 
 #: Hot anchors that tasks may hold (8 bytes each).
@@ -550,8 +561,8 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, buckets: int | None = None)
     """
     plan = RepeatPlan(docs, hot, buckets)
     covered = plan.contexts.groupBy("bucket").applyInArrow(_covered_bytes(plan.buckets), ROWS)
-    stretches = covered.groupBy("bucket").applyInArrow(_gather(2), "owner long, blobs array<binary>").withColumnRenamed("owner", "id")
-    marks = plan.texts.join(stretches, "id", "left").select("id", "text_key", (F.col("id") > F.col("first")).alias("copy"), "blobs")
+    stretches = covered.groupBy("bucket").applyInArrow(_gather(2), "owner long, blobs array<binary>")
+    marks = plan.texts.join(stretches, "owner", "left").select("id", "text_key", (F.col("id") > F.col("first")).alias("copy"), "blobs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
