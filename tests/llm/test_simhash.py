@@ -58,6 +58,24 @@ def test_links_are_those_of_all_pairs(spark, bucket):
     assert got
 
 
+def test_a_crowded_segment_is_never_paired_with_itself(spark):
+    """5,000 fingerprints with one segment value, 1,000 of them with one block too: all links, by every route."""
+    rng = random.Random(9)
+    prints = {(rng.getrandbits(32) << 32) | 77 for _ in range(4000)}
+    near = [0]
+    while len(near) < 1000:  # few bits of one block differ, so that blocks are crowded too
+        near.append(rng.choice(near) ^ 1 << rng.randrange(11))
+    prints |= {(x << 32) | 77 for x in near}
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    found = simhash.links(spark.createDataFrame([(p,) for p in signed], "fingerprint long"), bucket=100)
+    got = {(r.a, r.b) for r in found.collect()}
+    whole = set(signed)
+    ball = [1 << i for i in range(64)] + [1 << i | 1 << j for i in range(64) for j in range(i)]
+    to_signed = lambda x: x - (1 << 64) if x >> 63 else x
+    want = {(a, b) for a in signed for f in ball if (b := to_signed((a ^ f) & (1 << 64) - 1)) in whole and a < b}
+    assert got == want and len(want) > 1000
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)] + [(500, k) for k in range(400, 600)] + [(7, 7)]

@@ -1,5 +1,8 @@
 """Near copies by the Jaccard similarity of five-word shingles, all pairs of 0.8 or more.
 
+The exact half of near-duplicate removal: fingerprints name the first candidates (see
+``simhash.keep_one``), and what is similar with fingerprints that lie far apart is found here.
+
 Texts with the same words (white space and ASCII case apart) are one node. The distinct
 shingle hashes of all nodes are put in one order, those that many nodes have last. Two sets
 of similarity ``similarity`` have one of their first ``size - ceil(similarity * size) + 1``
@@ -23,7 +26,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.components import connected_components
@@ -65,18 +68,7 @@ def shingles(words: list[bytes], words_each: int = 5) -> np.ndarray:
     return np.unique(h.view(np.int64))
 
 
-def _nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, node and a hash of the text of each document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node = [node_of(x.lower().split()) for x in text_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), batch.column(2)], ["doc_id", "node", "text_hash"])
-
-    return docs.select("doc_id", "text", _text_hash().alias("text_hash")).mapInArrow(run, "doc_id long, node long, text_hash long")
-
-
-def _text_hash():
+def text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
@@ -132,7 +124,7 @@ def _sets(docs: DataFrame, marked: DataFrame, nodes: DataFrame, words_each: int)
             words = [x.lower().split() for x in text_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(map(node_of, words), pa.int64()), pa.array([shingles(w, words_each).tobytes() for w in words], pa.binary())], ["node", "shingles"])
 
-    texts = docs.select("text", _text_hash().alias("_hash")).join(F.broadcast(held) if held.count() <= SENT else held, "_hash", "left_semi")
+    texts = docs.select("text", text_hash().alias("_hash")).join(F.broadcast(held) if held.count() <= SENT else held, "_hash", "left_semi")
     return texts.dropDuplicates(["_hash"]).select("text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
@@ -156,13 +148,28 @@ def _alike(pairs: DataFrame, docs: DataFrame, marked: DataFrame, held: DataFrame
     return with_both(may, cut_lineage(sets)).select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, marked: DataFrame, similarity: float = 0.8, words_each: int = 5, common: int = COMMON) -> DataFrame:
-    """Pairs (a, b) of nodes that are similar, enough of them to connect all that similar pairs connect."""
-    shared = _shared(docs, similarity, words_each, common)
+def links(docs: DataFrame, marked: DataFrame, similarity: float = 0.8, words_each: int = 5, common: int | None = None, candidates: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of nodes that are similar, enough of them to connect all that similar pairs connect.
+
+    ``marked`` has the node and text_hash of each document. The similar ones among the pairs
+    (a, b) of ``candidates`` are taken first.
+    """
+    shared = _shared(docs, similarity, words_each, COMMON if common is None else common)
     held = cut_lineage(shared.groupBy("node").agg(F.first("size").alias("size"), F.collect_list("token").alias("tokens")))
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
     near = (F.col("part") != F.col("other_part")) & (F.least("size", "other_size") >= similarity * F.greatest("size", "other_size") - 1e-9)
     rows, found = shared.select("token", "node", "size", F.col("node").alias("part")), None
+
+    def still_open(fewest: int) -> DataFrame:
+        """The rows of tokens with nodes of several components; of tokens with fewer nodes all pairs have been compared."""
+        parts = connected_components(found)
+        now = rows.drop("part").join(parts.select("node", F.col("component").alias("part")), "node", "left").select("token", "node", "size", F.coalesce("part", "node").alias("part"))
+        tokens = now.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).where((F.col("x") != F.col("y")) & (F.col("n") >= fewest)).select("token")
+        return cut_lineage(now.join(tokens, "token", "left_semi"))
+
+    if candidates is not None:
+        found = cut_lineage(_alike(candidates, docs, marked, held, similarity, words_each))
+        rows = still_open(2)
     for k in range(LEADERS + 1):
         if k < LEADERS:
             lead = F.min(F.struct(F.xxhash64("node", F.lit(k)), F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("part").alias("other_part")))
@@ -173,26 +180,7 @@ def links(docs: DataFrame, marked: DataFrame, similarity: float = 0.8, words_eac
         new = cut_lineage(_alike(rows.join(others, "token").where(near).select(*pair), docs, marked, held, similarity, words_each))
         found = new if found is None else found.unionByName(new)
         if k < LEADERS:
-            parts = connected_components(found)
-            rows = rows.drop("part").join(parts.select("node", F.col("component").alias("part")), "node", "left").select("token", "node", "size", F.coalesce("part", "node").alias("part"))
-            open_ = rows.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("token")
-            rows = cut_lineage(rows.join(open_, "token", "left_semi"))
+            rows = still_open(3)
             if rows.isEmpty():
                 break
     return found
-
-
-def keep_one(docs: DataFrame, similarity: float = 0.8, words_each: int = 5, common: int = COMMON) -> DataFrame:
-    """One row of each group of ``docs`` that similar pairs connect, with all its columns: that of the least doc_id.
-
-    Of several such rows the one whose text has the least hash stays, and one of rows that
-    are equal in both.
-    """
-    marked = cut_lineage(_nodes(docs))
-    parts = connected_components(links(docs, marked, similarity, words_each, common))
-    grouped = marked.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("_first"))
-    keep = first.select(F.col("_first.doc_id").alias("_id"), F.col("_first.text_hash").alias("_hash"))
-    kept = docs.withColumn("_text", _text_hash()).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
-    row = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(0)))
-    return kept.withColumn("_row", row).where("_row = 1").select(*[docs[c] for c in docs.columns])
