@@ -1,30 +1,37 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped to lines, one a block of text. A line weighs its text length without
-that of links; lines inside elements that are never part of an article (by tag, or by a
-word of their class, id or role) weigh nothing, as do lines outside the article element
-where a page has one. Lengths are summed over sliding windows of a few lines. Text surges
-where a window rises from nothing and dives where one falls back to nothing; where
-a page has an article element all stretches between are kept, else those that reach a share
-of the page's highest window or hold the page's heading, without the weightless lines of
-such elements inside them. Lines of such elements don't part what is in one container.
+Markup is stripped to lines, one a block of text; where a line stands in another container
+than the one before it, empty lines stand between them. A line weighs its text length, a
+heading several times that, and text that is mostly links nothing. Lengths are summed over sliding
+windows of a few lines. Text surges where the sums rise from nothing and dives where they
+fall back to nothing; of the stretches between, the one with the highest sum is the main
+one. Others stay if they lie inside its container, or come near its height: half of it, or
+a little of it where they stand beside it inside a part of the page.
+
+Names of elements and classes are hints that change weights: menus, forms, adverts and the
+like weigh nothing, and where a page has an article element so does all that lies outside
+it; its stretches all stay. A weightless line inside a stretch stays unless it is such
+boilerplate, or one of a run of links as long as the window.
 
 Defined results: null, empty and textless pages have an empty text; unclosed elements end
 with their parents; a page that is only boilerplate has an empty text; repeated rows are
-alike; character references are decoded and white space within a line becomes one space.
+alike; character references are decoded and white space within a line becomes one space;
+markup of any depth takes time in proportion to its length.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|math|iframe|object|select|title)\b.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|title)\b.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -33,10 +40,12 @@ HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until-found))|display\s
 WORD = re.compile(r"[a-z]+")
 
 # fixed lists of element names and of the words that mark boilerplate
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr math mi mn mo mrow msub msup mfrac mtext".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("nav footer aside form head button dialog menu header".split())
 ARTICLE = frozenset("article main".split())
+BEFORE_ARTICLE = frozenset("nav header head".split())
+WHOLE_PAGE = frozenset("html body".split())
 ENDS_LIKE = frozenset("p li dt dd tr td th option".split())
 TEXT_BLOCKS = ENDS_LIKE | frozenset("h1 h2 h3 h4 h5 h6 ul ol dl table thead tbody tfoot caption blockquote pre figure figcaption address".split())
 BOILERPLATE = frozenset(
@@ -57,16 +66,26 @@ def _marked(attributes: str) -> bool:
     return bool(HIDDEN.search(attributes))
 
 
+class Line(NamedTuple):
+    text: str
+    links: bool
+    inside: bool
+    boiler: bool
+    heading: bool
+    container: int
+
+
 class _Lines:
     """The lines of a page as they are met, and the elements that are open."""
 
     def __init__(self):
-        self.lines: list[tuple[str, int, bool, bool, bool, int]] = []  # text, weight, inside the article, boilerplate, heading, container
+        self.lines: list[Line] = []
         self.parts: list[str] = []
         self.linked = 0
         self.open: list[tuple[str, bool]] = []  # elements and whether they are boilerplate
+        self.names: Counter = Counter()  # how often each element is open
         self.containers = [0]  # the number of each open element's container, after that of the page
-        self.pushed = 0
+        self.parent = {0: 0}
         self.off = 0
         self.within = 0
         self.heading = False
@@ -82,20 +101,23 @@ class _Lines:
             raw = "".join(self.parts)
             text = " ".join((unescape(raw) if "&" in raw else raw).split())
             if text:
-                boiler = self.off > 0
-                weight = 0 if boiler or 2 * self.linked > len(raw) else len(text)
-                self.lines.append((text, weight, self.within > 0, boiler, self.heading, self.containers[-1]))
+                self.lines.append(Line(text, 2 * self.linked > len(raw), self.within > 0, self.off > 0, self.heading, self.containers[-1]))
             self.parts, self.linked = [], 0
 
     def push(self, name: str, boiler: bool) -> None:
         self.open.append((name, boiler))
-        self.pushed += 1
-        self.containers.append(self.containers[-1] if name in TEXT_BLOCKS or name in INLINE else self.pushed)
+        self.names[name] += 1
+        held = self.containers[-1]
+        if name not in TEXT_BLOCKS and name not in INLINE and name not in WHOLE_PAGE:
+            held = len(self.parent)
+            self.parent[held] = self.containers[-1]
+        self.containers.append(held)
         self.off += boiler
         self.within += name in ARTICLE and not boiler
 
     def pop(self) -> None:
         name, boiler = self.open.pop()
+        self.names[name] -= 1
         self.containers.pop()
         self.off -= boiler
         self.within -= name in ARTICLE and not boiler
@@ -115,7 +137,7 @@ class _Lines:
         while self.open and (self.open[-1][0] == "p" or self.open[-1][0] == name in ENDS_LIKE):
             self.pop()
         if name in ARTICLE and not boiler:
-            while self.open and any(n in ("nav", "header", "head") for n, _ in self.open):
+            while any(self.names[n] for n in BEFORE_ARTICLE):
                 self.pop()
         self.heading = name == "h1"
         self.push(name, boiler or name in NEVER and not (name == "header" and self.within))
@@ -130,14 +152,14 @@ class _Lines:
         self.end_line()
         self.heading = False
         self.in_link = False
-        if any(n == name for n, _ in self.open):
+        if self.names[name]:
             while self.open[-1][0] != name:
                 self.pop()
             self.pop()
 
 
-def lines(html: str) -> list[tuple[str, int, bool, bool, bool, int]]:
-    """(text, weight, inside an article, boilerplate, heading, container) of each block of text."""
+def lines(html: str) -> tuple[list[Line], dict[int, int]]:
+    """The blocks of text, and the parent of each container."""
     page, at = _Lines(), 0
     for m in TOKEN.finditer(html):
         if m.start() > at:
@@ -150,39 +172,68 @@ def lines(html: str) -> list[tuple[str, int, bool, bool, bool, int]]:
                 page.start(name.lower(), m.group(4))
     page.add(html[at:])
     page.end_line()
-    return page.lines
-
-
-def main_text(html: str, window: int = 3, share: float = 0.15) -> str:
-    found = lines(html)
-    article = any(inside and weight for _, weight, inside, *_ in found)
-    if article:
-        found = [(t, w if inside else 0, inside, boiler or not inside, h, c) for t, w, inside, boiler, h, c in found]
-    weights = [w for _, w, *_ in found]
-    # blocks[i] sums the window of lines that begins at i - window + 1, so that it rises at the first line with weight
-    blocks = [sum(weights[max(0, i - window + 1) : i + 1]) for i in range(len(weights) + window)]
-    peak, stretches, i = max(blocks, default=0), [], 0
-    while i < len(blocks):
-        if not blocks[i]:
-            i += 1
-            continue
-        dive = i
-        while dive < len(blocks) and blocks[dive]:
-            dive += 1
-        end = max(i, dive - window + 1)
-        last = stretches[-1] if stretches else None
-        if last and found[last[1] - 1][5] == found[i][5] and all(boiler for _, _, _, boiler, *_ in found[last[1] : i]):
-            stretches[-1] = last[0], end, max(last[2], *blocks[i:dive])
+    return page.lines, page.parent
+
+
+def _menus(found: list[Line], window: int) -> list[bool]:
+    """Whether a line is one of at least ``window`` lines in a row that are mostly links."""
+    out, run = [], 0
+    for k, line in enumerate(found):
+        run = run + 1 if line.links else 0
+        out.append(run >= window)
+        if run == window:
+            out[k - window + 1 :] = [True] * window
+    return out
+
+
+def main_text(html: str, window: int = 3, share: float = 0.5, beside: float = 0.05, heading: int = 8) -> str:
+    found, parent = lines(html)
+    menu = _menus(found, window)
+    article = any(x.inside and not x.boiler for x in found)
+    # the weights of the lines, with empty lines where the container changes; ``number`` says which line a weight is of
+    weights, number = [], []
+    for k, x in enumerate(found):
+        if k and x.container != found[k - 1].container:
+            weights += [0] * window
+            number += [-1] * window
+        if x.boiler or menu[k] or article and not x.inside:
+            weight = 0
+        elif x.links:
+            weight = int(article)
         else:
-            stretches.append((i, end, max(blocks[i:dive])))
-        i = dive
+            weight = len(x.text) * (heading if x.heading else 1)
+        weights.append(weight)
+        number.append(k)
+    stretches = _stretches(weights, number, window)
+    if not stretches:
+        return ""
+    (top, _), peak = max(stretches, key=lambda x: x[1])
+    main = found[top].container
     kept = []
-    for first, end, highest in stretches:
-        if article or highest >= share * peak or any(h and w for _, w, _, _, h, _ in found[first:end]):
-            kept += [t for t, _, _, boiler, *_ in found[first:end] if not boiler]
+    for (a, b), highest in stretches:
+        up = container = found[a].container
+        while up and up != main:
+            up = parent[up]
+        near = beside if parent[main] and parent[container] == parent[main] else share
+        if article or up == main != 0 or highest >= near * peak:
+            kept += [x.text for k, x in enumerate(found[a : b + 1], a) if not (x.boiler or menu[k] or article and not x.inside)]
     return "\n".join(kept)
 
 
+def _stretches(weights: list[int], number: list[int], window: int) -> list[tuple[tuple[int, int], int]]:
+    """(first and last line with a weight, highest sum of a window) between each surge and its dive."""
+    out, total, highest, ends = [], 0, 0, None
+    for at, weight in enumerate([*weights, *[0] * window]):
+        total += weight - (weights[at - window] if at >= window else 0)
+        if weight:
+            ends = (ends[0] if ends else number[at], number[at])
+        highest = max(highest, total)
+        if ends and not total:
+            out.append((ends, highest))
+            highest, ends = 0, None
+    return out
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each page."""
 
