@@ -9,7 +9,8 @@ reach is marked as rejected.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0 and rejected;
 ties go to the language that sorts first; rows with a null lang are never learned from; if
-nothing could be learned every text is ``und``; repeated rows are alike.
+nothing could be learned every text is ``und``; repeated rows are alike, and rows of one
+doc_id each train with their own text and lang.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from weftline.llm.tables import texts
 
 SIZE = 2048
 UNKNOWN = "und"
-#: Training rows that the centroids are fitted on, at most; languages share them evenly.
+#: Training rows that the centroids are fitted on, at most (or one a language); languages share them evenly.
 SAMPLE = 6000
 SALTS = 64
 #: Code points taken together; longer texts are counted piece by piece.
@@ -37,7 +38,7 @@ PIECE = 1 << 20
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """By code point: a number for a letter, 0 for all else."""
-    return np.array([c if chr(c).isalpha() else 0 for c in range(0x32000)], np.uint32)
+    return np.array([c if chr(c).isalpha() else 0 for c in range(0x110000)], np.uint32)
 
 
 def counts(text: str) -> np.ndarray | None:
@@ -48,7 +49,7 @@ def counts(text: str) -> np.ndarray | None:
     lowered = text.lower()
     for at in range(0, len(lowered), PIECE):
         codes = np.frombuffer(lowered[at : at + PIECE + 2].encode("utf-32-le", "replace"), np.uint32)
-        x = table[np.minimum(codes, len(table) - 1)]
+        x = table[codes]
         letter = x > 0
         any_letter = any_letter or bool(letter.any())
         here = slice(0, PIECE)
@@ -111,21 +112,23 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def _sample(train: DataFrame, size: int) -> DataFrame:
-    """(doc_id, lang): about evenly many rows of each language, by hash of the id, ``size`` in all at most.
+    """(doc_id, lang, text_hash): each language's rows with the least hashes, ``size // languages`` (one at least).
 
-    A language's rows fall into ``SALTS`` parts that are ranked apart, so that a language
-    with most of the rows isn't ranked in one task.
+    So there are ``size`` rows at most, or one a language if there are more languages. A
+    language's rows fall into ``SALTS`` parts that are ranked apart before what they keep is
+    ranked together, so that a language with most of the rows isn't ranked in one task.
     """
-    each = max(1, size // max(1, train.select("lang").distinct().count()) // SALTS)
-    order = F.xxhash64("doc_id")
-    salted = train.select("doc_id", "lang", F.pmod(order, F.lit(SALTS)).alias("_salt"))
-    rank = F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(order, "doc_id"))
-    return salted.withColumn("_r", rank).where(F.col("_r") <= each).select("doc_id", "lang").limit(size)
+    each = max(1, size // max(1, train.select("lang").distinct().count()))
+    key = [F.xxhash64("doc_id", "text_hash"), "doc_id", "text_hash"]
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*key))
+    salted = train.select("doc_id", "lang", "text_hash", F.pmod(key[0], F.lit(SALTS)).alias("_salt"))
+    apart = salted.withColumn("_r", rank("lang", "_salt")).where(F.col("_r") <= each)
+    return apart.withColumn("_r", rank("lang")).where(F.col("_r") <= each).select("doc_id", "lang", "text_hash").distinct()
 
 
 def fit(docs: DataFrame, train: Column, sample: int = SAMPLE, clusters: int = 4, rounds: int = 10, rejected: float = 0.002, seed: int = 5) -> CentroidModel:
     """Learn from the rows with a lang where ``train`` holds."""
-    rows = docs.select("doc_id", "text", "lang").where(train & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    rows = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("text_hash")).where(train & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     n, have = document_frequencies(rows)
     idf = (np.log((1 + n) / (1 + have)) + 1).astype(np.float32)
 
@@ -138,7 +141,8 @@ def fit(docs: DataFrame, train: Column, sample: int = SAMPLE, clusters: int = 4,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["lang", "vector"])
 
     chosen = _sample(rows, sample)
-    got = rows.drop("lang").join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInArrow(run, "lang string, vector binary").where("vector is not null").toArrow().to_pandas()
+    held = rows.join(F.broadcast(chosen), ["doc_id", "lang", "text_hash"]).dropDuplicates(["doc_id", "lang", "text_hash"])
+    got = held.select("lang", "text").mapInArrow(run, "lang string, vector binary").where("vector is not null").toArrow().to_pandas()
     got = got.sort_values(["lang", "vector"], ignore_index=True)
     langs, owner, centroids, least = tuple(sorted(got["lang"].unique())), [], [], []
     rng = np.random.default_rng(seed)
