@@ -21,18 +21,20 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.tables import texts
+from weftline.llm.tables import cut_lineage, texts
 
 BUCKETS = 1 << 17
 SHORTEST, LONGEST = 3, 5
 WORD = re.compile(r"\w+")
 #: Labelled documents of each class that are fitted on, at most: those with the least hash of the id.
 SAMPLE_EACH = 2500
+#: Bytes of their features (8 a distinct subword of a text) that go to the driver for each class, at most, but for one row.
+SAMPLE_BYTES = 24 << 20
 #: Words whose sum, and words whose buckets, a task remembers.
-REMEMBERED, FEATURES_REMEMBERED = 400_000, 100_000
+REMEMBERED, FEATURES_REMEMBERED = 200_000, 50_000
 
 
 def subwords(word: str) -> list[int]:
@@ -91,16 +93,17 @@ def _features(sample: DataFrame) -> DataFrame:
                 shares.append((total / max(1.0, total.sum())).astype(np.float32).tobytes())
                 if len(seen) > FEATURES_REMEMBERED:
                     seen.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["toxic", "ids", "shares"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["toxic", "doc_id", "ids", "shares"])
 
-    return sample.select("toxic", "text").mapInArrow(run, "toxic int, ids binary, shares binary")
+    return sample.select("toxic", "text", "doc_id").mapInArrow(run, "toxic int, doc_id long, ids binary, shares binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, sample_each: int = SAMPLE_EACH, size: int = 16, passes: int = 8, seed: int = 7) -> SubwordModel:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, sample_each: int = SAMPLE_EACH, sample_bytes: int = SAMPLE_BYTES, size: int = 16, passes: int = 8, seed: int = 7) -> SubwordModel:
     """Fit on the labelled rows where ``train`` (a condition on doc_id) holds.
 
-    Each class gives its ``sample_each`` rows with the least hash of the id at most, and
-    weighs as all its rows do.
+    Each class gives its ``sample_each`` rows with the least hash of the id at most, and of
+    these as many, in that order, as begin within ``sample_bytes`` of features. It weighs
+    as all its rows do.
     """
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & train)
     counted = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
@@ -108,7 +111,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample_each: int = SA
         return _prior(counted)
     order = F.xxhash64("doc_id")
     chosen = marked.where("toxic = 1").orderBy(order, "doc_id").limit(sample_each).unionByName(marked.where("toxic = 0").orderBy(order, "doc_id").limit(sample_each))
-    rows = _features(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).toArrow().to_pandas()
+    made = cut_lineage(_features(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")))
+    # the window sees sample_each rows of a class, without their features
+    sizes = made.select("toxic", "doc_id", F.xxhash64("ids", "shares").alias("h"), (F.length("ids") + F.length("shares")).alias("n"))
+    before = Window.partitionBy("toxic").orderBy(order, "doc_id", "h").rowsBetween(Window.unboundedPreceding, -1)
+    within = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < sample_bytes).select("toxic", "doc_id", "h").distinct()
+    rows = made.withColumn("h", F.xxhash64("ids", "shares")).join(F.broadcast(within), ["toxic", "doc_id", "h"]).select("toxic", "ids", "shares").toArrow().to_pandas()
     if rows["toxic"].nunique() < 2:  # labels of documents that aren't there
         return _prior(counted)
     rows = rows.sort_values(["toxic", "ids"], ignore_index=True)  # the order of rows is not to matter
@@ -122,6 +130,19 @@ def _prior(counted: dict[int, int]) -> SubwordModel:
     return SubwordModel(np.zeros(BUCKETS, np.float32), float(np.clip(bias, -50, 50)))
 
 
+def loss_and_gradients(mixed: np.ndarray, vectors: np.ndarray, top: np.ndarray, bias: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The weighted cross-entropy of the texts (rows of ``mixed``, shares of subwords) and its gradients by vectors, softmax and bias."""
+    hidden = mixed @ vectors
+    logits = hidden @ top + bias
+    p = np.exp(logits - logits.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    rows, w = np.arange(len(toxic)), weight / len(toxic)
+    loss = -float((np.log(p[rows, toxic]) * w).sum())
+    p[rows, toxic] -= 1
+    p *= w[:, None]
+    return loss, (mixed.T @ (p @ top.T), hidden.T @ p, p.sum(0))
+
+
 def _train(ids: list[np.ndarray], shares: list[np.ndarray], toxic: np.ndarray, counted: dict[int, int], size: int, passes: int, seed: int) -> SubwordModel:
     """Minibatches with adaptive moments over vectors (buckets x size) and softmax (size x 2)."""
     rng = np.random.default_rng(seed)
@@ -143,18 +164,13 @@ def _train(ids: list[np.ndarray], shares: list[np.ndarray], toxic: np.ndarray, c
             seen, back = np.unique(flat, return_inverse=True)
             mixed = np.zeros((len(rows), len(seen)), np.float32)  # a share of each subword in each text
             mixed[of, back] = part
-            hidden = mixed @ vectors[seen]
-            logits = hidden @ top + bias
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(rows)), toxic[rows]] -= 1
-            p *= weight[rows, None] / len(rows)
+            _, (g, g_top, g_bias) = loss_and_gradients(mixed, vectors[seen], top, bias, toxic[rows], weight[rows])
+            g = g + 1e-6 * vectors[seen]
             step += 1
             rate = 0.02 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            g = mixed.T @ (p @ top.T) + 1e-6 * vectors[seen]
             m[seen] = 0.9 * m[seen] + 0.1 * g
             v[seen] = 0.999 * v[seen] + 0.001 * g * g
-            for x, gx, mx, vx in ((top, hidden.T @ p, small[0], small[1]), (bias, p.sum(0), small[2], small[3])):
+            for x, gx, mx, vx in ((top, g_top, small[0], small[1]), (bias, g_bias, small[2], small[3])):
                 mx *= 0.9
                 mx += 0.1 * gx
                 vx *= 0.999
