@@ -6,15 +6,14 @@ benchmark item go, personal data is replaced, and what is left is encoded into p
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, pii, piece_codec, simhash, toxicity
-from weftline.llm.queries import TOKENIZER_FOLDER
-from weftline.llm.tables import key_remainder, read_table
+from weftline.llm.queries import TOKENIZER
+from weftline.llm.tables import key_remainder, read_table, shared_folder
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +39,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the piece ids of each document, and the text they decode to."""
-    model = piece_codec.load_model(f"{TOKENIZER_FOLDER}/piece_bpe_32k.model")
+    model = piece_codec.load_model(TOKENIZER)
     return piece_codec.encode_documents(docs, model)
 
 
@@ -50,15 +49,9 @@ STAGES = [("toxicity", toxic), ("simhash_near_dedup", near_duplicates), ("decont
 ORACLE_SQL = None
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder inside the shared one that the cluster names; a temporary one where it names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/corpus-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``."""
-    docs, folder = read_table(spark, sf_dir, "documents"), _folder(spark)
+    docs, folder = read_table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weftline.llm import decontaminate, html_extract, langid, perplexity, pii, piece_codec, queries, sharding, toxicity
 from weftline.llm.tables import key_remainder
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL = queries.TOKENIZER
 SF = "/root/testdata/sf0.01"
 
 
@@ -196,6 +196,45 @@ def test_language_of_odd_rows(spark, odd_documents, no_documents):
     assert {r.lang_pred for r in langid.predict(odd_documents, empty).collect()} == {"und"}
 
 
+def test_many_languages_all_have_rows_in_the_sample(spark):
+    rows = [(n, f"{chr(0x4E00 + n % 150)}{chr(0x4E00 + n % 150 + 200)} word {n}", f"l{n % 150:03}") for n in range(6000)]
+    rows += [(1, "abc abc", "l000"), (1, "xyz xyz", "l001")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for size in (100, 600):
+        model = langid.fit(docs, F.lit(True), sample=size)
+        assert len(model.langs) == 150
+        again = langid.fit(docs.repartition(7), F.lit(True), sample=size)
+        assert (model.centroids == again.centroids).all()
+    assert model.predict("\U000e0041\U000e0042")[0] == "und"
+    assert model.predict("\U00032010")[0] == "und" or chr(0x32010).isalpha()
+
+
+def test_toxicity_gradients():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    mixed, vectors, top, bias = rng.random((5, 7)), rng.normal(size=(7, 3)), rng.normal(size=(3, 2)), rng.normal(size=2)
+    toxic, weight = np.array([0, 1, 1, 0, 1]), rng.random(5)
+    _, gradients = toxicity.loss_and_gradients(mixed, vectors, top, bias, toxic, weight)
+    for x, g in zip((vectors, top, bias), gradients, strict=True):
+        for at in np.ndindex(x.shape):
+            old, sides = x[at], []
+            for step in (1e-5, -1e-5):
+                x[at] = old + step
+                sides.append(toxicity.loss_and_gradients(mixed, vectors, top, bias, toxic, weight)[0])
+            x[at] = old
+            assert abs((sides[0] - sides[1]) / 2e-5 - g[at]) < 1e-6
+
+
+def test_toxicity_sample_is_bounded_by_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(n, " ".join(f"w{(n * 7 + k) % 997}" for k in range(200)) + (" vile" if n % 2 else " kind")) for n in range(200)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) toxic")
+    seen = []
+    monkeypatch.setattr(toxicity, "_train", lambda ids, shares, *rest: seen.append(sum(x.nbytes + y.nbytes for x, y in zip(ids, shares, strict=True))) or toxicity._prior({0: 1, 1: 1}))
+    toxicity.fit(docs, labels, F.lit(True), sample_bytes=100_000)
+    assert 100_000 < seen[0] < 250_000
+
+
 def test_key_remainder(spark):
     rows = spark.createDataFrame([(0,), (17,), (None,)], "doc_id long").select("doc_id", key_remainder(F.col("doc_id"), 5).alias("r")).collect()
     assert [r.r for r in rows] == [zlib.crc32(b"0") % 5, zlib.crc32(b"17") % 5, 0]

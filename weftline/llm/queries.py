@@ -5,13 +5,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, html_extract, langid, perplexity, pii, piece_codec, repeats, sharding, simhash, toxicity
 from weftline.llm.tables import key_remainder, read_table
 
-TOKENIZER_FOLDER = "/opt/tokenizers"
+TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = piece_codec.load_model(f"{TOKENIZER_FOLDER}/piece_bpe_32k.model")
+    model = piece_codec.load_model(TOKENIZER)
     return piece_codec.encode_digests(read_table(spark, sf_dir, "documents"), model)
 
 
