@@ -6,14 +6,17 @@ from weftline.operators import blocks, layout, matrix, product, selection, split
 
 A3 = [(0, 0, 2), (0, 2, 1), (1, 1, 3), (3, 0, 4)]
 B3 = [(0, 0, 1), (0, 1, 5), (1, 1, 6), (2, 0, -2)]
-LISTS_1 = [
-    "5 8 11 15 17 20 25 29 33 34 36 45 49 55 58 60 65",
-    "3 21 25 29 30 33 38 41 44 48 52 55 60 75 81 90",
-    "2 5 7 10 13 18 22 29 30 35 40",
-    "1 2 3 8 9 12 15 22 31 32 36 44 48 49 52 56 62 66 68 71 79 80 88 90 100",
-    "1 9 22 23 24 29 39 45 48",
-]
-LISTS_2 = ["1 2 6 7 9 11 15", "2 8 9 17 23 24 25", "6 7 9 12 23 24 25", "3 8 10 13 14 17 19"]
+
+
+def seeded_lists(seed, sizes, top):
+    rng = random.Random(seed)
+    return [sorted(rng.randrange(top) for _ in range(n)) for n in sizes]
+
+
+def left_parts(lists, p):
+    """How much of each list is among the first p of all by (value, list), and whether the cut parts equal values."""
+    merged = sorted((x, k) for k, values in enumerate(lists) for x in values)
+    return [sum(k == n for _, k in merged[:p]) for n in range(len(lists))], int(p < len(merged) and merged[p - 1][0] == merged[p][0])
 
 
 def rows(df, *columns):
@@ -21,16 +24,12 @@ def rows(df, *columns):
 
 
 def as_row(coo, lists):
-    """One row of A that merges the given lists."""
+    """One row of A that merges the given lists (values without repeats)."""
     a = coo([(0, k, 1) for k in range(len(lists))])
-    b = coo([(k, int(j), 1) for k, text in enumerate(lists) for j in text.split()])
+    b = coo([(k, j, 1) for k, values in enumerate(lists) for j in values])
     return a, b
 
 
-def cut_at(spark, i, p, size):
-    return spark.createDataFrame([(0, i, p, size)], "blk long, i long, p long, row_size long")
-
-
 def model(a, b, block):
     """Blocks, cuts and carries by expanding and sorting everything."""
     by_k = {}
@@ -67,27 +66,33 @@ def test_cuts_and_carries_of_the_small_product(coo, block, cuts, carried):
     assert {r.blk for r in blocks.carries(a, b, block).collect() if r.carry} == carried
 
 
-@pytest.mark.parametrize("lists,p,expected,carry", [(LISTS_1, 60, [14, 11, 11, 15, 9], 1), (LISTS_2, 14, [5, 3, 3, 3], 0)])
-def test_splits_of_known_lists(spark, coo, lists, p, expected, carry):
+@pytest.mark.parametrize("seed,p", [(1, 20), (1, 27), (2, 1), (2, 33), (3, 40), (3, 13)])
+def test_splits_equal_a_stable_sort(coo, seed, p):
+    lists = [sorted(set(x)) for x in seeded_lists(seed, [17, 9, 1, 25, 11], 40)]
     a, b = as_row(coo, lists)
-    cuts = cut_at(spark, 0, p, sum(len(x.split()) for x in lists))
-    assert [r[1] for r in rows(splits.split(a, b, cuts), "k", "b")] == expected
-    assert [r[1] for r in rows(splits.split_from_right(a, b, cuts), "k", "b")] == expected
-    edges = splits.split_edges(a, b, cuts)
+    cuts = layout.block_cuts(layout.row_spans(a, b), p).where("blk = 0")
+    expected, carry = left_parts(lists, p)
+    assert [r[1] for r in rows(splits.split(a, b, cuts, p), "k", "b")] == expected
+    assert [r[1] for r in rows(splits.split_from_right(a, b, cuts, p), "k", "b")] == expected
+    edges = splits.split_edges(a, b, cuts, p)
     assert rows(splits.split_carry(edges), "carry") == [(carry,)]
-    checked = splits.split_check(a, b, cuts, splits.split(a, b, cuts), splits.split_carry(edges))
+    checked = splits.split_check(a, b, cuts, splits.split(a, b, cuts, p), splits.split_carry(edges))
     assert rows(checked, "ok", "carry_ok") == [(1, 1)]
-    assert splits.assert_valid(checked).count() == 1
+    assert rows(splits.assert_valid(checked), "blk", "valid") == [(0, 1)]
 
 
 def test_a_wrong_split_is_found(spark, coo):
-    a, b = as_row(coo, LISTS_2)
-    cuts = cut_at(spark, 0, 14, 28)
-    wrong = spark.createDataFrame([(0, 0, 0, 4), (0, 0, 1, 4), (0, 0, 2, 3), (0, 0, 3, 3)], "blk long, i long, k long, b long")
-    checked = splits.split_check(a, b, cuts, wrong, splits.split_carry(splits.split_edges(a, b, cuts)))
-    assert rows(checked, "ok") == [(0,)]
-    with pytest.raises(Exception, match="bad split"):
-        splits.assert_valid(checked).collect()
+    lists = [[1, 2, 6, 9, 12], [2, 8, 9, 21], [6, 7, 9, 12], [3, 8, 10, 13]]
+    a, b = as_row(coo, lists)
+    cuts = layout.block_cuts(layout.row_spans(a, b), 8).where("blk = 0")
+    right, _ = left_parts(lists, 8)
+    carry = splits.split_carry(splits.split_edges(a, b, cuts, 8))
+    for step in ([1, -1, 0, 0], [0, 0, 1, 0]):
+        wrong = spark.createDataFrame([(0, 0, k, n + step[k]) for k, n in enumerate(right)], "blk long, i long, k long, b long")
+        checked = splits.split_check(a, b, cuts, wrong, carry)
+        assert rows(checked, "ok") == [(0,)]
+        with pytest.raises(Exception, match="bad split"):
+            splits.assert_valid(checked).collect()
 
 
 def test_an_entry_longer_than_blocks(coo):
@@ -113,8 +118,8 @@ def test_random_rectangles_against_full_expansion(coo, seed, shape):
     assert rows(made, "blk", "i", "p") == cuts
     assert rows(blocks.block_runs(a, b, block), "blk", "i", "j", "s") == sorted((blk, i, j, s) for (blk, i, j), s in runs.items())
     assert {r.blk: r.carry for r in blocks.carries(a, b, block).collect()} == carry
-    vectors = splits.split(a, b, made)
-    assert rows(vectors, "blk", "i", "k", "b") == rows(splits.split_from_right(a, b, made), "blk", "i", "k", "b")
+    vectors = splits.split(a, b, made, block)
+    assert rows(vectors, "blk", "i", "k", "b") == rows(splits.split_from_right(a, b, made, block), "blk", "i", "k", "b")
     assert sorted((r[0], r[1]) for r in vectors.groupBy("blk").sum("b").collect()) == [(blk, p) for blk, _, p in cuts]
     product_rows = {}
     for i, j, _, x in par:
@@ -148,6 +153,17 @@ def test_prefix_sums_over_chunks(spark, chunk_bits):
     assert got == {k: sum(values[:n]) for n, k in enumerate(keys)}
 
 
+def test_prefix_sums_over_keys_far_apart(spark):
+    rng = random.Random(5)
+    keys = sorted({rng.getrandbits(63) - 2**62 for _ in range(500)} | set(range(300)))
+    df = spark.createDataFrame([(k, k % 7) for k in keys], "key long, value long")
+    cuts = matrix.key_splits(df, "key", 50)
+    assert 8 < len(cuts) < 20 and matrix.key_splits(df.limit(3), "key") == []
+    for splits_ in (cuts, []):
+        got = dict(rows(matrix.prefix_sum(df, "key", "value", "before", splits=splits_), "key", "before"))
+        assert got == {k: sum(x % 7 for x in keys[:n]) for n, k in enumerate(keys)}
+
+
 def tournament(lists, count, stride, kind):
     """The moves one by one."""
     n = [len(x) for x in lists]

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions import bits
 from weftline.operators import blocks, layout, product, splits
-from weftline.sources import mtx, records
+from weftline.sources import mtx, records, result
+from weftline.sources.folders import shared_folder
 from weftline.streaming.append_product import append_product
 
 
@@ -49,21 +50,42 @@ def test_round_trip_in_parts(spark, coo, tmp_path):
 def test_record_files(spark, coo, tmp_path):
     a, b = coo([(i, k, 1) for i in range(4) for k in range(5)]), coo([(k, j, 1) for k in range(5) for j in range(k + 1)])
     cuts = layout.block_cuts(layout.row_spans(a, b), 8)
-    made = splits.partition_records(layout.record_openings(a, cuts), splits.split(a, b, cuts), a, blocks.carries(a, b, 8)).cache()
+    made = splits.partition_records(layout.record_openings(a, cuts), splits.split(a, b, cuts, 8), a, blocks.carries(a, b, 8)).cache()
     records.write_records(made, str(tmp_path / "records"))
     assert rows(records.read_records(spark, str(tmp_path / "records"))) == rows(made)
-    n = records.export_words(made, str(tmp_path / "words.bin"))
-    assert n == made.count() and (tmp_path / "words.bin").stat().st_size == 4 * n
-    assert rows(records.import_words(spark, str(tmp_path / "words.bin"))) == rows(made)
-    offsets = {r.blk: r.ptr for r in layout.record_offsets(layout.record_openings(a, cuts)).collect()}
-    raw = (tmp_path / "words.bin").read_bytes()
-    assert all(struct.unpack_from("<I", raw, 4 * p)[0] == r.value for p, r in [(offsets[r.blk], r) for r in made.where("word = 0").collect()])
-    lines = records.split_lines(cuts, offsets_of(spark, offsets)).collect()
+    offsets = layout.record_offsets(layout.record_openings(a, cuts))
+    records.export_words(made, offsets, str(tmp_path / "words"))
+    assert rows(records.import_words(spark, str(tmp_path / "words"))) == rows(made)
+    packed = spark.read.parquet(str(tmp_path / "words")).orderBy("blk").collect()
+    raw = b"".join(r.words for r in packed)
+    assert len(raw) == 4 * made.count()
+    assert [struct.unpack_from("<I", raw, 4 * r.ptr)[0] for r in packed] == [r.value for r in made.where("word = 0").orderBy("blk").collect()]
+    lines = records.split_lines(cuts, offsets.select("blk", offsets.ptr.alias("off"))).collect()
     assert len(lines) == cuts.count() and all(len(x.value.split()) == 4 for x in lines)
 
 
-def offsets_of(spark, offsets):
-    return spark.createDataFrame(list(offsets.items()), "blk long, off long")
+def test_result_tables(spark, coo, tmp_path):
+    m = coo([(i, j, i + j / 2) for i in (7, 2, 5) for j in (9, 1, 4)])
+    result.write_csr(m, str(tmp_path / "c"))
+    assert rows(result.read_csr(spark, str(tmp_path / "c"))) == [(*x, n) for n, x in enumerate(rows(m))]
+    result.write_csr(m.limit(0), str(tmp_path / "none"))
+    assert rows(result.read_csr(spark, str(tmp_path / "none"))) == []
+
+
+@pytest.mark.parametrize("field,want", [("real", 2.5), ("integer", 2.0), ("pattern", 0.1234)])
+def test_written_kinds(spark, coo, tmp_path, field, want):
+    m = coo([(0, 0, 2.5), (2, 1, 2.5), (1, 2, 9)])
+    mtx.write_mtx(m, str(tmp_path / "m"), 3, 3, field, "symmetric", "a comment")
+    assert rows(mtx.read_mtx(spark, str(tmp_path / "m"))) == [(0, 0, want), (1, 2, want), (2, 1, want)]
+
+
+def test_a_cluster_without_a_shared_folder(spark):
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(Session)
 
 
 def test_bits(spark):

@@ -7,7 +7,6 @@ with several cuts on SP x PS.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,7 +15,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions import bits
 from weftline.operators import blocks, layout, matrix, product, selection, splits
-from weftline.sources import mtx, synth
+from weftline.sources import mtx, records, result, synth
+from weftline.sources.folders import shared_folder
 
 BLOCK = product.BLOCK
 
@@ -45,6 +45,11 @@ def co(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.from_relation(_table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey")
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder in the one that driver and executors share."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("i"))
 
@@ -225,16 +230,6 @@ def partition_offsets(spark, sf_dir):
     return layout.record_offsets(layout.record_openings(a, cuts))
 
 
-@_query(
-    f"WITH {_PO_OP}, {_CUT}, {_M}, pw AS (SELECT CAST(POWER(2, g) AS BIGINT) AS w FROM (SELECT UNNEST(RANGE(0, 31)) AS g)), "
-    "e AS (SELECT cut.blk, CAST(3 * lc.m + 8 * MIN(pw.w) + 16 AS BIGINT) AS words FROM cut JOIN lc ON cut.i = lc.i JOIN pw ON pw.w >= lc.m GROUP BY cut.blk, lc.m) "
-    "SELECT blk, words, CAST(SUM(words) OVER (ORDER BY blk) - words AS BIGINT) AS off FROM e"
-)
-def workspace_sizes(spark, sf_dir):
-    a, _, cuts = _copurchase(spark, sf_dir)
-    return layout.workspace_sizes(a, cuts)
-
-
 _STATS = (
     f"{_M}, e AS (SELECT cut.*, lc.m, i_of(cut) AS d FROM cut JOIN lc ON cut.i = lc.i)"
 ).replace("i_of(cut)", "cut.i - COALESCE(LAG(cut.i) OVER (ORDER BY cut.blk), 0)")
@@ -257,15 +252,6 @@ def partition_stats_supplier(spark, sf_dir):
     return layout.partition_stats(a, cuts)
 
 
-@_query(
-    f"WITH {_PO_OP}, {_CUT}, l AS (SELECT cut.blk, a.j AS k, cut.p, LEAST(bl.n, bl.n * cut.p // cut.row_size + 1) AS wish FROM cut JOIN a ON cut.i = a.i JOIN bl ON a.j = bl.k), "
-    "w AS (SELECT blk, k, wish, p - (SUM(wish) OVER (PARTITION BY blk ORDER BY k) - wish) AS rest FROM l) SELECT blk, k, CAST(GREATEST(0, LEAST(rest, wish)) AS BIGINT) AS s FROM w"
-)
-def proportional_guess(spark, sf_dir):
-    a, b, cuts = _copurchase(spark, sf_dir)
-    return layout.proportional_guess(a, b, cuts)
-
-
 # splits
 
 
@@ -289,16 +275,18 @@ def split_reverse(spark, sf_dir):
     return splits.split_from_right(*_copurchase(spark, sf_dir))
 
 
-_EDGES = "SELECT cut.blk, l.j AS lmax, r.j AS rmin FROM cut JOIN pos l ON l.i = cut.i AND l.rn = cut.p LEFT JOIN pos r ON r.i = cut.i AND r.rn = cut.p + 1"
+# materialised once: the cuts and both sides of each come from one look at the placed partials
+_PLACED = f"{_PAR}, {_SPAN}, pos AS MATERIALIZED (SELECT r.i, r.j, r.rn, CAST((span.row_off + r.rn - 1) // {BLOCK} AS BIGINT) AS blk, (span.row_off + r.rn) % {BLOCK} = 0 AS ends FROM (SELECT i, j, ROW_NUMBER() OVER (PARTITION BY i ORDER BY j, k) AS rn FROM par) r JOIN span ON r.i = span.i), cut AS MATERIALIZED (SELECT blk, i, rn AS p FROM pos WHERE ends)"
+_EDGES = "SELECT cut.blk, MAX(CASE WHEN pos.rn = cut.p THEN pos.j END) AS lmax, MAX(CASE WHEN pos.rn = cut.p + 1 THEN pos.j END) AS rmin FROM cut JOIN pos ON pos.i = cut.i AND pos.rn BETWEEN cut.p AND cut.p + 1 GROUP BY cut.blk"
 
 
-@_query(f"WITH {_PO_OP}, {_CUT}, e AS ({_EDGES}) SELECT blk, lmax, COALESCE(rmin, -1) AS rmin FROM e")
+@_query(f"WITH {_PO_OP}, {_PLACED}, e AS ({_EDGES}) SELECT blk, lmax, COALESCE(rmin, -1) AS rmin FROM e")
 def split_lmax_rmin(spark, sf_dir):
     """A cut at a row's end has nothing to its right: -1."""
     return splits.split_edges(*_copurchase(spark, sf_dir)).select("blk", "lmax", F.coalesce("rmin", F.lit(-1)).cast("long").alias("rmin"))
 
 
-@_query(f"WITH {_PO_OP}, {_CUT}, e AS ({_EDGES}) SELECT blk, CAST(CASE WHEN lmax = rmin THEN 1 ELSE 0 END AS INTEGER) AS carry FROM e")
+@_query(f"WITH {_PO_OP}, {_PLACED}, e AS ({_EDGES}) SELECT blk, CAST(CASE WHEN lmax = rmin THEN 1 ELSE 0 END AS INTEGER) AS carry FROM e")
 def split_carry(spark, sf_dir):
     return splits.split_carry(splits.split_edges(*_copurchase(spark, sf_dir)))
 
@@ -309,16 +297,54 @@ def split_check(spark, sf_dir):
     return splits.split_check(a, b, cuts, splits.split(a, b, cuts), splits.split_carry(splits.split_edges(a, b, cuts)))
 
 
-@_query(
+@_query(f"WITH {_SP_PS}, {_CUT} SELECT blk, CAST(1 AS INTEGER) AS valid FROM cut")
+def partition_valid(spark, sf_dir):
+    """Fails on the first bad split."""
+    a, b, cuts = _supplier(spark, sf_dir)
+    return splits.assert_valid(splits.split_check(a, b, cuts, splits.split(a, b, cuts), splits.split_carry(splits.split_edges(a, b, cuts))))
+
+
+_RECORDS_SQL = (
     f"WITH {_PO_OP}, {_VEC}, {_CARRY}, {_OPEN}, parts AS (SELECT blk + 1 AS blk, k, b FROM vec UNION ALL SELECT op1.blk, a.j, 0 FROM op1 JOIN a ON op1.i = a.i WHERE op1.blk = 0) "
     "SELECT blk, CAST(0 AS BIGINT) AS word, i AS value FROM op1 UNION ALL SELECT blk, 1, m FROM op1 UNION ALL SELECT op1.blk, 2, COALESCE(car.carry, 0) FROM op1 LEFT JOIN car ON op1.blk = car.blk "
     "UNION ALL SELECT blk, ROW_NUMBER() OVER (PARTITION BY blk ORDER BY k) + 2, b FROM parts"
 )
+
+
+@_query(_RECORDS_SQL)
 def partition_records(spark, sf_dir):
     a, b, cuts = _copurchase(spark, sf_dir)
     return splits.partition_records(layout.record_openings(a, cuts), splits.split(a, b, cuts), a, blocks.carries(a, b))
 
 
+@_query(_RECORDS_SQL)
+def partition_records_read(spark, sf_dir):
+    """The records written, a row a record, and read back."""
+    path = _scratch(spark)
+    records.write_records(partition_records(spark, sf_dir), path)
+    return records.read_records(spark, path)
+
+
+@_query(_RECORDS_SQL)
+def partition_words_read(spark, sf_dir):
+    """The records as packed words, written and read back."""
+    path = _scratch(spark)
+    records.export_words(partition_records(spark, sf_dir), partition_offsets(spark, sf_dir), path)
+    return records.import_words(spark, path)
+
+
+@_query(
+    f"WITH {_PO_OP}, {_CUT}, {_OPEN}, e AS (SELECT blk, 3 + m AS words FROM op1), ptrs AS (SELECT blk, CAST(SUM(words) OVER (ORDER BY blk) - words AS BIGINT) AS ptr FROM e), c AS ({_CUTS_OUT}) "
+    "SELECT c.i || ' ' || c.f || ' ' || ptrs.ptr || ' ' || c.reverse AS value FROM c JOIN ptrs ON ptrs.blk = c.blk + 1"
+)
+def split_text(spark, sf_dir):
+    """Text lines of the cuts (row, count, word, direction), written and read back."""
+    cuts, path = _copurchase(spark, sf_dir)[2], _scratch(spark)
+    opened = partition_offsets(spark, sf_dir).select((F.col("blk") - 1).alias("blk"), F.col("ptr").alias("off"))
+    records.split_lines(cuts, opened).write.text(path)
+    return spark.read.text(path)
+
+
 # blocks
 
 
@@ -466,10 +492,41 @@ def synth_rect(spark, sf_dir):
     return synth.synth_rect(_parts(spark, sf_dir), _table(spark, sf_dir, "supplier").count())
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one that the cluster names; a temporary one where it names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+@_query(
+    f"WITH {_SP}, low AS (SELECT i, j FROM sp WHERE j <= i), m AS (SELECT i, j FROM low UNION ALL SELECT j, i FROM low WHERE i <> j) SELECT i, j, CAST({mtx.PATTERN_VALUE} AS DOUBLE) AS v FROM m"
+)
+def mtx_symmetric_pattern(spark, sf_dir):
+    """The triangle of a matrix as a symmetric file without values, read with its mirrored half."""
+    m, path = sp(spark, sf_dir), _scratch(spark)
+    size = m.agg(F.max(F.greatest("i", "j")).alias("n")).first()["n"] or 0
+    mtx.write_mtx(m, path, size + 1, size + 1, "pattern", "symmetric", "suppliers and their parts")
+    return mtx.read_mtx(spark, path)
+
+
+@_query(f"WITH {_SP}, low AS (SELECT * FROM sp WHERE j <= i) SELECT i, j, v FROM low UNION ALL SELECT j, i, v FROM low WHERE i <> j")
+def mtx_symmetric_integer(spark, sf_dir):
+    """The same with whole values."""
+    m, path = sp(spark, sf_dir), _scratch(spark)
+    size = m.agg(F.max(F.greatest("i", "j")).alias("n")).first()["n"] or 0
+    mtx.write_mtx(m, path, size + 1, size + 1, "integer", "symmetric")
+    return mtx.read_mtx(spark, path)
+
+
+_C = "c AS (SELECT i, j, SUM(x) AS v FROM par GROUP BY i, j)"
+
+
+@_query(f"WITH {_PO_OP}, {_PAR}, {_C}, n AS (SELECT i, COUNT(*) AS n FROM c GROUP BY i) SELECT i, n, CAST(SUM(n) OVER (ORDER BY i) - n AS BIGINT) AS ptr FROM n")
+def product_row_pointers(spark, sf_dir):
+    """Where each row of the product begins among its entries."""
+    return matrix.row_pointers(product.product(po(spark, sf_dir), op(spark, sf_dir)))
+
+
+@_query(f"WITH {_PO_OP}, {_PAR}, {_C} SELECT i, j, v, CAST(ROW_NUMBER() OVER (ORDER BY i, j) - 1 AS BIGINT) AS pos FROM c")
+def product_table(spark, sf_dir):
+    """The product written as entries in order and row pointers, and read back with each entry's place."""
+    path = _scratch(spark)
+    result.write_csr(product.product(po(spark, sf_dir), op(spark, sf_dir)), path)
+    return result.read_csr(spark, path)
 
 
 @_query(f"WITH {_SP} SELECT i, j, v FROM sp")

@@ -19,38 +19,49 @@ from weftline.operators.product import BLOCK, partials, pattern
 def _placed(counted: DataFrame, spans: DataFrame) -> DataFrame:
     """``counted`` (i, j, n and more) with row_off and start, the place of the entry's first partial.
 
-    The running sum over a row's columns streams through one sorted partition; it sees a row
-    of the output, never its partials.
+    Running sums go over chunks of a row's columns, so that not even a dense row of the
+    output is ordered by one task.
     """
-    before = Window.partitionBy("i").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
-    inside = counted.withColumn("_in_row", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return inside.join(spans.select("i", "row_off"), "i").withColumn("start", (F.col("row_off") + F.col("_in_row")).cast("long")).drop("_in_row")
+    placed = prefix_sum(counted, "j", "n", "_start", within=("i",), base=spans.select("i", "row_off"))
+    return placed.withColumn("start", F.col("_start").cast("long")).drop("_start")
 
 
 def placed_entries(a: DataFrame, b: DataFrame) -> DataFrame:
     """(i, j, n, row_off, start) of the output entries; values are never read."""
-    return _placed(pattern(a, b), row_spans(a, b))
+    return placed_entries_of(a, b, row_spans(a, b))
+
+
+def placed_entries_of(a: DataFrame, b: DataFrame, spans: DataFrame) -> DataFrame:
+    """The same for the rows in ``a`` of the matrix whose spans are given."""
+    return _placed(pattern(a, b), spans)
+
+
+def _is_cut(block: int):
+    """Whether an entry's partials reach over a block's end."""
+    return F.floor(F.col("start") / block) < F.floor((F.col("start") + F.col("n") - 1) / block)
+
+
+def cut_rows(a: DataFrame, spans: DataFrame, block: int) -> DataFrame:
+    """The entries of A in rows that a block's end cuts."""
+    return a.join(block_cuts(spans, block).select("i").distinct(), "i", "left_semi")
 
 
 def _cut_entries(a: DataFrame, b: DataFrame, spans: DataFrame, block: int) -> DataFrame:
     """(i, j, n, start) of the entries that a block's end cuts; only rows that it cuts are expanded."""
-    rows = block_cuts(spans, block).select("i").distinct()
-    placed = _placed(pattern(a.join(rows, "i", "left_semi"), b), spans)
-    return placed.where(F.floor(F.col("start") / block) < F.floor((F.col("start") + F.col("n") - 1) / block)).select("i", "j", "n", "start")
+    return _placed(pattern(cut_rows(a, spans, block), b), spans).where(_is_cut(block)).select("i", "j", "n", "start")
 
 
 def block_runs(a: DataFrame, b: DataFrame, block: int = BLOCK) -> DataFrame:
     """(blk, i, j, s, n, pos): the sum and number of each entry's partials in each block, and the place of the first."""
-    all_partials, spans = partials(a, b), row_spans(a, b)
-    summed = all_partials.groupBy("i", "j").agg(F.count("*").alias("n"), F.sum("x").alias("s"))
+    spans = row_spans(a, b)
+    summed = partials(a, b).groupBy("i", "j").agg(F.count("*").alias("n"), F.sum("x").alias("s"))
     placed = _placed(summed, spans)
-    whole = placed.where(F.floor(F.col("start") / block) == F.floor((F.col("start") + F.col("n") - 1) / block))
     columns = ["blk", "i", "j", "s", "n", "pos"]
     blk = F.floor(F.col("start") / block).cast("long").alias("blk")
-    whole = whole.select(blk, "i", "j", "s", "n", F.col("start").alias("pos")).select(*columns)
-    cut = _cut_entries(a, b, spans, block).select("i", "j", "start")
+    whole = placed.where(~_is_cut(block)).select(blk, "i", "j", "s", "n", F.col("start").alias("pos")).select(*columns)
+    cut = placed.where(_is_cut(block)).select("i", "j", "start")
     order = Window.partitionBy("i", "j").orderBy("k")
-    single = partials(a.join(cut.select("i").distinct(), "i", "left_semi"), b).join(cut, ["i", "j"]).select("i", "j", "x", (F.col("start") + F.row_number().over(order) - 1).alias("pos"))
+    single = partials(cut_rows(a, spans, block), b).join(cut, ["i", "j"]).select("i", "j", "x", (F.col("start") + F.row_number().over(order) - 1).alias("pos"))
     parts = single.groupBy(F.floor(F.col("pos") / block).cast("long").alias("blk"), "i", "j").agg(F.sum("x").alias("s"), F.count("*").alias("n"), F.min("pos").cast("long").alias("pos"))
     return whole.unionByName(parts.select(*columns))
 
@@ -100,15 +111,17 @@ def segmented_scan(chunks: DataFrame) -> DataFrame:
     return chunks.select("blk", "chunk", (F.dense_rank().over(w.orderBy("i", "j")) - 1).cast("long").alias("seg"), running.alias("running"))
 
 
-def partial_blocks(a: DataFrame, b: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(blk, i, k, j): the block of each partial; ordered by k only where a block's end cuts an entry."""
+def partial_blocks(a: DataFrame, b: DataFrame, block: int = BLOCK, spans: DataFrame | None = None) -> DataFrame:
+    """(blk, i, k, j): the block of each partial; ordered by k only where a block's end cuts an entry.
+
+    With ``spans`` of a larger matrix, of which ``a`` has some rows, the blocks are those of the larger one.
+    """
     all_partials = partials(a, b).select("i", "k", "j")
-    placed = placed_entries(a, b).select("i", "j", "start", "n")
+    placed = _placed(pattern(a, b), row_spans(a, b) if spans is None else spans).select("i", "j", "start", "n")
     joined = all_partials.join(placed, ["i", "j"])
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("n") - 1) / block)
-    whole = joined.where(first == last).select(first.cast("long").alias("blk"), "i", "k", "j")
+    whole = joined.where(~_is_cut(block)).select(F.floor(F.col("start") / block).cast("long").alias("blk"), "i", "k", "j")
     rank = F.row_number().over(Window.partitionBy("i", "j").orderBy("k"))
-    cut = joined.where(first < last).select("i", "k", "j", (F.col("start") + rank - 1).alias("pos")).select(F.floor(F.col("pos") / block).cast("long").alias("blk"), "i", "k", "j")
+    cut = joined.where(_is_cut(block)).select("i", "k", "j", (F.col("start") + rank - 1).alias("pos")).select(F.floor(F.col("pos") / block).cast("long").alias("blk"), "i", "k", "j")
     return whole.unionByName(cut)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,17 +35,43 @@ def row_counts(m: DataFrame) -> DataFrame:
     return m.groupBy("i").agg(F.count("*").alias("n"))
 
 
-def prefix_sum(df: DataFrame, key: str, value: str, out: str, within: tuple[str, ...] = (), chunk_bits: int = CHUNK_BITS) -> DataFrame:
+def key_splits(df: DataFrame, key: str, rows_each: int = 1 << CHUNK_BITS, most: int = 10_000) -> list[float]:
+    """Cut points that part the keys into chunks of about ``rows_each`` rows (larger ones beyond ``most`` chunks).
+
+    For keys that lie far apart, such as hashes; they come from one mergeable quantile sketch.
+    """
+    n = df.count()
+    chunks = min(most, n // rows_each + 1)
+    if chunks < 2:
+        return []
+    shares = [k / chunks for k in range(1, chunks)]
+    return sorted(set(map(float, df.agg(F.percentile_approx(F.col(key).cast("double"), shares, 10 * chunks)).first()[0])))
+
+
+def _with_chunk(df: DataFrame, key: str, chunk_bits: int, splits: list[float] | None) -> DataFrame:
+    if splits is None:
+        return df.withColumn("_chunk", F.shiftright(F.col(key).cast("long"), chunk_bits))
+    if not splits:
+        return df.withColumn("_chunk", F.lit(0).cast("long"))
+    bucketizer = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="_double", outputCol="_bucket")
+    return bucketizer.transform(df.withColumn("_double", F.col(key).cast("double"))).withColumn("_chunk", F.col("_bucket").cast("long")).drop("_double", "_bucket")
+
+
+def prefix_sum(df: DataFrame, key: str, value: str, out: str, within: tuple[str, ...] = (), chunk_bits: int = CHUNK_BITS, splits: list[float] | None = None, base: DataFrame | None = None) -> DataFrame:
     """``df`` with ``out``, the sum of ``value`` over smaller keys (integers, one row each).
 
-    Keys are summed by chunks of ``2 ** chunk_bits`` in parallel, then the chunks' totals in
-    order, so that no task orders the whole table; only the totals, one row a chunk, meet.
+    Keys are summed by chunks in parallel, then the chunks' totals in order, so that no task
+    orders the whole table; only the totals, one row a chunk, meet. A chunk is
+    ``2 ** chunk_bits`` neighbouring numbers, or what lies between two of ``splits``. With
+    ``base`` (the columns of ``within`` and one more) the sums begin at that column's value.
     """
-    chunk = F.shiftright(F.col(key).cast("long"), chunk_bits).alias("_chunk")
-    keyed = df.select("*", chunk)
+    keyed = _with_chunk(df, key, chunk_bits, splits)
     totals = keyed.groupBy(*within, "_chunk").agg(F.sum(value).alias("_total"))
     before = Window.partitionBy(*within).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*within, "_chunk", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    if base is not None:
+        start = [c for c in base.columns if c not in within][0]
+        offsets = offsets.join(base, list(within)).select(*within, "_chunk", (F.col("_offset") + F.col(start)).alias("_offset"), start)
     inside = Window.partitionBy(*within, "_chunk").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     summed = keyed.withColumn("_before", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return summed.join(offsets, [*within, "_chunk"]).withColumn(out, F.col("_offset") + F.col("_before")).drop("_chunk", "_offset", "_before")
@@ -66,8 +93,3 @@ def sorted_positions(m: DataFrame) -> DataFrame:
     """(i, j, pos): the place of each entry in its row, from 0."""
     order = Window.partitionBy("i").orderBy("j")
     return m.select("i", "j", (F.row_number().over(order) - 1).cast("long").alias("pos"))
-
-
-def csr_view(m: DataFrame) -> DataFrame:
-    """(i, entries): each row's entries as an array sorted by column."""
-    return m.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("entries"))

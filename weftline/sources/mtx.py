@@ -55,10 +55,17 @@ def read_mtx(spark: SparkSession, path: str) -> DataFrame:
     return symmetric_expand(found) if header.symmetry == "symmetric" else found
 
 
-def write_mtx(m: DataFrame, path: str, rows: int, columns: int) -> None:
-    """Write a matrix as general real Matrix Market text, in parts; the first part begins with the header."""
+def write_mtx(m: DataFrame, path: str, rows: int, columns: int, field: str = "real", symmetry: str = "general", comment: str | None = None) -> None:
+    """Write a matrix as Matrix Market text, in parts; the first part begins with the header.
+
+    A symmetric file takes the entries on and below the diagonal; a pattern file has no
+    values and an integer file whole ones.
+    """
     spark = m.sparkSession
-    entries = m.count()
-    header = spark.createDataFrame([("%%MatrixMarket matrix coordinate real general",), (f"{rows} {columns} {entries}",)], "value string").coalesce(1)
-    lines = m.select(F.concat_ws(" ", (F.col("i") + 1).cast("string"), (F.col("j") + 1).cast("string"), F.col("v").cast("string")).alias("value"))
+    if symmetry == "symmetric":
+        m = m.where("j <= i")
+    value = {"real": [F.col("v").cast("string")], "integer": [F.col("v").cast("long").cast("string")], "pattern": []}[field]
+    head = [f"%%MatrixMarket matrix coordinate {field} {symmetry}", *([f"% {comment}"] if comment else []), f"{rows} {columns} {m.count()}"]
+    header = spark.createDataFrame([(x,) for x in head], "value string").coalesce(1)
+    lines = m.select(F.concat_ws(" ", (F.col("i") + 1).cast("string"), (F.col("j") + 1).cast("string"), *value).alias("value"))
     header.unionByName(lines).write.text(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,33 +21,30 @@ def split_lines(cuts: DataFrame, offsets: DataFrame) -> DataFrame:
     return cuts.join(offsets, "blk").select(F.concat_ws(" ", *[F.col(c).cast("string") for c in ("i", "f", "off", "reverse")]).alias("value"))
 
 
-def export_words(records: DataFrame, path: str) -> int:
-    """Write all records as little-endian 32-bit words to one local file; the number of words.
+def _flipped(word):
+    """Eight hex digits of a 32-bit word, its lowest byte first."""
+    digits = F.lpad(F.hex(word), 8, "0")
+    return F.concat(*[F.substring(digits, at, 2) for at in (7, 5, 3, 1)])
+
+
+def export_words(records: DataFrame, offsets: DataFrame, path: str) -> None:
+    """Write the records as little-endian 32-bit words: Parquet of (blk, ptr, words), ``ptr`` the record's first word.
 
-    The format is one file, so rows are streamed through the driver, one partition at a time.
+    Parts are ranges of blocks and each lies in order, so that the parts' words one after
+    another are the words of all records.
     """
-    n = 0
-    with open(path, "wb") as out:
-        for r in records.orderBy("blk", "word").select("value").toLocalIterator():
-            out.write(struct.pack("<I", r["value"]))
-            n += 1
-    return n
+    words = records.groupBy("blk").agg(F.array_sort(F.collect_list(F.struct("word", "value"))).alias("w"))
+    packed = words.select("blk", F.unhex(F.array_join(F.transform("w", lambda x: _flipped(x["value"])), "")).alias("words"))
+    packed.join(offsets, "blk").select("blk", "ptr", "words").repartitionByRange("blk").sortWithinPartitions("blk").write.parquet(path)
 
 
 def import_words(spark: SparkSession, path: str) -> DataFrame:
-    """(blk, word, value) of files of packed words."""
-
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            for content in batch["content"]:
-                words, at, rows = struct.unpack(f"<{len(content) // 4}I", content), 0, []
-                blk = 0
-                while at < len(words):
-                    size = 3 + words[at + 1]
-                    rows += [(blk, k, v) for k, v in enumerate(words[at : at + size])]
-                    at, blk = at + size, blk + 1
-                yield pd.DataFrame(rows, columns=["blk", "word", "value"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "blk long, word long, value long")
+    """(blk, word, value) of the words under ``path``."""
+    at = F.explode(F.sequence(F.lit(0), (F.octet_length("words") / 4).cast("int") - 1)).alias("at")
+    word = spark.read.parquet(path).where(F.octet_length("words") > 0).select("blk", "words", at)
+    value = F.conv(_flipped_back(F.hex(F.substring(F.col("words"), 4 * F.col("at") + 1, F.lit(4)))), 16, 10)
+    return word.select("blk", F.col("at").cast("long").alias("word"), value.cast("long").alias("value"))
+
+
+def _flipped_back(digits):
+    return F.concat(*[F.substring(digits, at, 2) for at in (7, 5, 3, 1)])
