@@ -133,21 +133,75 @@ def test_base_counts_equal_the_definitions():
         assert perplexity.base_counts(text.encode()) == base_counts_by_hand(text), repr(text)
 
 
-def test_the_model_is_a_distribution_and_counts_everything(spark, odd_documents, no_documents):
-    models = perplexity.fit(odd_documents)
-    assert None not in models or models[None].orders
-    for m in models.values():
-        import numpy as np
-
-        assert np.allclose(np.exp(m.log_p().astype(float)).reshape(-1, perplexity.CLASSES).sum(1), 1, atol=1e-5)
-    n = perplexity.gram_counts(odd_documents).groupBy("lang").sum("n").collect()
-    assert sum(r[1] for r in n) == sum(len(r.text or "") for r in odd_documents.collect())
-    judged = by_id(perplexity.judge(perplexity.measure(odd_documents, models)))
+def words_of(text):
+    return ["<start>", *text.lower().encode().translate(None, perplexity.MARKS).split()]
+
+
+def kneser_ney_by_hand(texts, n):
+    """Mean -ln p of each text by the counts of the others; discounts and the lowest order's weight are those of all."""
+    import math
+
+    each = [Counter(zip(words_of(t), words_of(t)[1:], strict=False)) for t in texts]
+    whole = sum(each, Counter())
+    classes = lambda counts: [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
+    before = Counter(w for _, w in whole)
+    d, du = perplexity.discounts(*classes(whole.values())), perplexity.discounts(*classes(before.values()))
+    rest = sum(du[min(c, 3)] for c in before.values()) / len(whole)
+    left = whole - each[n]
+    total = 0.0
+    for (v, w), times in each[n].items():
+        ways = sum(y == w for _, y in left)
+        lower = max(ways - du[min(ways, 3)], 0) / max(1, len(left)) + rest / len(before)
+        of = {y: c for (x, y), c in left.items() if x == v}
+        p = lower
+        if of:
+            c = of.get(w, 0)
+            p = max(c - d[min(c, 3)], 0) / sum(of.values()) + sum(d[min(x, 3)] for x in of.values()) / sum(of.values()) * lower
+        total -= times * math.log(p)
+    return total / max(1, each[n].total())
+
+
+def test_perplexity_equals_kneser_ney_by_hand(spark, monkeypatch):
+    from weftline.llm import blobs
+
+    monkeypatch.setattr(blobs, "PORTION", 4000)
+    rng = random.Random(3)
+    docs = [(n, " ".join(rng.choice("abcdefghijklmnopqrst") * rng.choice([1, 1, 1, 2]) + rng.choice(["", "", ".", "!"]) for _ in range(rng.randint(1, 90))), rng.choice(["x", "y", None])) for n in range(120)]
+    docs += [(500, docs[0][1], docs[0][2]), (501, "one_word_alone", "x")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = perplexity.fit(frame, buckets=5)
+    got = by_id(perplexity.measure(frame, model))
+    for lang in ("x", "y", None):
+        rows = [d for d in docs if d[2] == lang]
+        for n, d in enumerate(rows):
+            assert abs(got[d[0]].log_perplexity - kneser_ney_by_hand([t for _, t, _ in rows], n)) < 1e-9
+    held = [r for r in model.table.collect() if r.slot < 5]
+    hashes = [blobs.from_ascending(blobs.unpack(r.blobs)[0]).tolist() for r in held]
+    assert all(x == sorted(set(x)) for x in hashes)
+    of_x = {h for r, x in zip(held, hashes, strict=True) if r.tongue == "=x" for h in x}
+    assert len(of_x) == len({b for _, t, lang in docs if lang == "x" for b in zip(words_of(t), words_of(t)[1:], strict=False)}) == model.languages["=x"].bigrams
+
+
+def test_perplexity_of_odd_rows(spark, odd_documents, no_documents):
+    judged = by_id(perplexity.judge(perplexity.measure(odd_documents, perplexity.fit(odd_documents))))
     assert len(judged) == len({r.doc_id for r in odd_documents.collect()})
     assert judged[1].base_failed and not judged[1].kept and judged[1].perplexity is None
     assert judged[9].base_failed and judged[9].n_repeat_words == 30_000
-    assert perplexity.fit(no_documents) == {}
-    assert perplexity.measure(no_documents, {}).count() == 0
+    nothing = perplexity.fit(no_documents)
+    assert nothing.languages == {} and perplexity.measure(no_documents, nothing).count() == 0
+    assert [r.log_perplexity for r in perplexity.measure(odd_documents, nothing).collect()] == [None] * odd_documents.count()
+    stars = spark.createDataFrame([(1, "a b c", "*"), (2, "a b d", None), (3, "a b e", "")], "doc_id long, text string, lang string")
+    assert len(perplexity.fit(stars).languages) == 3
+
+
+def test_texts_under_a_false_label_are_rejected(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    false = (F.pmod(F.xxhash64("doc_id"), F.lit(100)) == 0) & F.col("lang").isin("en", "de")
+    mixed = docs.withColumn("false", false).withColumn("lang", F.when(false, F.lit("es")).otherwise(F.col("lang")))
+    judged = perplexity.judge(perplexity.measure(mixed, perplexity.fit(mixed))).where("not base_failed").join(mixed.select("doc_id", "false"), "doc_id")
+    kept = {r.false: r.kept for r in judged.groupBy("false").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert kept[False] > 0.93 and kept[True] < 0.3  # those that stay are copies of other texts with the same false label or none
 
 
 def test_bands_keep_clean_documents_and_reject_junk(spark):

@@ -1,207 +1,244 @@
 """Quality rules with n-gram perplexity.
 
-The model is a modified Kneser-Ney model of character 4-grams for each language. Characters
-fall into 32 classes (letters without case and accents, space, line feed, digits, sentence
-marks, symbols, others; letters of other scripts share the letter classes by hash), so a
-4-gram is a number of 20 bits and a language has at most 2**20 of them: that is the bound
-of the model that tasks receive. Spark counts the 4-grams of all documents; each order is
-kept as an array of sorted n-gram numbers beside its values, and a task unfolds the
-languages that it meets.
+The model is a modified Kneser-Ney model of word bigrams for each language, counted by Spark
+over all documents, so it grows with them. It is a table of sorted hash arrays: a row has
+the sorted hashes of a range of a language's bigrams beside their counts, or those of its
+words beside what the formulas need of a word. No task and no driver holds more than a
+range of it: a portion of documents asks the ranges for its own distinct bigrams and words,
+each range looks them up in its array, and the portion scores its documents with what
+comes back.
+
+A document is scored by the others: its own counts are taken off the corpus's before the
+formula is used, so that a word it made up is as unlikely as it would be elsewhere.
 
 Each language has a band of perplexities around its median, its width a multiple of the
-distance to the quartiles; documents above or below it are rejected.
+distance to the quartiles; documents above or below it are rejected. A text is judged by
+its own language's model and band alone.
 
-Defined results: a null text has no words; a document without a character has no
-perplexity and fails the base rule; a null lang is a language of its own; the
-``max_languages`` languages with most 4-grams have models of their own, all others share
-one; repeated rows are alike.
+Defined results: a null text has no words; a document without a word has no perplexity and
+isn't kept; a null lang is a language of its own, and any other string is one; a language
+that the model doesn't know gives no perplexity; repeated rows are alike.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import lru_cache
+import re
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.tables import cut_lineage
+from weftline.llm import blobs
+from weftline.llm.tables import cut_lineage, texts
 
-CLASSES, ORDER = 32, 4
-BITS = 5
-SPACE, LINE, DIGIT, MARK, SYMBOL, OTHER, LETTER = 0, 1, 2, 3, 4, 5, 6
-SENTENCE_MARKS = frozenset(".,;:!?'\"()-")
+#: Marks that are no part of a word (fixed value).
+MARKS = b".,;:!?\"()"
 #: The base rule's characters.
 SYMBOLS = frozenset(b"#*$%&|<>")
+#: Characters cut into words at once.
 PIECE = 1 << 20
-SLACK, WINDOW = 0.05, 256
-SHARED = "*"
-
-
-@lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    """By code point: its class."""
-
-    def of(c: int) -> int:
-        x = chr(c)
-        if x == "\n":
-            return LINE
-        if x.isspace():
-            return SPACE
-        if x.isdigit():
-            return DIGIT
-        if x in SENTENCE_MARKS:
-            return MARK
-        if x.isalpha():
-            base = unicodedata.normalize("NFD", x.lower())[0]
-            return LETTER + (ord(base) - ord("a") if "a" <= base <= "z" else (c * 0x9E3779B1 >> 16) % 26)
-        return OTHER if unicodedata.category(x)[0] == "C" else SYMBOL
-
-    return np.array([of(c) for c in range(0x32000)], np.uint32)
-
-
-def grams(text: str) -> Iterator[np.ndarray]:
-    """The 4-gram number that ends at each character, piece by piece; three spaces stand before the text."""
-    table = _classes()
-    before = np.zeros(ORDER - 1, np.uint32)
-    for at in range(0, len(text), PIECE):
-        codes = np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "replace"), np.uint32)
-        x = np.concatenate([before, table[np.minimum(codes, len(table) - 1)]])
-        before = x[-(ORDER - 1) :]
-        n = len(x) - ORDER + 1
-        yield x[:n] << 15 | x[1 : n + 1] << 10 | x[2 : n + 2] << 5 | x[3:]
-
-
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n) over all documents."""
+#: Word hashes that a task remembers.
+REMEMBERED = 200_000
+#: Bytes of text that a range of the model stands for, about.
+BUCKET_BYTES = 64 << 20
+#: Ranges of words at most; every range of bigrams tells each of them what it knows.
+WORD_BUCKETS = 2000
+SPACE = re.compile(r"\s")
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+WORD_BITS, BIGRAM_BITS = ~np.uint64((1 << 24) - 1), ~np.uint64((1 << 16) - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str | None, np.ndarray] = {}
-        waiting: dict[str | None, list[np.ndarray]] = {}
 
-        def count(lang: str | None) -> None:
-            n = np.bincount(np.concatenate(waiting.pop(lang)), minlength=CLASSES**ORDER)
-            tables[lang] = tables[lang] + n if lang in tables else n
+class _Known(dict):
+    """The 40-bit hashes (in the upper bits) of the words met so far."""
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for lang in list(waiting):
-                count(lang)
-            for lang in list(tables):
-                n = tables.pop(lang)
-                seen = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(n[seen])], ["lang", "gram", "n"])
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        got = self[word] = max(1 << 24, xxhash.xxh64_intdigest(word) >> 24 << 24)
+        return got
 
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for g in grams(text or ""):
-                    waiting.setdefault(lang, []).append(g)
-                    if len(waiting[lang]) >= 256 or len(g) >= PIECE:
-                        count(lang)
-                if len(tables) + len(waiting) > 32:
-                    yield from out()
-        yield from out()
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+def word_hashes(text: str, known: _Known) -> np.ndarray:
+    """0 for the start of the text, then the hash of each word, in lower case and without marks."""
+    parts, at = [np.zeros(1, np.uint64)], 0
+    while at < len(text):
+        cut = SPACE.search(text, at + PIECE) if len(text) - at > PIECE else None
+        end = cut.start() if cut else len(text)
+        words = text[at:end].lower().encode("utf-8", "replace").translate(None, MARKS).split()
+        parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+        at = end
+    return np.concatenate(parts)
 
 
-@dataclass
-class Order:
-    """One order of the model: sorted numbers of the n-grams seen and, beside them, ln p."""
+def bigram_hashes(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """48-bit hashes (in the upper bits) of two words."""
+    return blobs.spread(blobs.spread(v * FACTOR) + w) & BIGRAM_BITS
 
-    keys: np.ndarray
-    log_p: np.ndarray
 
+def _bigrams(found: list[str], known: _Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of the text, the first and the second word of each bigram."""
+    runs = [word_hashes(x, known) for x in found]
+    doc = np.repeat(np.arange(len(runs)), [len(x) - 1 for x in runs])
+    none = np.zeros(0, np.uint64)
+    return doc, np.concatenate([none, *[x[:-1] for x in runs]]), np.concatenate([none, *[x[1:] for x in runs]])
 
-@dataclass
-class KneserNey:
-    """Orders 1 to 4, and ln of the back-off weight of each context (sorted keys, values) of length 1 to 3."""
-
-    orders: list[Order]
-    back_off: list[Order]
-    #: ln perplexity of the text it was counted on
-    own: float = 0.0
-    _unfolded: np.ndarray | None = field(default=None, repr=False)
-
-    def __getstate__(self):
-        return self.orders, self.back_off, self.own
-
-    def __setstate__(self, state):
-        self.orders, self.back_off, self.own = state
-        self._unfolded = None
-
-    def log_p(self) -> np.ndarray:
-        """ln p of the last class of each 4-gram number, after backing off."""
-        if self._unfolded is None:
-            p = np.full(CLASSES, -np.log(CLASSES))
-            for n, order in enumerate(self.orders, 1):
-                if n > 1:
-                    weight = np.zeros(CLASSES ** (n - 1))
-                    weight[self.back_off[n - 2].keys] = self.back_off[n - 2].log_p
-                    # n-gram (a, rest): back off to rest, whose number is the lower bits
-                    p = (weight.reshape(CLASSES, -1, 1) + p.reshape(1, -1, CLASSES)).reshape(-1)
-                p[order.keys] = order.log_p
-            self._unfolded = p.astype(np.float32)
-        return self._unfolded
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
+
+def _named(x: np.ndarray) -> list[bytes]:
+    """Hashes as a sorted list of those that occur and places in it."""
+    names, place = np.unique(x, return_inverse=True)
+    return [blobs.ascending(names), blobs.numbers(place)]
+
+
+def _from_named(names: bytes, place: bytes) -> np.ndarray:
+    return blobs.from_ascending(names)[blobs.from_numbers(place)]
+
+
+# ``tongue`` is the language (``_tongue``). Slots below the number of bigram ranges are those
+# ranges, the next ones the ranges of words; SUMS has numbers of the whole language.
+ROWS = "tongue string, slot int, blobs array<binary>, sums array<long>"
+SUMS = -1
+
+
+def _tongue():
+    return F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    c = list(zip(*[(t, slot, blobs.pack(x), sums) for t, slot, x, sums in rows], strict=True)) or [()] * 4
+    types = (pa.string(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=True)], ["tongue", "slot", "blobs", "sums"])
+
+
+def _of_classes(counts: np.ndarray) -> list[int]:
+    """How many counts are 1, 2, 3 and 4, and 3 or more, and how many there are."""
+    return [*(int((counts == k).sum()) for k in (1, 2, 3, 4)), int((counts >= 3).sum()), len(counts)]
+
+
+def _count(buckets: int) -> Callable:
+    """Map (tongue, text): the distinct bigrams of each portion and how often they occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known()
+        for batch in blobs.portions(batches):
+            by = defaultdict(list)
+            for tongue, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+                by[tongue].append(text)
+            rows = []
+            for tongue, found in by.items():
+                _, v, w = _bigrams(found, known)
+                h, first, n = np.unique(bigram_hashes(v, w), return_index=True, return_counts=True)
+                v, w = v[first], w[first]
+                for k, a, b in blobs.slices(blobs.range_bucket(h, buckets)):
+                    rows.append((tongue, k, [*_named(v[a:b]), *_named(w[a:b]), blobs.numbers(n[a:b])], None))
+            yield _rows(rows)
+
+    return run
+
+
+def _merge(buckets: int, word_buckets: int) -> Callable:
+    """Reduce a range of bigrams: its sorted array, and what it tells of the words in it."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        got = [blobs.unpack(x) for x in table.column("blobs").to_pylist()]
+        v, w = np.concatenate([_from_named(*x[:2]) for x in got]), np.concatenate([_from_named(*x[2:4]) for x in got])
+        n = np.concatenate([blobs.from_numbers(x[4]) for x in got])
+        h = bigram_hashes(v, w)
+        order = np.argsort(h, kind="stable")
+        starts = np.flatnonzero(blobs.groups(h[order]))
+        h, v, w, n = h[order][starts], v[order][starts], w[order][starts], np.add.reduceat(n[order], starts)
+        tongue, slot = key[0].as_py(), key[1].as_py()
+        rows = [(tongue, slot, [blobs.ascending(h), n.astype("<i8").tobytes()], None), (tongue, SUMS, [], [*_of_classes(n), *[0] * 6])]
+        # of a first word: all bigrams, and the distinct ones that occur once, twice, more often; of a second word: the distinct ones
+        first, at = np.unique(v, return_inverse=True)
+        second, before = np.unique(w, return_counts=True)
+        both = np.union1d(first, second)
+        stats = np.zeros((5, len(both)), np.int64)
+        stats[:4, np.searchsorted(both, first)] = [np.bincount(at, c).astype(np.int64) for c in (n, n == 1, n == 2, n >= 3)]
+        stats[4, np.searchsorted(both, second)] = before
+        for k, a, b in blobs.slices(blobs.range_bucket(both, word_buckets)):
+            rows.append((tongue, buckets + k, [blobs.ascending(both[a:b]), stats[:, a:b].astype("<i8").tobytes()], None))
+        return pa.Table.from_batches([_rows(rows)])
+
+    return run
+
+
+def _merge_words(key: tuple, table: pa.Table) -> pa.Table:
+    """Reduce a range of words: its sorted array."""
+    got = [blobs.unpack(x) for x in table.column("blobs").to_pylist()]
+    word = np.concatenate([blobs.from_ascending(x[0]) for x in got])
+    stats = np.concatenate([np.frombuffer(x[1], "<i8").reshape(5, -1) for x in got], axis=1)
+    order = np.argsort(word, kind="stable")
+    starts = np.flatnonzero(blobs.groups(word[order]))
+    word, stats = word[order][starts], np.add.reduceat(stats[:, order], starts, axis=1)
+    tongue, slot = key[0].as_py(), key[1].as_py()
+    words = stats[4][stats[4] > 0]
+    return pa.Table.from_batches([_rows([(tongue, slot, [blobs.ascending(word), stats.astype("<i8").tobytes()], None), (tongue, SUMS, [], [*[0] * 6, *_of_classes(words)])])])
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     """What counts of 0, 1, 2 and 3 or more lose."""
-    n1, n2, n3, n4 = (float((counts == k).sum()) for k in (1, 2, 3, 4))
     if min(n1, n2, n3) == 0:
         return np.array([0, 0.5, 0.75, 0.9])
     y = n1 / (n1 + 2 * n2)
     return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.85])
 
 
-def kneser_ney(keys: np.ndarray, counts: np.ndarray) -> KneserNey:
-    """The modified Kneser-Ney model of sorted 4-gram numbers and their counts."""
-    top = np.zeros(CLASSES**ORDER, np.int64)
-    top[keys] = counts
-    tables = [top]
-    for n in range(ORDER - 1, 0, -1):  # a lower order counts the classes seen before the n-gram
-        tables.insert(0, (tables[0].reshape(CLASSES, CLASSES**n) > 0).sum(0))
-    orders, back_off, p = [], [], np.full(CLASSES, 1 / CLASSES)
-    for n, c in enumerate(tables, 1):
-        by = c.reshape(-1, CLASSES)  # rows are contexts
-        lose = _discounts(c)
-        total = by.sum(1, keepdims=True)
-        gamma = sum(lose[k] * ((by == k) if k < 3 else (by >= 3)).sum(1, keepdims=True) for k in (1, 2, 3)) / np.maximum(total, 1)
-        gamma = np.where(total > 0, gamma, 1.0)
-        lower = np.tile(p.reshape(-1, CLASSES), (CLASSES, 1)) if n > 1 else p.reshape(1, CLASSES)
-        p = ((by - lose[np.minimum(by, 3)]) / np.maximum(total, 1) * (by > 0) + gamma * lower).reshape(-1)
-        seen = np.flatnonzero(c) if n > 1 else np.arange(CLASSES)
-        orders.append(Order(seen.astype(np.uint32), np.log(p[seen])))
-        if n > 1:
-            contexts = np.flatnonzero(total[:, 0])
-            back_off.append(Order(contexts.astype(np.uint32), np.log(np.maximum(gamma[contexts, 0], 1e-12))))
-    return KneserNey(orders, back_off, -float((orders[-1].log_p * counts).sum() / max(1, counts.sum())))
-
-
-def fit(docs: DataFrame, max_languages: int = 64) -> dict[str | None, KneserNey]:
-    """A model for each language (``SHARED``: for those beyond ``max_languages``)."""
-    counted = cut_lineage(gram_counts(docs))
-    most = [r["lang"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages + 1).collect()]
-    if len(most) > max_languages:
-        own = most[:max_languages]
-        named = F.col("lang").isin([x for x in own if x is not None]) | (F.col("lang").isNull() if None in own else F.lit(False))
-        counted = counted.withColumn("lang", F.when(named, F.col("lang")).otherwise(SHARED)).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    table = counted.toArrow()  # at most 2**20 rows a language
-    langs = table.column("lang").to_pylist()
-    keys, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
-    at: dict[str | None, list[int]] = {}
-    for k, lang in enumerate(langs):
-        at.setdefault(lang, []).append(k)
-    models = {}
-    for lang, rows in at.items():
-        rows = np.array(rows)
-        rows = rows[np.argsort(keys[rows])]
-        models[lang] = kneser_ney(keys[rows], n[rows])
-    return models
+@dataclass(frozen=True)
+class KneserNey:
+    """The numbers of a whole language."""
+
+    #: discounts of bigrams, and of words by the number of words that stand before them
+    bigram: np.ndarray
+    word: np.ndarray
+    #: distinct bigrams and words
+    bigrams: int
+    words: int
+    #: what the discounts of words leave for all words alike
+    rest: float
+
+    @staticmethod
+    def of(sums: list[int]) -> KneserNey:
+        bigram, word = discounts(*sums[:4]), discounts(*sums[6:10])
+        rest = float(word[1:] @ np.array([sums[6], sums[7], sums[10]])) / max(1, sums[5])
+        return KneserNey(bigram, word, sums[5], sums[11], rest)
+
+    def log_p(self, count, first, once, twice, more, before, bigrams) -> np.ndarray:
+        """ln p of bigrams: ``count`` of each, of its first word all bigrams and the distinct ones by class, of its second word those ``before`` it."""
+        lower = np.maximum(before - self.word[np.minimum(before, 3)], 0) / np.maximum(bigrams, 1) + self.rest / max(1, self.words)
+        left = self.bigram[1] * once + self.bigram[2] * twice + self.bigram[3] * more
+        seen = first > 0
+        total = np.maximum(first, 1)
+        return np.log(np.where(seen, np.maximum(count - self.bigram[np.minimum(count, 3)], 0) / total + left / total * lower, lower) + 1e-300)
+
+
+@dataclass(frozen=True)
+class Model:
+    """Sorted hash arrays in ``table`` (``ROWS``), and each language's numbers."""
+
+    table: DataFrame
+    languages: dict[str, KneserNey]
+    buckets: int
+    word_buckets: int
+
+
+def fit(docs: DataFrame, buckets: int | None = None) -> Model:
+    """Count a model of each language over all documents; the driver sees one row a language."""
+    rows = docs.select(_tongue().alias("tongue"), "text")
+    if buckets is None:
+        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    word_buckets = min(buckets, WORD_BUCKETS)
+    counted = rows.mapInArrow(_count(buckets), ROWS).groupBy("tongue", "slot")
+    merged = cut_lineage(counted.applyInArrow(_merge(buckets, word_buckets), ROWS))
+    words = cut_lineage(merged.where(F.col("slot") >= buckets).groupBy("tongue", "slot").applyInArrow(_merge_words, ROWS))
+    sums = merged.unionByName(words).where(F.col("slot") == SUMS).groupBy("tongue").agg(*[F.sum(F.get("sums", k)).alias(f"s{k}") for k in range(12)]).collect()
+    table = merged.where(F.col("slot").between(0, buckets - 1)).unionByName(words.where(F.col("slot") >= buckets))
+    return Model(table, {r["tongue"]: KneserNey.of(list(r)[1:]) for r in sums}, buckets, word_buckets)
 
 
 def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
@@ -233,52 +270,125 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
 CHARACTER_STARTS = bytes(b for b in range(256) if b & 0xC0 != 0x80)
 
 
-def log_perplexity(text: str, own: KneserNey, all_models: list[KneserNey]) -> float:
-    """Mean -ln p of a text's characters under the model of its language.
+def _ask(buckets: int, word_buckets: int) -> Callable:
+    """Reduce a portion of documents: its distinct bigrams and words, each to its range."""
 
-    A text that this model finds harder than its corpus by ``SLACK`` is read anew in
-    windows, each by the model that likes it best, so that a text in several languages
-    isn't taken for junk.
-    """
-    total = -sum(float(own.log_p()[g].sum(dtype=np.float64)) for g in grams(text)) / len(text)
-    if total > own.own + SLACK and len(all_models) > 1:
-        best = 0.0
-        for g in grams(text):
-            starts = np.arange(0, len(g), WINDOW)
-            sums = np.stack([np.add.reduceat(m.log_p()[g], starts, dtype=np.float64) for m in all_models])
-            best -= float(sums.max(0).sum())
-        total = best / len(text)
-    return total
-
-
-def measure(docs: DataFrame, models: dict[str | None, KneserNey]) -> DataFrame:
-    """doc_id, lang, the base counts and log_perplexity (null without a character) of each document."""
-    schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
-    names = [x.split()[0] for x in schema.split(", ")]
-    session = docs.sparkSession
-    sent = session.sparkContext.broadcast(models)
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        known, out = _Known(), []
+        for tongue, _, _, v, w in _by_tongue(table, known):
+            for h, n, before in ((np.unique(bigram_hashes(v, w)), buckets, 0), (np.union1d(v, w), word_buckets, buckets)):
+                out += [(tongue, before + k, key[0].as_py(), blobs.pack([blobs.ascending(h[a:b])])) for k, a, b in blobs.slices(blobs.range_bucket(h, n))]
+        return _answers(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        shared, every = known.get(SHARED), list(known.values())
-        for batch in batches:
-            rows, scores = [], []
-            for lang, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text = text or ""
-                rows.append(base_counts(text.encode("utf-8", "replace")))
-                model = known.get(lang, shared)
-                scores.append(None if not text or model is None else log_perplexity(text, model, every))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns], pa.array(scores, pa.float64())], names)
-
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, schema)
-
-
-def judge(measured: DataFrame, width: float = 6.0, floor: float = 0.05) -> DataFrame:
+    return run
+
+
+ANSWERS = "tongue string, slot int, portion int, blobs array<binary>"
+
+
+def _answers(rows: list[tuple]) -> pa.Table:
+    c = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.table([pa.array(x, t) for x, t in zip(c, (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.binary())), strict=True)], ["tongue", "slot", "portion", "blobs"])
+
+
+def _by_tongue(table: pa.Table, known: _Known) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By language: its rows of the portion, and text (a place among the rows), first and second word of each bigram."""
+    by, held = defaultdict(list), texts(table.column("text"))
+    for k, tongue in enumerate(table.column("tongue").to_pylist()):
+        by[tongue].append(k)
+    for tongue, rows in by.items():
+        yield tongue, np.array(rows), *_bigrams([held[k] for k in rows], known)
+
+
+def _look_up(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """What a range knows of the hashes asked for: the values of its array, 0 where it has none."""
+    if not held.num_rows:
+        return _answers([])
+    keys, values = blobs.unpack(held.column("blobs")[0].as_py())
+    keys, values = blobs.from_ascending(keys), np.frombuffer(values, "<i8")
+    values, out = values.reshape(-1, len(keys)), []
+    for row in asked.to_pylist():
+        h = blobs.from_ascending(blobs.unpack(row["blobs"])[0])
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        found = np.where(keys[at] == h, values[:, at], 0)
+        out.append((row["tongue"], row["slot"], row["portion"], blobs.pack([x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in found])))
+    return _answers(out)
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
+
+
+def log_perplexities(n: int, doc: np.ndarray, v: np.ndarray, w: np.ndarray, h: np.ndarray, count: np.ndarray, word: np.ndarray, stats: np.ndarray, numbers: KneserNey) -> np.ndarray:
+    """Mean -ln p of the bigrams (doc, v, w) of each of ``n`` texts, its own counts left out; nan without any.
+
+    ``h`` has the sorted bigrams that occur, beside their counts, and ``word`` the words,
+    beside what is known of them.
+    """
+    place = np.searchsorted(h, bigram_hashes(v, w))
+    pair, first, times = np.unique(doc * len(h) + place, return_index=True, return_counts=True)
+    of, c = pair // max(1, len(h)), count[pair % max(1, len(h))]
+    left, right = np.searchsorted(word, v[first]), np.searchsorted(word, w[first])
+    rest = np.maximum(c - times, 0)
+    gone = rest == 0
+    # by text and first word: what the text took from the classes of its bigrams
+    _, context = np.unique(of * len(word) + left, return_inverse=True)
+    moved = lambda a, b: np.bincount(context, b.astype(np.int64) - a)[context].astype(np.int64)
+    all_, once, twice, more = [np.maximum(stats[k][left] + moved(old, new), 0) for k, (old, new) in enumerate(((c, rest), (c == 1, rest == 1), (c == 2, rest == 2), (c >= 3, rest >= 3)))]
+    _, following = np.unique(of * len(word) + right, return_inverse=True)
+    before = np.maximum(stats[4][right] - np.bincount(following, gone)[following].astype(np.int64), 0)
+    bigrams = numbers.bigrams - np.bincount(of, gone, n)[of]
+    log_p = numbers.log_p(rest, all_, once, twice, more, before, bigrams)
+    words = np.bincount(doc, minlength=n)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(words > 0, -np.bincount(of, times * log_p, n) / words, np.nan)
+
+
+MEASURED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
+
+
+def _score(languages: dict[str, KneserNey]) -> Callable:
+    """Reduce a portion of documents and what came back for it: the measures of each document."""
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        known = _Known()
+        counts = [base_counts(x.encode("utf-8", "replace")) for x in texts(table.column("text"))]
+        scores = np.full(table.num_rows, np.nan)
+        came = defaultdict(list)
+        for r in sorted(answers.to_pylist(), key=lambda r: r["slot"]):
+            found = [_from_planes(x) for x in blobs.unpack(r["blobs"])]
+            came[r["tongue"], len(found)].append(np.stack(found))
+        for tongue, rows, doc, v, w in _by_tongue(table, known):
+            if (tongue, 1) in came:
+                h, word = np.unique(bigram_hashes(v, w)), np.union1d(v, w)
+                count, stats = np.concatenate(came[tongue, 1], axis=1)[0], np.concatenate(came[tongue, 5], axis=1)
+                if len(count) != len(h) or stats.shape[1] != len(word):
+                    raise ValueError("a portion of documents changed while it was scored")
+                scores[rows] = log_perplexities(len(rows), doc, v, w, h, count, word, stats, languages[tongue])
+        columns = list(zip(*counts, strict=True)) or [()] * 5
+        names = [x.split()[0] for x in MEASURED.split(", ")]
+        return pa.table([table.column("doc_id"), table.column("lang"), *[pa.array(c, pa.int64()) for c in columns], pa.array(scores, pa.float64(), mask=np.isnan(scores))], names)
+
+    return run
+
+
+def measure(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang, the base counts and log_perplexity (null without a word) of each document of the corpus that ``model`` counted."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    portions = max(1, -(-total // blobs.PORTION))
+    portion = F.pmod(F.xxhash64("doc_id", "text"), F.lit(portions)).cast("int").alias("portion")
+    rows = docs.select(portion, "doc_id", "lang", _tongue().alias("tongue"), "text")
+    asked = rows.groupBy("portion").applyInArrow(_ask(model.buckets, model.word_buckets), ANSWERS)
+    key = ["tongue", "slot"]
+    answers = asked.groupBy(*key).cogroup(model.table.select(*key, "blobs").groupBy(*key)).applyInArrow(_look_up, ANSWERS)
+    return rows.groupBy("portion").cogroup(answers.groupBy("portion")).applyInArrow(_score(model.languages), MEASURED)
+
+
+def judge(measured: DataFrame, width_below: float = 6.0, width_above: float = 4.0, floor: float = 0.05) -> DataFrame:
     """``measured`` with base_failed, the band of its language, perplexity and kept.
 
-    A band reaches ``width`` times the distance of median and quartile to either side of
-    the median of ln perplexity, and ``floor`` at least; for a text shorter than the median
+    A band reaches ``width_below`` and ``width_above`` times the distance of median and
+    quartile to either side of the median of ln perplexity, and ``floor`` at least; for a text shorter than the median
     it is wider by the square root of the ratio, as a short text's mean varies more.
     """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -286,7 +396,7 @@ def judge(measured: DataFrame, width: float = 6.0, floor: float = 0.05) -> DataF
     quartiles, chars = F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000), F.percentile_approx("word_chars", 0.5, 10_000)
     bands = measured.where(~F.col("base_failed")).groupBy(F.col("lang").alias("_lang")).agg(quartiles.alias("_q"), chars.alias("_chars"))
     q, wider = F.col("_q"), F.sqrt(F.greatest(F.lit(1.0), F.col("_chars") / F.greatest("word_chars", F.lit(1))))
-    lower, upper = q[1] - F.greatest(F.lit(floor), width * (q[1] - q[0])) * wider, q[1] + F.greatest(F.lit(floor), width * (q[2] - q[1])) * wider
+    lower, upper = q[1] - F.greatest(F.lit(floor), width_below * (q[1] - q[0])) * wider, q[1] + F.greatest(F.lit(floor), width_above * (q[2] - q[1])) * wider
     joined = measured.join(bands, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumns({"lower": lower, "upper": upper})
     inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))
     return joined.drop("_lang", "_q", "_chars").withColumns({"perplexity": F.exp("log_perplexity"), "kept": ~F.col("base_failed") & inside})
