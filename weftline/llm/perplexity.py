@@ -1,105 +1,102 @@
 """Quality rules with n-gram perplexity.
 
-The model is a modified Kneser-Ney model of word bigrams for each language, counted by Spark
-over all documents, so it grows with them. It is a table of sorted hash arrays: a row has
-the sorted hashes of a range of a language's bigrams beside their counts, or those of its
-words beside what the formulas need of a word. No task and no driver holds more than a
-range of it: a portion of documents asks the ranges for its own distinct bigrams and words,
-each range looks them up in its array, and the portion scores its documents with what
-comes back.
+A text in lower case is read as a sequence of pieces of three UTF-8 bytes. The model is a
+modified Kneser-Ney model of the bigrams of pieces (n-grams of six bytes) for each
+language, counted by Spark over all documents; nothing is folded or cut, so it grows with
+what the documents have. It is a table of sorted arrays: a row has the codes of a range of
+a language's bigrams beside their counts, and what the formulas need of their first pieces,
+or those of a range of second pieces. A bigram's code is its six bytes, and the hash of its
+first piece names its range. No task and no driver holds more than a range: a portion of
+documents asks the ranges for its own distinct bigrams and pieces, each range looks them up
+in its array, and the portion scores its documents with what comes back.
 
 A document is scored by the others: its own counts are taken off the corpus's before the
-formula is used, so that a word it made up is as unlikely as it would be elsewhere.
+formula is used, so that a word it made up is as unlikely as it would be elsewhere. Its
+perplexity is by word: the sum over its pieces is divided by its number of words.
 
 Each language has a band of perplexities around its median, its width a multiple of the
 distance to the quartiles; documents above or below it are rejected. A text is judged by
 its own language's model and band alone.
 
-Defined results: a null text has no words; a document without a word has no perplexity and
-isn't kept; a null lang is a language of its own, and any other string is one; a language
-that the model doesn't know gives no perplexity; repeated rows are alike.
+Defined results: a null text has no words; a text without a word has no perplexity and isn't kept;
+a null lang is a language of its own, and any other string is one; a language that the
+model doesn't know gives no perplexity; repeated rows are alike.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import blobs
 from weftline.llm.tables import cut_lineage, texts
 
-#: Marks that are no part of a word (fixed value).
-MARKS = b".,;:!?\"()"
 #: The base rule's characters.
 SYMBOLS = frozenset(b"#*$%&|<>")
-#: Characters cut into words at once.
-PIECE = 1 << 20
-#: Word hashes that a task remembers.
-REMEMBERED = 200_000
+#: Bytes of a piece, and bits of its code.
+PIECE, BITS = 3, 24
 #: Bytes of text that a range of the model stands for, about.
 BUCKET_BYTES = 64 << 20
-#: Ranges of words at most; every range of bigrams tells each of them what it knows.
-WORD_BUCKETS = 2000
-SPACE = re.compile(r"\s")
+#: Ranges of second pieces at most; every range of bigrams tells each of them what it knows.
+PIECE_BUCKETS = 2000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-WORD_BITS, BIGRAM_BITS = ~np.uint64((1 << 24) - 1), ~np.uint64((1 << 16) - 1)
 
 
-class _Known(dict):
-    """The 40-bit hashes (in the upper bits) of the words met so far."""
+def pieces(text: str) -> np.ndarray:
+    """The codes of the pieces of a text; the last one ends in spaces."""
+    raw = text.lower().encode("utf-8", "replace")
+    raw += b" " * (-len(raw) % PIECE)
+    x = np.frombuffer(raw, np.uint8).reshape(-1, PIECE)
+    return x[:, 0].astype(np.uint64) << np.uint64(16) | x[:, 1].astype(np.uint64) << np.uint64(8) | x[:, 2].astype(np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        got = self[word] = max(1 << 24, xxhash.xxh64_intdigest(word) >> 24 << 24)
-        return got
 
+def bigrams(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the text, and the code of each bigram; before the first piece stands code 0."""
+    runs = [pieces(x) for x in found]
+    sizes = [len(x) for x in runs]
+    doc = np.repeat(np.arange(len(runs)), sizes)
+    w = np.concatenate([np.zeros(0, np.uint64), *runs])
+    v = np.concatenate([np.zeros(1, np.uint64), w[:-1]])[: len(w)]
+    v[np.cumsum([0, *sizes])[:-1][np.array(sizes, int) > 0]] = 0
+    return doc, v << np.uint64(BITS) | w
 
-def word_hashes(text: str, known: _Known) -> np.ndarray:
-    """0 for the start of the text, then the hash of each word, in lower case and without marks."""
-    parts, at = [np.zeros(1, np.uint64)], 0
-    while at < len(text):
-        cut = SPACE.search(text, at + PIECE) if len(text) - at > PIECE else None
-        end = cut.start() if cut else len(text)
-        words = text[at:end].lower().encode("utf-8", "replace").translate(None, MARKS).split()
-        parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-        at = end
-    return np.concatenate(parts)
 
+def first_of(code: np.ndarray) -> np.ndarray:
+    return code >> np.uint64(BITS)
 
-def bigram_hashes(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """48-bit hashes (in the upper bits) of two words."""
-    return blobs.spread(blobs.spread(v * FACTOR) + w) & BIGRAM_BITS
 
+def second_of(code: np.ndarray) -> np.ndarray:
+    return code & np.uint64((1 << BITS) - 1)
 
-def _bigrams(found: list[str], known: _Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The number of the text, the first and the second word of each bigram."""
-    runs = [word_hashes(x, known) for x in found]
-    doc = np.repeat(np.arange(len(runs)), [len(x) - 1 for x in runs])
-    none = np.zeros(0, np.uint64)
-    return doc, np.concatenate([none, *[x[:-1] for x in runs]]), np.concatenate([none, *[x[1:] for x in runs]])
 
+def _range_of(piece: np.ndarray, buckets: int) -> np.ndarray:
+    return blobs.range_bucket(blobs.spread((piece + np.uint64(1)) * FACTOR), buckets)
 
-def _named(x: np.ndarray) -> list[bytes]:
-    """Hashes as a sorted list of those that occur and places in it."""
-    names, place = np.unique(x, return_inverse=True)
-    return [blobs.ascending(names), blobs.numbers(place)]
 
+def _ranged(codes: np.ndarray, of: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """An order of sorted codes by range, sorted within each, and the codes of each range; ``of``: the pieces that name it."""
+    bucket = _range_of(of, buckets)
+    order = np.argsort(bucket, kind="stable")
+    return order, [(k, codes[order[a:b]]) for k, a, b in blobs.slices(bucket[order])]
 
-def _from_named(names: bytes, place: bytes) -> np.ndarray:
-    return blobs.from_ascending(names)[blobs.from_numbers(place)]
+
+def _pack_codes(codes: np.ndarray) -> bytes:
+    return blobs.ascending(codes << np.uint64(16))
+
+
+def _codes(raw: bytes) -> np.ndarray:
+    return blobs.from_ascending(raw) >> np.uint64(16)
 
 
 # ``tongue`` is the language (``_tongue``). Slots below the number of bigram ranges are those
-# ranges, the next ones the ranges of words; SUMS has numbers of the whole language.
+# ranges, the next ones the ranges of second pieces; SUMS has numbers of the whole language.
 ROWS = "tongue string, slot int, blobs array<binary>, sums array<long>"
 SUMS = -1
 
@@ -123,61 +120,57 @@ def _count(buckets: int) -> Callable:
     """Map (tongue, text): the distinct bigrams of each portion and how often they occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known()
         for batch in blobs.portions(batches):
             by = defaultdict(list)
             for tongue, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 by[tongue].append(text)
             rows = []
             for tongue, found in by.items():
-                _, v, w = _bigrams(found, known)
-                h, first, n = np.unique(bigram_hashes(v, w), return_index=True, return_counts=True)
-                v, w = v[first], w[first]
-                for k, a, b in blobs.slices(blobs.range_bucket(h, buckets)):
-                    rows.append((tongue, k, [*_named(v[a:b]), *_named(w[a:b]), blobs.numbers(n[a:b])], None))
+                codes, n = np.unique(bigrams(found)[1], return_counts=True)
+                order, parts = _ranged(codes, first_of(codes), buckets)
+                at = 0
+                for k, part in parts:
+                    rows.append((tongue, k, [_pack_codes(part), blobs.numbers(n[order[at : at + len(part)]])], None))
+                    at += len(part)
             yield _rows(rows)
 
     return run
 
 
-def _merge(buckets: int, word_buckets: int) -> Callable:
-    """Reduce a range of bigrams: its sorted array, and what it tells of the words in it."""
+def _merge(buckets: int, piece_buckets: int) -> Callable:
+    """Reduce a range of bigrams: its sorted array, and what it tells of second pieces."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         got = [blobs.unpack(x) for x in table.column("blobs").to_pylist()]
-        v, w = np.concatenate([_from_named(*x[:2]) for x in got]), np.concatenate([_from_named(*x[2:4]) for x in got])
-        n = np.concatenate([blobs.from_numbers(x[4]) for x in got])
-        h = bigram_hashes(v, w)
-        order = np.argsort(h, kind="stable")
-        starts = np.flatnonzero(blobs.groups(h[order]))
-        h, v, w, n = h[order][starts], v[order][starts], w[order][starts], np.add.reduceat(n[order], starts)
+        codes, n = np.concatenate([_codes(x[0]) for x in got]), np.concatenate([blobs.from_numbers(x[1]) for x in got])
+        order = np.argsort(codes, kind="stable")
+        starts = np.flatnonzero(blobs.groups(codes[order]))
+        codes, n = codes[order][starts], np.add.reduceat(n[order], starts)
         tongue, slot = key[0].as_py(), key[1].as_py()
-        rows = [(tongue, slot, [blobs.ascending(h), n.astype("<i8").tobytes()], None), (tongue, SUMS, [], [*_of_classes(n), *[0] * 6])]
-        # of a first word: all bigrams, and the distinct ones that occur once, twice, more often; of a second word: the distinct ones
-        first, at = np.unique(v, return_inverse=True)
-        second, before = np.unique(w, return_counts=True)
-        both = np.union1d(first, second)
-        stats = np.zeros((5, len(both)), np.int64)
-        stats[:4, np.searchsorted(both, first)] = [np.bincount(at, c).astype(np.int64) for c in (n, n == 1, n == 2, n >= 3)]
-        stats[4, np.searchsorted(both, second)] = before
-        for k, a, b in blobs.slices(blobs.range_bucket(both, word_buckets)):
-            rows.append((tongue, buckets + k, [blobs.ascending(both[a:b]), stats[:, a:b].astype("<i8").tobytes()], None))
+        # of a first piece: all bigrams, and the distinct ones that occur once, twice, more often
+        first, at = np.unique(first_of(codes), return_inverse=True)
+        stats = np.stack([np.bincount(at, c, len(first)).astype("<i8") for c in (n, n == 1, n == 2, n >= 3)])
+        rows = [(tongue, slot, [_pack_codes(codes), n.astype("<i8").tobytes(), _pack_codes(first), stats.tobytes()], None), (tongue, SUMS, [], [*_of_classes(n), *[0] * 6])]
+        second, before = np.unique(second_of(codes), return_counts=True)
+        order, parts = _ranged(second, second, piece_buckets)
+        at = 0
+        for k, part in parts:
+            rows.append((tongue, buckets + k, [_pack_codes(part), before[order[at : at + len(part)]].astype("<i8").tobytes()], None))
+            at += len(part)
         return pa.Table.from_batches([_rows(rows)])
 
     return run
 
 
-def _merge_words(key: tuple, table: pa.Table) -> pa.Table:
-    """Reduce a range of words: its sorted array."""
+def _merge_pieces(key: tuple, table: pa.Table) -> pa.Table:
+    """Reduce a range of second pieces: its sorted array, with the distinct pieces before each."""
     got = [blobs.unpack(x) for x in table.column("blobs").to_pylist()]
-    word = np.concatenate([blobs.from_ascending(x[0]) for x in got])
-    stats = np.concatenate([np.frombuffer(x[1], "<i8").reshape(5, -1) for x in got], axis=1)
-    order = np.argsort(word, kind="stable")
-    starts = np.flatnonzero(blobs.groups(word[order]))
-    word, stats = word[order][starts], np.add.reduceat(stats[:, order], starts, axis=1)
+    codes, n = np.concatenate([_codes(x[0]) for x in got]), np.concatenate([np.frombuffer(x[1], "<i8") for x in got])
+    order = np.argsort(codes, kind="stable")
+    starts = np.flatnonzero(blobs.groups(codes[order]))
+    codes, n = codes[order][starts], np.add.reduceat(n[order], starts)
     tongue, slot = key[0].as_py(), key[1].as_py()
-    words = stats[4][stats[4] > 0]
-    return pa.Table.from_batches([_rows([(tongue, slot, [blobs.ascending(word), stats.astype("<i8").tobytes()], None), (tongue, SUMS, [], [*[0] * 6, *_of_classes(words)])])])
+    return pa.Table.from_batches([_rows([(tongue, slot, [_pack_codes(codes), n.astype("<i8").tobytes()], None), (tongue, SUMS, [], [*[0] * 6, *_of_classes(n)])])])
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -192,24 +185,24 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 class KneserNey:
     """The numbers of a whole language."""
 
-    #: discounts of bigrams, and of words by the number of words that stand before them
+    #: discounts of bigrams, and of second pieces by the number of pieces that stand before them
     bigram: np.ndarray
-    word: np.ndarray
-    #: distinct bigrams and words
+    piece: np.ndarray
+    #: distinct bigrams and second pieces
     bigrams: int
-    words: int
-    #: what the discounts of words leave for all words alike
+    pieces: int
+    #: what the discounts of second pieces leave for all of them alike
     rest: float
 
     @staticmethod
     def of(sums: list[int]) -> KneserNey:
-        bigram, word = discounts(*sums[:4]), discounts(*sums[6:10])
-        rest = float(word[1:] @ np.array([sums[6], sums[7], sums[10]])) / max(1, sums[5])
-        return KneserNey(bigram, word, sums[5], sums[11], rest)
+        bigram, piece = discounts(*sums[:4]), discounts(*sums[6:10])
+        rest = float(piece[1:] @ np.array([sums[6], sums[7], sums[10]])) / max(1, sums[5])
+        return KneserNey(bigram, piece, sums[5], sums[11], rest)
 
     def log_p(self, count, first, once, twice, more, before, bigrams) -> np.ndarray:
-        """ln p of bigrams: ``count`` of each, of its first word all bigrams and the distinct ones by class, of its second word those ``before`` it."""
-        lower = np.maximum(before - self.word[np.minimum(before, 3)], 0) / np.maximum(bigrams, 1) + self.rest / max(1, self.words)
+        """ln p of bigrams: ``count`` of each, of its first piece all bigrams and the distinct ones by class, of its second piece those ``before`` it."""
+        lower = np.maximum(before - self.piece[np.minimum(before, 3)], 0) / np.maximum(bigrams, 1) + self.rest / max(1, self.pieces)
         left = self.bigram[1] * once + self.bigram[2] * twice + self.bigram[3] * more
         seen = first > 0
         total = np.maximum(first, 1)
@@ -218,27 +211,30 @@ class KneserNey:
 
 @dataclass(frozen=True)
 class Model:
-    """Sorted hash arrays in ``table`` (``ROWS``), and each language's numbers."""
+    """Sorted arrays in ``table`` (``ROWS``), and each language's numbers."""
 
     table: DataFrame
     languages: dict[str, KneserNey]
     buckets: int
-    word_buckets: int
+    piece_buckets: int
+
+
+def _text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
 def fit(docs: DataFrame, buckets: int | None = None) -> Model:
     """Count a model of each language over all documents; the driver sees one row a language."""
     rows = docs.select(_tongue().alias("tongue"), "text")
     if buckets is None:
-        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    word_buckets = min(buckets, WORD_BUCKETS)
+        buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-_text_bytes(docs) // BUCKET_BYTES))
+    piece_buckets = min(buckets, PIECE_BUCKETS)
     counted = rows.mapInArrow(_count(buckets), ROWS).groupBy("tongue", "slot")
-    merged = cut_lineage(counted.applyInArrow(_merge(buckets, word_buckets), ROWS))
-    words = cut_lineage(merged.where(F.col("slot") >= buckets).groupBy("tongue", "slot").applyInArrow(_merge_words, ROWS))
-    sums = merged.unionByName(words).where(F.col("slot") == SUMS).groupBy("tongue").agg(*[F.sum(F.get("sums", k)).alias(f"s{k}") for k in range(12)]).collect()
-    table = merged.where(F.col("slot").between(0, buckets - 1)).unionByName(words.where(F.col("slot") >= buckets))
-    return Model(table, {r["tongue"]: KneserNey.of(list(r)[1:]) for r in sums}, buckets, word_buckets)
+    merged = cut_lineage(counted.applyInArrow(_merge(buckets, piece_buckets), ROWS))
+    seconds = cut_lineage(merged.where(F.col("slot") >= buckets).groupBy("tongue", "slot").applyInArrow(_merge_pieces, ROWS))
+    sums = merged.unionByName(seconds).where(F.col("slot") == SUMS).groupBy("tongue").agg(*[F.sum(F.get("sums", k)).alias(f"s{k}") for k in range(12)]).collect()
+    table = merged.where(F.col("slot").between(0, buckets - 1)).unionByName(seconds.where(F.col("slot") >= buckets))
+    return Model(table, {r["tongue"]: KneserNey.of(list(r)[1:]) for r in sums}, buckets, piece_buckets)
 
 
 def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
@@ -270,17 +266,29 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
 CHARACTER_STARTS = bytes(b for b in range(256) if b & 0xC0 != 0x80)
 
 
-def _ask(buckets: int, word_buckets: int) -> Callable:
-    """Reduce a portion of documents: its distinct bigrams and words, each to its range."""
+DOCUMENTS = "portion int, documents binary"
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        known, out = _Known(), []
-        for tongue, _, _, v, w in _by_tongue(table, known):
-            for h, n, before in ((np.unique(bigram_hashes(v, w)), buckets, 0), (np.union1d(v, w), word_buckets, buckets)):
-                out += [(tongue, before + k, key[0].as_py(), blobs.pack([blobs.ascending(h[a:b])])) for k, a, b in blobs.slices(blobs.range_bucket(h, n))]
-        return _answers(out)
 
-    return run
+def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Map documents: those of a batch that go to one portion as one compressed row."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        portion = batch.column(0).to_numpy()
+        order = np.argsort(portion, kind="stable")
+        rows = []
+        for k, a, b in blobs.slices(portion[order]):
+            sink = pa.BufferOutputStream()
+            part = batch.take(pa.array(order[a:b]))
+            with pa.ipc.new_stream(sink, part.schema) as out:
+                out.write_batch(part)
+            rows.append((k, pack(sink.getvalue())))
+        c = list(zip(*rows, strict=True)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.binary())], ["portion", "documents"])
+
+
+def _unbundle(table: pa.Table) -> pa.Table:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.concat_tables([pa.ipc.open_stream(unpack(x)).read_all() for x in table.column("documents").to_pylist()])
 
 
 ANSWERS = "tongue string, slot int, portion int, blobs array<binary>"
@@ -291,27 +299,46 @@ def _answers(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(x, t) for x, t in zip(c, (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.binary())), strict=True)], ["tongue", "slot", "portion", "blobs"])
 
 
-def _by_tongue(table: pa.Table, known: _Known) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By language: its rows of the portion, and text (a place among the rows), first and second word of each bigram."""
+def _by_tongue(table: pa.Table) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """By language: its rows of the portion, and text (a place among the rows) and code of each bigram."""
     by, held = defaultdict(list), texts(table.column("text"))
     for k, tongue in enumerate(table.column("tongue").to_pylist()):
         by[tongue].append(k)
     for tongue, rows in by.items():
-        yield tongue, np.array(rows), *_bigrams([held[k] for k in rows], known)
+        yield tongue, np.array(rows), *bigrams([held[k] for k in rows])
+
+
+def _ask(buckets: int, piece_buckets: int) -> Callable:
+    """Reduce a portion of documents: its distinct bigrams and second pieces, each to its range."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        out = []
+        for tongue, _, _, code in _by_tongue(_unbundle(table)):
+            codes, second = np.unique(code), np.unique(second_of(code))
+            for found, of, n, before in ((codes, first_of(codes), buckets, 0), (second, second, piece_buckets, buckets)):
+                out += [(tongue, before + k, key[0].as_py(), blobs.pack([_pack_codes(part)])) for k, part in _ranged(found, of, n)[1]]
+        return _answers(out)
+
+    return run
 
 
 def _look_up(asked: pa.Table, held: pa.Table) -> pa.Table:
-    """What a range knows of the hashes asked for: the values of its array, 0 where it has none."""
+    """What a range knows of the codes asked for, 0 where it has none: of bigrams, their counts and those of the distinct first pieces."""
     if not held.num_rows:
         return _answers([])
-    keys, values = blobs.unpack(held.column("blobs")[0].as_py())
-    keys, values = blobs.from_ascending(keys), np.frombuffer(values, "<i8")
-    values, out = values.reshape(-1, len(keys)), []
+    tables, out = blobs.unpack(held.column("blobs")[0].as_py()), []
+    arrays = [(keys := _codes(k), np.frombuffer(v, "<i8").reshape(-1, len(keys))) for k, v in zip(tables[::2], tables[1::2], strict=True)]
+
+    def find(codes: np.ndarray, keys: np.ndarray, values: np.ndarray) -> list[bytes]:
+        at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+        return [x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in np.where(keys[at] == codes, values[:, at], 0)]
+
     for row in asked.to_pylist():
-        h = blobs.from_ascending(blobs.unpack(row["blobs"])[0])
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        found = np.where(keys[at] == h, values[:, at], 0)
-        out.append((row["tongue"], row["slot"], row["portion"], blobs.pack([x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in found])))
+        codes = _codes(blobs.unpack(row["blobs"])[0])
+        found = find(codes, *arrays[0])
+        if len(arrays) > 1:
+            found += find(np.unique(first_of(codes)), *arrays[1])
+        out.append((row["tongue"], row["slot"], row["portion"], blobs.pack(found)))
     return _answers(out)
 
 
@@ -319,53 +346,65 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
 
 
-def log_perplexities(n: int, doc: np.ndarray, v: np.ndarray, w: np.ndarray, h: np.ndarray, count: np.ndarray, word: np.ndarray, stats: np.ndarray, numbers: KneserNey) -> np.ndarray:
-    """Mean -ln p of the bigrams (doc, v, w) of each of ``n`` texts, its own counts left out; nan without any.
+def _placed(codes: np.ndarray, of: np.ndarray, buckets: int, came: list[np.ndarray]) -> np.ndarray:
+    """What came back, range by range, in the order of the codes."""
+    order, values = _ranged(codes, of, buckets)[0], np.concatenate([np.zeros(0, np.int64), *came])
+    if len(values) != len(codes):
+        raise ValueError("a portion of documents changed while it was scored")
+    out = np.empty(len(codes), np.int64)
+    out[order] = values
+    return out
+
+
+def nats(n: int, doc: np.ndarray, code: np.ndarray, count: np.ndarray, stats: np.ndarray, before: np.ndarray, numbers: KneserNey) -> np.ndarray:
+    """The sum of -ln p of the bigrams (doc, code) of each of ``n`` texts, its own counts left out.
 
-    ``h`` has the sorted bigrams that occur, beside their counts, and ``word`` the words,
-    beside what is known of them.
+    ``count`` is of the sorted codes that occur, ``stats`` of their sorted first pieces (all
+    bigrams, the distinct ones by class), ``before`` of their sorted second pieces.
     """
-    place = np.searchsorted(h, bigram_hashes(v, w))
-    pair, first, times = np.unique(doc * len(h) + place, return_index=True, return_counts=True)
-    of, c = pair // max(1, len(h)), count[pair % max(1, len(h))]
-    left, right = np.searchsorted(word, v[first]), np.searchsorted(word, w[first])
+    codes = np.unique(code)
+    first, second = np.unique(first_of(codes)), np.unique(second_of(codes))
+    pair, times = np.unique(doc * max(1, len(codes)) + np.searchsorted(codes, code), return_counts=True)
+    of, which = pair // max(1, len(codes)), pair % max(1, len(codes))
+    c = count[which]
+    left, right = np.searchsorted(first, first_of(codes))[which], np.searchsorted(second, second_of(codes))[which]
     rest = np.maximum(c - times, 0)
     gone = rest == 0
-    # by text and first word: what the text took from the classes of its bigrams
-    _, context = np.unique(of * len(word) + left, return_inverse=True)
-    moved = lambda a, b: np.bincount(context, b.astype(np.int64) - a)[context].astype(np.int64)
+    # what a text took from the classes of its bigrams, by first piece; pairs are sorted by text and first piece
+    context = np.cumsum(blobs.groups(of, left)) - 1
+    moved = lambda old, new: np.bincount(context, new.astype(np.int64) - old)[context].astype(np.int64)
     all_, once, twice, more = [np.maximum(stats[k][left] + moved(old, new), 0) for k, (old, new) in enumerate(((c, rest), (c == 1, rest == 1), (c == 2, rest == 2), (c >= 3, rest >= 3)))]
-    _, following = np.unique(of * len(word) + right, return_inverse=True)
-    before = np.maximum(stats[4][right] - np.bincount(following, gone)[following].astype(np.int64), 0)
-    bigrams = numbers.bigrams - np.bincount(of, gone, n)[of]
-    log_p = numbers.log_p(rest, all_, once, twice, more, before, bigrams)
-    words = np.bincount(doc, minlength=n)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(words > 0, -np.bincount(of, times * log_p, n) / words, np.nan)
+    _, following = np.unique(of * max(1, len(second)) + right, return_inverse=True)
+    ways = np.maximum(before[right] - np.bincount(following, gone)[following].astype(np.int64), 0)
+    log_p = numbers.log_p(rest, all_, once, twice, more, ways, numbers.bigrams - np.bincount(of, gone, n)[of])
+    return -np.bincount(of, times * log_p, n)
 
 
 MEASURED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
 
 
-def _score(languages: dict[str, KneserNey]) -> Callable:
+def _score(languages: dict[str, KneserNey], buckets: int, piece_buckets: int) -> Callable:
     """Reduce a portion of documents and what came back for it: the measures of each document."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        known = _Known()
+        table = _unbundle(table)
         counts = [base_counts(x.encode("utf-8", "replace")) for x in texts(table.column("text"))]
         scores = np.full(table.num_rows, np.nan)
-        came = defaultdict(list)
+        came = defaultdict(lambda: defaultdict(list))
         for r in sorted(answers.to_pylist(), key=lambda r: r["slot"]):
             found = [_from_planes(x) for x in blobs.unpack(r["blobs"])]
-            came[r["tongue"], len(found)].append(np.stack(found))
-        for tongue, rows, doc, v, w in _by_tongue(table, known):
-            if (tongue, 1) in came:
-                h, word = np.unique(bigram_hashes(v, w)), np.union1d(v, w)
-                count, stats = np.concatenate(came[tongue, 1], axis=1)[0], np.concatenate(came[tongue, 5], axis=1)
-                if len(count) != len(h) or stats.shape[1] != len(word):
-                    raise ValueError("a portion of documents changed while it was scored")
-                scores[rows] = log_perplexities(len(rows), doc, v, w, h, count, word, stats, languages[tongue])
+            for k, x in enumerate(found if len(found) > 1 else [None] * 5 + found):
+                if x is not None:
+                    came[r["tongue"]][k].append(x)
+        for tongue, rows, doc, code in _by_tongue(table):
+            if tongue in came and len(code):
+                codes = np.unique(code)
+                first, second, of = np.unique(first_of(codes)), np.unique(second_of(codes)), came[tongue]
+                stats = [_placed(first, first, buckets, of[k]) for k in (1, 2, 3, 4)]
+                scores[rows] = nats(len(rows), doc, code, _placed(codes, first_of(codes), buckets, of[0]), stats, _placed(second, second, piece_buckets, of[5]), languages[tongue])
         columns = list(zip(*counts, strict=True)) or [()] * 5
+        words = np.array(columns[0], float)
+        scores = np.divide(scores, words, out=np.full(len(words), np.nan), where=words > 0)
         names = [x.split()[0] for x in MEASURED.split(", ")]
         return pa.table([table.column("doc_id"), table.column("lang"), *[pa.array(c, pa.int64()) for c in columns], pa.array(scores, pa.float64(), mask=np.isnan(scores))], names)
 
@@ -374,17 +413,16 @@ def _score(languages: dict[str, KneserNey]) -> Callable:
 
 def measure(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang, the base counts and log_perplexity (null without a word) of each document of the corpus that ``model`` counted."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    portions = max(1, -(-total // blobs.PORTION))
+    portions = max(1, -(-_text_bytes(docs) // blobs.PORTION))
     portion = F.pmod(F.xxhash64("doc_id", "text"), F.lit(portions)).cast("int").alias("portion")
-    rows = docs.select(portion, "doc_id", "lang", _tongue().alias("tongue"), "text")
-    asked = rows.groupBy("portion").applyInArrow(_ask(model.buckets, model.word_buckets), ANSWERS)
+    rows = docs.select(portion, "doc_id", "lang", _tongue().alias("tongue"), "text").mapInArrow(_bundle, DOCUMENTS)
+    asked = rows.groupBy("portion").applyInArrow(_ask(model.buckets, model.piece_buckets), ANSWERS)
     key = ["tongue", "slot"]
     answers = asked.groupBy(*key).cogroup(model.table.select(*key, "blobs").groupBy(*key)).applyInArrow(_look_up, ANSWERS)
-    return rows.groupBy("portion").cogroup(answers.groupBy("portion")).applyInArrow(_score(model.languages), MEASURED)
+    return rows.groupBy("portion").cogroup(answers.groupBy("portion")).applyInArrow(_score(model.languages, model.buckets, model.piece_buckets), MEASURED)
 
 
-def judge(measured: DataFrame, width_below: float = 6.0, width_above: float = 4.0, floor: float = 0.05) -> DataFrame:
+def judge(measured: DataFrame, width_below: float = 8.0, width_above: float = 6.0, floor: float = 0.1) -> DataFrame:
     """``measured`` with base_failed, the band of its language, perplexity and kept.
 
     A band reaches ``width_below`` and ``width_above`` times the distance of median and
