@@ -430,7 +430,7 @@ def judge(measured: DataFrame, width_below: float = 8.0, width_above: float = 6.
     it is wider by the square root of the ratio, as a short text's mean varies more.
     """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    measured = measured.withColumn("base_failed", failed)
+    measured = cut_lineage(measured.withColumn("base_failed", failed))  # read for the bands and for the rows
     quartiles, chars = F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000), F.percentile_approx("word_chars", 0.5, 10_000)
     bands = measured.where(~F.col("base_failed")).groupBy(F.col("lang").alias("_lang")).agg(quartiles.alias("_q"), chars.alias("_chars"))
     q, wider = F.col("_q"), F.sqrt(F.greatest(F.lit(1.0), F.col("_chars") / F.greatest("word_chars", F.lit(1))))
