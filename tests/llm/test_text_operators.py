@@ -98,7 +98,7 @@ def test_spans_and_redaction(spark, odd_documents, no_documents):
     texts = ["mail joe.x@ab.example.com now", "call +1 (234) 555-7890 or 10.2.3.4", 'token = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8" end', "nothing here", None] * 4
     docs = spark.createDataFrame([(n, t, 0) for n, t in enumerate(texts)], "doc_id long, text string, n_chars int")
     model = pii.fit(docs)
-    assert len(model.reliability[1]) == pii.LABELERS
+    assert len(model.reliability["secret"][1]) == pii.LABELERS
     found = by_id(pii.find_spans(docs, model))
     assert [(s.kind, s.start, s.end, s.base) for s in found[0].spans] == [("email", 5, 25, True)]
     clean = by_id(pii.redact(docs, model))
@@ -111,6 +111,47 @@ def test_spans_and_redaction(spark, odd_documents, no_documents):
     assert nothing.probability("secret 0+0+++ 42") == 0 and pii.find_spans(no_documents, nothing).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_secrets_are_found_at_any_size(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    found = {r.doc_id: {(s.start, s.end) for s in r.spans if s.kind == "secret"} for r in pii.find_spans(docs, pii.fit(docs)).collect()}
+    right = wrong = missed = 0
+    for r in docs.collect():
+        want = {m.span(1) for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text or "", re.I)}
+        right, wrong, missed = right + len(want & found[r.doc_id]), wrong + len(found[r.doc_id] - want), missed + len(want - found[r.doc_id])
+    assert right > 10 and wrong <= 0.02 * right and missed <= 0.02 * right
+
+
+def test_added_kinds_are_told_from_their_likes(spark):
+    """Planted names, spelled addresses and local numbers, each beside spans that only look like them."""
+    real = [("person", "Dear Mrs. Anna {}, thank you"), ("person", "signed by Mr. Thomas {} today"), ("email_spelled", "contact me: john{} at example dot com please"), ("email_spelled", "mail sue{}(at)corp(dot)org now"), ("phone_local", "call phone (234) 555-{:04} now"), ("secret", "api token = ab{:06}CDef0123456789ABcdEF01 end")]
+    false = [("person", "version Ms Windows{} is out"), ("email_spelled", "look 7{} at picture dot Xyz there"), ("secret", "chapter/{:06}aaaaaaaaaaaaaaaaaaaa1/ and on"), ("phone_local", "isbn 978 {:03} 1111/2 text")]
+    name = lambda k: "ABCDEFGHIJ"[k % 10].upper() + "abcdefghij"[k // 10 % 10] + "xyz"
+    rows, want = [], {}
+    for k in range(60):
+        for kinds, good in ((real, True), (false, False)):
+            for kind, text in kinds:
+                doc = len(rows)
+                rows.append((doc, text.format(name(k) if kind == "person" else k)))
+                want[doc] = kind if good else None
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = by_id(pii.find_spans(docs, pii.fit(docs)))
+    for kind in ("person", "email_spelled", "phone_local", "secret"):
+        right = sum(any(s.kind == kind for s in found[d].spans) for d, k in want.items() if k == kind)
+        wrong = sum(any(s.kind == kind for s in found[d].spans) for d, k in want.items() if k != kind)
+        assert right >= 0.95 * sum(k == kind for k in want.values()), kind
+        assert wrong <= 0.05 * right, kind
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    text = "a.b@c.example.com and Mr. John Smith said so " * 20_000
+    start = time.perf_counter()
+    assert sum(c[0] == "person" for c in pii.candidates(text)) == 20_000
+    assert time.perf_counter() - start < 5
+
+
 # quality rules
 
 

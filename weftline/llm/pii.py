@@ -3,9 +3,11 @@
 Patterns, word lists and context give each candidate span a vote for, against or none.
 Spark counts how often each combination of votes occurs; from those counts (a table whose
 size is fixed by the number of labelers, kinds and bins) expectation-maximisation on the
-driver estimates how reliable each labeler is, and a logistic span classifier is trained
-on the resulting soft labels. Spans of the four base kinds that pass their checks always
-stay; the classifier decides on all other candidates.
+driver estimates how reliable each labeler is for each kind, starting from the belief that
+a vote is more often right than wrong, which ``BELIEF`` spans of a kind would outweigh. A
+logistic span classifier, with weights of its own for each kind's votes, is trained on the
+resulting soft labels. Spans of the four base kinds that pass their checks always stay; the
+classifier decides on all other candidates, span by span.
 
 Positions are code points, ends exclusive. Defined results: a null or empty text has no
 span; spans of one kind don't overlap; repeated rows each have their spans; without any
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +33,8 @@ from weftline.llm.tables import texts
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "email_spelled", "phone_local", "secret", "person")
 LABELERS = 6
+#: Spans that the first belief in a labeler counts as, and how often it takes a vote to be right.
+BELIEF, RIGHT = 8.0, 0.75
 LENGTH_EDGES, DIGIT_EDGES = (8, 16, 24, 40), (0.01, 0.3, 0.8)
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -48,15 +53,20 @@ WORDS_BEFORE = re.compile(r"\w+")
 TOP_DOMAINS = frozenset("com org net edu gov io de fr es it nl eu uk us info biz example test".split())
 COUNTRY_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "61", "62", "65", "81", "82", "86", "90", "91")
 CUES = {
-    "email": frozenset("email mail e contact correo courriel write reach".split()),
-    "ip": frozenset("ip host address server login from client adresse".split()),
-    "card": frozenset("card visa credit debit payment carte karte tarjeta account".split()),
-    "phone": frozenset("phone tel call mobile fax telefon telephone cell number".split()),
-    "secret": frozenset("token key secret password passwd pwd api auth bearer credential".split()),
-    "person": frozenset("dear by signed contact regards name patient".split()),
+    "email": frozenset("email mail e contact correo courriel adresse write reach ask mailto schreiben escribir".split()),
+    "ip": frozenset("ip host address server login from client adresse dirección serveur gateway".split()),
+    "card": frozenset("card visa credit debit payment carte karte tarjeta account konto compte cuenta mastercard amex".split()),
+    "phone": frozenset("phone tel call mobile fax telefon telephone cell number téléphone teléfono handy portable numéro número nummer".split()),
+    "secret": frozenset("token key secret password passwd pwd api auth bearer credential apikey passwort contraseña clave schlüssel jeton".split()),
+    "person": frozenset("dear by signed contact regards name patient from client cher chère liebe lieber estimado estimada sincerely doctor author".split()),
 }
-AGAINST = frozenset("version v page chapter section isbn issn build figure table sha commit checksum".split())
-GIVEN_NAMES = frozenset("james mary john anna peter maria paul laura thomas julia david sarah michael emma hans klaus sabine pierre marie jean luc carlos jose lucia juan".split())
+AGAINST = frozenset("version v page chapter section isbn issn build figure table sha commit checksum digest hash seite kapitel chapitre capítulo tabelle tableau figura".split())
+GIVEN_NAMES = frozenset(
+    "james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen christopher lisa daniel nancy matthew sandra anthony emily mark emma "
+    "steven olivia paul sophia andrew hannah joshua grace kevin alice brian julia george laura edward anna peter maria hans klaus sabine petra jürgen wolfgang heike stefan uwe monika ursula karl fritz greta lukas "
+    "jonas leon lena katharina pierre marie jean luc claire camille nicolas julien sophie antoine louis chloé manon philippe françois isabelle carlos jose josé lucia lucía juan miguel carmen javier ana pablo diego "
+    "sofia sofía manuel pilar rosa elena fernando luis jorge raquel wei ming yuki hiroshi fatima omar ahmed amina priya raj ivan olga natasha dmitri".split()
+)
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -104,6 +114,18 @@ def base_and_misses(text: str) -> list[tuple[str, int, int, bool]]:
     return found
 
 
+def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what sorted spans cover."""
+    starts, ends = [], []
+    for a, b in spans:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, base) by kind as listed, then start; other kinds leave out what a base span covers."""
     found = base_and_misses(text)
@@ -115,7 +137,9 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     more += [("secret", *m.span(), False) for m in SECRET.finditer(text) if any("0" <= c <= "9" for c in m.group()) and any(c.isalpha() for c in m.group())]
     more += [("person", *m.span(), False) for m in PERSON.finditer(text) if m.start() == 0 or not text[m.start() - 1].isalnum()]
     if taken and more:
-        more = [x for x in more if not any(a < x[2] and x[1] < b for a, b in taken)]
+        starts, ends = _merged(taken)
+        # of the merged base spans, the last one that begins before the span's end is the one that may reach into it
+        more = [x for x in more if (k := bisect_right(starts, x[2] - 1)) == 0 or ends[k - 1] <= x[1]]
     order = {k: n for n, k in enumerate(KINDS)}
     return sorted(found + more, key=lambda x: (order[x[0]], x[1], x[2]))
 
@@ -147,6 +171,8 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> str:
         listed = "-" if span.startswith(("10.", "127.", "192.168.", "0.")) else "+"
     elif kind == "phone":
         listed = "+" if digits.startswith(COUNTRY_CODES) else "-"
+    elif kind == "phone_local":  # area and exchange begin with 2 to 9
+        listed = "+" if min(digits[0], digits[3]) >= "2" else "-"
     elif kind == "person":
         listed = "+" if any(w.lower() in GIVEN_NAMES for w in span.split()[1:]) else "0"
     else:
@@ -161,7 +187,7 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> str:
     got.append("+" if variety > 0.3 else "-" if variety < 0.15 else "0")
     # what stands next to it
     left, right = text[start - 1 : start], text[end : end + 1]
-    got.append("-" if left.isalnum() or right.isalnum() or left in ("/", "_", "#") and left else "+")
+    got.append("-" if left.isalnum() or right.isalnum() or left in ("/", "_", "#") and left or right in ("/", "_") and right else "+")
     return "".join(got)
 
 
@@ -172,26 +198,33 @@ def feature_key(text: str, kind: str, start: int, end: int, base: bool) -> str:
     return f"{kind} {votes(text, kind, start, end, base)} {sum(length >= x for x in LENGTH_EDGES)}{sum(share >= x for x in DIGIT_EDGES)}"
 
 
-def _vector(key: str) -> np.ndarray:
-    kind, vote, bins = key.split(" ")
-    x = np.zeros(1 + len(KINDS) + 2 * LABELERS + len(LENGTH_EDGES) + len(DIGIT_EDGES) + 2)
+def _features(key: str) -> np.ndarray:
+    """Which votes and bins a span shows, after a constant."""
+    _, vote, bins = key.split(" ")
+    x = np.zeros(1 + 2 * LABELERS + len(LENGTH_EDGES) + len(DIGIT_EDGES) + 2)
     x[0] = 1
-    x[1 + KINDS.index(kind)] = 1
-    at = 1 + len(KINDS)
     for k, v in enumerate(vote):
         if v != "0":
-            x[at + 2 * k + (v == "-")] = 1
-    at += 2 * LABELERS
+            x[1 + 2 * k + (v == "-")] = 1
+    at = 1 + 2 * LABELERS
     x[at + int(bins[0])] = 1
     x[at + len(LENGTH_EDGES) + 1 + int(bins[1])] = 1
     return x
 
 
+def _vector(key: str) -> np.ndarray:
+    """The features once for all kinds and once for the span's own."""
+    x = _features(key)
+    out = np.zeros((1 + len(KINDS), len(x)))
+    out[0] = out[1 + KINDS.index(key.split(" ")[0])] = x
+    return out.reshape(-1)
+
+
 @dataclass(frozen=True)
 class SpanModel:
     weights: tuple[float, ...]
-    #: P(vote + / - / 0) of each labeler, for spans that are not personal data and that are
-    reliability: tuple[tuple[tuple[float, ...], ...], ...]
+    #: by kind: P(vote + / - / 0) of each labeler, for spans that are not personal data and that are
+    reliability: dict[str, tuple]
 
     def probability(self, key: str) -> float:
         if not self.weights:
@@ -218,30 +251,42 @@ def fit(docs: DataFrame, rounds: int = 50) -> SpanModel:
     """Estimate the labelers' reliabilities by EM and train the span classifier."""
     rows = sorted((r["key"], r["n"]) for r in vote_counts(docs).collect())  # bounded by kinds, votes and bins
     if not rows:
-        return SpanModel((), ())
+        return SpanModel((), {})
     keys, n = [k for k, _ in rows], np.array([c for _, c in rows], float)
     vote = np.array([["+-0".index(v) for v in k.split(" ")[1]] for k in keys])
     kind = np.array([KINDS.index(k.split(" ")[0]) for k in keys])
     for_, against = (vote == 0).sum(1), (vote == 1).sum(1)
     p = (for_ + 0.5) / (for_ + against + 1)  # the first guess is the majority of the votes
+    log, tables = np.zeros((2, len(keys))), {}
+    for k in sorted(set(kind.tolist())):
+        mine = kind == k
+        tables[KINDS[k]], log[:, mine] = _reliabilities(vote[mine], n[mine], p[mine], rounds)
+    p = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
+    x = np.stack([_vector(k) for k in keys])
+    w = np.zeros(x.shape[1])
+    for _ in range(50):  # Newton steps of a ridge logistic regression on the soft labels
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        step = np.linalg.solve((x * (n * q * (1 - q))[:, None]).T @ x + np.eye(len(w)), x.T @ (n * (p - q)) - w)
+        w += np.clip(step, -2, 2)
+    return SpanModel(tuple(w.tolist()), tables)
+
+
+def _reliabilities(vote: np.ndarray, n: np.ndarray, p: np.ndarray, rounds: int) -> tuple[tuple, np.ndarray]:
+    """EM over the vote combinations of one kind: P(vote) by class and labeler, and ln P(combination and class)."""
+    belief = np.array([[1 - RIGHT, RIGHT], [RIGHT, 1 - RIGHT]])  # by class: + and - among the votes that are given
+    table, log = np.zeros((2, LABELERS, 3)), np.zeros((2, len(n)))
     p = np.clip(p, 0.02, 0.98)
-    table = np.zeros((2, LABELERS, 3))
     for _ in range(rounds):
-        prior = np.array([((p * n)[kind == k].sum() + 1) / (n[kind == k].sum() + 2) for k in range(len(KINDS))])
+        prior = ((p * n).sum() + 1) / (n.sum() + 2)
         for c, w in ((0, (1 - p) * n), (1, p * n)):
             for lab in range(LABELERS):
-                got = np.bincount(vote[:, lab], w, 3) + 0.5
+                got = np.bincount(vote[:, lab], w, 3)
+                silent = (n[vote[:, lab] == 2].sum() + 1) / (n.sum() + 3)  # silence says nothing at first
+                got += BELIEF * np.array([*(belief[c] * (1 - silent)), silent])
                 table[c, lab] = got / got.sum()
-        log = [np.log(prior[kind] if c else 1 - prior[kind]) + sum(np.log(table[c, lab, vote[:, lab]]) for lab in range(LABELERS)) for c in (0, 1)]
+        log = np.stack([np.log(share) + sum(np.log(table[c, lab, vote[:, lab]]) for lab in range(LABELERS)) for c, share in ((0, 1 - prior), (1, prior))])
         p = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
-    x = np.stack([_vector(k) for k in keys])
-    w = np.zeros(x.shape[1])
-    share = n / n.sum()
-    for _ in range(30):  # Newton steps of a ridge logistic regression on the soft labels
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        step = np.linalg.solve((x * (share * q * (1 - q))[:, None]).T @ x + 1e-3 * np.eye(len(w)), x.T @ (share * (p - q)) - 1e-3 * w)
-        w += np.clip(step, -5, 5)
-    return SpanModel(tuple(w.tolist()), tuple(tuple(tuple(v) for v in c) for c in table.tolist()))
+    return tuple(tuple(tuple(v) for v in c) for c in table.tolist()), log
 
 
 def accepted(text: str, model: SpanModel, known: dict[str, float], threshold: float) -> list[tuple[str, int, int, float, bool]]:
