@@ -376,8 +376,42 @@ def test_leaks_equal_all_windows(spark):
     want = {(d, k) for d, t in docs for k, x in enumerate(items) if leaks_by_hand(t, " ".join(x))}
     got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, benchmark, block_bytes=400).collect()}
     assert got == want and len(want) > 20
-    kept = {r.doc_id for r in decontaminate.drop_leaking(frame, benchmark).collect()}
-    assert kept == {d for d, _ in docs} - {d for d, _ in want}
+    for size in (1 << 20, 400):
+        kept = {r.doc_id for r in decontaminate.drop_leaking(frame, benchmark, block_bytes=size).collect()}
+        assert kept == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_words_of_any_script():
+    found = [w.decode() for piece in decontaminate.words("«Mot»\xa0zwei—ÄÖ_x „drei“ 日本、語 a-b") for w in piece]
+    assert found == ["mot", "zwei", "äö", "x", "drei", "日本", "語", "a", "b"]
+
+
+def test_very_long_documents_and_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 50)
+    monkeypatch.setattr(decontaminate, "PAIRS", 8)
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(30_000)]
+    item = words[10_000:15_000]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:9_000]))], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(reversed(item)))], "item_id long, text string")
+    rows = decontaminate.find_leaks(docs, benchmark).collect()
+    assert [(r.doc_id, r.item_id, r.window_start, r.window_words) for r in rows] == [(1, 7, 10_000, 5_000)]
+
+
+def test_recall_at_the_threshold():
+    """Pairs of similarity 0.8 to 0.85 are found through their fingerprints."""
+    rng = random.Random(5)
+    found = tried = 0
+    for _ in range(300):
+        item = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        window = list(item)
+        for at in (20, 60):
+            window[at] = "other"
+        alike = len(set(zip(*[item[k:] for k in range(5)], strict=False)) & set(zip(*[window[k:] for k in range(5)], strict=False)))
+        assert 0.8 <= alike / (2 * 116 - alike) < 0.85
+        tried += 1
+        found += bool(decontaminate.Items([(0, " ".join(item))], 0.8, 20).matches(" ".join(["x"] * 7 + window + ["y"] * 9)))
+    assert tried == 300 and found >= 0.995 * tried
 
 
 def test_leaks_of_odd_rows(spark, odd_documents, no_documents):

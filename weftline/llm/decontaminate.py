@@ -1,6 +1,6 @@
 """Benchmark decontamination with SimHash windows.
 
-Texts become words (lower case, letters and digits). For each length of a benchmark item, a
+Texts become words (lower case; letters and digits of any script). For each length of a benchmark item, a
 window of as many words slides over a document; its SimHash is looked up in the Hamming
 blocks of the items of that length: with ``radius`` + 1 blocks, a fingerprint within the
 radius has at least one block in common, so none is missed. What is fetched is checked
@@ -10,6 +10,11 @@ themselves.
 Most windows need no fingerprint: where too few shingles of a window occur in any item, no
 item can reach the similarity, which running sums tell for all windows at once.
 
+At the radius that a similarity of 0.8 takes (20 of 64 bits, blocks of three bits) nearly
+all items of a length share some block with a window, so the blocks guarantee and the
+running sums are what prunes; windows are looked up a few at a time, so that pairs in
+memory stay bounded however many items have one length.
+
 The items go to every task in blocks of bounded size, one pass over the documents a block.
 
 Defined results: null and empty texts match nothing, on both sides; an item of fewer than
@@ -20,16 +25,17 @@ the most similar, then the first, is reported.
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.tables import texts
+from weftline.llm.tables import cut_lineage, texts
 
 SHINGLE, BITS = 5, 64
 #: UTF-8 bytes of items that tasks hold at once.
@@ -37,7 +43,10 @@ BLOCK_BYTES = 16 << 20
 #: Characters cut into words at once.
 PIECE = 1 << 20
 FILTER_BITS = 22
-#: ASCII that isn't a letter or digit reads as a space.
+#: Pairs of a window and an item that are looked at together, about.
+PAIRS = 1 << 22
+#: What isn't a letter or digit reads as a space: ASCII by its bytes, all else by pattern.
+OTHER_MARKS = re.compile(r"[^\w\x00-\x7f]+")
 WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -48,7 +57,10 @@ def words(text: str) -> Iterator[list[bytes]]:
         end = at + PIECE
         while end < len(text) and text[end].isalnum():
             end += 1
-        yield text[at:end].lower().encode("utf-8", "replace").translate(WORD_BYTES).split()
+        piece = text[at:end].lower()
+        if not piece.isascii():
+            piece = OTHER_MARKS.sub(" ", piece)
+        yield piece.encode("utf-8", "replace").translate(WORD_BYTES).split()
         at = end
 
 
@@ -78,8 +90,9 @@ def _fingerprints(sums: np.ndarray) -> np.ndarray:
 
 
 def _signs(hashes: np.ndarray) -> np.ndarray:
+    """What each shingle adds to the sums; one with a word that no item has adds nothing."""
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return bits.astype(np.int8) * 2 - 1
+    return (bits.astype(np.int8) * 2 - 1) * (hashes > 0)[:, None]
 
 
 class Items:
@@ -192,8 +205,9 @@ class Items:
         starts = np.flatnonzero(running[width:] - running[:-width] >= least)
         if len(starts):
             for group in np.split(starts, np.flatnonzero(np.diff(starts) > width) + 1):  # windows that may overlap
-                for k in range(0, len(group), 4096):
-                    part = group[k : k + 4096]
+                step = max(1, min(4096, PAIRS // len(self.tables[length][0])))
+                for k in range(0, len(group), step):
+                    part = group[k : k + step]
                     first = int(part[0])
                     sums = np.zeros((int(part[-1]) + width - first + 1, BITS), np.int64)
                     np.cumsum(_signs(h[first : int(part[-1]) + width]), axis=0, out=sums[1:])
@@ -242,17 +256,32 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
+    """The rows of ``docs`` that hold no benchmark item, with all their columns.
+
+    Where the items fill several blocks, each block has stages of its own that name the
+    texts it finds by 128 bits of hash, so that no worker holds more than one block.
+    """
 
-    def without(items: Items) -> None:
+    def leaks(items: Items) -> Column:
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         @F.pandas_udf("boolean")
-        def leaks(column):
+        def found(column):
             return column.fillna("").map(lambda x: bool(sent.value.matches(x))).astype(bool)
 
-        return ~leaks(F.col("text"))
-
-    for items in item_blocks(benchmark, similarity, radius, block_bytes):
-        docs = docs.where(without(items))
-    return docs
+        return found(F.col("text"))
+
+    blocks = item_blocks(benchmark, similarity, radius, block_bytes)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs
+    if second is None:
+        return docs.where(~leaks(first))
+    key = F.struct(F.xxhash64("text").alias("x"), F.xxhash64("text", F.lit(1)).alias("y"))
+    named = None
+    for items in chain((first, second), blocks):
+        one = cut_lineage(docs.where(leaks(items)).select(key.alias("k")).distinct())
+        named = one if named is None else named.unionByName(one)
+    # the rows travel as one column, so that no name of theirs can clash
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("k"))
+    return rows.join(named.distinct(), "k", "left_anti").select("row.*")
