@@ -64,17 +64,59 @@ def test_removal_equals_all_strings(spark, seed, hot):
     assert sum(x[1] for x in got.values()) > 1000
 
 
-def test_groups_are_repeats_and_maximal(spark):
-    docs = corpus(9, 30)
-    texts = {i: t.encode() for i, t in docs}
-    groups = repeats.repeat_groups(spark.createDataFrame(docs, "doc_id long, text string"), buckets=3).collect()
-    assert groups
-    for g in groups:
-        strings = {texts[o.doc_id][o.start : o.start + g.n_bytes] for o in g.occurrences}
-        assert len(strings) == 1 and g.n_bytes >= 50
-        around = [{texts[o.doc_id][max(0, o.start - 1) : o.start] or o.doc_id for o in g.occurrences}, {texts[o.doc_id][o.start + g.n_bytes :][:1] or o.doc_id for o in g.occurrences}]
-        assert g.open_left or len(around[0]) > 1
-        assert g.open_right or len(around[1]) > 1
+def listed(spark, docs):
+    """(n_bytes, open_left, open_right, places) of each group."""
+    rows = repeats.repeat_groups(spark.createDataFrame(docs, "doc_id long, text string"), buckets=3).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.group, (r.n_bytes, r.open_left, r.open_right, set()))[3].add((r.doc_id, r.start))
+    assert sum(len(g[3]) for g in groups.values()) == len(rows)
+    return list(groups.values())
+
+
+@pytest.mark.parametrize("seed", [9, 10])
+def test_groups_have_every_repeated_string_with_all_occurrences(spark, seed):
+    docs = corpus(seed, 30)
+    first = {}
+    for i, t in docs:  # of equal texts the least id stands for all
+        first.setdefault(t, i)
+    texts = {i: t.encode() for t, i in first.items()}
+    groups = listed(spark, docs)
+    places = {}
+    for i, t in texts.items():
+        for a in range(len(t) - 49):
+            places.setdefault(t[a : a + 50], set()).add((i, a))
+    covered = set()
+    for n, open_left, open_right, found in groups:
+        strings = {texts[d][a : a + n] for d, a in found}
+        assert len(strings) == 1 and n >= 50
+        whole = next(iter(strings))
+        # all occurrences of the group's bytes, and no byte more on a side that isn't open
+        assert found == {(d, a) for d, t in texts.items() for a in range(len(t) - n + 1) if t[a : a + n] == whole}
+        around = [{texts[d][max(0, a - 1) : a] or (d, a) for d, a in found}, {texts[d][a + n : a + n + 1] or (d, a) for d, a in found}]
+        assert open_left or len(around[0]) > 1
+        assert open_right or len(around[1]) > 1
+        for k in range(n - 49):
+            if len(places[whole[k : k + 50]]) == len(found):
+                covered.add(whole[k : k + 50])
+    assert covered == {x for x, p in places.items() if len({d for d, _ in p}) > 1}
+
+
+def test_a_long_passage_is_one_group(spark):
+    rng = random.Random(3)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = prose(400)
+    docs = [(n, prose(rng.randint(50, 90)) + f"{n}" + passage + f"{n}" + prose(rng.randint(50, 90))) for n in range(10)] + [(20, "x" + passage[:200])]
+    groups = listed(spark, docs[:10])
+    assert len(groups) == 1 and groups[0][0] == 400 and len(groups[0][3]) == 10 and not groups[0][1] and not groups[0][2]
+    more = sorted((n, len(found)) for n, _, _, found in listed(spark, docs))
+    assert (200, 11) in more and max(k for _, k in more) == 11
+
+
+def test_owners_name_copies(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (None, "")], "doc_id long, text string")
+    owners = {r.doc_id: r.owner for r in repeats.text_owners(docs).collect()}
+    assert owners[1] == owners[2] != owners[3] == owners[None]
 
 
 def test_intervals_of_a_known_array():

@@ -10,13 +10,19 @@ The suffixes of an anchor are sorted by the text to the right, with the lengths
 common prefixes beside them. A scan with a stack walks the tree of common-prefix intervals
 of that array; inside each interval the occurrences are sorted by the text to the left and
 scanned likewise. A node of both scans has different bytes next to it on both sides: it is
-a maximal repeat (within the reach of its anchor), with all its occurrences. Longer repeats
-come as chains of overlapping groups, one an anchor.
+a maximal repeat within the reach of its anchor, with all its occurrences. A leaf, whose
+occurrences are equal as far as the anchor reaches, goes on in its neighbours' nodes, and
+those with the same occurrences are chained to whole repeats (``repeat_groups``).
+
+What decides what in removal: copies of a whole text go by its 128-bit hash; rows of one
+leaf go as far as the anchor reaches; what only a part of an anchor's occurrences share
+is decided by the nodes of its tree. Anchors are compared byte by byte.
 
 Documents whose whole texts are equal are one document until the end. What a task sees
 twice it settles itself and passes on once, and an anchor that very many documents share
 is settled by the hashes of its strings, one row a string and task; so no group of copies
-meets in one task.
+meets in one task. The listing sends every occurrence to its anchor's bucket, as a group's
+rows are its result.
 
 Defined results: null and empty texts have no bytes; a null doc_id counts as smaller than
 all others; rows of one doc_id don't remove each other's bytes; texts shorter than
@@ -25,16 +31,17 @@ all others; rows of one doc_id don't remove each other's bytes; texts shorter th
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm.blobs import ascending, from_ascending, from_numbers, groups, numbers, portions, range_bucket, slices, spread
 from weftline.llm.tables import cut_lineage
 
 LEAST = 50
@@ -45,28 +52,21 @@ REACH = LEAST - ANCHOR
 HOT = 5000
 #: Bytes of text a bucket stands for, about.
 BUCKET_BYTES = 64 << 20
-#: Bytes of text that a task looks at together.
-PORTION = 8 << 20
 NO_ID = -(2**63)
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _spread(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
 def window_hashes(data: np.ndarray, size: int, factor: np.uint64 = A) -> np.ndarray:
     """A 64-bit hash of the ``size`` bytes from each position, put together from powers of two."""
     n = len(data) - size + 1
     total, done, h, width = np.zeros(n, np.uint64), 0, data.astype(np.uint64) + np.uint64(1), 1
     while True:
         if size & width:
-            total = _spread(total * factor + h[done : done + n])
+            total = spread(total * factor + h[done : done + n])
             done += width
         if 2 * width > size:
             return total
-        h = _spread(h[:-width] * factor + h[width:])
+        h = spread(h[:-width] * factor + h[width:])
         width *= 2
 
 
@@ -88,7 +88,7 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pad = np.zeros(REACH, np.uint64)
     at = np.flatnonzero(h == _sliding(np.maximum, np.concatenate([pad, least, pad]), REACH + 1))
     # anchors have small hashes; mixed anew, they spread evenly over buckets
-    return at, _spread(h[at] * B)
+    return at, spread(h[at] * B)
 
 
 def interval_scan(lcp: list[int]) -> list[tuple[int, int, int]]:
@@ -134,27 +134,6 @@ def repeats_of_anchor(right: np.ndarray, right_sizes: np.ndarray, left: np.ndarr
                     yield to_left, to_right, found
 
 
-def _ascending(h: np.ndarray) -> bytes:
-    """The upper 48 bits of sorted hashes: their differences, by planes of one byte (the upper ones are nearly all 0)."""
-    steps = np.diff(h >> np.uint64(16), prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
-
-
-def _from_ascending(raw: bytes) -> np.ndarray:
-    steps = np.zeros((len(raw) // 6, 8), np.uint8)
-    steps[:, :6] = np.frombuffer(raw, np.uint8).reshape(6, -1).T
-    return steps.view("<u8").reshape(-1).astype(np.uint64).cumsum(dtype=np.uint64) << np.uint64(16)
-
-
-def _groups(*keys: np.ndarray) -> np.ndarray:
-    """Where a new group begins in sorted keys."""
-    new = np.zeros(len(keys[0]), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return new
-
-
 # Rows between tasks carry columns of numbers as bytes. ``bucket`` says who gets them, ``kind`` what they are.
 ROWS = "bucket int, kind int, blobs array<binary>"
 #: of a bucket of anchors (or strings): who has what
@@ -183,22 +162,11 @@ def _joined(blobs: list[list[bytes]], column: int, dtype: str = "<i8") -> np.nda
     return np.concatenate([np.frombuffer(b[column], dtype) for b in blobs])
 
 
-def _slices(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
-    """(bucket, from, to) of the buckets that occur in a sorted array."""
-    cut = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
-    yield from ((k, a, b) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b)
-
-
-def _range_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Equal ranges of the upper 32 bits, so that sorted hashes have sorted buckets."""
-    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
 def _to_owners(kind: int, docs: np.ndarray, columns: list[np.ndarray], buckets: int) -> Iterator[tuple[int, int, list[bytes]]]:
     """Rows that bring values to the buckets of their documents."""
-    bucket = _range_bucket(_spread(docs.astype(np.uint64) * A), buckets)
+    bucket = range_bucket(spread(docs.astype(np.uint64) * A), buckets)
     order = np.argsort(bucket, kind="stable")
-    for k, a, b in _slices(bucket[order], buckets):
+    for k, a, b in slices(bucket[order]):
         part = order[a:b]
         yield k, kind, [docs[part].astype("<i8").tobytes(), *[c[part].tobytes() for c in columns]]
 
@@ -225,15 +193,6 @@ def _from_texts(names: bytes, docs: bytes, place: bytes) -> tuple[np.ndarray, np
     return _from_names(docs, place), _from_names(names, place)
 
 
-def _numbers(x: np.ndarray) -> bytes:
-    """Small numbers in four bytes, by planes of one byte (the upper ones are nearly all 0)."""
-    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _from_numbers(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
-
-
 def _data(batch: pa.RecordBatch, column: int) -> list[np.ndarray]:
     """The bytes of each text, as views of the batch."""
     texts = batch.column(column).cast(pa.large_binary())
@@ -245,18 +204,6 @@ def _data(batch: pa.RecordBatch, column: int) -> list[np.ndarray]:
     return [data[x:y] for x, y in zip(at, at[1:], strict=False)]
 
 
-def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in portions of about ``PORTION`` bytes (the second column has the texts)."""
-    for batch in batches:
-        sizes = np.cumsum(np.array(pa.compute.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False), np.int64)) // PORTION
-        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a < b:
-                yield batch.slice(a, b - a)
-                pa.default_memory_pool().release_unused()
-        del batch  # before the next one comes
-
-
 def _upper(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(16) << np.uint64(16)
 
@@ -265,20 +212,20 @@ def _anchor_entries(buckets: int) -> Callable:
     """Map (owner, text): each anchor of a batch with the least and largest owner that has it, and who shares which."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _portions(batches):
+        for batch in portions(batches):
             owners = dict(zip(batch.column(0).to_pylist(), _data(batch, 1), strict=True))
             found = [np.unique(_upper(anchors(x)[1])) for x in owners.values()]
             h = np.concatenate([np.zeros(0, np.uint64), *found])
             doc = np.repeat(np.array(list(owners), np.int64), [len(x) for x in found])
             order = np.lexsort([doc, h])
             h, doc = h[order], doc[order]
-            starts = np.flatnonzero(_groups(h))
+            starts = np.flatnonzero(groups(h))
             n = np.diff(np.append(starts, len(h)))
             several = np.repeat(n > 1, n)
             rows = list(_to_owners(SHARED, doc[several], [h[several]], buckets))
             anchor, low, high = h[starts], doc[starts], doc[starts + n - 1]
-            for k, a, b in _slices(_range_bucket(anchor, buckets), buckets):
-                rows.append((k, ENTRIES, [_ascending(anchor[a:b]), *_named(low[a:b]), *_named(high[a:b][n[a:b] > 1]), _numbers(n[a:b])]))
+            for k, a, b in slices(range_bucket(anchor, buckets)):
+                rows.append((k, ENTRIES, [ascending(anchor[a:b]), *_named(low[a:b]), *_named(high[a:b][n[a:b] > 1]), numbers(n[a:b])]))
             yield _rows(rows)
 
     return run
@@ -291,14 +238,14 @@ def _shared_anchors(buckets: int, hot: int) -> Callable:
         got = _read(table)
         out = [(int(table.column("bucket")[0].as_py()), SHARED, b) for b in got[SHARED]]
         if got[ENTRIES]:
-            h = np.concatenate([_from_ascending(b[0]) for b in got[ENTRIES]])
+            h = np.concatenate([from_ascending(b[0]) for b in got[ENTRIES]])
             low = np.concatenate([_from_names(b[1], b[2]) for b in got[ENTRIES]])
-            n = np.concatenate([_from_numbers(b[5]) for b in got[ENTRIES]])
+            n = np.concatenate([from_numbers(b[5]) for b in got[ENTRIES]])
             high = low.copy()
             high[n > 1] = np.concatenate([_from_names(b[3], b[4]) for b in got[ENTRIES]])
             order = np.argsort(h, kind="stable")
             h, low, high, n = h[order], low[order], high[order], n[order]
-            starts = np.flatnonzero(_groups(h))
+            starts = np.flatnonzero(groups(h))
             size = np.diff(np.append(starts, len(h)))
             shared = np.repeat(np.minimum.reduceat(low, starts) < np.maximum.reduceat(high, starts), size) & (n == 1)  # the others have told themselves
             out += _to_owners(SHARED, low[shared], [h[shared]], buckets)
@@ -317,7 +264,7 @@ def _gather(columns: int) -> Callable:
         values = [_joined(got, 1 + k) for k in range(columns)]
         order = np.argsort(doc, kind="stable")
         doc, values = doc[order], [v[order] for v in values]
-        starts = np.flatnonzero(_groups(doc)).tolist()
+        starts = np.flatnonzero(groups(doc)).tolist()
         blobs = [[v[a:b].tobytes() for v in values] for a, b in zip(starts, [*starts[1:], len(doc)], strict=True)]
         return pa.table([pa.array(doc[starts], pa.int64()), pa.array(blobs, pa.list_(pa.binary()))], ["owner", "blobs"])
 
@@ -325,16 +272,16 @@ def _gather(columns: int) -> Callable:
 
 
 def _sort_contexts(h: np.ndarray, right: np.ndarray, right_sizes: np.ndarray, left: np.ndarray, left_sizes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The suffix array: the order of the anchors' suffixes, equal ones by what stands to the left, then by document."""
+    """The suffix array: the order of the suffixes from the anchors on, equal ones by what stands to the left, then by document."""
     key = np.concatenate([h.astype(">u8").view(np.uint8).reshape(-1, 8), right, right_sizes[:, None], left, left_sizes[:, None]], axis=1)
     return np.lexsort([doc, np.ascontiguousarray(key).view(f"S{key.shape[1]}").reshape(-1)])
 
 
 def _contexts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What is right of the anchors, and left of them backwards, with the sizes where the text ends before."""
+    """The anchors with what is right of them, and what is left of them backwards; the sizes of both sides where the text ends before."""
     pad = np.zeros(REACH, np.uint8)
     padded, reach = np.concatenate([pad, data, pad]), np.arange(REACH)
-    right = padded[(at + REACH + ANCHOR)[:, None] + reach]
+    right = padded[(at + REACH)[:, None] + np.arange(ANCHOR + REACH)]
     left = padded[(at + REACH - 1)[:, None] - reach]
     return right, np.minimum(REACH, len(data) - at - ANCHOR).astype(np.uint8), left, np.minimum(REACH, at).astype(np.uint8)
 
@@ -342,7 +289,7 @@ def _contexts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _settle(h, doc, at, right, right_sizes, left, left_sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of sorted contexts: where a new class of equal ones begins, the least document of each row's class, and whether a row is covered as a whole."""
     both = np.concatenate([right, right_sizes[:, None], left, left_sizes[:, None]], axis=1)
-    new = _groups(h)
+    new = groups(h)
     new[1:] |= (both[1:] != both[:-1]).any(1)
     starts = np.flatnonzero(new)
     least = np.repeat(doc[starts], np.diff(np.append(starts, len(h))))
@@ -350,12 +297,15 @@ def _settle(h, doc, at, right, right_sizes, left, left_sizes) -> tuple[np.ndarra
     return starts, least, whole
 
 
-def _context_rows(buckets: int, hot: np.ndarray) -> Callable:
-    """Map (doc, text, shared anchors, owner): the contexts of its shared anchors, or the strings of hot ones, and what a batch settles itself."""
+def _context_rows(buckets: int, hot: np.ndarray, every: bool) -> Callable:
+    """Map (doc, text, shared anchors, owner): the contexts of its shared anchors, or the strings of hot ones, and what a batch settles itself.
+
+    With ``every`` nothing is settled and all contexts are sent.
+    """
     hot = np.sort(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _portions(batches):
+        for batch in portions(batches):
             parts, strings = [], []
             for doc, data, blobs, owner in zip(batch.column(0).to_pylist(), _data(batch, 1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 shared = np.unique(np.frombuffer(blobs[0], "<u8"))
@@ -377,34 +327,40 @@ def _context_rows(buckets: int, hot: np.ndarray) -> Callable:
                 h, doc, owner, at, sides = h[order], doc[order], owner[order], at[order], [c[order] for c in sides]
                 _, least, whole = _settle(h, doc, at, *sides)
                 rows += _to_owners(COVERED, owner[whole], [(at - sides[3])[whole].astype("<i8"), (at + ANCHOR + sides[1])[whole].astype("<i8")], buckets)
-                send = doc == least
+                send = (doc == least) | every
                 h, doc, owner, at, sides = h[send], doc[send], owner[send], at[send], [c[send] for c in sides]
-                for k, a, b in _slices(_range_bucket(h, buckets), buckets):
-                    rows.append((k, CONTEXTS, [_ascending(h[a:b]), *_named_texts(doc[a:b], owner[a:b]), _numbers(at[a:b]), *[np.ascontiguousarray(c[a:b]).tobytes() for c in sides]]))
+                for k, a, b in slices(range_bucket(h, buckets)):
+                    rows.append((k, CONTEXTS, [ascending(h[a:b]), *_named_texts(doc[a:b], owner[a:b]), numbers(at[a:b]), *[np.ascontiguousarray(c[a:b]).tobytes() for c in sides]]))
             if strings:
                 one, two, doc, owner, at = [np.concatenate(c) for c in zip(*strings, strict=True)]
                 order = np.lexsort([doc, two, one])
                 one, two, doc, owner, at = one[order], two[order], doc[order], owner[order], at[order]
-                starts = np.flatnonzero(_groups(one, two))
+                starts = np.flatnonzero(groups(one, two))
                 least = np.repeat(doc[starts], np.diff(np.append(starts, len(one))))
                 rows += _to_owners(COVERED, owner[doc > least], [at[doc > least].astype("<i8"), (at[doc > least] + LEAST).astype("<i8")], buckets)
                 send = doc == least
                 one, two, doc, owner, at = one[send], two[send], doc[send], owner[send], at[send]
-                for k, a, b in _slices(_range_bucket(one, buckets), buckets):
-                    rows.append((k, STRINGS, [one[a:b].tobytes(), two[a:b].tobytes(), *_named_texts(doc[a:b], owner[a:b]), _numbers(at[a:b])]))
+                for k, a, b in slices(range_bucket(one, buckets)):
+                    rows.append((k, STRINGS, [one[a:b].tobytes(), two[a:b].tobytes(), *_named_texts(doc[a:b], owner[a:b]), numbers(at[a:b])]))
             yield _rows(rows)
 
     return run
 
 
-def _context_columns(got: list[list[bytes]]) -> tuple[list[np.ndarray], np.ndarray]:
-    """The contexts of a bucket in the order of its suffix array: h, doc, at, right, its sizes, left, its sizes; and their owners."""
-    h = np.concatenate([_from_ascending(b[0]) for b in got])
+def _context_columns(got: list[list[bytes]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The contexts of a bucket in the order of its suffix array: anchor, doc, at, right, its sizes, left, its sizes; their owners, and the anchors' bytes.
+
+    Anchors are numbered by their bytes, so that equal hashes of different ones are apart.
+    """
+    h = np.concatenate([from_ascending(b[0]) for b in got])
     doc, owner = [np.concatenate(c) for c in zip(*[_from_texts(*b[1:4]) for b in got], strict=True)]
-    at = np.concatenate([_from_numbers(b[4]) for b in got])
-    sides = [_joined(got, 5, "u1").reshape(-1, REACH), _joined(got, 6, "u1"), _joined(got, 7, "u1").reshape(-1, REACH), _joined(got, 8, "u1")]
+    at = np.concatenate([from_numbers(b[4]) for b in got])
+    sides = [_joined(got, 5, "u1").reshape(-1, ANCHOR + REACH), _joined(got, 6, "u1"), _joined(got, 7, "u1").reshape(-1, REACH), _joined(got, 8, "u1")]
     order = _sort_contexts(h, *sides, doc)
-    return [h[order], doc[order], at[order], *[c[order] for c in sides]], owner[order]
+    h, (right, *others) = h[order], [c[order] for c in sides]
+    new = groups(h)
+    new[1:] |= (right[1:, :ANCHOR] != right[:-1, :ANCHOR]).any(1)
+    return [new.cumsum(), doc[order], at[order], np.ascontiguousarray(right[:, ANCHOR:]), *others], owner[order], right[:, :ANCHOR]
 
 
 def repeat_groups_of(columns: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -413,15 +369,15 @@ def repeat_groups_of(columns: list[np.ndarray]) -> Iterator[tuple[int, int, np.n
     ``classes`` number the distinct contexts of an anchor; the last item tells where each
     class begins among the rows (with the end).
     """
-    h, doc, at, *sides = columns
-    starts, _, _ = _settle(h, doc, at, *sides)
-    ends = np.append(starts, len(h))
-    of = h[starts]
-    first = np.flatnonzero(_groups(of))
+    anchor, doc, at, *sides = columns
+    starts, _, _ = _settle(anchor, doc, at, *sides)
+    ends = np.append(starts, len(anchor))
+    of = anchor[starts]
+    first = np.flatnonzero(groups(of))
     size = np.diff(np.append(first, len(of)))
     right, right_sizes, left, left_sizes = [c[starts] for c in sides]
     right_sizes, left_sizes = right_sizes.astype(np.int64), left_sizes.astype(np.int64)
-    # most anchors have two contexts; they are compared all at once
+    # most anchors have two contexts: a tree of two leaves is one interval, and those are looked at all at once
     two = first[size == 2]
     if len(two):
         to_right = _pairwise(right, right_sizes, two)
@@ -447,8 +403,8 @@ def _covered_bytes(buckets: int) -> Callable:
         out = [(int(table.column("bucket")[0].as_py()), COVERED, b) for b in got[COVERED]]
         owners, starts, stops = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if got[CONTEXTS]:
-            columns, owner = _context_columns(got[CONTEXTS])
-            h, doc, at, right, right_sizes, left, left_sizes = columns
+            columns, owner, _ = _context_columns(got[CONTEXTS])
+            _, doc, at, _, right_sizes, _, left_sizes = columns
             _, _, whole = _settle(*columns)
             owners.append(owner[whole])
             starts.append((at - left_sizes)[whole])
@@ -469,10 +425,10 @@ def _covered_bytes(buckets: int) -> Callable:
         if got[STRINGS]:
             one, two = _joined(got[STRINGS], 0, "<u8"), _joined(got[STRINGS], 1, "<u8")
             doc, owner = [np.concatenate(c) for c in zip(*[_from_texts(*b[2:5]) for b in got[STRINGS]], strict=True)]
-            at = np.concatenate([_from_numbers(b[5]) for b in got[STRINGS]])
+            at = np.concatenate([from_numbers(b[5]) for b in got[STRINGS]])
             order = np.lexsort([doc, two, one])
             one, two, doc, owner, at = one[order], two[order], doc[order], owner[order], at[order]
-            first = np.flatnonzero(_groups(one, two))
+            first = np.flatnonzero(groups(one, two))
             later = doc > np.repeat(doc[first], np.diff(np.append(first, len(one))))
             owners.append(owner[later])
             starts.append(at[later])
@@ -483,19 +439,42 @@ def _covered_bytes(buckets: int) -> Callable:
     return run
 
 
+GROUPS = "shape binary, first long, n_bytes long, open_left boolean, open_right boolean, occurrences array<struct<doc_id:long,owner:long,start:long>>"
+
+
 def _repeat_rows(table: pa.Table) -> pa.Table:
-    """Reduce a bucket of anchors: every maximal repeat with its occurrences."""
+    """Reduce a bucket of anchors: every interval of its trees, the leaves too, that two texts share, with its occurrences.
+
+    ``shape`` is a hash of where the occurrences lie to one another, ``first`` where the
+    first one begins.
+    """
     got, out = _read(table), []
     if got[CONTEXTS]:
-        columns, _ = _context_columns(got[CONTEXTS])
-        h, doc, at = columns[:3]
+        columns, owner, core = _context_columns(got[CONTEXTS])
+        _, doc, at, right, right_sizes, left, left_sizes = columns
+        starts, _, _ = _settle(*columns)
+        stops = np.append(starts[1:], len(doc))
+        inner, held = [], set()
         for to_left, to_right, classes, ends in repeat_groups_of(columns):
-            rows = np.concatenate([np.arange(ends[c], ends[c + 1]) for c in classes.tolist()])
-            if (doc[rows] != doc[rows[0]]).any():
-                out.append((int(h[rows[0]] >> np.uint64(16)), to_left + ANCHOR + to_right, to_left == REACH, to_right == REACH, [{"doc_id": int(d), "start": int(x) - to_left} for d, x in zip(doc[rows], at[rows], strict=True)]))
-    c = list(zip(*out, strict=True)) or [()] * 5
-    places = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64())]))
-    return pa.table([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), places), strict=True)], ["anchor", "n_bytes", "open_left", "open_right", "occurrences"])
+            inner.append((to_left, to_right, np.concatenate([np.arange(ends[c], ends[c + 1]) for c in classes.tolist()])))
+            held |= {(c, to_left, to_right) for c in classes.tolist()}
+        # a leaf that a text's end cuts short may be part of what others have: then a node holds it with them
+        leaves = [(int(left_sizes[a]), int(right_sizes[a]), np.arange(a, b)) for c, (a, b) in enumerate(zip(starts.tolist(), stops.tolist(), strict=True)) if int(left_sizes[a]) + int(right_sizes[a]) >= REACH and b > a + 1 and (c, int(left_sizes[a]), int(right_sizes[a])) not in held]
+        for to_left, to_right, rows in leaves + inner:
+            if (owner[rows] == owner[rows[0]]).all():
+                continue
+            # only if the anchor is one of the string's own does every occurrence of the string have it
+            k = rows[0]
+            if to_left not in anchors(np.concatenate([left[k, :to_left][::-1], core[k], right[k, :to_right]]))[0]:
+                continue
+            rows = rows[np.lexsort([at[rows], owner[rows]])]
+            begin = at[rows] - to_left
+            shape = hashlib.sha256(owner[rows].astype("<i8").tobytes() + (begin - begin[0]).astype("<i8").tobytes()).digest()[:16]
+            places = [{"doc_id": int(d), "owner": int(o), "start": int(x)} for d, o, x in zip(doc[rows], owner[rows], begin, strict=True)]
+            out.append((shape, int(begin[0]), to_left + ANCHOR + to_right, to_left == REACH, to_right == REACH, places))
+    c = list(zip(*out, strict=True)) or [()] * 6
+    occurrence = pa.list_(pa.struct([("doc_id", pa.int64()), ("owner", pa.int64()), ("start", pa.int64())]))
+    return pa.table([pa.array(x, t) for x, t in zip(c, (pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), occurrence), strict=True)], [x.split()[0] for x in GROUPS.split(", ")])
 
 
 def removal(raw: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[int, int, bytes]:
@@ -509,28 +488,37 @@ def removal(raw: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[int, int
     return int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) > 0).sum()), np.frombuffer(raw, np.uint8)[~gone].tobytes()
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(id, raw, text_key) of each document."""
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), text.alias("raw"), F.md5(text).alias("text_key"))
+
+
+def _owner():
+    """The number of a text, from its hash."""
+    return F.conv(F.substring("text_key", 1, 16), 16, -10).cast("long").alias("owner")
+
+
 class RepeatPlan:
     """The steps that removal and the listing of groups have in common."""
 
-    def __init__(self, docs: DataFrame, hot: int = HOT, buckets: int | None = None):
+    def __init__(self, docs: DataFrame, hot: int = HOT, buckets: int | None = None, every: bool = False):
         spark = docs.sparkSession
-        text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
         # both joins below take these three columns by the same keys, so the texts are shuffled once
-        self.rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), text.alias("raw"), F.md5(text).alias("text_key"))
-        texts = self.rows.groupBy("id", "text_key").agg(F.max(F.length("raw")).cast("long").alias("size"))
-        firsts = texts.groupBy("text_key").agg(F.min("id").alias("first"))
-        owner = F.conv(F.substring("text_key", 1, 16), 16, -10).cast("long").alias("owner")
-        self.texts = cut_lineage(texts.join(firsts, "text_key").select("*", owner))
+        self.rows = _keyed(docs)
+        # of equal texts the least id; those sums are all that meets by text, and copies are the rows that aren't found here
+        firsts = self.rows.groupBy("text_key").agg(F.min("id").alias("id"), F.max(F.length("raw")).cast("long").alias("size"))
+        self.texts = cut_lineage(firsts.select("id", "text_key", "size", _owner()))
         if buckets is None:
             total = self.texts.agg(F.sum("size")).first()[0] or 0
             buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
         self.buckets = buckets
-        entries = self.rows.select(owner, "raw").mapInArrow(_anchor_entries(buckets), ROWS)
+        entries = self.rows.select(_owner(), "raw").mapInArrow(_anchor_entries(buckets), ROWS)
         shared = cut_lineage(entries.groupBy("bucket").applyInArrow(_shared_anchors(buckets, hot), ROWS))
         self.hot = _hot_anchors(shared)
         lists = shared.where(F.col("kind") == SHARED).groupBy("bucket").applyInArrow(_gather(1), "owner long, blobs array<binary>")
-        held = self.texts.where("id = first").select("id", "text_key", "owner").join(lists, "owner")
-        self.contexts = self.rows.join(held, ["id", "text_key"]).select("id", "raw", "blobs", "owner").mapInArrow(_context_rows(buckets, self.hot), ROWS)
+        held = self.texts.join(lists, "owner").select("id", "text_key", "owner", "blobs")
+        self.contexts = self.rows.join(held, ["id", "text_key"]).select("id", "raw", "blobs", "owner").mapInArrow(_context_rows(buckets, self.hot, every), ROWS)
 
 
 #: Hot anchors that tasks may hold (8 bytes each).
@@ -562,7 +550,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, buckets: int | None = None)
     plan = RepeatPlan(docs, hot, buckets)
     covered = plan.contexts.groupBy("bucket").applyInArrow(_covered_bytes(plan.buckets), ROWS)
     stretches = covered.groupBy("bucket").applyInArrow(_gather(2), "owner long, blobs array<binary>")
-    marks = plan.texts.join(stretches, "owner", "left").select("id", "text_key", (F.col("id") > F.col("first")).alias("copy"), "blobs")
+    marks = plan.texts.join(stretches, "owner", "left").select("id", "text_key", "owner", "blobs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -580,17 +568,36 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, buckets: int | None = None)
                 kept.append(found[2])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return plan.rows.join(marks, ["id", "text_key"]).select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "raw", "copy", "blobs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return plan.rows.join(marks, ["id", "text_key"], "left").select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "raw", F.col("owner").isNull().alias("copy"), "blobs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def repeat_groups(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """anchor, n_bytes, open_left, open_right and occurrences (doc_id, start) of the maximal repeats of two documents or more.
+    """The maximal repeats of ``LEAST`` bytes or more that two texts share, one row an occurrence: group, n_bytes, open_left, open_right, doc_id, owner, start.
 
-    A side is open where the repeat fills the reach of its anchor, so that it may go on
-    there; the next anchor's group tells.
+    Intervals of neighbouring anchors whose occurrences lie alike are one repeat, however
+    long. Each group has all occurrences of its bytes. A side is open where the bytes go on
+    but other texts share them too, so that a repeat with more occurrences tells how far.
 
-    Of documents with equal texts the one with the least id stands for all, and of equal
-    contexts in one task the first; a null doc_id shows as the least long.
+    An occurrence is given for each distinct text: its owner, and the least doc_id that has
+    it (a null one shows as the least long). ``text_owners`` says which documents have a text.
     """
-    plan = RepeatPlan(docs, 2**62, buckets)
-    return plan.contexts.groupBy("bucket").applyInArrow(_repeat_rows, "anchor long, n_bytes long, open_left boolean, open_right boolean, occurrences array<struct<doc_id:long,start:long>>")
+    plan = RepeatPlan(docs, 2**62, buckets, every=True)
+    found = plan.contexts.groupBy("bucket").applyInArrow(_repeat_rows, GROUPS).withColumn("stop", F.col("first") + F.col("n_bytes"))
+    order = Window.partitionBy("shape").orderBy("first", "stop")
+    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    chained = found.withColumn("part", F.sum(F.when(F.col("first") > before, 1).otherwise(0)).over(order))
+    one = chained.groupBy("shape", "part").agg(
+        F.min("first").alias("first"),
+        F.max("stop").alias("stop"),
+        F.min(F.struct("first", "open_left")).alias("l"),
+        F.max(F.struct("stop", (~F.col("open_right")).alias("closed"))).alias("r"),
+        F.min_by("occurrences", "first").alias("occurrences"),
+    )
+    group = F.xxhash64("shape", "part").alias("group")
+    rows = one.select(group, (F.col("stop") - F.col("first")).alias("n_bytes"), F.col("l.open_left").alias("open_left"), (~F.col("r.closed")).alias("open_right"), F.explode("occurrences").alias("o"))
+    return rows.select("group", "n_bytes", "open_left", "open_right", "o.doc_id", "o.owner", "o.start")
+
+
+def text_owners(docs: DataFrame) -> DataFrame:
+    """(doc_id, owner): the text of each document, as ``repeat_groups`` names it."""
+    return _keyed(docs).select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), _owner())
