@@ -34,14 +34,15 @@ from weftline.llm.tables import cut_lineage, text_bytes
 
 #: Nodes with a token beyond which it goes to the end of the order; any order is exact.
 COMMON = 100
-#: Tokens that go to the end at most (8 bytes each, sent to tasks), and passes that look for them.
+#: Tokens that go to the end at most (8 bytes each, sent to tasks).
 COMMON_AT_ONCE = 1 << 20
-PASSES = 2
 LEADERS = 2
+#: Pairs whose shingles a task looks at together.
+PAIRS = 64
 #: Nodes a task remembers, so as to tell a repeated text's tokens once.
 REMEMBERED = 1 << 16
 #: Texts to compare up to which their hashes are sent to the documents, so that those aren't shuffled.
-SENT = 1 << 20
+SENT = 1 << 17
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -56,16 +57,26 @@ def node_of(words: list[bytes]) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def shingles(words: list[bytes], words_each: int = 5) -> np.ndarray:
-    """The distinct hashes of the shingles, in order."""
+def shingle_hashes(words: list[bytes], words_each: int = 5) -> np.ndarray:
+    """A hash of each run of ``words_each`` words (or of all, if there are fewer)."""
     if not words:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     n = max(1, len(words) - words_each + 1)
     h = np.zeros(n, np.uint64)
     for k in range(min(words_each, len(words))):
         h = _mixed(h + each[k : k + n] + np.uint64(1))
-    return np.unique(h.view(np.int64))
+    return h
+
+
+def shingles(words: list[bytes], words_each: int = 5) -> np.ndarray:
+    """The distinct hashes of the shingles, in order."""
+    return np.unique(shingle_hashes(words, words_each).view(np.int64))
+
+
+def tokens_of(h: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set's shingles, one of which every similar set has among its own first ones."""
+    return h[: len(h) - ceil(similarity * len(h) - 1e-9) + 1]
 
 
 def text_hash() -> Column:
@@ -90,7 +101,7 @@ def _tokens(docs: DataFrame, similarity: float, words_each: int, common: np.ndar
                 if len(common):
                     late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
                     h = np.concatenate([h[~late], h[late]])
-                tokens.append(h[: len(h) - ceil(similarity * len(h) - 1e-9) + 1])
+                tokens.append(tokens_of(h, similarity))
                 nodes.append(node)
                 sizes.append(len(h))
             n = [len(x) for x in tokens[1:]]
@@ -100,19 +111,13 @@ def _tokens(docs: DataFrame, similarity: float, words_each: int, common: np.ndar
     return rows.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1")
 
 
-def _shared(docs: DataFrame, similarity: float, words_each: int, common: int) -> DataFrame:
-    """What ``_tokens`` returns, in an order with the common tokens last."""
-    late = np.zeros(0, np.int64)
-    for k in range(PASSES):
-        shared = cut_lineage(_tokens(docs, similarity, words_each, late))
-        if k == PASSES - 1:
-            break
-        often = shared.where(F.col("n") > common).groupBy("token").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON_AT_ONCE)
-        found = np.union1d(late, often.select("token").toArrow().column(0).to_numpy())
-        if len(found) == len(late) or len(found) > COMMON_AT_ONCE:
-            break
-        late = found
-    return shared
+def common_tokens(counted: DataFrame, common: int) -> np.ndarray:
+    """Of (token, n), what tasks counted, the tokens with more than ``common``: they go to the end of the order.
+
+    Any order is exact; one that has frequent tokens last brings fewer pairs together.
+    """
+    often = counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > common).orderBy(F.desc("n"), "token").limit(COMMON_AT_ONCE)
+    return np.sort(often.select("token").toArrow().column(0).to_numpy())
 
 
 def _sets(docs: DataFrame, marked: DataFrame, nodes: DataFrame, words_each: int) -> DataFrame:
@@ -133,11 +138,12 @@ def _alike(pairs: DataFrame, docs: DataFrame, marked: DataFrame, held: DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True))
-                keep.append(both >= similarity * ((len(x) + len(y)) // 8 - both) - 1e-9)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for k in range(0, batch.num_rows, PAIRS):
+                part, keep = batch.slice(k, PAIRS), []
+                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    both = len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True))
+                    keep.append(both >= similarity * ((len(x) + len(y)) // 8 - both) - 1e-9)
+                yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     with_both = lambda df, of: df.join(of.toDF("a", *[f"{c}_a" for c in of.columns[1:]]), "a").join(of.toDF("b", *[f"{c}_b" for c in of.columns[1:]]), "b")
     # of the text whose tokens end first, what is equal lies among the equal tokens or behind its tokens
@@ -148,28 +154,17 @@ def _alike(pairs: DataFrame, docs: DataFrame, marked: DataFrame, held: DataFrame
     return with_both(may, cut_lineage(sets)).select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, marked: DataFrame, similarity: float = 0.8, words_each: int = 5, common: int | None = None, candidates: DataFrame | None = None) -> DataFrame:
+def links(docs: DataFrame, marked: DataFrame, late: np.ndarray, candidates: DataFrame, similarity: float = 0.8, words_each: int = 5) -> DataFrame:
     """Pairs (a, b) of nodes that are similar, enough of them to connect all that similar pairs connect.
 
-    ``marked`` has the node and text_hash of each document. The similar ones among the pairs
-    (a, b) of ``candidates`` are taken first.
+    ``marked`` has the node and text_hash of each document, ``late`` the tokens that go to
+    the end of the order. The similar ones among the pairs (a, b) of ``candidates`` are taken first.
     """
-    shared = _shared(docs, similarity, words_each, COMMON if common is None else common)
+    shared = cut_lineage(_tokens(docs, similarity, words_each, late))
     held = cut_lineage(shared.groupBy("node").agg(F.first("size").alias("size"), F.collect_list("token").alias("tokens")))
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
     near = (F.col("part") != F.col("other_part")) & (F.least("size", "other_size") >= similarity * F.greatest("size", "other_size") - 1e-9)
     rows, found = shared.select("token", "node", "size", F.col("node").alias("part")), None
-
-    def still_open(fewest: int) -> DataFrame:
-        """The rows of tokens with nodes of several components; of tokens with fewer nodes all pairs have been compared."""
-        parts = connected_components(found)
-        now = rows.drop("part").join(parts.select("node", F.col("component").alias("part")), "node", "left").select("token", "node", "size", F.coalesce("part", "node").alias("part"))
-        tokens = now.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).where((F.col("x") != F.col("y")) & (F.col("n") >= fewest)).select("token")
-        return cut_lineage(now.join(tokens, "token", "left_semi"))
-
-    if candidates is not None:
-        found = cut_lineage(_alike(candidates, docs, marked, held, similarity, words_each))
-        rows = still_open(2)
     for k in range(LEADERS + 1):
         if k < LEADERS:
             lead = F.min(F.struct(F.xxhash64("node", F.lit(k)), F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("part").alias("other_part")))
@@ -177,10 +172,15 @@ def links(docs: DataFrame, marked: DataFrame, similarity: float = 0.8, words_eac
         else:
             others = rows.toDF("token", "other", "other_size", "other_part")
             near = near & (F.col("node") < F.col("other"))
-        new = cut_lineage(_alike(rows.join(others, "token").where(near).select(*pair), docs, marked, held, similarity, words_each))
+        pairs = rows.join(others, "token").where(near).select(*pair)
+        new = cut_lineage(_alike(pairs if k else pairs.unionByName(candidates), docs, marked, held, similarity, words_each))
         found = new if found is None else found.unionByName(new)
         if k < LEADERS:
-            rows = still_open(3)
+            parts = connected_components(found)
+            now = rows.drop("part").join(parts.select("node", F.col("component").alias("part")), "node", "left").select("token", "node", "size", F.coalesce("part", "node").alias("part"))
+            # of tokens with two nodes all pairs have been compared
+            open_ = now.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("token")
+            rows = cut_lineage(now.join(open_, "token", "left_semi"))
             if rows.isEmpty():
                 break
     return found
