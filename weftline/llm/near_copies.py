@@ -30,10 +30,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.components import connected_components
-from weftline.llm.tables import cut_lineage, text_bytes
+from weftline.llm.tables import cut_lineage, release_memory, text_bytes
 
 #: Nodes with a token beyond which it goes to the end of the order; any order is exact.
-COMMON = 100
+COMMON = 16
 #: Tokens that go to the end at most (8 bytes each, sent to tasks).
 COMMON_AT_ONCE = 1 << 20
 LEADERS = 2
@@ -83,8 +83,8 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _tokens(docs: DataFrame, similarity: float, words_each: int, common: np.ndarray) -> DataFrame:
-    """(token, node, size) of the tokens that several nodes have, with their number ``n``."""
+def _tokens(docs: DataFrame, similarity: float, words_each: int, late: np.ndarray) -> DataFrame:
+    """(token, node, size): the tokens of each node; ``late`` ones come last in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -98,28 +98,36 @@ def _tokens(docs: DataFrame, similarity: float, words_each: int, common: np.ndar
                 if len(seen) < REMEMBERED:
                     seen.add(node)
                 h = shingles(words, words_each)
-                if len(common):
-                    late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
-                    h = np.concatenate([h[~late], h[late]])
+                if len(late):
+                    last = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
+                    h = np.concatenate([h[~last], h[last]])
                 tokens.append(tokens_of(h, similarity))
                 nodes.append(node)
                 sizes.append(len(h))
             n = [len(x) for x in tokens[1:]]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.array(nodes, np.int64), n)), pa.array(np.repeat(np.array(sizes, np.int64), n))], ["token", "node", "size"])
+        release_memory()
 
-    rows = docs.select("text").mapInArrow(run, "token long, node long, size long").repartition("token").distinct()
-    return rows.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1")
+    return docs.select("text").mapInArrow(run, "token long, node long, size long")
 
 
-def common_tokens(counted: DataFrame, common: int) -> np.ndarray:
-    """Of (token, n), what tasks counted, the tokens with more than ``common``: they go to the end of the order.
+def _common_tokens(tokens: DataFrame, common: int) -> np.ndarray:
+    """The tokens that more than ``common`` nodes have: they go to the end of the order.
 
-    Any order is exact; one that has frequent tokens last brings fewer pairs together.
+    Any order is exact; one that has frequent tokens last brings fewer pairs together. (A
+    node that several tasks meet counts several times, which only sends more to the end.)
     """
-    often = counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > common).orderBy(F.desc("n"), "token").limit(COMMON_AT_ONCE)
+    often = tokens.groupBy("token").count().where(F.col("count") > common).orderBy(F.desc("count"), "token").limit(COMMON_AT_ONCE)
     return np.sort(often.select("token").toArrow().column(0).to_numpy())
 
 
+def _shared(docs: DataFrame, similarity: float, words_each: int, common: int) -> DataFrame:
+    """(token, node, size) of the tokens that several nodes have, in an order with the common ones last."""
+    late = _common_tokens(_tokens(docs, similarity, words_each, np.zeros(0, np.int64)), common)
+    rows = _tokens(docs, similarity, words_each, late).repartition("token").distinct()
+    return rows.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1").drop("n")
+
+
 def _sets(docs: DataFrame, marked: DataFrame, nodes: DataFrame, words_each: int) -> DataFrame:
     """(node, its shingles in order as bytes) of the nodes."""
     held = cut_lineage(marked.join(nodes.distinct(), "node").groupBy("node").agg(F.min("text_hash").alias("_hash")).select("_hash"))
@@ -154,13 +162,13 @@ def _alike(pairs: DataFrame, docs: DataFrame, marked: DataFrame, held: DataFrame
     return with_both(may, cut_lineage(sets)).select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, marked: DataFrame, late: np.ndarray, candidates: DataFrame, similarity: float = 0.8, words_each: int = 5) -> DataFrame:
+def links(docs: DataFrame, marked: DataFrame, candidates: DataFrame, similarity: float = 0.8, words_each: int = 5) -> DataFrame:
     """Pairs (a, b) of nodes that are similar, enough of them to connect all that similar pairs connect.
 
-    ``marked`` has the node and text_hash of each document, ``late`` the tokens that go to
-    the end of the order. The similar ones among the pairs (a, b) of ``candidates`` are taken first.
+    ``marked`` has the node and text_hash of each document. The similar ones among the pairs
+    (a, b) of ``candidates`` are taken first.
     """
-    shared = cut_lineage(_tokens(docs, similarity, words_each, late))
+    shared = cut_lineage(_shared(docs, similarity, words_each, COMMON))
     held = cut_lineage(shared.groupBy("node").agg(F.first("size").alias("size"), F.collect_list("token").alias("tokens")))
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
     near = (F.col("part") != F.col("other_part")) & (F.least("size", "other_size") >= similarity * F.greatest("size", "other_size") - 1e-9)

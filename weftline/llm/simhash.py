@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import near_copies
 from weftline.llm.components import connected_components
-from weftline.llm.tables import cut_lineage, text_bytes
+from weftline.llm.tables import cut_lineage, release_memory, text_bytes
 
 BITS = 64
 #: Shingles hashed before their bits are counted.
@@ -142,15 +142,14 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words_each: int = 5, radi
     whose text has the least hash stays, then the one whose other columns have the least
     hash; one of rows that are equal in all. The input's column names are free.
     """
-    seen = cut_lineage(_word_nodes(docs, similarity, words_each))
-    marked, late = seen.where("n is null").drop("token", "n"), near_copies.common_tokens(seen.where("n > 0").select("token", "n"), near_copies.COMMON)
+    marked = cut_lineage(_word_nodes(docs, words_each))
     prints = cut_lineage(marked.groupBy("fingerprint").agg(F.min("node").alias("lead")))
     named = marked.select("fingerprint", "node").distinct().join(prints, "fingerprint")
     pairs = links(prints.select("fingerprint"), radius)
     ends = pairs.join(prints.select(F.col("fingerprint").alias("a"), F.col("lead").alias("x")), "a").join(prints.select(F.col("fingerprint").alias("b"), F.col("lead").alias("y")), "b").select("x", "y")
     same = named.where("node <> lead").select(F.col("lead").alias("x"), F.col("node").alias("y"))
     candidates = ends.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    parts = connected_components(near_copies.links(docs, marked, late, candidates, similarity, words_each))
+    parts = connected_components(near_copies.links(docs, marked, candidates, similarity, words_each))
     grouped = marked.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "row_hash")).alias("f")).select("f.*")
     # the input's columns travel as one, so that no name of theirs can clash
@@ -164,45 +163,18 @@ def row_hash(docs: DataFrame) -> Column:
     return F.xxhash64(*[F.to_json(F.struct(docs[c])) if "map" in docs.schema[c].dataType.simpleString() else docs[c] for c in docs.columns if c != "text"])
 
 
-#: Tokens that a task counts together.
-TOKENS = 1 << 21
-NODES = "doc_id long, node long, fingerprint long, text_hash long, row_hash long, token long, n long"
-
-
-def _word_nodes(docs: DataFrame, similarity: float, words_each: int) -> DataFrame:
-    """doc_id, node (texts with the same words), fingerprint of the shingles, a hash of the text and one of the other columns.
-
-    Rows with ``n`` are counts: the tokens that several of a task's nodes have, and how many.
-    """
-    names = [x.split()[0] for x in NODES.split(", ")]
-
-    def counts(tokens: list[np.ndarray]) -> pa.RecordBatch:
-        token, n = np.unique(np.concatenate([np.zeros(0, np.int64), *tokens]), return_counts=True)
-        token, n = token[n > 1], n[n > 1]
-        return pa.RecordBatch.from_arrays([*[pa.nulls(len(n), pa.int64())] * 5, pa.array(token), pa.array(n.astype(np.int64))], names)
+def _word_nodes(docs: DataFrame, words_each: int) -> DataFrame:
+    """doc_id, node (texts with the same words), fingerprint of the shingles, a hash of the text and one of the other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met, tokens, held = set(), [], 0
         for batch in batches:
-            nodes, prints = [], []
-            for raw in text_bytes(batch.column(1)):
-                words = raw.lower().split()
-                h = near_copies.shingle_hashes(words, words_each)
-                nodes.append(near_copies.node_of(words))
-                prints.append(_majority(h))
-                if nodes[-1] not in met:
-                    if len(met) < near_copies.REMEMBERED:
-                        met.add(nodes[-1])
-                    tokens.append(near_copies.tokens_of(np.unique(h.view(np.int64)), similarity))
-                    held += len(tokens[-1])
-            none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), batch.column(2), batch.column(3), none, none], names)
-            if held > TOKENS:
-                yield counts(tokens)
-                tokens, held = [], 0
-        yield counts(tokens)
-
-    return docs.select("doc_id", "text", near_copies.text_hash().alias("text_hash"), row_hash(docs).alias("row_hash")).mapInArrow(run, NODES)
+            words = [x.lower().split() for x in text_bytes(batch.column(1))]
+            nodes = pa.array(map(near_copies.node_of, words), pa.int64())
+            prints = np.array([_majority(near_copies.shingle_hashes(w, words_each)) for w in words], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.array(prints), batch.column(2), batch.column(3)], ["doc_id", "node", "fingerprint", "text_hash", "row_hash"])
+        release_memory()
+
+    return docs.select("doc_id", "text", near_copies.text_hash().alias("text_hash"), row_hash(docs).alias("row_hash")).mapInArrow(run, "doc_id long, node long, fingerprint long, text_hash long, row_hash long")
 
 
 def _majority(h: np.ndarray) -> int:

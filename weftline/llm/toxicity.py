@@ -20,11 +20,12 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.tables import cut_lineage, texts
+from weftline.llm.tables import cut_lineage, release_memory, texts
 
 BUCKETS = 1 << 17
 SHORTEST, LONGEST = 3, 5
@@ -93,6 +94,7 @@ def _features(sample: DataFrame) -> DataFrame:
                 shares.append((total / max(1.0, total.sum())).astype(np.float32).tobytes())
                 if len(seen) > FEATURES_REMEMBERED:
                     seen.clear()
+            release_memory()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["toxic", "doc_id", "ids", "shares"])
 
     return sample.select("toxic", "text", "doc_id").mapInArrow(run, "toxic int, doc_id long, ids binary, shares binary")
@@ -197,7 +199,10 @@ def keep_clean(docs: DataFrame, model: SubwordModel, threshold: float = 0.5) ->
     """The rows of ``docs`` whose score is below ``threshold``, with all their columns."""
 
     @F.pandas_udf("double")
-    def toxic(column):
-        return column.fillna("").map(model.score).astype("float64")
+    def toxic(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in columns:
+            yield column.fillna("").map(model.score).astype("float64")
+        model.clear()
+        release_memory()
 
     return docs.where(toxic(F.col("text")) < threshold)
