@@ -145,7 +145,8 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words_each: int = 5, radi
     marked = cut_lineage(_word_nodes(docs, words_each))
     prints = cut_lineage(marked.groupBy("fingerprint").agg(F.min("node").alias("lead")))
     named = marked.select("fingerprint", "node").distinct().join(prints, "fingerprint")
-    pairs = links(prints.select("fingerprint"), radius)
+    # one link of each fingerprint: a group's links grow with its square, and what these don't connect is found by shingles
+    pairs = links(prints.select("fingerprint"), radius).groupBy("b").agg(F.min("a").alias("a"))
     ends = pairs.join(prints.select(F.col("fingerprint").alias("a"), F.col("lead").alias("x")), "a").join(prints.select(F.col("fingerprint").alias("b"), F.col("lead").alias("y")), "b").select("x", "y")
     same = named.where("node <> lead").select(F.col("lead").alias("x"), F.col("node").alias("y"))
     candidates = ends.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
