@@ -115,14 +115,15 @@ def _sample(train: DataFrame, size: int) -> DataFrame:
     """(doc_id, lang, text_hash): each language's rows with the least hashes, ``size // languages`` (one at least).
 
     So there are ``size`` rows at most, or one a language if there are more languages. A
-    language's rows fall into ``SALTS`` parts that are ranked apart before what they keep is
-    ranked together, so that a language with most of the rows isn't ranked in one task.
+    language's rows fall into ``SALTS`` parts by hash that are ranked apart; each hands on a
+    few times its share, and what they hand on is ranked together. So a language with most
+    of the rows isn't ranked in one task.
     """
     each = max(1, size // max(1, train.select("lang").distinct().count()))
     key = [F.xxhash64("doc_id", "text_hash"), "doc_id", "text_hash"]
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*key))
     salted = train.select("doc_id", "lang", "text_hash", F.pmod(key[0], F.lit(SALTS)).alias("_salt"))
-    apart = salted.withColumn("_r", rank("lang", "_salt")).where(F.col("_r") <= each)
+    apart = salted.withColumn("_r", rank("lang", "_salt")).where(F.col("_r") <= min(each, 2 * each // SALTS + 32))
     return apart.withColumn("_r", rank("lang")).where(F.col("_r") <= each).select("doc_id", "lang", "text_hash").distinct()
 
 
