@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -82,3 +83,14 @@ def test_the_pipeline_drops_near_copies(spark):
     docs = some_documents(7)
     rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, rows, "").collect()) == kept_by_hand(docs)[0]
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_do():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 40, 500, 9000):
+        a = np.unique(rng.integers(-(2**63), 2**63 - 1, size))
+        for gone in (0, size // 10, size):
+            b = np.unique(np.concatenate([a[gone:], rng.integers(-(2**63), 2**63 - 1, gone)]))
+            differ = sum(int(x).bit_count() for x in (near_copies.sketch(a) ^ near_copies.sketch(b)).view(np.uint64))
+            assert differ <= len(np.setxor1d(a, b)) and (gone or not differ)
+            assert gone != 50 or differ > 80

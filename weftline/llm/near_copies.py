@@ -7,12 +7,14 @@ Texts with the same words (white space and ASCII case apart) are one node. The d
 shingle hashes of all nodes are put in one order, those that many nodes have last. Two sets
 of similarity ``similarity`` have one of their first ``size - ceil(similarity * size) + 1``
 shingles in common, so only these are tokens that bring pairs together, and no pair is
-missed. Where too few tokens of a pair are equal the rest can't make up for it; all other
-pairs are compared over all their shingles.
+missed. Each node has a sketch of which of 2,048 bins hold an odd number of its shingles;
+bins that differ are differing shingles at least, so sketches alone rule most pairs out, and
+all others are compared over all their shingles.
 
 Of a token's nodes each is first compared with a leader, twice with another one. What is in
 one component by then needs no more comparison, so a group of near copies isn't paired with
-itself; all pairs of a token that lie in different components are then compared.
+itself; all pairs of a token that lie in different components are then compared, but for
+those with so few equal tokens that the rest can't make up for it.
 
 Defined results: null and blank texts are one node; a text of fewer than five words has one
 shingle; repeats of a shingle count once; a null doc_id counts as larger than all others.
@@ -37,6 +39,8 @@ COMMON = 16
 #: Tokens that go to the end at most (8 bytes each, sent to tasks).
 COMMON_AT_ONCE = 1 << 20
 LEADERS = 2
+#: Bits of a sketch, that is 256 bytes.
+SKETCH = 1 << 11
 #: Pairs whose shingles a task looks at together.
 PAIRS = 64
 #: Nodes a task remembers, so as to tell a repeated text's tokens once.
@@ -74,6 +78,15 @@ def shingles(words: list[bytes], words_each: int = 5) -> np.ndarray:
     return np.unique(shingle_hashes(words, words_each).view(np.int64))
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """A bit for each bin, set if an odd number of the distinct hashes are in it, as longs.
+
+    Two sets differ in at least as many elements as their sketches do in bits.
+    """
+    odd = np.bincount(h & (SKETCH - 1), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def tokens_of(h: np.ndarray, similarity: float) -> np.ndarray:
     """The first of a set's shingles, one of which every similar set has among its own first ones."""
     return h[: len(h) - ceil(similarity * len(h) - 1e-9) + 1]
@@ -141,8 +154,22 @@ def _sets(docs: DataFrame, marked: DataFrame, nodes: DataFrame, words_each: int)
     return texts.dropDuplicates(["_hash"]).select("text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
+def _overlap(similarity: float) -> Column:
+    """The shingles that two similar sets of ``size_a`` and ``size_b`` have in common at least."""
+    return F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-9)
+
+
+def _enough_tokens(similarity: float) -> Column:
+    """Whether two sets with ``both`` equal tokens can be similar.
+
+    Of the text whose tokens end first, what is equal lies among the equal tokens or behind its tokens.
+    """
+    behind = F.ceil(F.lit(similarity) * F.greatest("size_a", "size_b") - 1e-9) - 1
+    return F.col("both") + behind >= _overlap(similarity)
+
+
 def _alike(pairs: DataFrame, docs: DataFrame, marked: DataFrame, held: DataFrame, similarity: float, words_each: int) -> DataFrame:
-    """Those of the pairs (a, b) that are similar; ``held`` has the size and the shared tokens of each node."""
+    """Those of the pairs (a, b) that are similar; ``held`` has the size and the sketch of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,10 +181,8 @@ def _alike(pairs: DataFrame, docs: DataFrame, marked: DataFrame, held: DataFrame
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     with_both = lambda df, of: df.join(of.toDF("a", *[f"{c}_a" for c in of.columns[1:]]), "a").join(of.toDF("b", *[f"{c}_b" for c in of.columns[1:]]), "b")
-    # of the text whose tokens end first, what is equal lies among the equal tokens or behind its tokens
-    least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-9)
-    behind = F.ceil(F.lit(similarity) * F.greatest("size_a", "size_b") - 1e-9) - 1
-    may = cut_lineage(with_both(pairs.distinct(), held).where(F.size(F.array_intersect("tokens_a", "tokens_b")) + behind >= least).select("a", "b"))
+    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    may = cut_lineage(with_both(pairs, held).where(differ <= F.col("size_a") + F.col("size_b") - 2 * _overlap(similarity)).select("a", "b"))
     sets = _sets(docs, marked, may.select(F.explode(F.array("a", "b")).alias("node")), words_each)
     return with_both(may, cut_lineage(sets)).select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a long, b long")
 
@@ -165,11 +190,11 @@ def _alike(pairs: DataFrame, docs: DataFrame, marked: DataFrame, held: DataFrame
 def links(docs: DataFrame, marked: DataFrame, candidates: DataFrame, similarity: float = 0.8, words_each: int = 5) -> DataFrame:
     """Pairs (a, b) of nodes that are similar, enough of them to connect all that similar pairs connect.
 
-    ``marked`` has the node and text_hash of each document. The similar ones among the pairs
+    ``marked`` has the node, text_hash and sketch of each document. The similar ones among the pairs
     (a, b) of ``candidates`` are taken first.
     """
     shared = cut_lineage(_shared(docs, similarity, words_each, COMMON))
-    held = cut_lineage(shared.groupBy("node").agg(F.first("size").alias("size"), F.collect_list("token").alias("tokens")))
+    held = cut_lineage(marked.select("node", "size", "sketch").dropDuplicates(["node"]))
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
     near = (F.col("part") != F.col("other_part")) & (F.least("size", "other_size") >= similarity * F.greatest("size", "other_size") - 1e-9)
     rows, found = shared.select("token", "node", "size", F.col("node").alias("part")), None
@@ -180,8 +205,15 @@ def links(docs: DataFrame, marked: DataFrame, candidates: DataFrame, similarity:
         else:
             others = rows.toDF("token", "other", "other_size", "other_part")
             near = near & (F.col("node") < F.col("other"))
-        pairs = rows.join(others, "token").where(near).select(*pair)
-        new = cut_lineage(_alike(pairs if k else pairs.unionByName(candidates), docs, marked, held, similarity, words_each))
+        met = rows.join(others, "token").where(near)
+        if k < LEADERS:
+            pairs = met.select(*pair)
+            pairs = (pairs if k else pairs.unionByName(candidates)).distinct()
+        else:
+            # what hasn't been compared and lies apart has all its equal tokens among these rows
+            counted = met.groupBy(F.col("node").alias("a"), F.col("other").alias("b"), F.col("size").alias("size_a"), F.col("other_size").alias("size_b")).agg(F.count("*").alias("both"))
+            pairs = counted.where(_enough_tokens(similarity)).select("a", "b")
+        new = cut_lineage(_alike(pairs, docs, marked, held, similarity, words_each))
         found = new if found is None else found.unionByName(new)
         if k < LEADERS:
             parts = connected_components(found)

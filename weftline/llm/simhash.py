@@ -165,17 +165,32 @@ def row_hash(docs: DataFrame) -> Column:
 
 
 def _word_nodes(docs: DataFrame, words_each: int) -> DataFrame:
-    """doc_id, node (texts with the same words), fingerprint of the shingles, a hash of the text and one of the other columns."""
+    """doc_id, node (texts with the same words), fingerprint, number and sketch of the shingles, a hash of the text and one of the other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [x.lower().split() for x in text_bytes(batch.column(1))]
             nodes = pa.array(map(near_copies.node_of, words), pa.int64())
-            prints = np.array([_majority(near_copies.shingle_hashes(w, words_each)) for w in words], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.array(prints), batch.column(2), batch.column(3)], ["doc_id", "node", "fingerprint", "text_hash", "row_hash"])
+            prints, sizes, sketches = [], [], []
+            for w in words:
+                h = near_copies.shingle_hashes(w, words_each)
+                prints.append(_majority(h))
+                h = np.unique(h.view(np.int64))
+                sizes.append(len(h))
+                sketches.append(near_copies.sketch(h).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), nodes, pa.array(np.array(prints, np.uint64).view(np.int64)), batch.column(2), batch.column(3), pa.array(sizes, pa.int64()), _longs(sketches)],
+                ["doc_id", "node", "fingerprint", "text_hash", "row_hash", "size", "sketch"],
+            )
         release_memory()
 
-    return docs.select("doc_id", "text", near_copies.text_hash().alias("text_hash"), row_hash(docs).alias("row_hash")).mapInArrow(run, "doc_id long, node long, fingerprint long, text_hash long, row_hash long")
+    return docs.select("doc_id", "text", near_copies.text_hash().alias("text_hash"), row_hash(docs).alias("row_hash")).mapInArrow(run, "doc_id long, node long, fingerprint long, text_hash long, row_hash long, size long, sketch array<long>")
+
+
+def _longs(rows: list[bytes]) -> pa.Array:
+    """A list array of the longs in each row's bytes."""
+    offsets = np.cumsum([0, *[len(x) // 8 for x in rows]]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), np.int64)))
 
 
 def _majority(h: np.ndarray) -> int:
