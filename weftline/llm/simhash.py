@@ -153,10 +153,11 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words_each: int = 5, radi
     parts = connected_components(near_copies.links(docs, marked, candidates, similarity, words_each))
     grouped = marked.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "row_hash")).alias("f")).select("f.*")
-    # the input's columns travel as one, so that no name of theirs can clash
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), near_copies.text_hash().alias("t"), row_hash(docs).alias("h"))
-    kept = rows.join(first.select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_t"), F.col("row_hash").alias("first_h")), F.col("id").eqNullSafe(F.col("first_id")) & (F.col("t") == F.col("first_t")) & (F.col("h") == F.col("first_h")))
-    return kept.dropDuplicates(["id", "t", "h"]).select("row.*")
+    # the input's columns travel as one, so that no name of theirs can clash, and once: equal rows meet where they are joined
+    key = ["none", "id", "t", "h"]
+    keyed = lambda id_, t, h: [id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id"), t.alias("t"), h.alias("h")]
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *keyed(docs["doc_id"], near_copies.text_hash(), row_hash(docs)))
+    return rows.join(first.select(*keyed(F.col("doc_id"), F.col("text_hash"), F.col("row_hash"))), key).dropDuplicates(key).select("row.*")
 
 
 def row_hash(docs: DataFrame) -> Column:
