@@ -9,10 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, html_extract, langid, perplexity, pii, piece_codec, repeats, sharding, simhash, toxicity
+from weftline.llm import byte_codec, decontaminate, html_extract, langid, manifest, perplexity, pii, piece_codec, repeats, runs, sharding, simhash, toxicity
 from weftline.llm.tables import key_remainder, read_table
 
 TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +74,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.withColumn("law", F.lit("key"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_codec.load_ranks(RANKS, public_tokenizers.PATTERN)
+    return byte_codec.encode_digests(read_table(spark, sf_dir, "documents"), ranks)
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(read_table(spark, sf_dir, "documents"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_perplexity, op4_repeats, op5_toxicity, op6_sentencepiece, op7_html, op8_langid, op9_simhash, op10_sharding)}
+    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_perplexity, op4_repeats, op5_toxicity, op6_sentencepiece, op7_html, op8_langid, op9_simhash, op10_sharding, op11_byte_bpe, op12_manifest, op13_runs)}
 
 
 def _crc_table() -> str:
@@ -103,5 +117,45 @@ FROM sized
 """
 
 
+_CRC32_OF_ID = "CASE WHEN doc_id IS NULL THEN 0 ELSE XOR(LIST_REDUCE(LIST_TRANSFORM(REGEXP_EXTRACT_ALL(HEX(ENCODE(CAST(doc_id AS VARCHAR))), '..'), LAMBDA x: CAST('0x' || x AS BIGINT)), LAMBDA a, b: XOR(a >> 8, t.crc[(XOR(a, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) END"
+_FIELD = "COALESCE(CAST(STRLEN(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+
+
+def _levels(name: str, leaves: str) -> str:
+    """Nodes (g, level, idx, n, d) of the trees over ``leaves`` (g, idx, n, d), by level; n is the level's number of nodes."""
+    return (
+        f"{name} AS (SELECT g, 0 AS level, idx, n, d FROM {leaves} UNION ALL SELECT g, level + 1, idx // 8, (ANY_VALUE(n) + 7) // 8, SHA256(STRING_AGG(d, '' ORDER BY idx)) FROM {name} WHERE n > 1 GROUP BY g, level, idx // 8)"
+    )
+
+
+def _folded(name: str, nodes: str, start: str, levels: str) -> str:
+    """The rows of ``start`` (r, g, idx, d) folded with their siblings from level to level; each has what it has folded so far."""
+    sides = f"SELECT n.g, n.level, n.idx, COALESCE(STRING_AGG(s.d, '' ORDER BY s.idx) FILTER (WHERE s.idx < n.idx), '') AS l, COALESCE(STRING_AGG(s.d, '' ORDER BY s.idx) FILTER (WHERE s.idx > n.idx), '') AS r FROM {nodes} n JOIN {nodes} s ON n.g = s.g AND n.level = s.level AND n.idx // 8 = s.idx // 8 WHERE n.n > 1 GROUP BY n.g, n.level, n.idx"
+    return (
+        f"{name}_sides AS MATERIALIZED ({sides}), {name} AS (SELECT r, g, 0 AS level, idx, d, '' AS proof FROM {start} UNION ALL SELECT f.r, f.g, f.level + 1, f.idx // 8, SHA256(s.l || f.d || s.r), f.proof || s.l || s.r FROM {name} f JOIN {name}_sides s ON f.g = s.g AND f.level = s.level AND f.idx = s.idx), "
+        f"{levels} AS (SELECT r, ARG_MAX(g, level) AS g, ARG_MAX(d, level) AS d, ARG_MAX(proof, level) AS proof FROM {name} GROUP BY r)"
+    )
+
+
+#: Leaves by language (null as ``''``, others after ``=``), their trees, the tree over those, and every row folded up both.
+MANIFEST_SQL = f"""
+WITH RECURSIVE t AS (SELECT {_crc_table()} AS crc),
+rows AS (SELECT doc_id, COALESCE('=' || lang, '') AS g, {' || '.join(_FIELD.format(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))} AS head,
+  {_FIELD.format('text')} AS body, {_FIELD.format("TRANSLATE(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lowered, ({_CRC32_OF_ID}) % 3 = 0 AS bad FROM documents, t),
+hashed AS (SELECT doc_id, g, SHA256(head || body) AS d, SHA256(head || CASE WHEN bad THEN lowered ELSE body END) AS given FROM rows),
+leaf AS MATERIALIZED (SELECT ROW_NUMBER() OVER () AS r, *, ROW_NUMBER() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d, given) - 1 AS idx, COUNT(*) OVER (PARTITION BY g) AS n FROM hashed),
+{_levels('node', 'leaf')},
+sub AS MATERIALIZED (SELECT g AS lang, '' AS g, d, ROW_NUMBER() OVER (ORDER BY g) - 1 AS idx, COUNT(*) OVER () AS n FROM node WHERE n = 1),
+{_levels('top', 'sub')},
+start AS (SELECT r, g, idx, given AS d FROM leaf),
+{_folded('fold', 'node', 'start', 'folded')},
+above AS (SELECT folded.r, sub.g, sub.idx, folded.d FROM folded JOIN sub ON folded.g = sub.lang),
+{_folded('rise', 'top', 'above', 'risen')},
+root AS (SELECT d FROM top WHERE n = 1)
+SELECT leaf.doc_id, leaf.d AS leaf, sub.d AS subroot, root.d AS root, SHA256(folded.proof || risen.proof) AS proof_sha256, risen.d AS folded_root, risen.d = root.d AS verified
+FROM leaf JOIN folded ON leaf.r = folded.r JOIN risen ON leaf.r = risen.r JOIN sub ON leaf.g = sub.lang, root
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_sharding": SHARDING_SQL}
+    return {"op10_sharding": SHARDING_SQL, "op12_manifest": MANIFEST_SQL}
