@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from weftline.operators import blocks, layout, matrix, product, selection, splits
+from weftline.operators import blocks, layout, matrix, product, ranks, selection, splits
 
 A3 = [(0, 0, 2), (0, 2, 1), (1, 1, 3), (3, 0, 4)]
 B3 = [(0, 0, 1), (0, 1, 5), (1, 1, 6), (2, 0, -2)]
@@ -199,3 +200,30 @@ def test_heap(spark):
     assert rows(left, "id", "val") == [(2, 9), (3, 3)]
     assert rows(selection.heap_first(left), "id", "val") == [(3, 3)]
     assert selection.heap_first(left.limit(0)).count() == 0
+
+
+def test_a_heavy_key_is_joined_in_tiles(spark):
+    n, tile = 1500, 1 << 14
+    a = spark.range(n).select(F.col("id").alias("i"), F.lit(7).cast("long").alias("j"), F.lit(1.0).alias("v")).unionByName(spark.createDataFrame([(1, 3, 2.0)], "i long, j long, v double"))
+    b = spark.range(n).select(F.lit(7).cast("long").alias("i"), F.col("id").alias("j"), F.lit(2.0).alias("v")).unionByName(spark.createDataFrame([(3, 4, 5.0)], "i long, j long, v double"))
+    got = product.tiled_partials(a, b, tile)
+    assert got.exceptAll(product.partials(a, b)).isEmpty() and got.count() == n * n + 1
+    left, right = product._tiles(a, b, product.heavy_keys(a, b, tile), tile)
+    met = left.join(right, ["k", "down", "across"]).groupBy("k", "down", "across").count()
+    assert met.agg(F.max("count")).first()[0] < 2 * tile
+    assert left.count() + right.count() <= 2 * n * (n // 128 + 1)
+    assert rows(product.product(a, b, tile), "i", "j", "v") == rows(product.product(a, b), "i", "j", "v")
+
+
+def test_ranks_take_a_row_a_digit_and_list(spark):
+    """Long lists aren't expanded: what a round joins is bounded by the lists and the digits."""
+    lists, length = 20, 5000
+    a = spark.range(lists).select(F.lit(0).cast("long").alias("i"), F.col("id").alias("j"))
+    b = spark.range(lists * length).select((F.col("id") % lists).alias("i"), F.floor(F.col("id") / lists).cast("long").alias("j"))
+    total = lists * length
+    wanted = spark.createDataFrame([(0, 0, 0), (1, 0, 1), (2, 0, total // 2 + 3), (3, 0, total)], "id long, i long, p long")
+    got = {r.id: r.n for r in ranks.parts_at(a, b, wanted).groupBy("id").agg(F.sum("b").alias("n")).collect()}
+    assert got == {0: 0, 1: 1, 2: total // 2 + 3, 3: total}
+    assert {r.id: r.j for r in ranks.columns_at(a, b, wanted.where("p > 0")).collect()} == {1: 0, 2: (total // 2 + 2) // lists, 3: length - 1}
+    counted = ranks._counted(b.withColumnRenamed("i", "k"), 1)
+    assert counted.count() <= lists * (length // ranks.RADIX + 1)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from weftline.functions import bits
 from weftline.operators import blocks, layout, matrix, product, selection, splits
 from weftline.sources import mtx, records, result, synth
-from weftline.sources.folders import shared_folder
+from weftline.sources.folders import cut_lineage, shared_folder
 
 BLOCK = product.BLOCK
 
@@ -127,7 +127,7 @@ def csr_row_ptrs_compact(spark, sf_dir):
 
 @_query(f"WITH {_OP} SELECT i, j, CAST(ROW_NUMBER() OVER (PARTITION BY i ORDER BY j) - 1 AS BIGINT) AS pos FROM op")
 def csr_sorted_entries(spark, sf_dir):
-    return matrix.sorted_positions(op(spark, sf_dir))
+    return matrix.sorted_positions(op(spark, sf_dir)).drop("v")
 
 
 # products
@@ -153,6 +153,31 @@ def spgemm_customer_part(spark, sf_dir):
     return product.product(co(spark, sf_dir), op(spark, sf_dir))
 
 
+def _line_numbers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """part x line number and line number x supplier: a few keys with most entries of either side."""
+    lines = _table(spark, sf_dir, "lineitem")
+    return matrix.from_relation(lines, "l_partkey", "l_linenumber", "l_quantity"), matrix.from_relation(lines, "l_linenumber", "l_suppkey", "l_quantity")
+
+
+_PN_NS = (
+    "a AS (SELECT CAST(l_partkey AS BIGINT) AS i, CAST(l_linenumber AS BIGINT) AS j, SUM(l_quantity) AS v FROM lineitem GROUP BY 1, 2), "
+    "b AS (SELECT CAST(l_linenumber AS BIGINT) AS i, CAST(l_suppkey AS BIGINT) AS j, SUM(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
+)
+
+
+@_query(f"WITH {_PN_NS}, {_PAR} SELECT i, j, SUM(x) AS v FROM par GROUP BY i, j")
+def spgemm_heavy_keys(spark, sf_dir):
+    """A product of seven heavy keys, each joined in tiles."""
+    return product.product(*_line_numbers(spark, sf_dir), tile=1 << 16)
+
+
+@_query("WITH a AS (SELECT CAST(l_linenumber AS BIGINT) AS i, CAST(l_partkey AS BIGINT) AS j FROM lineitem GROUP BY 1, 2), b AS (SELECT CAST(l_partkey AS BIGINT) AS i, CAST(l_suppkey AS BIGINT) AS j FROM lineitem GROUP BY 1, 2), par AS (SELECT a.i AS i, a.j AS k, b.j AS j FROM a JOIN b ON a.j = b.i) SELECT i, k, j, CAST(ROW_NUMBER() OVER (PARTITION BY i ORDER BY j, k) AS BIGINT) AS rn FROM par")
+def merged_rank_hot_rows(spark, sf_dir):
+    """Ranks in seven rows that have all partials; no task orders a row."""
+    parts, _ = _line_numbers(spark, sf_dir)
+    return splits.merged_rank(matrix.transpose(parts), ps(spark, sf_dir))
+
+
 @_query(f"WITH {_PO_OP}, {_RS} SELECT i, row_size FROM rs")
 def row_sizes(spark, sf_dir):
     return product.row_sizes(po(spark, sf_dir), op(spark, sf_dir))
@@ -196,6 +221,14 @@ def _supplier(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     return a, b, layout.block_cuts(layout.row_spans(a, b))
 
 
+def _written(m: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(a, b, spans, cuts) of the product of the transpose of ``m`` with ``m``; matrix, spans and cuts are written once for all that follows."""
+    b = cut_lineage(m)
+    a = matrix.transpose(b)
+    spans = cut_lineage(layout.row_spans(a, b))
+    return a, b, spans, cut_lineage(layout.block_cuts(spans))
+
+
 _CUTS_OUT = "SELECT blk, i, p, CASE WHEN 2 * p > row_size THEN row_size - p ELSE p END AS f, CAST(CASE WHEN 2 * p > row_size THEN 1 ELSE 0 END AS INTEGER) AS reverse FROM cut"
 
 
@@ -262,17 +295,20 @@ def merged_rank(spark, sf_dir):
 
 @_query(f"WITH {_PO_OP}, {_VEC} SELECT blk, i, k, b FROM vec")
 def split_forward(spark, sf_dir):
-    return splits.split(*_copurchase(spark, sf_dir))
+    a, b, _, cuts = _written(op(spark, sf_dir))
+    return splits.split(a, b, cuts)
 
 
 @_query(f"WITH {_SP_PS}, {_VEC} SELECT blk, i, k, b FROM vec")
 def split_forward_supplier(spark, sf_dir):
-    return splits.split(*_supplier(spark, sf_dir))
+    a, b, _, cuts = _written(ps(spark, sf_dir))
+    return splits.split(a, b, cuts)
 
 
 @_query(f"WITH {_PO_OP}, {_VEC} SELECT blk, i, k, b FROM vec")
 def split_reverse(spark, sf_dir):
-    return splits.split_from_right(*_copurchase(spark, sf_dir))
+    a, b, _, cuts = _written(op(spark, sf_dir))
+    return splits.split_from_right(a, b, cuts)
 
 
 # materialised once: the cuts and both sides of each come from one look at the placed partials
@@ -283,25 +319,31 @@ _EDGES = "SELECT cut.blk, MAX(CASE WHEN pos.rn = cut.p THEN pos.j END) AS lmax,
 @_query(f"WITH {_PO_OP}, {_PLACED}, e AS ({_EDGES}) SELECT blk, lmax, COALESCE(rmin, -1) AS rmin FROM e")
 def split_lmax_rmin(spark, sf_dir):
     """A cut at a row's end has nothing to its right: -1."""
-    return splits.split_edges(*_copurchase(spark, sf_dir)).select("blk", "lmax", F.coalesce("rmin", F.lit(-1)).cast("long").alias("rmin"))
+    a, b, _, cuts = _written(op(spark, sf_dir))
+    return splits.split_edges(a, b, cuts).select("blk", "lmax", F.coalesce("rmin", F.lit(-1)).cast("long").alias("rmin"))
 
 
 @_query(f"WITH {_PO_OP}, {_PLACED}, e AS ({_EDGES}) SELECT blk, CAST(CASE WHEN lmax = rmin THEN 1 ELSE 0 END AS INTEGER) AS carry FROM e")
 def split_carry(spark, sf_dir):
-    return splits.split_carry(splits.split_edges(*_copurchase(spark, sf_dir)))
+    a, b, _, cuts = _written(op(spark, sf_dir))
+    return splits.split_carry(splits.split_edges(a, b, cuts))
+
+
+def _checked(m: DataFrame) -> DataFrame:
+    a, b, _, cuts = _written(m)
+    vectors, carry = splits.split(a, b, cuts), splits.split_carry(splits.split_edges(a, b, cuts))
+    return splits.split_check(a, b, cuts, vectors, carry)
 
 
 @_query(f"WITH {_PO_OP}, {_CUT} SELECT blk, CAST(1 AS INTEGER) AS ok, CAST(1 AS INTEGER) AS carry_ok FROM cut")
 def split_check(spark, sf_dir):
-    a, b, cuts = _copurchase(spark, sf_dir)
-    return splits.split_check(a, b, cuts, splits.split(a, b, cuts), splits.split_carry(splits.split_edges(a, b, cuts)))
+    return _checked(op(spark, sf_dir))
 
 
 @_query(f"WITH {_SP_PS}, {_CUT} SELECT blk, CAST(1 AS INTEGER) AS valid FROM cut")
 def partition_valid(spark, sf_dir):
     """Fails on the first bad split."""
-    a, b, cuts = _supplier(spark, sf_dir)
-    return splits.assert_valid(splits.split_check(a, b, cuts, splits.split(a, b, cuts), splits.split_carry(splits.split_edges(a, b, cuts))))
+    return splits.assert_valid(_checked(ps(spark, sf_dir)))
 
 
 _RECORDS_SQL = (
@@ -313,8 +355,9 @@ _RECORDS_SQL = (
 
 @_query(_RECORDS_SQL)
 def partition_records(spark, sf_dir):
-    a, b, cuts = _copurchase(spark, sf_dir)
-    return splits.partition_records(layout.record_openings(a, cuts), splits.split(a, b, cuts), a, blocks.carries(a, b))
+    a, b, spans, cuts = _written(op(spark, sf_dir))
+    carry = blocks.block_carries(spans, splits.split_carry(splits.split_edges(a, b, cuts)))
+    return splits.partition_records(layout.record_openings(a, cuts), splits.split(a, b, cuts), a, carry)
 
 
 @_query(_RECORDS_SQL)
@@ -370,7 +413,8 @@ def block_out_sizes(spark, sf_dir):
 
 @_query(f"WITH {_PO_OP}, {_POS}, {_CARRY} SELECT CAST(blk AS BIGINT) AS blk, carry FROM car")
 def block_carries(spark, sf_dir):
-    return blocks.carries(po(spark, sf_dir), op(spark, sf_dir))
+    a, b, spans, cuts = _written(op(spark, sf_dir))
+    return blocks.block_carries(spans, splits.split_carry(splits.split_edges(a, b, cuts)))
 
 
 @_query(f"WITH {_PO_OP}, {_PAR} SELECT i, j, SUM(x) AS v FROM par GROUP BY i, j")

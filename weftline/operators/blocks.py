@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.layout import block_cuts, row_spans
+from weftline.operators.layout import block_cuts, cut_rows, row_spans
 from weftline.operators.matrix import prefix_sum
 from weftline.operators.product import BLOCK, partials, pattern
+from weftline.operators.splits import split_carry, split_edges
 
 
 def _placed(counted: DataFrame, spans: DataFrame) -> DataFrame:
@@ -26,31 +27,11 @@ def _placed(counted: DataFrame, spans: DataFrame) -> DataFrame:
     return placed.withColumn("start", F.col("_start").cast("long")).drop("_start")
 
 
-def placed_entries(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(i, j, n, row_off, start) of the output entries; values are never read."""
-    return placed_entries_of(a, b, row_spans(a, b))
-
-
-def placed_entries_of(a: DataFrame, b: DataFrame, spans: DataFrame) -> DataFrame:
-    """The same for the rows in ``a`` of the matrix whose spans are given."""
-    return _placed(pattern(a, b), spans)
-
-
 def _is_cut(block: int):
     """Whether an entry's partials reach over a block's end."""
     return F.floor(F.col("start") / block) < F.floor((F.col("start") + F.col("n") - 1) / block)
 
 
-def cut_rows(a: DataFrame, spans: DataFrame, block: int) -> DataFrame:
-    """The entries of A in rows that a block's end cuts."""
-    return a.join(block_cuts(spans, block).select("i").distinct(), "i", "left_semi")
-
-
-def _cut_entries(a: DataFrame, b: DataFrame, spans: DataFrame, block: int) -> DataFrame:
-    """(i, j, n, start) of the entries that a block's end cuts; only rows that it cuts are expanded."""
-    return _placed(pattern(cut_rows(a, spans, block), b), spans).where(_is_cut(block)).select("i", "j", "n", "start")
-
-
 def block_runs(a: DataFrame, b: DataFrame, block: int = BLOCK) -> DataFrame:
     """(blk, i, j, s, n, pos): the sum and number of each entry's partials in each block, and the place of the first."""
     spans = row_spans(a, b)
@@ -61,7 +42,7 @@ def block_runs(a: DataFrame, b: DataFrame, block: int = BLOCK) -> DataFrame:
     whole = placed.where(~_is_cut(block)).select(blk, "i", "j", "s", "n", F.col("start").alias("pos")).select(*columns)
     cut = placed.where(_is_cut(block)).select("i", "j", "start")
     order = Window.partitionBy("i", "j").orderBy("k")
-    single = partials(cut_rows(a, spans, block), b).join(cut, ["i", "j"]).select("i", "j", "x", (F.col("start") + F.row_number().over(order) - 1).alias("pos"))
+    single = partials(cut_rows(a, block_cuts(spans, block)), b).join(cut, ["i", "j"]).select("i", "j", "x", (F.col("start") + F.row_number().over(order) - 1).alias("pos"))
     parts = single.groupBy(F.floor(F.col("pos") / block).cast("long").alias("blk"), "i", "j").agg(F.sum("x").alias("s"), F.count("*").alias("n"), F.min("pos").cast("long").alias("pos"))
     return whole.unionByName(parts.select(*columns))
 
@@ -76,9 +57,13 @@ def block_assign(spans: DataFrame, block: int = BLOCK) -> DataFrame:
 def carries(a: DataFrame, b: DataFrame, block: int = BLOCK) -> DataFrame:
     """(blk, carry): whether the entry that ends a block goes on in the next; the last block has 0."""
     spans = row_spans(a, b)
-    cut = _cut_entries(a, b, spans, block).select(F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("n") - 1) / block) - 1)).alias("blk"))
+    return block_carries(spans, split_carry(split_edges(a, b, block_cuts(spans, block))), block)
+
+
+def block_carries(spans: DataFrame, carry: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(blk, carry) of all blocks, from that of the cuts; the tail has 0."""
     blocks = spans.agg(F.max("row_end").alias("total")).where("total > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / block).cast("long"))).alias("blk"))
-    return blocks.join(cut.distinct().withColumn("carry", F.lit(1)), "blk", "left").select("blk", F.coalesce("carry", F.lit(0)).cast("int").alias("carry"))
+    return blocks.join(carry, "blk", "left").select("blk", F.coalesce("carry", F.lit(0)).cast("int").alias("carry"))
 
 
 def carry_apply(runs: DataFrame) -> DataFrame:

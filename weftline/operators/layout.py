@@ -33,6 +33,11 @@ def block_cuts(spans: DataFrame, block: int = BLOCK) -> DataFrame:
     return cuts.select("*", F.when(reverse == 1, F.col("row_size") - F.col("p")).otherwise(F.col("p")).alias("f"), reverse.alias("reverse"))
 
 
+def cut_rows(a: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The entries of A in rows that a block's end cuts."""
+    return a.join(cuts.select("i").distinct(), "i", "left_semi")
+
+
 def direction_counts(cuts: DataFrame) -> DataFrame:
     return cuts.groupBy("reverse").agg(F.count("*").alias("n"))
 

@@ -90,6 +90,6 @@ def row_pointers(m: DataFrame, spine: DataFrame | None = None) -> DataFrame:
 
 
 def sorted_positions(m: DataFrame) -> DataFrame:
-    """(i, j, pos): the place of each entry in its row, from 0."""
-    order = Window.partitionBy("i").orderBy("j")
-    return m.select("i", "j", (F.row_number().over(order) - 1).cast("long").alias("pos"))
+    """``m`` with pos, the place of each entry in its row, from 0; a long row is numbered by chunks of its columns."""
+    placed = prefix_sum(m.withColumn("_one", F.lit(1)), "j", "_one", "pos", within=("i",))
+    return placed.withColumn("pos", F.col("pos").cast("long")).drop("_one")

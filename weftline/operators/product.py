@@ -5,10 +5,18 @@ A's column and B's row are the join key ``k``. A joined, unreduced row is a part
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.sources.folders import cut_lineage
+
 BLOCK = 2048
+#: Partials of one key beyond which the key is cut into tiles of about as many.
+TILE = 1 << 22
+#: Heavy keys up to which they are broadcast (three numbers each).
+SENT = 100_000
 
 
 def _joined(a: DataFrame, b: DataFrame, *columns) -> DataFrame:
@@ -22,9 +30,47 @@ def partials(a: DataFrame, b: DataFrame) -> DataFrame:
     return _joined(a, b, "i", "k", "j", (F.col("a_v") * F.col("b_v")).alias("x"))
 
 
-def product(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(i, j, v): the product; sums that cancel to 0 stay."""
-    return partials(a, b).groupBy("i", "j").agg(F.sum("x").alias("v"))
+def heavy_keys(a: DataFrame, b: DataFrame, tile: int = TILE) -> DataFrame:
+    """(k, rows, columns): the keys that make more than ``tile`` partials, and how many entries of either side they have."""
+    left, right = a.groupBy(F.col("j").alias("k")).agg(F.count("*").alias("rows")), b.groupBy(F.col("i").alias("k")).agg(F.count("*").alias("columns"))
+    return left.join(right, "k").where(F.col("rows") > F.floor(F.lit(tile) / F.col("columns")))
+
+
+def _tiles(a: DataFrame, b: DataFrame, heavy: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
+    """The entries of heavy keys, each in the tiles where it meets the other side's: (i, k, a_v, down, across), (k, j, b_v, down, across)."""
+    side = isqrt(tile)
+    parts = heavy.select("k", F.ceil(F.col("rows") / side).alias("_down"), F.ceil(F.col("columns") / side).alias("_across"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = a.select("i", F.col("j").alias("k"), F.col("v").alias("a_v")).join(parts, "k")
+    right = b.select(F.col("i").alias("k"), "j", F.col("v").alias("b_v")).join(parts, "k")
+    return (
+        left.select("i", "k", "a_v", F.pmod(F.xxhash64("i"), F.col("_down")).alias("down"), each("_across").alias("across")),
+        right.select("k", "j", "b_v", each("_down").alias("down"), F.pmod(F.xxhash64("j"), F.col("_across")).alias("across")),
+    )
+
+
+def tiled_partials(a: DataFrame, b: DataFrame, tile: int = TILE) -> DataFrame:
+    """The rows of ``partials``, with no key's in one task where they are more than ``tile``.
+
+    A heavy key's entries are dealt by hash over the edges of a grid, and each is copied
+    along the grid, so every pair meets in one tile; the copies are fewer than the partials
+    by the edge of a tile. Other keys are joined as they are.
+    """
+    heavy = cut_lineage(heavy_keys(a, b, tile))
+    n = heavy.count()
+    if not n:
+        return partials(a, b)
+    heavy = F.broadcast(heavy) if n <= SENT else heavy
+    keys = heavy.select("k")
+    light = partials(a.join(keys, a["j"] == keys["k"], "left_anti"), b.join(keys, b["i"] == keys["k"], "left_anti"))
+    left, right = _tiles(a, b, heavy, tile)
+    return light.unionByName(left.join(right, ["k", "down", "across"]).select("i", "k", "j", (F.col("a_v") * F.col("b_v")).alias("x")))
+
+
+def product(a: DataFrame, b: DataFrame, tile: int | None = None) -> DataFrame:
+    """(i, j, v): the product; sums that cancel to 0 stay. With ``tile``, keys of more partials are joined in tiles."""
+    joined = partials(a, b) if tile is None else tiled_partials(a, b, tile)
+    return joined.groupBy("i", "j").agg(F.sum("x").alias("v"))
 
 
 def pattern(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators.matrix import row_pointers
+from weftline.operators.matrix import row_pointers, sorted_positions
+from weftline.sources.folders import cut_lineage
 
 
 def write_csr(m: DataFrame, path: str) -> None:
     """Write (i, j, v) in ranges of rows, each in order, under ``entries``, and (i, n, ptr) under ``rows``."""
-    m.select("i", "j", "v").repartitionByRange("i", "j").sortWithinPartitions("i", "j").write.parquet(f"{path}/entries")
+    # written once before it is ranged, as finding the ranges takes a look at all of it
+    cut_lineage(m.select("i", "j", "v")).repartitionByRange("i", "j").sortWithinPartitions("i", "j").write.parquet(f"{path}/entries")
     row_pointers(m.sparkSession.read.parquet(f"{path}/entries")).write.parquet(f"{path}/rows")
 
 
 def read_csr(spark: SparkSession, path: str) -> DataFrame:
     """(i, j, v, pos): the entries with their places among all."""
-    entries = spark.read.parquet(f"{path}/entries")
-    place = F.row_number().over(Window.partitionBy("i").orderBy("j")) - 1
-    return entries.withColumn("_in_row", place).join(spark.read.parquet(f"{path}/rows").select("i", "ptr"), "i").select("i", "j", "v", (F.col("ptr") + F.col("_in_row")).cast("long").alias("pos"))
+    entries = sorted_positions(spark.read.parquet(f"{path}/entries"))
+    rows = spark.read.parquet(f"{path}/rows").select("i", "ptr")
+    return entries.join(rows, "i").select("i", "j", "v", (F.col("ptr") + F.col("pos")).alias("pos"))
