@@ -80,7 +80,11 @@ def test_repeated_rows_are_leaves_each(spark):
 def test_leaves_are_shuffled_once_by_span(spark, monkeypatch):
     monkeypatch.setattr(manifest, "LEVELS", 1)
     monkeypatch.setattr(manifest, "SPAN", 8)
-    plan = manifest.verified(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = manifest.verified(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning(group") == 2  # the leaves, and what is above each span
 
 
