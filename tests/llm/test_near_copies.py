@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from weftline.llm import near_copies, simhash
@@ -94,3 +95,38 @@ def test_sketches_differ_in_no_more_bits_than_sets_do():
             differ = sum(int(x).bit_count() for x in (near_copies.sketch(a) ^ near_copies.sketch(b)).view(np.uint64))
             assert differ <= len(np.setxor1d(a, b)) and (gone or not differ)
             assert gone != 50 or differ > 80
+
+
+def template_pages(n, unique):
+    """Pages of one template with ``unique`` words of their own after 200 shared ones."""
+    shared = [f"t{k}" for k in range(200)]
+    return [" ".join(shared + [f"p{page}x{k}" for k in range(unique)]) for page in range(n)]
+
+
+@pytest.mark.parametrize("unique", [26, 35, 60])
+def test_pages_of_one_template_that_are_not_similar_bring_no_pairs(spark, unique):
+    made = []
+    for n in (100, 200, 400):
+        docs = spark.createDataFrame(list(enumerate(template_pages(n, unique))), "doc_id long, text string")
+        rows = near_copies._shared(docs, 0.8, 5, near_copies.COMMON, counted=0.0)
+        made.append(near_copies.open_pairs(rows.select("token", "node", "size", "pos", F.col("node").alias("part")), 0.8).count())
+    assert made == [0, 0, 0]
+
+
+def test_open_pairs_hold_all_similar_ones(spark):
+    docs = some_documents(5)
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    shared = near_copies._shared(rows, 0.8, 5, 2)
+    pairs = {tuple(r) for r in near_copies.open_pairs(shared.select("token", "node", "size", "pos", F.col("node").alias("part")), 0.8).collect()}
+    nodes = {near_copies.node_of(t.encode().lower().split()): shingle_set(t) for t in docs.values()}
+    alike = {(min(a, b), max(a, b)) for a in nodes for b in nodes if a != b and len(nodes[a] & nodes[b]) / len(nodes[a] | nodes[b]) >= 0.8}
+    assert len(alike) > 20 and alike <= pairs
+
+
+def test_template_pages_among_others(spark):
+    """Templates that similar and dissimilar pages have, with copies of some, all in one table."""
+    docs = dict(enumerate(template_pages(60, 26) + [x.replace("t", "s") for x in template_pages(40, 20)] + [x.replace("t", "r") for x in template_pages(40, 60)]))
+    docs |= {1000 + k: docs[k] + " more" for k in (3, 70, 120)}
+    kept, _ = kept_by_hand(docs)
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(rows).collect()) == kept

@@ -7,14 +7,16 @@ Texts with the same words (white space and ASCII case apart) are one node. The d
 shingle hashes of all nodes are put in one order, those that many nodes have last. Two sets
 of similarity ``similarity`` have one of their first ``size - ceil(similarity * size) + 1``
 shingles in common, so only these are tokens that bring pairs together, and no pair is
-missed. Each node has a sketch of which of 2,048 bins hold an odd number of its shingles;
+missed. Of two sets the smaller one has it among still fewer, ``size - ceil(2 s / (1 + s) * size) + 1``
+of them, and from their first common shingle on both must be long enough to hold what similar
+sets have in common; what doesn't meet this is never paired, so pages of one template that
+aren't similar bring no pairs together. Each node has a sketch of which of 2,048 bins hold an odd number of its shingles;
 bins that differ are differing shingles at least, so sketches alone rule most pairs out, and
 all others are compared over all their shingles.
 
 Of a token's nodes each is first compared with a leader, twice with another one. What is in
 one component by then needs no more comparison, so a group of near copies isn't paired with
-itself; all pairs of a token that lie in different components are then compared, but for
-those with so few equal tokens that the rest can't make up for it.
+itself; all pairs of a token that lie in different components are then compared.
 
 Defined results: null and blank texts are one node; a text of fewer than five words has one
 shingle; repeats of a shingle count once; a null doc_id counts as larger than all others.
@@ -22,7 +24,7 @@ shingle; repeats of a shingle count once; a null doc_id counts as larger than al
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
@@ -97,12 +99,12 @@ def text_hash() -> Column:
 
 
 def _tokens(docs: DataFrame, similarity: float, words_each: int, late: np.ndarray) -> DataFrame:
-    """(token, node, size): the tokens of each node; ``late`` ones come last in the order."""
+    """(token, node, size, pos): the tokens of each node and their places in its set; ``late`` ones come last in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            tokens, nodes, sizes = [np.zeros(0, np.int64)], [], []
+            tokens, places, nodes, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], []
             for text in text_bytes(batch.column(0)):
                 words = text.lower().split()
                 node = node_of(words)
@@ -115,13 +117,14 @@ def _tokens(docs: DataFrame, similarity: float, words_each: int, late: np.ndarra
                     last = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
                     h = np.concatenate([h[~last], h[last]])
                 tokens.append(tokens_of(h, similarity))
+                places.append(np.arange(len(tokens[-1])))
                 nodes.append(node)
                 sizes.append(len(h))
             n = [len(x) for x in tokens[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.array(nodes, np.int64), n)), pa.array(np.repeat(np.array(sizes, np.int64), n))], ["token", "node", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.array(nodes, np.int64), n)), pa.array(np.repeat(np.array(sizes, np.int64), n)), pa.array(np.concatenate(places))], ["token", "node", "size", "pos"])
         release_memory()
 
-    return docs.select("text").mapInArrow(run, "token long, node long, size long")
+    return docs.select("text").mapInArrow(run, "token long, node long, size long, pos long")
 
 
 def _common_tokens(tokens: DataFrame, common: int) -> np.ndarray:
@@ -134,24 +137,33 @@ def _common_tokens(tokens: DataFrame, common: int) -> np.ndarray:
     return np.sort(often.select("token").toArrow().column(0).to_numpy())
 
 
-def _shared(docs: DataFrame, similarity: float, words_each: int, common: int) -> DataFrame:
-    """(token, node, size) of the tokens that several nodes have, in an order with the common ones last."""
-    late = _common_tokens(_tokens(docs, similarity, words_each, np.zeros(0, np.int64)), common)
+def _shared(docs: DataFrame, similarity: float, words_each: int, common: int, counted: float | None = None) -> DataFrame:
+    """(token, node, size, pos) of the tokens that several nodes have, one of them among its first ones, in an order with the common ones last.
+
+    Common ones are looked for among the tokens for the similarity ``counted``: among all shingles for 0.
+    """
+    late = _common_tokens(_tokens(docs, similarity if counted is None else counted, words_each, np.zeros(0, np.int64)), common)
     rows = _tokens(docs, similarity, words_each, late).repartition("token").distinct()
-    return rows.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1").drop("n")
+    of_token = Window.partitionBy("token")
+    return rows.withColumn("n", F.count("*").over(of_token)).withColumn("first", F.max(_is_first(similarity)).over(of_token)).where("n > 1 and first").drop("n", "first")
+
+
+def _texts_of(docs: DataFrame, marked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One text of each of the nodes."""
+    held = cut_lineage(marked.join(nodes.distinct(), "node").groupBy("node").agg(F.min("text_hash").alias("_hash")).select("_hash"))
+    texts = docs.select("text", text_hash().alias("_hash")).join(F.broadcast(held) if held.count() <= SENT else held, "_hash", "left_semi")
+    return texts.dropDuplicates(["_hash"]).select("text")
 
 
 def _sets(docs: DataFrame, marked: DataFrame, nodes: DataFrame, words_each: int) -> DataFrame:
     """(node, its shingles in order as bytes) of the nodes."""
-    held = cut_lineage(marked.join(nodes.distinct(), "node").groupBy("node").agg(F.min("text_hash").alias("_hash")).select("_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [x.lower().split() for x in text_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(map(node_of, words), pa.int64()), pa.array([shingles(w, words_each).tobytes() for w in words], pa.binary())], ["node", "shingles"])
 
-    texts = docs.select("text", text_hash().alias("_hash")).join(F.broadcast(held) if held.count() <= SENT else held, "_hash", "left_semi")
-    return texts.dropDuplicates(["_hash"]).select("text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    return _texts_of(docs, marked, nodes).mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
 def _overlap(similarity: float) -> Column:
@@ -159,13 +171,23 @@ def _overlap(similarity: float) -> Column:
     return F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-9)
 
 
-def _enough_tokens(similarity: float) -> Column:
-    """Whether two sets with ``both`` equal tokens can be similar.
+def _is_first(similarity: float) -> Column:
+    """Whether a token is among those, one of which a similar set of the same size or larger has among its own tokens."""
+    return F.col("pos") <= F.col("size") - F.ceil(F.lit(2 * similarity / (1 + similarity)) * F.col("size") - 1e-9)
+
 
-    Of the text whose tokens end first, what is equal lies among the equal tokens or behind its tokens.
+def open_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different parts that may be similar, of ``rows`` (token, node, size, pos, part).
+
+    The smaller one's (of equal ones, the lesser's) first tokens meet the tokens of the other. Similar
+    sets meet at their first common token, from which on both are at least as long as what they have in common.
     """
-    behind = F.ceil(F.lit(similarity) * F.greatest("size_a", "size_b") - 1e-9) - 1
-    return F.col("both") + behind >= _overlap(similarity)
+    smaller = rows.where(_is_first(similarity)).toDF("token", "other", "size_b", "pos_b", "other_part")
+    larger = rows.withColumnRenamed("size", "size_a")
+    order = (F.col("size_b") < F.col("size_a")) | (F.col("size_b") == F.col("size_a")) & (F.col("other") < F.col("node"))
+    long_enough = F.least(F.col("size_a") - F.col("pos"), F.col("size_b") - F.col("pos_b")) >= _overlap(similarity)
+    near = order & (F.col("size_b") >= similarity * F.col("size_a") - 1e-9) & long_enough & (F.col("part") != F.col("other_part"))
+    return larger.join(smaller, "token").where(near).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def _alike(pairs: DataFrame, docs: DataFrame, marked: DataFrame, held: DataFrame, similarity: float, words_each: int) -> DataFrame:
@@ -187,40 +209,53 @@ def _alike(pairs: DataFrame, docs: DataFrame, marked: DataFrame, held: DataFrame
     return with_both(may, cut_lineage(sets)).select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a long, b long")
 
 
+def _lead(rows: DataFrame, candidates: DataFrame | None, found: DataFrame | None, alike: Callable[[DataFrame], DataFrame], similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(rows of tokens that several parts have, links found): each node of a token compared with the token's leaders."""
+    pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
+    near = (F.col("part") != F.col("other_part")) & (F.least("size", "other_size") >= similarity * F.greatest("size", "other_size") - 1e-9)
+    for k in range(LEADERS):
+        lead = F.min(F.struct(F.xxhash64("node", F.lit(k)), F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("part").alias("other_part")))
+        others = rows.groupBy("token").agg(lead.alias("l")).select("token", "l.other", "l.other_size", "l.other_part")
+        pairs = rows.join(others, "token").where(near).select(*pair)
+        if candidates is not None and not k:
+            pairs = pairs.unionByName(candidates)
+        new = alike(pairs.distinct())
+        found = new if found is None else found.unionByName(new)
+        now = _in_parts(rows, connected_components(found))
+        # of tokens with two nodes all pairs have been compared
+        open_ = now.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("token")
+        rows = cut_lineage(now.join(open_, "token", "left_semi"))
+        if rows.isEmpty():
+            break
+    return rows, found
+
+
+def _in_parts(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    return rows.select("token", "node", "size", "pos").join(parts.select("node", F.col("component").alias("part")), "node", "left").select("token", "node", "size", "pos", F.coalesce("part", "node").alias("part"))
+
+
 def links(docs: DataFrame, marked: DataFrame, candidates: DataFrame, similarity: float = 0.8, words_each: int = 5) -> DataFrame:
     """Pairs (a, b) of nodes that are similar, enough of them to connect all that similar pairs connect.
 
     ``marked`` has the node, text_hash and sketch of each document. The similar ones among the pairs
     (a, b) of ``candidates`` are taken first.
+
+    Tokens that few nodes have bring few pairs. The nodes of the others that are still in
+    several parts, mostly pages of one template, are taken again by themselves, in an order
+    by the counts of all their shingles, so that their own words come first: a similar pair
+    that meets first at a common token in the first order has both its nodes among them.
     """
-    shared = cut_lineage(_shared(docs, similarity, words_each, COMMON))
     held = cut_lineage(marked.select("node", "size", "sketch").dropDuplicates(["node"]))
-    pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
-    near = (F.col("part") != F.col("other_part")) & (F.least("size", "other_size") >= similarity * F.greatest("size", "other_size") - 1e-9)
-    rows, found = shared.select("token", "node", "size", F.col("node").alias("part")), None
-    for k in range(LEADERS + 1):
-        if k < LEADERS:
-            lead = F.min(F.struct(F.xxhash64("node", F.lit(k)), F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("part").alias("other_part")))
-            others = rows.groupBy("token").agg(lead.alias("l")).select("token", "l.other", "l.other_size", "l.other_part")
-        else:
-            others = rows.toDF("token", "other", "other_size", "other_part")
-            near = near & (F.col("node") < F.col("other"))
-        met = rows.join(others, "token").where(near)
-        if k < LEADERS:
-            pairs = met.select(*pair)
-            pairs = (pairs if k else pairs.unionByName(candidates)).distinct()
-        else:
-            # what hasn't been compared and lies apart has all its equal tokens among these rows
-            counted = met.groupBy(F.col("node").alias("a"), F.col("other").alias("b"), F.col("size").alias("size_a"), F.col("other_size").alias("size_b")).agg(F.count("*").alias("both"))
-            pairs = counted.where(_enough_tokens(similarity)).select("a", "b")
-        new = cut_lineage(_alike(pairs, docs, marked, held, similarity, words_each))
-        found = new if found is None else found.unionByName(new)
-        if k < LEADERS:
-            parts = connected_components(found)
-            now = rows.drop("part").join(parts.select("node", F.col("component").alias("part")), "node", "left").select("token", "node", "size", F.coalesce("part", "node").alias("part"))
-            # of tokens with two nodes all pairs have been compared
-            open_ = now.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("token")
-            rows = cut_lineage(now.join(open_, "token", "left_semi"))
-            if rows.isEmpty():
-                break
-    return found
+    alike = lambda pairs: cut_lineage(_alike(pairs, docs, marked, held, similarity, words_each))
+    rows = cut_lineage(_shared(docs, similarity, words_each, COMMON))
+    rows, found = _lead(rows.withColumn("part", F.col("node")), candidates, None, alike, similarity)
+    if rows.isEmpty():
+        return found
+    hot = cut_lineage(rows.groupBy("token").count().where(F.col("count") > COMMON).select("token"))
+    found = found.unionByName(alike(open_pairs(rows.join(hot, "token", "left_anti"), similarity)))
+    crowded = cut_lineage(rows.join(hot, "token", "left_semi").select("node").distinct())
+    if crowded.isEmpty():
+        return found
+    again = cut_lineage(_shared(_texts_of(docs, marked, crowded), similarity, words_each, COMMON, counted=0.0))
+    left, found = _lead(cut_lineage(_in_parts(again, connected_components(found))), None, found, alike, similarity)
+    return found if left.isEmpty() else found.unionByName(alike(open_pairs(left, similarity)))
