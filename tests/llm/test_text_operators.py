@@ -481,6 +481,58 @@ def test_pages_without_telling_names(spark, level):
     assert level < 2 or want_chars / plain_chars < 0.985
 
 
+BODY = "words of an article " * 15
+
+
+@pytest.mark.parametrize(
+    ("html", "kept"),
+    [
+        (f'<article><h1>T</h1><p>{BODY}</p><div class="legal-analysis"><p>{BODY}2</p></div><p>{BODY}3</p></article>', ["T", BODY, BODY + "2", BODY + "3"]),
+        (f'<article><p>{BODY}</p><p class="notice">What a marked line in an article says.</p><p>{BODY}</p></article>', [BODY, "What a marked line in an article says.", BODY]),
+        (f"<article><p>{BODY}</p><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li><li><a href=3>Three</a></li></ul></article>", [BODY, "One", "Two", "Three"]),
+        (f"<body><div><p>{'a' * 1000}</p></div><div><p>{'b' * 300}</p></div></body>", ["a" * 1000, "b" * 300]),
+        (f'<body><article><p>{BODY}</p></article><div class="comments"><p>{BODY * 3}</p></div><div>{BODY * 3}</div><footer>{BODY * 9}</footer></body>', [BODY]),
+        (f'<body><div><p>{BODY}</p><p>{BODY}</p></div><div class="comments"><p>{BODY}</p></div><div class="ad">Buy now</div></body>', [BODY, BODY]),
+        (f'<article><p>{BODY}</p><p hidden>never seen</p><div class="ad">Buy</div><form>Your name</form><p>{BODY}</p></article>', [BODY, BODY]),
+    ],
+)
+def test_names_only_weigh(html, kept):
+    assert html_extract.main_text(html).split("\n") == [x.strip() for x in kept]
+
+
+def test_the_windows_choose_on_the_given_pages(spark, monkeypatch):
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").limit(50).collect()]
+    right = [html_extract.main_text(x) for x in pages]
+    monkeypatch.setattr(html_extract, "_stretches", lambda weights, number, window: [((0, max(number)), 1)])
+    assert not any(html_extract.main_text(x) == y for x, y in zip(pages, right, strict=True))
+
+
+def test_sums_of_windows_by_hand():
+    rng = random.Random(7)
+    for _ in range(300):
+        weights, window = [rng.choice([0, 0, 0, 1, 9]) for _ in range(rng.randint(0, 30))], rng.randint(1, 4)
+        sums = [sum(weights[max(0, k - window + 1) : k + 1]) for k in range(len(weights) + window)]
+        by_hand, k = [], 0
+        while k < len(sums):
+            end = k
+            while end < len(sums) and sums[end]:
+                end += 1
+            if end > k:
+                own = [n for n in range(k, min(end, len(weights))) if weights[n]]
+                by_hand.append(((own[0], own[-1]), max(sums[k:end])))
+            k = end + 1
+        assert html_extract._stretches(weights, list(range(len(weights))), window) == by_hand
+
+
+def test_wide_pages_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    page = "<body>" + "<div><p>some text of a line</p><a href=x>link</a></div>" * 50_000 + "</body>"
+    assert html_extract.main_text(page).count("some text of a line") == 50_000
+    assert time.perf_counter() - start < 30
+
+
 def test_deep_markup_takes_linear_time():
     import time
 

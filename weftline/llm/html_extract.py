@@ -2,16 +2,19 @@
 
 Markup is stripped to lines, one a block of text; where a line stands in another container
 than the one before it, empty lines stand between them. A line weighs its text length, a
-heading several times that, and text that is mostly links nothing. Lengths are summed over sliding
-windows of a few lines. Text surges where the sums rise from nothing and dives where they
-fall back to nothing; of the stretches between, the one with the highest sum is the main
-one. Others stay if they lie inside its container, or come near its height: half of it, or
-a little of it where they stand beside it inside a part of the page.
-
-Names of elements and classes are hints that change weights: menus, forms, adverts and the
-like weigh nothing, and where a page has an article element so does all that lies outside
-it; its stretches all stay. A weightless line inside a stretch stays unless it is such
-boilerplate, or one of a run of links as long as the window.
+heading several times that, and text that is mostly links nothing or next to nothing. Lengths
+are summed over sliding windows of a few lines. Text surges where the sums rise from nothing
+and dives where they fall back to nothing, and of the stretches between, the one with the
+highest sum is the main one. Others stay if they lie inside its container, or come near its
+height: a quarter of it, or a little of it where they stand beside it inside a part of the
+page.
+
+Names only change weights. In a page with an article element what lies outside weighs a
+64th, so that the highest stretch is one of the article's unless the article has next to no
+text, and all of the article's own stretches stay with it. Text under class names that mark
+boilerplate weighs an eighth; a stretch that is all of such text stays where it comes near
+the main one's height even so, and a marked line inside another stretch stays with it. Menus,
+forms, footers and hidden elements weigh nothing, and are never text.
 
 Defined results: null, empty and textless pages have an empty text; unclosed elements end
 with their parents; a page that is only boilerplate has an empty text; repeated rows are
@@ -56,24 +59,30 @@ BOILERPLATE = frozenset(
 
 
 def _marked(attributes: str) -> bool:
-    """Whether class, id or role name boilerplate, or the element is hidden."""
+    """Whether class, id or role name boilerplate."""
     if not attributes:
         return False
     for value in MARKED.findall(attributes):
         for name in value.strip("\"'").lower().split():
             if not BOILERPLATE.isdisjoint(WORD.findall(name)) and "article" not in name and "content" not in name.replace("contentinfo", ""):
                 return True
-    return bool(HIDDEN.search(attributes))
+    return False
 
 
 class Line(NamedTuple):
     text: str
     links: bool
     inside: bool
-    boiler: bool
+    marked: bool
+    never: bool
     heading: bool
     container: int
 
+    @property
+    def boiler(self) -> bool:
+        """Whether any name tells against the line."""
+        return self.marked or self.never
+
 
 class _Lines:
     """The lines of a page as they are met, and the elements that are open."""
@@ -82,11 +91,12 @@ class _Lines:
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.linked = 0
-        self.open: list[tuple[str, bool]] = []  # elements and whether they are boilerplate
+        self.open: list[tuple[str, bool, bool]] = []  # elements, whether names mark them, and whether they are never text
         self.names: Counter = Counter()  # how often each element is open
         self.containers = [0]  # the number of each open element's container, after that of the page
         self.parent = {0: 0}
-        self.off = 0
+        self.marked = 0
+        self.never = 0
         self.within = 0
         self.heading = False
         self.in_link = False
@@ -101,46 +111,48 @@ class _Lines:
             raw = "".join(self.parts)
             text = " ".join((unescape(raw) if "&" in raw else raw).split())
             if text:
-                self.lines.append(Line(text, 2 * self.linked > len(raw), self.within > 0, self.off > 0, self.heading, self.containers[-1]))
+                self.lines.append(Line(text, 2 * self.linked > len(raw), self.within > 0, self.marked > 0, self.never > 0, self.heading, self.containers[-1]))
             self.parts, self.linked = [], 0
 
-    def push(self, name: str, boiler: bool) -> None:
-        self.open.append((name, boiler))
+    def push(self, name: str, marked: bool, never: bool) -> None:
+        self.open.append((name, marked, never))
         self.names[name] += 1
         held = self.containers[-1]
         if name not in TEXT_BLOCKS and name not in INLINE and name not in WHOLE_PAGE:
             held = len(self.parent)
             self.parent[held] = self.containers[-1]
         self.containers.append(held)
-        self.off += boiler
-        self.within += name in ARTICLE and not boiler
+        self.marked += marked
+        self.never += never
+        self.within += name in ARTICLE and not (marked or never)
 
     def pop(self) -> None:
-        name, boiler = self.open.pop()
+        name, marked, never = self.open.pop()
         self.names[name] -= 1
         self.containers.pop()
-        self.off -= boiler
-        self.within -= name in ARTICLE and not boiler
+        self.marked -= marked
+        self.never -= never
+        self.within -= name in ARTICLE and not (marked or never)
 
     def start(self, name: str, attributes: str) -> None:
         if name in VOID:
             if name in ("br", "hr"):
                 self.end_line()
             return
-        boiler = _marked(attributes)
+        marked, hidden = _marked(attributes), bool(attributes and HIDDEN.search(attributes))
         if name in INLINE:
             self.in_link = self.in_link or name == "a"
-            if boiler:
-                self.push(name, True)
+            if marked or hidden:
+                self.push(name, marked, hidden)
             return
         self.end_line()
         while self.open and (self.open[-1][0] == "p" or self.open[-1][0] == name in ENDS_LIKE):
             self.pop()
-        if name in ARTICLE and not boiler:
+        if name in ARTICLE and not (marked or hidden):
             while any(self.names[n] for n in BEFORE_ARTICLE):
                 self.pop()
         self.heading = name == "h1"
-        self.push(name, boiler or name in NEVER and not (name == "header" and self.within))
+        self.push(name, marked, hidden or name in NEVER and not (name == "header" and self.within))
 
     def end(self, name: str) -> None:
         if name in INLINE:
@@ -186,37 +198,48 @@ def _menus(found: list[Line], window: int) -> list[bool]:
     return out
 
 
-def main_text(html: str, window: int = 3, share: float = 0.5, beside: float = 0.05, heading: int = 8) -> str:
+def _weight(line: Line, menu: bool, article: bool, heading: int) -> int:
+    """What a line adds to the sums; ``article``: whether the page has one."""
+    if line.never:
+        return 0
+    if article and line.inside and line.links:
+        return 1  # an article's links hold its stretches together
+    if line.links or menu:
+        return 0
+    weight = len(line.text) * (heading if line.heading else 1)
+    return weight // ((8 if line.marked else 1) * (64 if article and not line.inside else 1))
+
+
+def main_text(html: str, window: int = 3, share: float = 0.25, beside: float = 0.05, heading: int = 8) -> str:
     found, parent = lines(html)
     menu = _menus(found, window)
-    article = any(x.inside and not x.boiler for x in found)
+    article = any(x.inside and not x.never for x in found)
     # the weights of the lines, with empty lines where the container changes; ``number`` says which line a weight is of
     weights, number = [], []
     for k, x in enumerate(found):
         if k and x.container != found[k - 1].container:
             weights += [0] * window
             number += [-1] * window
-        if x.boiler or menu[k] or article and not x.inside:
-            weight = 0
-        elif x.links:
-            weight = int(article)
-        else:
-            weight = len(x.text) * (heading if x.heading else 1)
-        weights.append(weight)
+        weights.append(_weight(x, menu[k], article, heading))
         number.append(k)
     stretches = _stretches(weights, number, window)
     if not stretches:
         return ""
     (top, _), peak = max(stretches, key=lambda x: x[1])
-    main = found[top].container
+    main, in_article = found[top].container, found[top].inside
     kept = []
     for (a, b), highest in stretches:
+        held = found[a : b + 1]
         up = container = found[a].container
         while up and up != main:
             up = parent[up]
-        near = beside if parent[main] and parent[container] == parent[main] else share
-        if article or up == main != 0 or highest >= near * peak:
-            kept += [x.text for k, x in enumerate(found[a : b + 1], a) if not (x.boiler or menu[k] or article and not x.inside)]
+        own = up == main != 0 or in_article and found[a].inside
+        if all(x.boiler for x in held):
+            near = beside if own else 2 * share
+        else:
+            near = 0.0 if own else beside if parent[main] and parent[container] == parent[main] else share
+        if highest >= near * peak:
+            kept += [x.text for k, x in enumerate(held, a) if not x.never and (x.inside or not menu[k])]
     return "\n".join(kept)
 
 
