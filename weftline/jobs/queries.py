@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import bits
 from weftline.operators import blocks, layout, matrix, product, selection, splits
-from weftline.sources import mtx, records, result, synth
+from weftline.sources import mtx, mtx_source, records, result, stored, synth, words
 from weftline.sources.folders import cut_lineage, shared_folder
 
 BLOCK = product.BLOCK
@@ -581,6 +581,70 @@ def mtx_roundtrip(spark, sf_dir):
     return mtx.read_mtx(spark, path)
 
 
+@_query(f"WITH {_PO_OP}, {_PAR}, {_C} SELECT CAST(DENSE_RANK() OVER (ORDER BY i) - 1 AS BIGINT) AS row, CAST(ROW_NUMBER() OVER (ORDER BY i, j) - 1 AS BIGINT) AS pos, j, v FROM c")
+def product_files(spark, sf_dir):
+    """The product as files of packed words (row pointers, columns, 32-bit values), written by tasks and read back."""
+    path = _scratch(spark)
+    result.write_files(product.product(po(spark, sf_dir), op(spark, sf_dir)), path)
+    return result.read_files(spark, path)
+
+
+@_query(_RECORDS_SQL)
+def partition_word_files(spark, sf_dir):
+    """The partition records and their offsets as files of packed words, written by tasks and read back."""
+    path = _scratch(spark)
+    words.write_records(partition_records(spark, sf_dir), partition_offsets(spark, sf_dir), path)
+    return words.read_records(spark, path)
+
+
+def _as_mtx(spark: SparkSession, m: DataFrame, symmetry: str) -> str:
+    """The path of ``m`` written by the data source."""
+    spark.dataSource.register(mtx_source.MtxSource)
+    path, ends = _scratch(spark), m.agg(F.max("i").alias("i"), F.max("j").alias("j")).first()
+    rows, columns = (ends["i"] or 0) + 1, (ends["j"] or 0) + 1
+    if symmetry == "symmetric":
+        rows = columns = max(rows, columns)
+    m.write.format("mtx").options(rows=rows, columns=columns, symmetry=symmetry).mode("append").save(path)
+    return path
+
+
+@_query(f"WITH {_SP}, low AS (SELECT * FROM sp WHERE j <= i) SELECT i, j, v FROM low UNION ALL SELECT j, i, v FROM low WHERE i <> j")
+def mtx_source_symmetric(spark, sf_dir):
+    """A triangle written and read by the data source, in pieces of 64 KB."""
+    path = _as_mtx(spark, sp(spark, sf_dir), "symmetric")
+    return spark.read.format("mtx").option("split_bytes", 1 << 16).load(path).drop("at")
+
+
+@_query(f"WITH {_SP} SELECT CAST(MAX(i) + 1 AS BIGINT) AS rows, CAST(MAX(j) + 1 AS BIGINT) AS columns, COUNT(*) AS entries, COUNT(*) AS found, TRUE AS fits FROM sp")
+def mtx_counts(spark, sf_dir):
+    """A file's size line against what it holds."""
+    return mtx_source.counted(spark, _as_mtx(spark, sp(spark, sf_dir), "general"))
+
+
+@_query(f"WITH {_PO_OP}, {_PAR} SELECT i, j, SUM(x) AS v FROM par GROUP BY i, j")
+def spgemm_stored(spark, sf_dir):
+    """The product of matrices kept in buckets, joined without a shuffle by key."""
+    path, name = _scratch(spark), f"m{uuid.uuid4().hex}"
+    a = stored.store(po(spark, sf_dir), f"{name}_a", "j", 16, f"{path}/a")
+    b = stored.store(op(spark, sf_dir), f"{name}_b", "i", 16, f"{path}/b")
+    return product.product(a, b)
+
+
+#: labels spread over 2^40 numbers
+_SPREAD = 1099511627689
+
+
+@_query(
+    f"WITH {_OP}, a AS (SELECT (j * 48271 * 48271) % {_SPREAD} AS i, i AS j, v FROM op), b AS (SELECT * FROM op), {_RS}, span AS (SELECT i, row_size, CAST(SUM(row_size) OVER (ORDER BY i) AS BIGINT) AS row_end FROM rs) "
+    "SELECT i, row_size, row_end - row_size AS row_off, row_end FROM span"
+)
+def row_size_prefix_hashed(spark, sf_dir):
+    """Spans of rows whose labels lie far apart, as hashes do."""
+    b = op(spark, sf_dir)
+    a = matrix.transpose(b).withColumn("i", (F.col("i") * 48271 * 48271) % F.lit(_SPREAD))
+    return layout.row_spans(a, b, label_bits=40)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in _QUERIES.items()}
 

@@ -57,18 +57,24 @@ def _with_chunk(df: DataFrame, key: str, chunk_bits: int, splits: list[float] |
     return bucketizer.transform(df.withColumn("_double", F.col(key).cast("double"))).withColumn("_chunk", F.col("_bucket").cast("long")).drop("_double", "_bucket")
 
 
-def prefix_sum(df: DataFrame, key: str, value: str, out: str, within: tuple[str, ...] = (), chunk_bits: int = CHUNK_BITS, splits: list[float] | None = None, base: DataFrame | None = None) -> DataFrame:
+def prefix_sum(df: DataFrame, key: str, value: str, out: str, within: tuple[str, ...] = (), chunk_bits: int = CHUNK_BITS, splits: list[float] | None = None, base: DataFrame | None = None, key_bits: int = 2 * CHUNK_BITS) -> DataFrame:
     """``df`` with ``out``, the sum of ``value`` over smaller keys (integers, one row each).
 
     Keys are summed by chunks in parallel, then the chunks' totals in order, so that no task
     orders the whole table; only the totals, one row a chunk, meet. A chunk is
-    ``2 ** chunk_bits`` neighbouring numbers, or what lies between two of ``splits``. With
+    ``2 ** chunk_bits`` neighbouring numbers, or what lies between two of ``splits``. Keys of
+    up to ``key_bits`` bits have their chunks' totals summed by chunks of chunks, so that no
+    task gets more than ``2 ** chunk_bits`` rows, be the keys dense or hashes. With
     ``base`` (the columns of ``within`` and one more) the sums begin at that column's value.
     """
     keyed = _with_chunk(df, key, chunk_bits, splits)
     totals = keyed.groupBy(*within, "_chunk").agg(F.sum(value).alias("_total"))
-    before = Window.partitionBy(*within).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*within, "_chunk", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    if splits is None and key_bits > 2 * chunk_bits:
+        upper = totals.select(*within, F.col("_chunk").alias("_key"), "_total")
+        offsets = prefix_sum(upper, "_key", "_total", "_sum", within, chunk_bits, key_bits=key_bits - chunk_bits).select(*within, F.col("_key").alias("_chunk"), F.col("_sum").alias("_offset"))
+    else:
+        before = Window.partitionBy(*within).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(*within, "_chunk", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
     if base is not None:
         start = [c for c in base.columns if c not in within][0]
         offsets = offsets.join(base, list(within)).select(*within, "_chunk", (F.col("_offset") + F.col(start)).alias("_offset"), start)

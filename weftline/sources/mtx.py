@@ -27,19 +27,25 @@ class Header:
     size_line: str
 
 
+def parse_banner(banner: str) -> tuple[str, str]:
+    """(field, symmetry) of a banner; an unsupported kind raises."""
+    words = banner.lower().split()
+    if len(words) != 5 or words[1:3] != ["matrix", "coordinate"] or words[3] not in ("real", "integer", "pattern") or words[4] not in ("general", "symmetric"):
+        raise ValueError(f"unsupported Matrix Market kind: {banner}")
+    return words[3], words[4]
+
+
 def read_header(spark: SparkSession, path: str) -> Header:
     """The banner and the size line; a missing path and an unsupported kind raise."""
     lines = spark.read.text(path)
     banner = lines.where(F.col("value").startswith("%%MatrixMarket")).select("value", F.col("_metadata.file_path").alias("file")).first()
     if banner is None:
         raise ValueError(f"{path} has no Matrix Market banner")
-    words = banner["value"].lower().split()
-    if len(words) != 5 or words[1:3] != ["matrix", "coordinate"] or words[3] not in ("real", "integer", "pattern") or words[4] not in ("general", "symmetric"):
-        raise ValueError(f"unsupported Matrix Market kind: {banner['value']}")
+    field, symmetry = parse_banner(banner["value"])
     # only the file with the banner has the size line, and takes of one file come in its order
     size = spark.read.text(banner["file"]).where(~F.col("value").startswith("%") & (F.trim("value") != "")).first()["value"]
     rows, columns, entries = map(int, size.split())
-    return Header(words[3], words[4], rows, columns, entries, size)
+    return Header(field, symmetry, rows, columns, entries, size)
 
 
 def read_mtx(spark: SparkSession, path: str) -> DataFrame:

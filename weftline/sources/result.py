@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators.matrix import row_pointers, sorted_positions
+from weftline.operators.matrix import prefix_sum, row_pointers, sorted_positions
 from weftline.sources.folders import cut_lineage
+from weftline.sources.words import read_words, write_words
 
 
 def write_csr(m: DataFrame, path: str) -> None:
@@ -21,3 +22,25 @@ def read_csr(spark: SparkSession, path: str) -> DataFrame:
     entries = sorted_positions(spark.read.parquet(f"{path}/entries"))
     rows = spark.read.parquet(f"{path}/rows").select("i", "ptr")
     return entries.join(rows, "i").select("i", "j", "v", (F.col("ptr") + F.col("pos")).alias("pos"))
+
+
+def write_files(m: DataFrame, path: str) -> None:
+    """Write (i, j, v) as files of words: ``col_indices`` (u4) and ``values`` (f4) in order, ``row_ptrs`` (u8) of the rows that have entries and the end."""
+    write_csr(m, f"{path}/tables")
+    spark = m.sparkSession
+    entries, rows = read_csr(spark, f"{path}/tables"), spark.read.parquet(f"{path}/tables/rows")
+    write_words(entries.select(F.col("pos").alias("word"), F.col("j").alias("value")), f"{path}/col_indices")
+    write_words(entries.select(F.col("pos").alias("word"), F.col("v").alias("value")), f"{path}/values", "f4")
+    starts = prefix_sum(rows.select("i", "ptr", F.lit(1).alias("_one")), "i", "_one", "word").select(F.col("word").cast("long").alias("word"), F.col("ptr").alias("value"))
+    end = rows.agg(F.count("*").alias("word"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("value"))
+    write_words(starts.unionByName(end), f"{path}/row_ptrs", "u8")
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(row, pos, j, v) of such files: the row's number among those with entries, and each entry's place."""
+    starts = read_words(spark, f"{path}/row_ptrs", "u8").select(F.col("word").alias("row"), F.col("value").alias("ptr"))
+    ends = starts.select((F.col("row") - 1).alias("row"), F.col("ptr").alias("end"))
+    spans = starts.join(ends, "row").select("row", F.explode(F.sequence("ptr", F.col("end") - 1)).alias("pos"))
+    columns = read_words(spark, f"{path}/col_indices").select(F.col("word").alias("pos"), F.col("value").alias("j"))
+    values = read_words(spark, f"{path}/values", "f4").select(F.col("word").alias("pos"), F.col("value").alias("v"))
+    return spans.join(columns, "pos").join(values, "pos").select("row", "pos", "j", "v")
