@@ -630,6 +630,13 @@ def spgemm_stored(spark, sf_dir):
     return product.product(a, b)
 
 
+@_query(f"WITH {_PO_OP}, {_PAR}, e AS (SELECT COUNT(*) AS n FROM par GROUP BY i, j) SELECT CAST(SUM(n) AS BIGINT) AS partials, COUNT(*) AS entries, MAX(n) AS most FROM e")
+def product_counts(spark, sf_dir):
+    """What a product's one writing pass counts on the way."""
+    counts = result.write_counted(po(spark, sf_dir), op(spark, sf_dir), _scratch(spark))
+    return spark.createDataFrame([(counts["partials"], counts["entries"], counts["most"])], "partials long, entries long, most long")
+
+
 #: labels spread over 2^40 numbers
 _SPREAD = 1099511627689
 

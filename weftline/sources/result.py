@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.matrix import prefix_sum, row_pointers, sorted_positions
+from weftline.operators.product import partials
 from weftline.sources.folders import cut_lineage
 from weftline.sources.words import read_words, write_words
 
@@ -17,6 +18,15 @@ def write_csr(m: DataFrame, path: str) -> None:
     row_pointers(m.sparkSession.read.parquet(f"{path}/entries")).write.parquet(f"{path}/rows")
 
 
+def write_counted(a: DataFrame, b: DataFrame, path: str) -> dict[str, int]:
+    """Write the product (i, j, v) under ``path`` and return its partials, entries and longest sums, which the writing pass itself observes."""
+    joined, written = Observation(), Observation()
+    seen = partials(a, b).observe(joined, F.count(F.lit(1)).alias("partials"))
+    entries = seen.groupBy("i", "j").agg(F.sum("x").alias("v"), F.count("*").alias("n"))
+    entries.observe(written, F.count(F.lit(1)).alias("entries"), F.max("n").alias("most")).drop("n").write.parquet(path)
+    return joined.get | written.get
+
+
 def read_csr(spark: SparkSession, path: str) -> DataFrame:
     """(i, j, v, pos): the entries with their places among all."""
     entries = sorted_positions(spark.read.parquet(f"{path}/entries"))
