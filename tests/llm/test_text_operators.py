@@ -175,9 +175,16 @@ def test_base_counts_equal_the_definitions():
 
 
 def pieces_of(text):
-    raw = text.lower().encode()
-    raw += b" " * (-len(raw) % 3)
-    return [b"\0\0\0", *[raw[k : k + 3] for k in range(0, len(raw), 3)]]
+    words = [b" " + w for w in text.lower().encode().split()]
+    return [b"\0\0\0", *[w[k : k + 3].ljust(3) for w in words for k in range(0, len(w), 3)]]
+
+
+def test_a_word_has_the_same_pieces_wherever_it_stands():
+    rng = random.Random(5)
+    found = ["".join(rng.choice("ab É日\n\t\x00") for _ in range(rng.randint(0, 30))) for _ in range(500)] + [""]
+    doc, codes = perplexity.pieces(found)
+    assert [[c.to_bytes(3) for c in codes[doc == k].tolist()] for k in range(len(found))] == [pieces_of(x)[1:] for x in found]
+    assert all(len(x) == 0 for x in perplexity.pieces([])) and all(len(x) == 0 for x in perplexity.bigrams(["", " "]))
 
 
 def kneser_ney_by_hand(texts, n):
