@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.components import connected_components
-from weftline.llm.tables import cut_lineage, release_memory, text_bytes
+from weftline.llm.tables import cut_lineage, release_memory, release_shuffles, text_bytes
 
 #: Nodes with a token beyond which it goes to the end of the order; any order is exact.
 COMMON = 16
@@ -220,11 +220,14 @@ def _lead(rows: DataFrame, candidates: DataFrame | None, found: DataFrame | None
         if candidates is not None and not k:
             pairs = pairs.unionByName(candidates)
         new = alike(pairs.distinct())
+        release_shuffles(rows.sparkSession)
         found = new if found is None else found.unionByName(new)
         now = _in_parts(rows, connected_components(found))
         # of tokens with two nodes all pairs have been compared
         open_ = now.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("token")
         rows = cut_lineage(now.join(open_, "token", "left_semi"))
+        del now, open_, pairs, others  # with them goes what was shuffled for them
+        release_shuffles(rows.sparkSession)
         if rows.isEmpty():
             break
     return rows, found
@@ -256,6 +259,7 @@ def links(docs: DataFrame, marked: DataFrame, candidates: DataFrame, similarity:
     crowded = cut_lineage(rows.join(hot, "token", "left_semi").select("node").distinct())
     if crowded.isEmpty():
         return found
+    release_shuffles(docs.sparkSession)
     again = cut_lineage(_shared(_texts_of(docs, marked, crowded), similarity, words_each, COMMON, counted=0.0))
     left, found = _lead(cut_lineage(_in_parts(again, connected_components(found))), None, found, alike, similarity)
     return found if left.isEmpty() else found.unionByName(alike(open_pairs(left, similarity)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 
 import pyarrow as pa
@@ -41,6 +42,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle and checkpoint files of what is no longer referred to.
+
+    It does so when the driver's garbage is collected, which a small driver heap's pace may
+    leave for long, while jobs in rounds write more.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hand Python workers ``rows`` rows at a time at most, from now on in this session.
 
