@@ -67,20 +67,27 @@ def prefix_sum(df: DataFrame, key: str, value: str, out: str, within: tuple[str,
     task gets more than ``2 ** chunk_bits`` rows, be the keys dense or hashes. With
     ``base`` (the columns of ``within`` and one more) the sums begin at that column's value.
     """
+    return prefix_sums(df, key, {out: value}, within, chunk_bits, splits, base, key_bits)
+
+
+def prefix_sums(df: DataFrame, key: str, sums: dict[str, str], within: tuple[str, ...] = (), chunk_bits: int = CHUNK_BITS, splits: list[float] | None = None, base: DataFrame | None = None, key_bits: int = 2 * CHUNK_BITS) -> DataFrame:
+    """``prefix_sum`` of several columns at once: ``sums`` has the column to sum by the name of its sum; with ``base`` all begin at its value."""
     keyed = _with_chunk(df, key, chunk_bits, splits)
-    totals = keyed.groupBy(*within, "_chunk").agg(F.sum(value).alias("_total"))
+    totals = keyed.groupBy(*within, "_chunk").agg(*[F.sum(value).alias(f"_total_{out}") for out, value in sums.items()])
     if splits is None and key_bits > 2 * chunk_bits:
-        upper = totals.select(*within, F.col("_chunk").alias("_key"), "_total")
-        offsets = prefix_sum(upper, "_key", "_total", "_sum", within, chunk_bits, key_bits=key_bits - chunk_bits).select(*within, F.col("_key").alias("_chunk"), F.col("_sum").alias("_offset"))
+        upper = totals.withColumnRenamed("_chunk", "_key")
+        offsets = prefix_sums(upper, "_key", {f"_offset_{out}": f"_total_{out}" for out in sums}, within, chunk_bits, key_bits=key_bits - chunk_bits).withColumnRenamed("_key", "_chunk")
     else:
         before = Window.partitionBy(*within).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select(*within, "_chunk", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+        offsets = totals.select(*within, "_chunk", *[F.coalesce(F.sum(f"_total_{out}").over(before), F.lit(0)).alias(f"_offset_{out}") for out in sums])
+    offsets = offsets.select(*within, "_chunk", *[f"_offset_{out}" for out in sums])
     if base is not None:
         start = [c for c in base.columns if c not in within][0]
-        offsets = offsets.join(base, list(within)).select(*within, "_chunk", (F.col("_offset") + F.col(start)).alias("_offset"), start)
+        offsets = offsets.join(base, list(within)).select(*within, "_chunk", *[(F.col(f"_offset_{out}") + F.col(start)).alias(f"_offset_{out}") for out in sums], start)
     inside = Window.partitionBy(*within, "_chunk").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    summed = keyed.withColumn("_before", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return summed.join(offsets, [*within, "_chunk"]).withColumn(out, F.col("_offset") + F.col("_before")).drop("_chunk", "_offset", "_before")
+    summed = keyed.select("*", *[F.coalesce(F.sum(value).over(inside), F.lit(0)).alias(f"_before_{out}") for out, value in sums.items()])
+    joined = summed.join(offsets, [*within, "_chunk"]).withColumns({out: F.col(f"_offset_{out}") + F.col(f"_before_{out}") for out in sums})
+    return joined.drop("_chunk", *[f"_{kind}_{out}" for kind in ("offset", "before") for out in sums])
 
 
 def row_pointers(m: DataFrame, spine: DataFrame | None = None) -> DataFrame:
