@@ -227,3 +227,17 @@ def test_ranks_take_a_row_a_digit_and_list(spark):
     assert {r.id: r.j for r in ranks.columns_at(a, b, wanted.where("p > 0")).collect()} == {1: 0, 2: (total // 2 + 2) // lists, 3: length - 1}
     counted = ranks._counted(b.withColumnRenamed("i", "k"), 1)
     assert counted.count() <= lists * (length // ranks.RADIX + 1)
+
+
+def test_prefix_sums_of_keys_far_apart(spark):
+    """Keys like hashes: chunks of chunks give the same sums, and several columns at once."""
+    rng = random.Random(9)
+    keys = sorted(rng.sample(range(1 << 20), 300))
+    table = spark.createDataFrame([(g, k, n % 7, 1) for g in (0, 1) for n, k in enumerate(keys)], "g long, key long, n long, one long")
+    got = matrix.prefix_sums(table, "key", {"upto": "n", "place": "one"}, within=("g",), chunk_bits=4, key_bits=20)
+    want, total = [], 0
+    for n, k in enumerate(keys):
+        want.append((k, total, n))
+        total += n % 7
+    for g in (0, 1):
+        assert rows(got.where(F.col("g") == g), "key", "upto", "place") == want

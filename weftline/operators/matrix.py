@@ -57,24 +57,24 @@ def _with_chunk(df: DataFrame, key: str, chunk_bits: int, splits: list[float] |
     return bucketizer.transform(df.withColumn("_double", F.col(key).cast("double"))).withColumn("_chunk", F.col("_bucket").cast("long")).drop("_double", "_bucket")
 
 
-def prefix_sum(df: DataFrame, key: str, value: str, out: str, within: tuple[str, ...] = (), chunk_bits: int = CHUNK_BITS, splits: list[float] | None = None, base: DataFrame | None = None, key_bits: int = 2 * CHUNK_BITS) -> DataFrame:
+def prefix_sum(df: DataFrame, key: str, value: str, out: str, within: tuple[str, ...] = (), chunk_bits: int = CHUNK_BITS, splits: list[float] | None = None, base: DataFrame | None = None, key_bits: int = 0) -> DataFrame:
     """``df`` with ``out``, the sum of ``value`` over smaller keys (integers, one row each).
 
     Keys are summed by chunks in parallel, then the chunks' totals in order, so that no task
     orders the whole table; only the totals, one row a chunk, meet. A chunk is
-    ``2 ** chunk_bits`` neighbouring numbers, or what lies between two of ``splits``. Keys of
-    up to ``key_bits`` bits have their chunks' totals summed by chunks of chunks, so that no
+    ``2 ** chunk_bits`` neighbouring numbers, or what lies between two of ``splits``. If keys have
+    as many as ``key_bits`` bits, their chunks' totals are summed by chunks of chunks, so that no
     task gets more than ``2 ** chunk_bits`` rows, be the keys dense or hashes. With
     ``base`` (the columns of ``within`` and one more) the sums begin at that column's value.
     """
     return prefix_sums(df, key, {out: value}, within, chunk_bits, splits, base, key_bits)
 
 
-def prefix_sums(df: DataFrame, key: str, sums: dict[str, str], within: tuple[str, ...] = (), chunk_bits: int = CHUNK_BITS, splits: list[float] | None = None, base: DataFrame | None = None, key_bits: int = 2 * CHUNK_BITS) -> DataFrame:
+def prefix_sums(df: DataFrame, key: str, sums: dict[str, str], within: tuple[str, ...] = (), chunk_bits: int = CHUNK_BITS, splits: list[float] | None = None, base: DataFrame | None = None, key_bits: int = 0) -> DataFrame:
     """``prefix_sum`` of several columns at once: ``sums`` has the column to sum by the name of its sum; with ``base`` all begin at its value."""
     keyed = _with_chunk(df, key, chunk_bits, splits)
     totals = keyed.groupBy(*within, "_chunk").agg(*[F.sum(value).alias(f"_total_{out}") for out, value in sums.items()])
-    if splits is None and key_bits > 2 * chunk_bits:
+    if splits is None and 0 < 2 * chunk_bits < key_bits:
         upper = totals.withColumnRenamed("_chunk", "_key")
         offsets = prefix_sums(upper, "_key", {f"_offset_{out}": f"_total_{out}" for out in sums}, within, chunk_bits, key_bits=key_bits - chunk_bits).withColumnRenamed("_key", "_chunk")
     else:
