@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.tables import cut_lineage
+from weftline.llm.tables import cut_lineage, release_shuffles
 
 
 def _hook_larger(edges: DataFrame) -> DataFrame:
@@ -38,4 +38,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if before == state:
             break
         now = cut_lineage(_hook_smaller(_hook_larger(now)))
+        release_shuffles(edges.sparkSession)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
