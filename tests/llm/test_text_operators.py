@@ -143,6 +143,51 @@ def test_added_kinds_are_told_from_their_likes(spark):
         assert wrong <= 0.05 * right, kind
 
 
+def test_lists_and_context_find_names_and_numbers_themselves(spark):
+    """Names without a title, of surnames that no list has, and local numbers of any grouping, beside words and digits that stand alike."""
+    rng = random.Random(21)
+    surname = lambda: "".join(rng.choice(x) for x in ("BDGKLMNPRSTVZ", "aeiou", "bdklmnrst", "aeiou", "nrskl"))
+    given = sorted(pii.GIVEN_NAMES)
+    real = [
+        ("person", "{listed} {last} in Berlin bought a house"),
+        ("person", "then signed, {listed} {last}"),
+        ("person", "Dear {listed} {last}, thank you"),
+        ("person", "Dear {last} {last2}, thank you"),
+        ("person", "the text was written by {last} {last2} last year"),
+        ("phone_local", "my phone is 030 {:07}"),
+        ("phone_local", "telefon: 0171 {:07} ab acht"),
+        ("phone_local", "tel. 0{a}{a} {:03} {:04} please"),
+        ("phone_local", "call {a}55-{:04} now"),
+    ]
+    false = ["we met by Monday {last}", "mail from New {last}", "Dear Customers {last}", "the Old {last} Bridge over the water", "in 0 {:07} of 12 cases", "page 2019 {:04}", "isbn 978{:09}"]
+    rows, want = [], {}
+    for k in range(900):
+        kind, text = real[k % len(real)] if k % 2 else (None, false[k // 2 % len(false)])
+        filled = text.format(*[rng.randrange(1000, 9999)] * 2, listed=rng.choice(given).title(), last=surname(), last2=surname(), a=rng.randrange(2, 9))
+        want[k] = kind
+        rows.append((k, filled))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = by_id(pii.find_spans(docs, pii.fit(docs)))
+    for kind in ("person", "phone_local"):
+        planted = [d for d, x in want.items() if x == kind]
+        right = sum(any(s.kind == kind for s in found[d].spans) for d in planted)
+        wrong = sum(any(s.kind == kind for s in found[d].spans) for d, x in want.items() if x != kind)
+        assert right >= 0.95 * len(planted), (kind, right, len(planted), [rows[d][1] for d in planted if not found[d].spans][:9])
+        assert wrong <= 0.05 * right, (kind, wrong, [rows[d][1] for d, x in want.items() if x != kind and found[d].spans][:9])
+
+
+def test_candidates_of_a_kind_lie_apart():
+    rng = random.Random(5)
+    words = ["Dear", "Mr.", "Anna", "Peter", "Smith", "by", "signed,", "tel", "030", "1234567", "(234) 555-0001", "and", ".", "\n", "O'Brien", "É", "von"]
+    for _ in range(3000):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", "  ", ""]) for _ in range(rng.randrange(12)))
+        last = {}
+        for kind, start, end, _ in pii.candidates(text):
+            if kind in ("person", "phone_local"):
+                assert last.get(kind, 0) <= start < end <= len(text), text
+                last[kind] = end
+
+
 def test_long_texts_take_linear_time():
     import time
 
@@ -232,6 +277,21 @@ def test_perplexity_equals_kneser_ney_by_hand(spark, monkeypatch):
     assert of_x == {v + w for _, t, lang in docs if lang == "x" for v, w in zip(pieces_of(t), pieces_of(t)[1:], strict=False)} and len(of_x) == model.languages["=x"].bigrams
 
 
+def test_bigrams_of_one_first_piece_are_spread_over_ranges(spark):
+    """Every word begins with the same piece, so a third of all distinct bigrams or more have it first."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    docs = spark.createDataFrame([(k, " ".join(f"zz{x}{y}{letters[k]}" for x in letters for y in letters), "x") for k in range(26)], "doc_id long, text string, lang string")
+    from weftline.llm import blobs
+
+    model = perplexity.fit(docs, buckets=16)
+    held = [perplexity._codes(blobs.unpack(r.blobs)[0]) for r in model.table.collect() if r.slot < 16]
+    total = sum(len(x) for x in held)
+    first = Counter(c >> 24 for x in held for c in x.tolist())
+    assert total > 17_000 and first.most_common(1)[0][1] >= 600 and max(len(x) for x in held) < 3 * total / 16
+    assert len(held) == 16 and sum(any(c >> 24 == first.most_common(1)[0][0] for c in x.tolist()) for x in held) > 8
+    assert len({round(r.log_perplexity, 9) for r in perplexity.measure(docs, model).collect()}) <= 26
+
+
 def test_perplexity_of_odd_rows(spark, odd_documents, no_documents):
     judged = by_id(perplexity.judge(perplexity.measure(odd_documents, perplexity.fit(odd_documents))))
     assert len(judged) == len({r.doc_id for r in odd_documents.collect()})

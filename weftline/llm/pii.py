@@ -1,6 +1,8 @@
 """Personal data by weak supervision.
 
-Patterns, word lists and context give each candidate span a vote for, against or none.
+Patterns find candidate spans, and so do the word lists (a listed given name and the words
+with a capital after it) and context (such words, or digits, after a cue like ``Dear`` or
+``tel``). Patterns, word lists and context then give each span a vote for, against or none.
 Spark counts how often each combination of votes occurs; from those counts (a table whose
 size is fixed by the number of labelers, kinds and bins) expectation-maximisation on the
 driver estimates how reliable each labeler is for each kind, starting from the belief that
@@ -20,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,7 +49,14 @@ SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\bat\b) ?[A-Za-z
 LOCAL_PHONE = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 SECRET = re.compile(r"[A-Za-z0-9+/_-]{24,}+={0,2}")
 PERSON = re.compile(r"[MDHFS](?:r|rs|s|me|lle|err|rau|eñora?)\.? [A-ZÀ-Ý][\w'-]+(?: [A-ZÀ-Ý][\w'-]+)?")
+CAPITALISED = re.compile(r"\b[A-ZÀ-ÖØ-Þ](?:['’-]?[A-Za-zÀ-ÖØ-öø-ÿ])+")
+#: A number with a trunk prefix, and digits that only a cue before them makes a phone number.
+TRUNK_PHONE = re.compile(r"(?<![0-9+.-])\(?0[1-9][0-9]{0,3}\)?[ /-][0-9](?:[ /-]?[0-9]){4,9}(?![0-9])")
+CUED_PHONE = re.compile(r"(?<![\w+.-])\(?[0-9](?:[ ()/-]{0,2}[0-9]){5,13}(?![\w-])")
 WORDS_BEFORE = re.compile(r"\w+")
+LAST_WORD = re.compile(r"\w+$")
+#: Words of a name without a title, and characters before a span in which its cue stands.
+NAME_WORDS, CUE_REACH = 3, 24
 
 # fixed word lists of the gazetteer and context labelers
 TOP_DOMAINS = frozenset("com org net edu gov io de fr es it nl eu uk us info biz example test".split())
@@ -60,6 +69,14 @@ CUES = {
     "secret": frozenset("token key secret password passwd pwd api auth bearer credential apikey passwort contraseña clave schlüssel jeton".split()),
     "person": frozenset("dear by signed contact regards name patient from client cher chère liebe lieber estimado estimada sincerely doctor author".split()),
 }
+#: Cues after which one word with a capital may be a name; after the others it takes two.
+GREETINGS = frozenset("dear signed regards sincerely cher chère liebe lieber estimado estimada".split())
+#: Words with a capital that stand where names do.
+NOT_NAMES = frozenset(
+    "monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december montag dienstag mittwoch donnerstag freitag lundi mardi mercredi jeudi vendredi lunes martes "
+    "the this that these all any our your his her their its sir madam reader readers team customer customers friend friends colleague colleagues user users new north south east west san saint st mount lake river street city university "
+    "company department office bank group page version copyright system data server table figure damen herren kunde kunden kollegen freunde madame monsieur client clients amis señor señora señores amigos clientes".split()
+)
 AGAINST = frozenset("version v page chapter section isbn issn build figure table sha commit checksum digest hash seite kapitel chapitre capítulo tabelle tableau figura".split())
 GIVEN_NAMES = frozenset(
     "james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen christopher lisa daniel nancy matthew sandra anthony emily mark emma "
@@ -114,6 +131,62 @@ def base_and_misses(text: str) -> list[tuple[str, int, int, bool]]:
     return found
 
 
+def _cue(text: str, start: int) -> str:
+    """The word before ``start``, in small letters, where only blanks, commas, colons and dots of short forms stand between."""
+    head = text[max(0, start - CUE_REACH) : start]
+    stem = head.rstrip(" ,:.\n\t(")
+    if not 0 < len(head) - len(stem) <= 3:
+        return ""
+    found = LAST_WORD.search(stem)
+    return found.group().lower() if found else ""
+
+
+def _names(text: str) -> Iterator[tuple[int, int]]:
+    """Names by list and context: up to three words with capitals in a row, from a listed given name on or after a cue.
+
+    After a weak cue, like ``by``, a single word that no list knows is none, nor is what
+    begins with a word that no name begins with.
+    """
+    start, end, words, alone = 0, 0, 0, False
+    for m in CAPITALISED.finditer(text):
+        if 0 < words < NAME_WORDS and m.start() == end + 1 and text[end] == " ":
+            end, words = m.end(), words + 1
+            continue
+        if words > 1 or words and alone:
+            yield start, end
+        start, end, words = *m.span(), 1
+        alone = m.group().lower() in GIVEN_NAMES
+        if not alone:
+            cue = _cue(text, start)
+            # the sentence may have ended before the word
+            cued = cue in CUES["person"] and "." not in text[max(0, start - 2) : start]
+            alone, words = cued and cue in GREETINGS, int(cued and m.group().lower() not in CUES["person"] | NOT_NAMES)
+    if words > 1 or words and alone:
+        yield start, end
+
+
+def _local_phones(text: str) -> Iterator[tuple[int, int]]:
+    """Phone numbers without a country's code: in groups of 3, 3 and 4, with a trunk prefix, or any after a cue."""
+    for m in LOCAL_PHONE.finditer(text):
+        if m.start() == 0 or not (text[m.start() - 1].isdigit() or text[m.start() - 1] in "+-"):
+            yield m.span()
+    for m in TRUNK_PHONE.finditer(text):
+        if 8 <= len(_digits(m.group())) <= 12:
+            yield m.span()
+    for m in CUED_PHONE.finditer(text):
+        if _cue(text, m.start()) in CUES["phone"]:
+            yield m.span()
+
+
+def _apart(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans from the left, of those with one start the longest, without any that reaches into the last."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    return out
+
+
 def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     """Starts and ends of what sorted spans cover."""
     starts, ends = [], []
@@ -133,9 +206,10 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     more = []
     if " dot " in text or "(dot)" in text or "[dot]" in text:
         more += [("email_spelled", *m.span(), False) for m in SPELLED.finditer(text)]
-    more += [("phone_local", *m.span(), False) for m in LOCAL_PHONE.finditer(text) if m.start() == 0 or not (text[m.start() - 1].isdigit() or text[m.start() - 1] in "+-")]
+    more += [("phone_local", a, b, False) for a, b in _apart(_local_phones(text))]
     more += [("secret", *m.span(), False) for m in SECRET.finditer(text) if any("0" <= c <= "9" for c in m.group()) and any(c.isalpha() for c in m.group())]
-    more += [("person", *m.span(), False) for m in PERSON.finditer(text) if m.start() == 0 or not text[m.start() - 1].isalnum()]
+    titled = [m.span() for m in PERSON.finditer(text) if m.start() == 0 or not text[m.start() - 1].isalnum()]
+    more += [("person", a, b, False) for a, b in _apart([*titled, *_names(text)])]
     if taken and more:
         starts, ends = _merged(taken)
         # of the merged base spans, the last one that begins before the span's end is the one that may reach into it
@@ -149,7 +223,8 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> str:
     span = text[start:end]
     general = {"email_spelled": "email", "phone_local": "phone"}.get(kind, kind)
     digits = _digits(span)
-    got = ["+" if base else "-" if kind in BASE_KINDS else "0"]
+    titled = kind == "person" and PERSON.match(span)
+    got = ["+" if base or titled or kind == "phone_local" and LOCAL_PHONE.fullmatch(span) else "-" if kind in BASE_KINDS else "0"]
     # shape
     if general == "email":
         shaped = span[-2:].isalpha() and ".." not in span
@@ -158,11 +233,15 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> str:
     elif kind == "card":
         shaped = digits[:1] in "3456" and len(set(digits)) > 3
     elif general == "phone":
-        shaped = span.count("(") == span.count(")") and len(digits) >= 10
+        # a subscriber's number alone has 7 or 8 digits in groups
+        grouped = len(digits) in (7, 8) and not span.isdigit()
+        shaped = span.count("(") == span.count(")") and (grouped or len(digits) >= (8 if digits[0] == "0" else 10))
     elif kind == "secret":
         shaped = len(span) in (32, 40, 64) or (any(c.isupper() for c in span) and any(c.islower() for c in span))
-    else:
+    elif titled:
         shaped = "." in span
+    else:  # two words or more, none of capitals only
+        shaped = " " in span and not any(w.isupper() for w in span.split())
     got.append("+" if shaped else "-")
     # word lists
     if general == "email":
@@ -171,10 +250,11 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> str:
         listed = "-" if span.startswith(("10.", "127.", "192.168.", "0.")) else "+"
     elif kind == "phone":
         listed = "+" if digits.startswith(COUNTRY_CODES) else "-"
-    elif kind == "phone_local":  # area and exchange begin with 2 to 9
-        listed = "+" if min(digits[0], digits[3]) >= "2" else "-"
+    elif kind == "phone_local":  # a trunk prefix, or an area and exchange that begin with 2 to 9
+        listed = "+" if digits[0] == "0" or len(digits) == 10 and min(digits[0], digits[3]) >= "2" else "-" if len(digits) == 10 else "0"
     elif kind == "person":
-        listed = "+" if any(w.lower() in GIVEN_NAMES for w in span.split()[1:]) else "0"
+        words = [w.lower() for w in span.split()[1 if titled else 0 :]]
+        listed = "+" if any(w in GIVEN_NAMES for w in words) else "-" if any(w in NOT_NAMES for w in words) else "0"
     else:
         listed = "0"
     got.append(listed)
