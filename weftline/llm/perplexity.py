@@ -5,9 +5,10 @@ each word with the space before it, so that a word has the same pieces wherever
 modified Kneser-Ney model of the bigrams of pieces (n-grams of six bytes) for each
 language, counted by Spark over all documents; nothing is folded or cut, so it grows with
 what the documents have. It is a table of sorted arrays: a row has the codes of a range of
-a language's bigrams beside their counts, and what the formulas need of their first pieces,
-or those of a range of second pieces. A bigram's code is its six bytes, and the hash of its
-first piece names its range. No task and no driver holds more than a range: a portion of
+a language's bigrams beside their counts, or of a range of pieces beside what the formulas
+need of them as first and as second ones, which the ranges of bigrams sum up for it. A bigram's
+code is its six bytes, and the hash of the first five names its range, so that a piece that
+very many bigrams begin with is spread over ranges. No task and no driver holds more than a range: a portion of
 documents asks the ranges for its own distinct bigrams and pieces, each range looks them up
 in its array, and the portion scores its documents with what comes back.
 
@@ -45,7 +46,11 @@ SYMBOLS = frozenset(b"#*$%&|<>")
 PIECE, BITS = 3, 24
 #: Bytes of text that a range of the model stands for, about.
 BUCKET_BYTES = 64 << 20
-#: Ranges of second pieces at most; every range of bigrams tells each of them what it knows.
+#: Bits of a bigram's code that its range's name leaves out: bigrams that differ in them alone lie together.
+TOGETHER = 8
+#: Languages whose bands are sent to all tasks; with more of them, rows meet their bands by language.
+MANY_LANGUAGES = 10_000
+#: Ranges of pieces at most; every range of bigrams tells each of them what it knows.
 PIECE_BUCKETS = 2000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -94,6 +99,10 @@ def _ranged(codes: np.ndarray, of: np.ndarray, buckets: int) -> tuple[np.ndarray
     return order, [(k, codes[order[a:b]]) for k, a, b in blobs.slices(bucket[order])]
 
 
+def _bigram_ranges(codes: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    return _ranged(codes, codes >> np.uint64(TOGETHER), buckets)
+
+
 def _pack_codes(codes: np.ndarray) -> bytes:
     return blobs.ascending(codes << np.uint64(16))
 
@@ -103,7 +112,7 @@ def _codes(raw: bytes) -> np.ndarray:
 
 
 # ``tongue`` is the language (``_tongue``). Slots below the number of bigram ranges are those
-# ranges, the next ones the ranges of second pieces; SUMS has numbers of the whole language.
+# ranges, the next ones the ranges of pieces; SUMS has numbers of the whole language.
 ROWS = "tongue string, slot int, blobs array<binary>, sums array<long>"
 SUMS = -1
 
@@ -134,7 +143,7 @@ def _count(buckets: int) -> Callable:
             rows = []
             for tongue, found in by.items():
                 codes, n = np.unique(bigrams(found)[1], return_counts=True)
-                order, parts = _ranged(codes, first_of(codes), buckets)
+                order, parts = _bigram_ranges(codes, buckets)
                 at = 0
                 for k, part in parts:
                     rows.append((tongue, k, [_pack_codes(part), blobs.numbers(n[order[at : at + len(part)]])], None))
@@ -144,40 +153,61 @@ def _count(buckets: int) -> Callable:
     return run
 
 
+def _summed(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, sorted, and the sums of their columns of ``values``."""
+    order = np.argsort(codes, kind="stable")
+    starts = np.flatnonzero(blobs.groups(codes[order]))
+    return codes[order][starts], np.add.reduceat(values[:, order], starts, axis=1) if len(starts) else values
+
+
+def _by_piece_range(piece_buckets: int, *columns: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:
+    """By range of pieces: of each column (sorted pieces, rows of values), the pieces that fall into the range and their values."""
+    parts = []
+    for codes, values in columns:
+        order, found = _ranged(codes, codes, piece_buckets)
+        ends = np.cumsum([len(x) for _, x in found], dtype=np.int64).tolist()
+        parts.append({k: (x, values[:, order[end - len(x) : end]]) for (k, x), end in zip(found, ends, strict=True)})
+    none = [(codes[:0], values[:, :0]) for codes, values in columns]
+    for k in sorted(set().union(*parts)):
+        yield k, [blob for part, empty in zip(parts, none, strict=True) for codes, values in [part.get(k, empty)] for blob in (_pack_codes(codes), values.astype("<i8").tobytes())]
+
+
+#: Numbers of a bigram or a second piece, and of a first piece.
+WIDTHS = (1, 4)
+
+
+def _from_blobs(found: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of blobs as sorted codes and the rows of their values."""
+    return [(_codes(x), np.frombuffer(v, "<i8").reshape(width, -1)) for x, v, width in zip(found[::2], found[1::2], WIDTHS, strict=False)]
+
+
 def _merge(buckets: int, piece_buckets: int) -> Callable:
-    """Reduce a range of bigrams: its sorted array, and what it tells of second pieces."""
+    """Reduce a range of bigrams: its sorted array, and what it tells of second and of first pieces."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         got = [blobs.unpack(x) for x in table.column("blobs").to_pylist()]
-        codes, n = np.concatenate([_codes(x[0]) for x in got]), np.concatenate([blobs.from_numbers(x[1]) for x in got])
-        order = np.argsort(codes, kind="stable")
-        starts = np.flatnonzero(blobs.groups(codes[order]))
-        codes, n = codes[order][starts], np.add.reduceat(n[order], starts)
-        tongue, slot = key[0].as_py(), key[1].as_py()
+        codes, n = _summed(np.concatenate([_codes(x[0]) for x in got]), np.concatenate([blobs.from_numbers(x[1]) for x in got])[None])
+        tongue, slot, counts = key[0].as_py(), key[1].as_py(), n[0]
+        rows = [(tongue, slot, [_pack_codes(codes), n.astype("<i8").tobytes()], None), (tongue, SUMS, [], [*_of_classes(counts), *[0] * 6])]
         # of a first piece: all bigrams, and the distinct ones that occur once, twice, more often
-        first, at = np.unique(first_of(codes), return_inverse=True)
-        stats = np.stack([np.bincount(at, c, len(first)).astype("<i8") for c in (n, n == 1, n == 2, n >= 3)])
-        rows = [(tongue, slot, [_pack_codes(codes), n.astype("<i8").tobytes(), _pack_codes(first), stats.tobytes()], None), (tongue, SUMS, [], [*_of_classes(n), *[0] * 6])]
-        second, before = np.unique(second_of(codes), return_counts=True)
-        order, parts = _ranged(second, second, piece_buckets)
-        at = 0
-        for k, part in parts:
-            rows.append((tongue, buckets + k, [_pack_codes(part), before[order[at : at + len(part)]].astype("<i8").tobytes()], None))
-            at += len(part)
+        stats = _summed(first_of(codes), np.stack([counts, counts == 1, counts == 2, counts >= 3]).astype(np.int64))
+        second = _summed(second_of(codes), np.ones((1, len(codes)), np.int64))
+        rows += [(tongue, buckets + k, found, None) for k, found in _by_piece_range(piece_buckets, second, stats)]
         return pa.Table.from_batches([_rows(rows)])
 
     return run
 
 
 def _merge_pieces(key: tuple, table: pa.Table) -> pa.Table:
-    """Reduce a range of second pieces: its sorted array, with the distinct pieces before each."""
-    got = [blobs.unpack(x) for x in table.column("blobs").to_pylist()]
-    codes, n = np.concatenate([_codes(x[0]) for x in got]), np.concatenate([np.frombuffer(x[1], "<i8") for x in got])
-    order = np.argsort(codes, kind="stable")
-    starts = np.flatnonzero(blobs.groups(codes[order]))
-    codes, n = codes[order][starts], np.add.reduceat(n[order], starts)
+    """Reduce a range of pieces: the sorted array of the second ones, with the distinct pieces before each, and that of the first ones with their sums."""
+    got = [_from_blobs(blobs.unpack(x)) for x in table.column("blobs").to_pylist()]
+    columns = []
+    for k, width in enumerate(WIDTHS):
+        held = [x[k] for x in got if len(x[k][0])]
+        columns.append(_summed(np.concatenate([c for c, _ in held]), np.concatenate([v for _, v in held], axis=1)) if held else (np.zeros(0, np.uint64), np.zeros((width, 0), np.int64)))
     tongue, slot = key[0].as_py(), key[1].as_py()
-    return pa.Table.from_batches([_rows([(tongue, slot, [_pack_codes(codes), n.astype("<i8").tobytes()], None), (tongue, SUMS, [], [*[0] * 6, *_of_classes(n)])])])
+    packed = [blob for codes, values in columns for blob in (_pack_codes(codes), values.astype("<i8").tobytes())]
+    return pa.Table.from_batches([_rows([(tongue, slot, packed, None), (tongue, SUMS, [], [*[0] * 6, *_of_classes(columns[0][1][0])])])])
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -316,35 +346,34 @@ def _by_tongue(table: pa.Table) -> Iterator[tuple[str, np.ndarray, np.ndarray, n
 
 
 def _ask(buckets: int, piece_buckets: int) -> Callable:
-    """Reduce a portion of documents: its distinct bigrams and second pieces, each to its range."""
+    """Reduce a portion of documents: its distinct bigrams, second and first pieces, each to its range."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         out = []
         for tongue, _, _, code in _by_tongue(_unbundle(table)):
-            codes, second = np.unique(code), np.unique(second_of(code))
-            for found, of, n, before in ((codes, first_of(codes), buckets, 0), (second, second, piece_buckets, buckets)):
-                out += [(tongue, before + k, key[0].as_py(), blobs.pack([_pack_codes(part)])) for k, part in _ranged(found, of, n)[1]]
+            codes, second, first = np.unique(code), np.unique(second_of(code)), np.unique(first_of(code))
+            out += [(tongue, k, key[0].as_py(), blobs.pack([_pack_codes(part)])) for k, part in _bigram_ranges(codes, buckets)[1]]
+            nothing = [(x, np.zeros((0, len(x)), np.int64)) for x in (second, first)]
+            out += [(tongue, buckets + k, key[0].as_py(), blobs.pack(found[::2])) for k, found in _by_piece_range(piece_buckets, *nothing)]
         return _answers(out)
 
     return run
 
 
 def _look_up(asked: pa.Table, held: pa.Table) -> pa.Table:
-    """What a range knows of the codes asked for, 0 where it has none: of bigrams, their counts and those of the distinct first pieces."""
+    """What a range knows of the codes asked for, 0 where it has none: the counts of bigrams, or the numbers of second and of first pieces."""
     if not held.num_rows:
         return _answers([])
-    tables, out = blobs.unpack(held.column("blobs")[0].as_py()), []
-    arrays = [(keys := _codes(k), np.frombuffer(v, "<i8").reshape(-1, len(keys))) for k, v in zip(tables[::2], tables[1::2], strict=True)]
+    arrays, out = _from_blobs(blobs.unpack(held.column("blobs")[0].as_py())), []
 
     def find(codes: np.ndarray, keys: np.ndarray, values: np.ndarray) -> list[bytes]:
+        if not len(keys):
+            return [bytes(8 * len(codes))] * len(values)
         at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
         return [x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in np.where(keys[at] == codes, values[:, at], 0)]
 
     for row in asked.to_pylist():
-        codes = _codes(blobs.unpack(row["blobs"])[0])
-        found = find(codes, *arrays[0])
-        if len(arrays) > 1:
-            found += find(np.unique(first_of(codes)), *arrays[1])
+        found = [x for codes, (keys, values) in zip(blobs.unpack(row["blobs"]), arrays, strict=True) for x in find(_codes(codes), keys, values)]
         out.append((row["tongue"], row["slot"], row["portion"], blobs.pack(found)))
     return _answers(out)
 
@@ -353,12 +382,12 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
 
 
-def _placed(codes: np.ndarray, of: np.ndarray, buckets: int, came: list[np.ndarray]) -> np.ndarray:
-    """What came back, range by range, in the order of the codes."""
-    order, values = _ranged(codes, of, buckets)[0], np.concatenate([np.zeros(0, np.int64), *came])
-    if len(values) != len(codes):
+def _placed(order: np.ndarray, came: list[np.ndarray]) -> np.ndarray:
+    """What came back, range by range, in the order of the codes; ``order`` is theirs by range."""
+    values = np.concatenate([np.zeros(0, np.int64), *came])
+    if len(values) != len(order):
         raise ValueError("a portion of documents changed while it was scored")
-    out = np.empty(len(codes), np.int64)
+    out = np.empty(len(order), np.int64)
     out[order] = values
     return out
 
@@ -400,15 +429,17 @@ def _score(languages: dict[str, KneserNey], buckets: int, piece_buckets: int) ->
         came = defaultdict(lambda: defaultdict(list))
         for r in sorted(answers.to_pylist(), key=lambda r: r["slot"]):
             found = [_from_planes(x) for x in blobs.unpack(r["blobs"])]
-            for k, x in enumerate(found if len(found) > 1 else [None] * 5 + found):
-                if x is not None:
-                    came[r["tongue"]][k].append(x)
+            # a bigram's count is number 0; of pieces, those before a second one are number 1, the sums of a first one 2 to 5
+            for k, x in enumerate(found, int(r["slot"] >= buckets)):
+                came[r["tongue"]][k].append(x)
         for tongue, rows, doc, code in _by_tongue(table):
             if tongue in came and len(code):
                 codes = np.unique(code)
                 first, second, of = np.unique(first_of(codes)), np.unique(second_of(codes)), came[tongue]
-                stats = [_placed(first, first, buckets, of[k]) for k in (1, 2, 3, 4)]
-                scores[rows] = nats(len(rows), doc, code, _placed(codes, first_of(codes), buckets, of[0]), stats, _placed(second, second, piece_buckets, of[5]), languages[tongue])
+                by_first = _ranged(first, first, piece_buckets)[0]
+                stats = [_placed(by_first, of[k]) for k in (2, 3, 4, 5)]
+                before = _placed(_ranged(second, second, piece_buckets)[0], of[1])
+                scores[rows] = nats(len(rows), doc, code, _placed(_bigram_ranges(codes, buckets)[0], of[0]), stats, before, languages[tongue])
         columns = list(zip(*counts, strict=True)) or [()] * 5
         words = np.array(columns[0], float)
         scores = np.divide(scores, words, out=np.full(len(words), np.nan), where=words > 0)
@@ -440,6 +471,8 @@ def judge(measured: DataFrame, width_below: float = 8.0, width_above: float = 6.
     measured = cut_lineage(measured.withColumn("base_failed", failed))  # read for the bands and for the rows
     quartiles, chars = F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000), F.percentile_approx("word_chars", 0.5, 10_000)
     bands = measured.where(~F.col("base_failed")).groupBy(F.col("lang").alias("_lang")).agg(quartiles.alias("_q"), chars.alias("_chars"))
+    bands = cut_lineage(bands)
+    bands = F.broadcast(bands) if bands.count() <= MANY_LANGUAGES else bands
     q, wider = F.col("_q"), F.sqrt(F.greatest(F.lit(1.0), F.col("_chars") / F.greatest("word_chars", F.lit(1))))
     lower, upper = q[1] - F.greatest(F.lit(floor), width_below * (q[1] - q[0])) * wider, q[1] + F.greatest(F.lit(floor), width_above * (q[2] - q[1])) * wider
     joined = measured.join(bands, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumns({"lower": lower, "upper": upper})
