@@ -64,6 +64,15 @@ def test_removal_equals_all_strings(spark, seed, hot):
     assert sum(x[1] for x in got.values()) > 1000
 
 
+@pytest.mark.parametrize("hot", [5000, 0])
+def test_texts_that_share_half_of_their_hash_keep_their_own_stretches(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "OWNER_DIGITS", 1)  # 16 numbers for all texts
+    docs = corpus(6)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert len({r.owner for r in repeats.text_owners(frame).collect()}) == len({t for _, t in docs})
+    assert found(spark, docs, hot=hot, buckets=4) == by_hand(docs)
+
+
 def listed(spark, docs):
     """(n_bytes, open_left, open_right, places) of each group."""
     rows = repeats.repeat_groups(spark.createDataFrame(docs, "doc_id long, text string"), buckets=3).collect()

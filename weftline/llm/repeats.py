@@ -38,7 +38,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.blobs import ascending, from_ascending, from_numbers, groups, numbers, portions, range_bucket, slices, spread
@@ -494,9 +494,30 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), text.alias("raw"), F.md5(text).alias("text_key"))
 
 
-def _owner():
-    """The number of a text, from its hash."""
-    return F.conv(F.substring("text_key", 1, 16), 16, -10).cast("long").alias("owner")
+#: Hexadecimal digits of a text's 32 that are its owner's number.
+OWNER_DIGITS = 16
+
+
+def _half(key: Column, first: int, digits: int) -> Column:
+    return F.conv(F.substring(key, first, digits), 16, -10).cast("long")
+
+
+def _owners(keys: DataFrame) -> Column:
+    """The number of each text of ``keys`` (distinct, ``text_key``): half of its 128 bits of hash, or the other half where texts share the first.
+
+    Of n texts about n^2 / 2^65 pairs share a half (three of 10^10 texts), so the keys of
+    those are few enough to be named in the expression.
+    """
+    numbered = keys.select("text_key", _half(F.col("text_key"), 1, OWNER_DIGITS).alias("owner"))
+    alike = numbered.groupBy("owner").agg(F.count(F.lit(1)).alias("n"), F.min("text_key").alias("least")).where("n > 1")
+    shared: list[str] = []
+    if alike.count():
+        others = numbered.join(alike.select("owner", "least"), "owner").where(F.col("text_key") > F.col("least"))
+        shared = [r["text_key"] for r in others.select("text_key").collect()]
+    owner = _half(F.col("text_key"), 1, OWNER_DIGITS)
+    if shared:
+        owner = F.when(F.col("text_key").isin(shared), _half(F.col("text_key"), 17, 16)).otherwise(owner)
+    return owner.alias("owner")
 
 
 class RepeatPlan:
@@ -508,12 +529,14 @@ class RepeatPlan:
         self.rows = _keyed(docs)
         # of equal texts the least id; those sums are all that meets by text, and copies are the rows that aren't found here
         firsts = self.rows.groupBy("text_key").agg(F.min("id").alias("id"), F.max(F.length("raw")).cast("long").alias("size"))
-        self.texts = cut_lineage(firsts.select("id", "text_key", "size", _owner()))
+        firsts = cut_lineage(firsts.select("id", "text_key", "size"))
+        owner = _owners(firsts)
+        self.texts = firsts.withColumn("owner", owner)
         if buckets is None:
             total = self.texts.agg(F.sum("size")).first()[0] or 0
             buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
         self.buckets = buckets
-        entries = self.rows.select(_owner(), "raw").mapInArrow(_anchor_entries(buckets), ROWS)
+        entries = self.rows.select(owner, "raw").mapInArrow(_anchor_entries(buckets), ROWS)
         shared = cut_lineage(entries.groupBy("bucket").applyInArrow(_shared_anchors(buckets, hot), ROWS))
         self.hot = _hot_anchors(shared)
         lists = shared.where(F.col("kind") == SHARED).groupBy("bucket").applyInArrow(_gather(1), "owner long, blobs array<binary>")
@@ -600,4 +623,5 @@ def repeat_groups(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
 def text_owners(docs: DataFrame) -> DataFrame:
     """(doc_id, owner): the text of each document, as ``repeat_groups`` names it."""
-    return _keyed(docs).select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), _owner())
+    rows = _keyed(docs).select("id", "text_key")
+    return rows.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), _owners(rows.select("text_key").distinct()))
