@@ -102,7 +102,7 @@ def row_pointers(m: DataFrame, spine: DataFrame | None = None) -> DataFrame:
     return prefix_sum(counts, "i", "n", "ptr").select("i", "n", F.col("ptr").cast("long").alias("ptr"))
 
 
-def sorted_positions(m: DataFrame) -> DataFrame:
-    """``m`` with pos, the place of each entry in its row, from 0; a long row is numbered by chunks of its columns."""
-    placed = prefix_sum(m.withColumn("_one", F.lit(1)), "j", "_one", "pos", within=("i",))
-    return placed.withColumn("pos", F.col("pos").cast("long")).drop("_one")
+def sorted_positions(m: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """``m`` with pos, the place of each entry in its row, from 0 or from ``base`` (i and one more column); a long row is numbered by chunks of its columns."""
+    placed = prefix_sum(m.withColumn("_one", F.lit(1)), "j", "_one", "pos", within=("i",), base=base)
+    return placed.select(*m.columns, F.col("pos").cast("long").alias("pos"))

@@ -6,32 +6,29 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.matrix import prefix_sum, row_pointers, sorted_positions
-from weftline.operators.product import partials
-from weftline.sources.folders import cut_lineage
+from weftline.operators.product import summed
 from weftline.sources.words import read_words, write_words
 
 
 def write_csr(m: DataFrame, path: str) -> None:
     """Write (i, j, v) in ranges of rows, each in order, under ``entries``, and (i, n, ptr) under ``rows``."""
-    # written once before it is ranged, as finding the ranges takes a look at all of it
-    cut_lineage(m.select("i", "j", "v")).repartitionByRange("i", "j").sortWithinPartitions("i", "j").write.parquet(f"{path}/entries")
+    # finding the ranges takes a look at all of it, from the last shuffle on
+    m.select("i", "j", "v").repartitionByRange("i", "j").sortWithinPartitions("i", "j").write.parquet(f"{path}/entries")
     row_pointers(m.sparkSession.read.parquet(f"{path}/entries")).write.parquet(f"{path}/rows")
 
 
 def write_counted(a: DataFrame, b: DataFrame, path: str) -> dict[str, int]:
     """Write the product (i, j, v) under ``path`` and return its partials, entries and longest sums, which the writing pass itself observes."""
-    joined, written = Observation(), Observation()
-    seen = partials(a, b).observe(joined, F.count(F.lit(1)).alias("partials"))
-    entries = seen.groupBy("i", "j").agg(F.sum("x").alias("v"), F.count("*").alias("n"))
-    entries.observe(written, F.count(F.lit(1)).alias("entries"), F.max("n").alias("most")).drop("n").write.parquet(path)
-    return joined.get | written.get
+    written = Observation()
+    counts = [F.coalesce(F.sum("n"), F.lit(0)).alias("partials"), F.count(F.lit(1)).alias("entries"), F.max("n").alias("most")]
+    summed(a, b).observe(written, *counts).drop("n").write.parquet(path)
+    return written.get
 
 
 def read_csr(spark: SparkSession, path: str) -> DataFrame:
     """(i, j, v, pos): the entries with their places among all."""
-    entries = sorted_positions(spark.read.parquet(f"{path}/entries"))
     rows = spark.read.parquet(f"{path}/rows").select("i", "ptr")
-    return entries.join(rows, "i").select("i", "j", "v", (F.col("ptr") + F.col("pos")).alias("pos"))
+    return sorted_positions(spark.read.parquet(f"{path}/entries"), rows).select("i", "j", "v", "pos")
 
 
 def write_files(m: DataFrame, path: str) -> None:
