@@ -33,6 +33,13 @@ def po(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.transpose(op(spark, sf_dir))
 
 
+def po_op(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(PO, OP) with all entries of an order in one task, so that lists by order need no further shuffle."""
+    items = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").repartition(F.col("l_orderkey").cast("long"))
+    b = matrix.from_relation(items, "l_orderkey", "l_partkey", "l_quantity")
+    return matrix.transpose(b), b
+
+
 def sp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.from_relation(_table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey", "l_quantity")
 
@@ -393,7 +400,7 @@ def split_text(spark, sf_dir):
 
 @_query(f"WITH {_PO_OP}, {_POS}, {_RUNS} SELECT blk, i, j, s FROM run")
 def block_runs(spark, sf_dir):
-    return blocks.block_runs(po(spark, sf_dir), op(spark, sf_dir)).select("blk", "i", "j", "s")
+    return blocks.block_runs(*po_op(spark, sf_dir), dealt=True).select("blk", "i", "j", "s")
 
 
 @_query(f"WITH {_SP_PS}, {_POS}, {_RUNS} SELECT blk, i, j, s FROM run")
@@ -403,12 +410,12 @@ def block_runs_supplier(spark, sf_dir):
 
 @_query(f"WITH {_PO_OP}, {_POS}, {_RUNS} SELECT blk, i, j, CAST(first - blk * {BLOCK} AS BIGINT) AS first_pos, CAST(last - blk * {BLOCK} AS BIGINT) AS last_pos FROM run")
 def run_boundaries(spark, sf_dir):
-    return blocks.run_boundaries(blocks.block_runs(po(spark, sf_dir), op(spark, sf_dir)))
+    return blocks.run_boundaries(blocks.block_runs(*po_op(spark, sf_dir), dealt=True))
 
 
 @_query(f"WITH {_PO_OP}, {_POS}, {_RUNS}, n AS (SELECT blk, COUNT(*) AS n_runs FROM run GROUP BY blk) SELECT blk, n_runs, CAST(SUM(n_runs) OVER (ORDER BY blk) - n_runs AS BIGINT) AS out_start FROM n")
 def block_out_sizes(spark, sf_dir):
-    return blocks.block_out_sizes(blocks.block_runs(po(spark, sf_dir), op(spark, sf_dir)))
+    return blocks.block_out_sizes(blocks.block_runs(*po_op(spark, sf_dir), dealt=True))
 
 
 @_query(f"WITH {_PO_OP}, {_POS}, {_CARRY} SELECT CAST(blk AS BIGINT) AS blk, carry FROM car")
@@ -419,22 +426,22 @@ def block_carries(spark, sf_dir):
 
 @_query(f"WITH {_PO_OP}, {_PAR} SELECT i, j, SUM(x) AS v FROM par GROUP BY i, j")
 def carry_apply(spark, sf_dir):
-    return blocks.carry_apply(blocks.block_runs(po(spark, sf_dir), op(spark, sf_dir)))
+    return blocks.carry_apply(blocks.block_runs(*po_op(spark, sf_dir), dealt=True))
 
 
 @_query(f"WITH {_PO_OP}, {_POS}, {_CHUNKS} SELECT blk, chunk, i, j, s FROM chk")
 def chunk_runs(spark, sf_dir):
-    return blocks.chunk_runs(po(spark, sf_dir), op(spark, sf_dir))
+    return blocks.chunk_runs(*po_op(spark, sf_dir), dealt=True)
 
 
 @_query(f"WITH {_PO_OP}, {_POS}, {_CHUNKS} SELECT blk, chunk, CAST(DENSE_RANK() OVER (PARTITION BY blk ORDER BY i, j) - 1 AS BIGINT) AS seg, SUM(s) OVER (PARTITION BY blk, i, j ORDER BY chunk) AS running FROM chk")
 def segmented_scan(spark, sf_dir):
-    return blocks.segmented_scan(blocks.chunk_runs(po(spark, sf_dir), op(spark, sf_dir)))
+    return blocks.segmented_scan(blocks.chunk_runs(*po_op(spark, sf_dir), dealt=True))
 
 
 @_query(f"WITH {_PO_OP}, {_POS}, l AS (SELECT blk, i, k, j, ROW_NUMBER() OVER (PARTITION BY blk ORDER BY i, k, j) - 1 AS r FROM pos) SELECT CAST(blk AS BIGINT) AS blk, CAST(r // 16 AS BIGINT) AS chunk, i, k, j FROM l WHERE r % 16 = 0")
 def thread_splits(spark, sf_dir):
-    return blocks.thread_splits(po(spark, sf_dir), op(spark, sf_dir))
+    return blocks.thread_splits(*po_op(spark, sf_dir), dealt=True)
 
 
 # selection over lists: row i merges the parts of its orders; 5 moves of 2 elements each

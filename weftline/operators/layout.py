@@ -15,7 +15,12 @@ from weftline.operators.product import BLOCK, row_sizes
 
 def row_spans(a: DataFrame, b: DataFrame, label_bits: int = 32) -> DataFrame:
     """(i, row_size, row_off, row_end): where each row's partials stand among all; labels that are hashes need their ``label_bits``."""
-    placed = prefix_sum(row_sizes(a, b), "i", "row_size", "row_off", key_bits=label_bits)
+    return spans_of(row_sizes(a, b), label_bits)
+
+
+def spans_of(sizes: DataFrame, label_bits: int = 32) -> DataFrame:
+    """``row_spans`` of rows (i, row_size); they are looked at twice."""
+    placed = prefix_sum(sizes, "i", "row_size", "row_off", key_bits=label_bits)
     return placed.select("i", "row_size", F.col("row_off").cast("long").alias("row_off"), (F.col("row_off") + F.col("row_size")).cast("long").alias("row_end"))
 
 

@@ -48,7 +48,8 @@ def key_splits(df: DataFrame, key: str, rows_each: int = 1 << CHUNK_BITS, most:
     return sorted(set(map(float, df.agg(F.percentile_approx(F.col(key).cast("double"), shares, 10 * chunks)).first()[0])))
 
 
-def _with_chunk(df: DataFrame, key: str, chunk_bits: int, splits: list[float] | None) -> DataFrame:
+def in_chunks(df: DataFrame, key: str, chunk_bits: int, splits: list[float] | None) -> DataFrame:
+    """``df`` with ``_chunk``, the number of the chunk in which the key lies: of ``2 ** chunk_bits`` neighbouring numbers, or from one of ``splits`` to the next."""
     if splits is None:
         return df.withColumn("_chunk", F.shiftright(F.col(key).cast("long"), chunk_bits))
     if not splits:
@@ -72,7 +73,7 @@ def prefix_sum(df: DataFrame, key: str, value: str, out: str, within: tuple[str,
 
 def prefix_sums(df: DataFrame, key: str, sums: dict[str, str], within: tuple[str, ...] = (), chunk_bits: int = CHUNK_BITS, splits: list[float] | None = None, base: DataFrame | None = None, key_bits: int = 0) -> DataFrame:
     """``prefix_sum`` of several columns at once: ``sums`` has the column to sum by the name of its sum; with ``base`` all begin at its value."""
-    keyed = _with_chunk(df, key, chunk_bits, splits)
+    keyed = in_chunks(df, key, chunk_bits, splits)
     totals = keyed.groupBy(*within, "_chunk").agg(*[F.sum(value).alias(f"_total_{out}") for out, value in sums.items()])
     if splits is None and 0 < 2 * chunk_bits < key_bits:
         upper = totals.withColumnRenamed("_chunk", "_key")
