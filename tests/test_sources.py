@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import bits
 from weftline.operators import blocks, layout, product, splits
-from weftline.sources import mtx, records, result
+from weftline.sources import mtx, records, result, words
 from weftline.sources.folders import shared_folder
 from weftline.streaming.append_product import append_product
 
@@ -72,6 +72,23 @@ def test_result_tables(spark, coo, tmp_path):
     assert rows(result.read_csr(spark, str(tmp_path / "none"))) == []
 
 
+def test_result_files_are_written_and_read_unshuffled(spark, coo, tmp_path, monkeypatch):
+    m, path = coo([(i * 3, j, i + j / 2) for i in range(40) for j in range(i % 7 + 1)]), str(tmp_path / "f")
+    result.write_files(m, path)
+    for read in (result.read_csr(spark, f"{path}/tables"), result.read_files(spark, path)):
+        plan = read._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hash" not in plan and "Sort" not in plan
+    wanted = [(i // 3, n, j, v) for n, (i, j, v) in enumerate(rows(m))]
+    assert rows(result.read_files(spark, path)) == wanted
+    monkeypatch.setattr(words, "PORTION", 16)
+    monkeypatch.setattr(words, "SPLIT_BYTES", 200)
+    reader = words.CsrReader(path)
+    assert len(reader.partitions()) > 2
+    assert [tuple(x.values()) for piece in reader.partitions() for batch in reader.read(piece) for x in batch.to_pylist()] == wanted
+    result.write_files(m.limit(0), f"{path}0")
+    assert rows(result.read_files(spark, f"{path}0")) == []
+
+
 @pytest.mark.parametrize("field,want", [("real", 2.5), ("integer", 2.0), ("pattern", 0.1234)])
 def test_written_kinds(spark, coo, tmp_path, field, want):
     m = coo([(0, 0, 2.5), (2, 1, 2.5), (1, 2, 9)])

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.matrix import prefix_sum, row_pointers, sorted_positions
+from weftline.operators.matrix import prefix_sum, row_pointers
 from weftline.operators.product import summed
-from weftline.sources.words import read_words, write_words
+from weftline.sources.words import CsrSource, write_words
 
 
 def write_csr(m: DataFrame, path: str) -> None:
-    """Write (i, j, v) in ranges of rows, each in order, under ``entries``, and (i, n, ptr) under ``rows``."""
+    """Write (i, j, v) in ranges of rows, each a file in order, under ``entries``, where each file begins under ``files``, and (i, n, ptr) under ``rows``."""
+    order = [F.col("i").asc_nulls_last(), F.col("j").asc_nulls_last()]
     # finding the ranges takes a look at all of it, from the last shuffle on
-    m.select("i", "j", "v").repartitionByRange("i", "j").sortWithinPartitions("i", "j").write.parquet(f"{path}/entries")
-    row_pointers(m.sparkSession.read.parquet(f"{path}/entries")).write.parquet(f"{path}/rows")
+    m.select("i", "j", "v").repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/entries")
+    entries = m.sparkSession.read.parquet(f"{path}/entries")
+    # nulls come last, here too
+    first = F.min(F.struct(F.col("i").isNull(), "i", F.col("j").isNull(), "j")).alias("first")
+    files = entries.groupBy(F.col("_metadata.file_name").alias("file")).agg(first, F.count("*").alias("n"))
+    before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)  # of one row a file
+    files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at")).write.parquet(f"{path}/files")
+    row_pointers(entries).write.parquet(f"{path}/rows")
 
 
 def write_counted(a: DataFrame, b: DataFrame, path: str) -> dict[str, int]:
@@ -26,9 +33,10 @@ def write_counted(a: DataFrame, b: DataFrame, path: str) -> dict[str, int]:
 
 
 def read_csr(spark: SparkSession, path: str) -> DataFrame:
-    """(i, j, v, pos): the entries with their places among all."""
-    rows = spark.read.parquet(f"{path}/rows").select("i", "ptr")
-    return sorted_positions(spark.read.parquet(f"{path}/entries"), rows).select("i", "j", "v", "pos")
+    """(i, j, v, pos): the entries with their places among all, which are the files' and those in them; nothing is shuffled or ordered anew."""
+    placed = spark.read.parquet(f"{path}/entries").select("i", "j", "v", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("nth"))
+    files = F.broadcast(spark.read.parquet(f"{path}/files"))
+    return placed.where("i IS NOT NULL").join(files, "file").select("i", "j", "v", (F.col("at") + F.col("nth")).alias("pos"))
 
 
 def write_files(m: DataFrame, path: str) -> None:
@@ -36,18 +44,14 @@ def write_files(m: DataFrame, path: str) -> None:
     write_csr(m, f"{path}/tables")
     spark = m.sparkSession
     entries, rows = read_csr(spark, f"{path}/tables"), spark.read.parquet(f"{path}/tables/rows")
-    write_words(entries.select(F.col("pos").alias("word"), F.col("j").alias("value")), f"{path}/col_indices")
-    write_words(entries.select(F.col("pos").alias("word"), F.col("v").alias("value")), f"{path}/values", "f4")
+    write_words(entries.select(F.col("pos").alias("word"), F.col("j").alias("value")), f"{path}/col_indices", ordered=True)
+    write_words(entries.select(F.col("pos").alias("word"), F.col("v").alias("value")), f"{path}/values", "f4", ordered=True)
     starts = prefix_sum(rows.select("i", "ptr", F.lit(1).alias("_one")), "i", "_one", "word").select(F.col("word").cast("long").alias("word"), F.col("ptr").alias("value"))
     end = rows.agg(F.count("*").alias("word"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("value"))
     write_words(starts.unionByName(end), f"{path}/row_ptrs", "u8")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(row, pos, j, v) of such files: the row's number among those with entries, and each entry's place."""
-    starts = read_words(spark, f"{path}/row_ptrs", "u8").select(F.col("word").alias("row"), F.col("value").alias("ptr"))
-    ends = starts.select((F.col("row") - 1).alias("row"), F.col("ptr").alias("end"))
-    spans = starts.join(ends, "row").select("row", F.explode(F.sequence("ptr", F.col("end") - 1)).alias("pos"))
-    columns = read_words(spark, f"{path}/col_indices").select(F.col("word").alias("pos"), F.col("value").alias("j"))
-    values = read_words(spark, f"{path}/values", "f4").select(F.col("word").alias("pos"), F.col("value").alias("v"))
-    return spans.join(columns, "pos").join(values, "pos").select("row", "pos", "j", "v")
+    """(row, pos, j, v) of such files: the row's number among those with entries, and each entry's place; tasks read stretches of entries and the pointers of their rows."""
+    spark.dataSource.register(CsrSource)
+    return spark.read.format("csr_words").load(path)
