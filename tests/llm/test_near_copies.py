@@ -130,3 +130,47 @@ def test_template_pages_among_others(spark):
     kept, _ = kept_by_hand(docs)
     rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_one(rows).collect()) == kept
+
+
+def edited_copies(n, edits):
+    """Copies of one text with ``edits`` words of their own each, far enough apart to change five shingles each."""
+    rng, words = random.Random(n), [f"w{k}" for k in range(150)]
+    copies = []
+    for copy in range(n):
+        mine = list(words)
+        for place in rng.sample(range(2, 29), edits):
+            mine[5 * place] = f"e{copy}x{place}"
+        copies.append(" ".join(mine))
+    return copies
+
+
+def test_edited_copies_that_are_not_similar_bring_no_pairs(spark):
+    """Each has so few shingles of its own that it meets every other at a common token."""
+    made = []
+    for n in (50, 100, 200):
+        docs = spark.createDataFrame(list(enumerate(edited_copies(n, 3))), "doc_id long, text string")
+        rows = near_copies._shared(docs, 0.8, 5, near_copies.COMMON, counted=0.0).select("token", "node", "size", "pos", F.col("node").alias("part"))
+        assert near_copies.open_pairs(rows, 0.8).count() == n * (n - 1) // 2
+        held = simhash._word_nodes(docs, 5).select("node", "sketch")
+        made.append(near_copies.open_pairs(rows, 0.8, held).count())
+    texts = edited_copies(200, 3)
+    similar = sum(len(a & b) / len(a | b) >= 0.8 for k, a in enumerate(map(shingle_set, texts)) for b in map(shingle_set, texts[:k]))
+    assert similar <= made[-1] < 100 and made[0] < 25 and made[1] < 50
+
+
+def test_folded_sketches_rule_out_no_similar_pair(spark):
+    docs = some_documents(5)
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    shared = near_copies._shared(rows, 0.8, 5, 2).select("token", "node", "size", "pos", F.col("node").alias("part"))
+    held = simhash._word_nodes(rows, 5).select("node", "sketch").dropDuplicates(["node"])
+    pairs = {tuple(r) for r in near_copies.open_pairs(shared, 0.8, held).collect()}
+    nodes = {near_copies.node_of(t.encode().lower().split()): shingle_set(t) for t in docs.values()}
+    alike = {(min(a, b), max(a, b)) for a in nodes for b in nodes if a != b and len(nodes[a] & nodes[b]) / len(nodes[a] | nodes[b]) >= 0.8}
+    assert len(alike) > 20 and alike <= pairs
+
+
+def test_edited_copies_among_others(spark):
+    docs = dict(enumerate(edited_copies(60, 1) + edited_copies(61, 2) + edited_copies(62, 3) + edited_copies(63, 4)))
+    kept, _ = kept_by_hand(docs)
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert 20 < len(kept) < len(docs) and sorted(r.doc_id for r in simhash.keep_one(rows).collect()) == kept

@@ -3,8 +3,9 @@ import random
 import pytest
 import xxhash
 
-from weftline.llm import simhash
+from weftline.llm import components, simhash
 from weftline.llm.components import connected_components
+from weftline.llm.tables import cut_lineage
 
 
 def by_hand(text):
@@ -93,6 +94,22 @@ def test_components(spark):
     assert got == {i: find(i) for e in edges for i in e if e[0] != e[1]}
 
 
+def test_rounds_end_with_stars(spark, monkeypatch):
+    """A path of three nodes is a star after one round, and no other one follows."""
+    written = []
+    monkeypatch.setattr(components, "cut_lineage", lambda df: written.append(1) or cut_lineage(df))
+    got = {tuple(r) for r in connected_components(spark.createDataFrame([(2, 1), (2, 3)], "a long, b long")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1)} and len(written) == 2
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_stars_are_told_from_other_graphs(spark, seed):
+    rng = random.Random(seed)
+    edges = {(rng.randrange(5, 12), rng.randrange(3 + seed)) for _ in range(rng.randrange(1, 6))} | ({(9, 8)} if seed == 3 else set())
+    uppers, lowers = [a for a, _ in edges], {b for _, b in edges}
+    assert components._are_stars(spark.createDataFrame(list(edges), "a long, b long")) == (len(set(uppers)) == len(uppers) and not lowers & set(uppers))
+
+
 def test_odd_rows(spark, odd_documents, no_documents):
     rows = simhash.near_duplicates(odd_documents).collect()
     assert len(rows) == odd_documents.count()

@@ -12,7 +12,9 @@ of them, and from their first common shingle on both must be long enough to hold
 sets have in common; what doesn't meet this is never paired, so pages of one template that
 aren't similar bring no pairs together. Each node has a sketch of which of 2,048 bins hold an odd number of its shingles;
 bins that differ are differing shingles at least, so sketches alone rule most pairs out, and
-all others are compared over all their shingles.
+all others are compared over all their shingles. Edited copies of one text that are not similar
+to each other have common tokens, so where all pairs are made, sketches folded to 512 bins are
+compared where two nodes meet, and only pairs that these don't rule out become rows.
 
 Of a token's nodes each is first compared with a leader, twice with another one. What is in
 one component by then needs no more comparison, so a group of near copies isn't paired with
@@ -25,6 +27,7 @@ shingle; repeats of a shingle count once; a null doc_id counts as larger than al
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.components import connected_components
+from weftline.llm.components import stars
 from weftline.llm.tables import cut_lineage, release_memory, release_shuffles, text_bytes
 
 #: Nodes with a token beyond which it goes to the end of the order; any order is exact.
@@ -43,6 +46,8 @@ COMMON_AT_ONCE = 1 << 20
 LEADERS = 2
 #: Bits of a sketch, that is 256 bytes.
 SKETCH = 1 << 11
+#: Longs of a folded sketch.
+FOLDED = 8
 #: Pairs whose shingles a task looks at together.
 PAIRS = 64
 #: Nodes a task remembers, so as to tell a repeated text's tokens once.
@@ -148,14 +153,14 @@ def _shared(docs: DataFrame, similarity: float, words_each: int, common: int, co
     return rows.withColumn("n", F.count("*").over(of_token)).withColumn("first", F.max(_is_first(similarity)).over(of_token)).where("n > 1 and first").drop("n", "first")
 
 
-def _texts_of(docs: DataFrame, marked: DataFrame, nodes: DataFrame) -> DataFrame:
+def _texts_of(docs: DataFrame, held: DataFrame, nodes: DataFrame) -> DataFrame:
     """One text of each of the nodes."""
-    held = cut_lineage(marked.join(nodes.distinct(), "node").groupBy("node").agg(F.min("text_hash").alias("_hash")).select("_hash"))
-    texts = docs.select("text", text_hash().alias("_hash")).join(F.broadcast(held) if held.count() <= SENT else held, "_hash", "left_semi")
+    want = cut_lineage(held.select("node", F.col("text_hash").alias("_hash")).join(nodes, "node", "left_semi").select("_hash"))
+    texts = docs.select("text", text_hash().alias("_hash")).join(F.broadcast(want) if want.count() <= SENT else want, "_hash", "left_semi")
     return texts.dropDuplicates(["_hash"]).select("text")
 
 
-def _sets(docs: DataFrame, marked: DataFrame, nodes: DataFrame, words_each: int) -> DataFrame:
+def _sets(docs: DataFrame, held: DataFrame, nodes: DataFrame, words_each: int) -> DataFrame:
     """(node, its shingles in order as bytes) of the nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +168,7 @@ def _sets(docs: DataFrame, marked: DataFrame, nodes: DataFrame, words_each: int)
             words = [x.lower().split() for x in text_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(map(node_of, words), pa.int64()), pa.array([shingles(w, words_each).tobytes() for w in words], pa.binary())], ["node", "shingles"])
 
-    return _texts_of(docs, marked, nodes).mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    return _texts_of(docs, held, nodes).mapInArrow(run, "node long, shingles binary")
 
 
 def _overlap(similarity: float) -> Column:
@@ -176,22 +181,39 @@ def _is_first(similarity: float) -> Column:
     return F.col("pos") <= F.col("size") - F.ceil(F.lit(2 * similarity / (1 + similarity)) * F.col("size") - 1e-9)
 
 
-def open_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+def _most_apart(similarity: float) -> Column:
+    """The shingles that two similar sets of ``size_a`` and ``size_b`` differ in at most."""
+    return F.col("size_a") + F.col("size_b") - 2 * _overlap(similarity)
+
+
+def _folded(name: str) -> list[Column]:
+    """The sketch of fewer bins, each odd if an odd number of those that fall on it are, in columns ``name`` 0, 1, ..."""
+    longs = SKETCH // 64
+    return [reduce(Column.bitwiseXOR, [F.get("sketch", F.lit(j)) for j in range(k, longs, FOLDED)]).alias(f"{name}{k}") for k in range(FOLDED)]
+
+
+def open_pairs(rows: DataFrame, similarity: float, held: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of nodes of different parts that may be similar, of ``rows`` (token, node, size, pos, part).
 
+    With ``held``, which has the sketch of each node, pairs that are too far apart by it don't leave the join.
+
     The smaller one's (of equal ones, the lesser's) first tokens meet the tokens of the other. Similar
     sets meet at their first common token, from which on both are at least as long as what they have in common.
     """
-    smaller = rows.where(_is_first(similarity)).toDF("token", "other", "size_b", "pos_b", "other_part")
+    smaller = rows.where(_is_first(similarity)).select("token", F.col("node").alias("other"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"), F.col("part").alias("other_part"))
     larger = rows.withColumnRenamed("size", "size_a")
     order = (F.col("size_b") < F.col("size_a")) | (F.col("size_b") == F.col("size_a")) & (F.col("other") < F.col("node"))
     long_enough = F.least(F.col("size_a") - F.col("pos"), F.col("size_b") - F.col("pos_b")) >= _overlap(similarity)
     near = order & (F.col("size_b") >= similarity * F.col("size_a") - 1e-9) & long_enough & (F.col("part") != F.col("other_part"))
+    if held is not None:
+        larger = larger.join(held.select("node", *_folded("x")), "node")
+        smaller = smaller.join(held.select(F.col("node").alias("other"), *_folded("y")), "other")
+        near &= reduce(Column.__add__, [F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(FOLDED)]) <= _most_apart(similarity)
     return larger.join(smaller, "token").where(near).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _alike(pairs: DataFrame, docs: DataFrame, marked: DataFrame, held: DataFrame, similarity: float, words_each: int) -> DataFrame:
-    """Those of the pairs (a, b) that are similar; ``held`` has the size and the sketch of each node."""
+def _alike(pairs: DataFrame, docs: DataFrame, held: DataFrame, similarity: float, words_each: int) -> DataFrame:
+    """Those of the pairs (a, b) that are similar; ``held`` has the size, the sketch and the hash of one text of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,25 +226,26 @@ def _alike(pairs: DataFrame, docs: DataFrame, marked: DataFrame, held: DataFrame
 
     with_both = lambda df, of: df.join(of.toDF("a", *[f"{c}_a" for c in of.columns[1:]]), "a").join(of.toDF("b", *[f"{c}_b" for c in of.columns[1:]]), "b")
     differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    may = cut_lineage(with_both(pairs, held).where(differ <= F.col("size_a") + F.col("size_b") - 2 * _overlap(similarity)).select("a", "b"))
-    sets = _sets(docs, marked, may.select(F.explode(F.array("a", "b")).alias("node")), words_each)
+    may = cut_lineage(with_both(pairs, held.select("node", "size", "sketch")).where(differ <= _most_apart(similarity)).select("a", "b"))
+    sets = _sets(docs, held, may.select(F.explode(F.array("a", "b")).alias("node")), words_each)
     return with_both(may, cut_lineage(sets)).select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a long, b long")
 
 
-def _lead(rows: DataFrame, candidates: DataFrame | None, found: DataFrame | None, alike: Callable[[DataFrame], DataFrame], similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(rows of tokens that several parts have, links found): each node of a token compared with the token's leaders."""
+def _lead(rows: DataFrame, candidates: DataFrame | None, found: DataFrame | None, alike: Callable[[DataFrame], DataFrame], similarity: float, at_once: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows of tokens that several parts have, links that connect what has been found, their stars): each node of a token compared with the token's leaders, ``at_once`` of them a round."""
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
     near = (F.col("part") != F.col("other_part")) & (F.least("size", "other_size") >= similarity * F.greatest("size", "other_size") - 1e-9)
-    for k in range(LEADERS):
-        lead = F.min(F.struct(F.xxhash64("node", F.lit(k)), F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("part").alias("other_part")))
-        others = rows.groupBy("token").agg(lead.alias("l")).select("token", "l.other", "l.other_size", "l.other_part")
+    for first in range(0, LEADERS, at_once):
+        leads = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("part").alias("other_part"))) for k in range(first, min(LEADERS, first + at_once))]
+        others = rows.groupBy("token").agg(F.array(*leads).alias("l")).select("token", F.inline("l")).drop("h")
         pairs = rows.join(others, "token").where(near).select(*pair)
-        if candidates is not None and not k:
+        if candidates is not None and not first:
             pairs = pairs.unionByName(candidates)
         new = alike(pairs.distinct())
         release_shuffles(rows.sparkSession)
-        found = new if found is None else found.unionByName(new)
-        now = _in_parts(rows, connected_components(found))
+        parts = stars(new if found is None else found.unionByName(new))
+        found = parts.toDF("a", "b")  # connects what the links did, in fewer rows
+        now = _in_parts(rows, parts)
         # of tokens with two nodes all pairs have been compared
         open_ = now.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("token")
         rows = cut_lineage(now.join(open_, "token", "left_semi"))
@@ -230,7 +253,7 @@ def _lead(rows: DataFrame, candidates: DataFrame | None, found: DataFrame | None
         release_shuffles(rows.sparkSession)
         if rows.isEmpty():
             break
-    return rows, found
+    return rows, found, parts
 
 
 def _in_parts(rows: DataFrame, parts: DataFrame) -> DataFrame:
@@ -238,7 +261,7 @@ def _in_parts(rows: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, marked: DataFrame, candidates: DataFrame, similarity: float = 0.8, words_each: int = 5) -> DataFrame:
-    """Pairs (a, b) of nodes that are similar, enough of them to connect all that similar pairs connect.
+    """Pairs (a, b) of nodes that similar pairs connect, enough of them to connect all that those do.
 
     ``marked`` has the node, text_hash and sketch of each document. The similar ones among the pairs
     (a, b) of ``candidates`` are taken first.
@@ -248,10 +271,10 @@ def links(docs: DataFrame, marked: DataFrame, candidates: DataFrame, similarity:
     by the counts of all their shingles, so that their own words come first: a similar pair
     that meets first at a common token in the first order has both its nodes among them.
     """
-    held = cut_lineage(marked.select("node", "size", "sketch").dropDuplicates(["node"]))
-    alike = lambda pairs: cut_lineage(_alike(pairs, docs, marked, held, similarity, words_each))
+    held = cut_lineage(marked.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min("text_hash").alias("text_hash")))
+    alike = lambda pairs: cut_lineage(_alike(pairs, docs, held, similarity, words_each))
     rows = cut_lineage(_shared(docs, similarity, words_each, COMMON))
-    rows, found = _lead(rows.withColumn("part", F.col("node")), candidates, None, alike, similarity)
+    rows, found, parts = _lead(rows.withColumn("part", F.col("node")), candidates, None, alike, similarity)
     if rows.isEmpty():
         return found
     hot = cut_lineage(rows.groupBy("token").count().where(F.col("count") > COMMON).select("token"))
@@ -260,6 +283,6 @@ def links(docs: DataFrame, marked: DataFrame, candidates: DataFrame, similarity:
     if crowded.isEmpty():
         return found
     release_shuffles(docs.sparkSession)
-    again = cut_lineage(_shared(_texts_of(docs, marked, crowded), similarity, words_each, COMMON, counted=0.0))
-    left, found = _lead(cut_lineage(_in_parts(again, connected_components(found))), None, found, alike, similarity)
-    return found if left.isEmpty() else found.unionByName(alike(open_pairs(left, similarity)))
+    again = cut_lineage(_shared(_texts_of(docs, held, crowded), similarity, words_each, COMMON, counted=0.0))
+    left, found, _ = _lead(cut_lineage(_in_parts(again, parts)), None, found, alike, similarity, at_once=LEADERS)
+    return found if left.isEmpty() else found.unionByName(alike(open_pairs(left, similarity, held)))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import near_copies
-from weftline.llm.components import connected_components
+from weftline.llm.components import stars
 from weftline.llm.tables import cut_lineage, release_memory, text_bytes
 
 BITS = 64
@@ -125,7 +125,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     marked = cut_lineage(fingerprints(docs))
     last = F.lit(2**63 - 1)
     nodes = cut_lineage(marked.groupBy("fingerprint").agg(F.min(F.coalesce("doc_id", last)).alias("least")))
-    parts = cut_lineage(nodes.join(connected_components(links(nodes, radius)).withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("component")))
+    parts = cut_lineage(nodes.join(stars(links(nodes, radius)).withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("component")))
     ids = parts.groupBy("component").agg(F.nullif(F.min("least"), last).alias("component_id"))
     return marked.join(parts.join(ids, "component"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
@@ -150,7 +150,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words_each: int = 5, radi
     ends = pairs.join(prints.select(F.col("fingerprint").alias("a"), F.col("lead").alias("x")), "a").join(prints.select(F.col("fingerprint").alias("b"), F.col("lead").alias("y")), "b").select("x", "y")
     same = named.where("node <> lead").select(F.col("lead").alias("x"), F.col("node").alias("y"))
     candidates = ends.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    parts = connected_components(near_copies.links(docs, marked, candidates, similarity, words_each))
+    parts = stars(near_copies.links(docs, marked, candidates, similarity, words_each))
     grouped = marked.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "row_hash")).alias("f")).select("f.*")
     # the input's columns travel as one, so that no name of theirs can clash, and once: equal rows meet where they are joined
